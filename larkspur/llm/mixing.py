@@ -93,7 +93,7 @@ def mix(
     max_passes: float = 3.0,
     budget: int | None = None,
     seed: int = 7,
-    block_docs: int = 20_000,
+    block_docs: int = 2_048,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.llm import mixing, sharding, simhash
+from larkspur.llm import mixing, pii, quality, sharding, simhash
 from larkspur.session import table
 
 QUERIES: dict = {}
@@ -32,3 +32,14 @@ def op4_prefix_sum_shards(spark, sf_dir):
 @_query
 def op9_bit_sliced_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@_query
+def op8_checked_pii(spark, sf_dir):
+    return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
+
+
+@_query
+def op7_likelihood_quality(spark, sf_dir):
+    judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_grams", "score")
