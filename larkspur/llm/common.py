@@ -47,3 +47,12 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def once(df: DataFrame, name: str, value: Column) -> DataFrame:
+    """df with a column that is computed once for each row.
+
+    An expression in a plain projection may be copied into the lambdas and filters above it and then runs once for
+    each element; a generator is never copied.
+    """
+    return df.select("*", F.explode(F.array(value)).alias(name))
