@@ -56,3 +56,8 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     each element; a generator is never copied.
     """
     return df.select("*", F.explode(F.array(value)).alias(name))
+
+
+def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
+    """df, which has been cut, marked for broadcast if it has at most that many rows; larger ones are joined by shuffle."""
+    return F.broadcast(df) if df.count() <= rows else df

@@ -24,7 +24,7 @@ import math
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import WORD, cut
+from larkspur.llm.common import WORD, cut, small
 
 STEPS = 1000
 
@@ -107,7 +107,7 @@ def mix(
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).alias("source"), tokens.alias("n_tokens"))
     plays = F.when(F.col("total") == 0, F.lit(1)).otherwise(F.expr("(quota + total - 1) div total"))
     dealt = (
-        narrow.join(plan.withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
+        narrow.join(small(plan).withColumnRenamed("source", "of"), F.col("source").eqNullSafe(F.col("of")))
         .drop("of")
         .withColumn("plays", plays.cast("int"))
         .where("plays > 0")
@@ -151,7 +151,7 @@ def replay(docs: DataFrame, **settings) -> DataFrame:
     played = mix(docs, **settings).select("source", "pass", "quota", _key(seed, F.col("pass"), F.col("doc_id")).alias("key"))
     last = played.groupBy("source", "pass").agg(F.max("key").alias("last_key"))
     cuts = cut(last.groupBy("source").agg(F.max("pass").alias("turns"), F.max_by("last_key", "pass").alias("last_key")))
-    cuts = cuts.select(F.col("source").alias("_of"), F.col("turns").alias("_turns"), F.col("last_key").alias("_last_key"))
+    cuts = small(cuts).select(F.col("source").alias("_of"), F.col("turns").alias("_turns"), F.col("last_key").alias("_last_key"))
     here = docs.select(F.struct(*docs.columns).alias("_row")).join(cuts, F.col("_row")[source_col].eqNullSafe(F.col("_of")))
     final = _key(seed, F.col("_turns"), F.col("_row")[id_col]) <= F.col("_last_key")
     times = F.col("_turns") + F.when(final, 1).otherwise(0)

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.llm import mixing, pii, quality, sharding, simhash
+from larkspur.llm import chat, decontaminate, html_text, mixing, pii, quality, sharding, simhash
 from larkspur.session import table
 
 QUERIES: dict = {}
@@ -43,3 +43,22 @@ def op8_checked_pii(spark, sf_dir):
 def op7_likelihood_quality(spark, sf_dir):
     judged = quality.judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "n_grams", "score")
+
+
+@_query
+def op2_template_decontamination(spark, sf_dir):
+    found = decontaminate.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select("doc_id", "item_id", "n_windows", "n_found", "verdict")
+
+
+@_query
+def op1_grammar_chat(spark, sf_dir):
+    probe = "</s>[INST] ok [/INST]"
+    extra = spark.createDataFrame([(-1, 0, "user", probe), (-1, 1, "assistant", probe)], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(extra)
+    return chat.conversations(chat.format_turns(rows))
+
+
+@_query
+def op10_scoring_run_html(spark, sf_dir):
+    return html_text.extract(table(spark, sf_dir, "pages"))

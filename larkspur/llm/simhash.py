@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut
+from larkspur.llm.common import cut, small
 
 BITS, CHUNK = 64, 1 << 15
 
@@ -235,10 +235,10 @@ def near_duplicates(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", te
 def keep_first(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents, one of each class: the one with the smallest id. Rows that share that id stay once for each different text."""
     found = near_duplicates(docs, radius, id_col, text_col)
-    losers = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lost")).distinct()
-    kept = docs.join(losers, docs[id_col].eqNullSafe(F.col("_lost")), "left_anti")
+    losers = cut(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lost")).distinct())
+    kept = docs.join(small(losers), docs[id_col].eqNullSafe(losers["_lost"]), "left_anti")
     twice = docs.groupBy(F.col(id_col).alias("_id")).count().where("count > 1").select("_id")
     if not twice.limit(1).count():
         return kept
-    same = kept[id_col].eqNullSafe(F.col("_id"))
+    same = kept[id_col].eqNullSafe(twice["_id"])
     return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))
