@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, decontaminate, html_text, mixing, pii, quality, sharding, simhash
+from larkspur.llm import chat, decontaminate, html_text, mixing, pii, quality, sharding, simhash, token_counts, token_order
+from larkspur.llm.common import shared_path
 from larkspur.session import table
 
 QUERIES: dict = {}
@@ -62,3 +63,14 @@ def op1_grammar_chat(spark, sf_dir):
 @_query
 def op10_scoring_run_html(spark, sf_dir):
     return html_text.extract(table(spark, sf_dir, "pages"))
+
+
+@_query
+def op5_feistel_token_shards(spark, sf_dir):
+    return token_order.materialise(table(spark, sf_dir, "documents"), shared_path(spark, "token-shards"))
+
+
+@_query
+def op6_edit_aware_counts(spark, sf_dir):
+    docs = table(spark, sf_dir, "documents")
+    return token_counts.count_edited(docs, token_counts.sample_edits(F.col("text")))
