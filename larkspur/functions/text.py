@@ -73,7 +73,7 @@ def ago(then: Column, now: Column) -> Column:
     """Time since then: seconds, minutes or hours."""
     s = F.unix_timestamp(now) - F.unix_timestamp(then)
     text = lambda n, unit: F.concat(n.cast("string"), F.lit(f"{unit} ago"))
-    return F.when(s < 60, text(s, "s")).when(s < 3600, text(F.expr("0") + F.floor(s / 60), "m")).otherwise(text(F.floor(s / 3600), "h"))
+    return F.when(s < 60, text(s, "s")).when(s < 3600, text(F.floor(s / 60), "m")).otherwise(text(F.floor(s / 3600), "h"))
 
 
 def log_level(line: Column, as_json: bool = False) -> Column:
@@ -100,10 +100,14 @@ def keyword_score(words: list[str], title: Column, summary: Column, keywords: Co
     for w in words:
         low = w.lower()
         total = total + F.when(F.lower(title).contains(low), 10).otherwise(0) + F.when(F.lower(summary).contains(low), 5).otherwise(0)
-        total = total + F.when(F.exists(keywords, lambda k, low=low: F.lower(k).contains(low)), 1).otherwise(0)
+        total = total + F.when(F.exists(keywords, _holds(low)), 1).otherwise(0)
     return total
 
 
+def _holds(low: str):
+    return lambda k: F.lower(k).contains(low)
+
+
 def words_in_run(text: Column, phrase: list[str]) -> Column:
     """Whether the identifier words of text hold the phrase as a contiguous run, plural or singular."""
     found = F.transform(F.regexp_extract_all(underscore(text), F.lit("[a-z0-9]+"), F.lit(0)), singularize)

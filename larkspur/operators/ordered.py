@@ -33,7 +33,7 @@ def with_context(df: DataFrame, match: Column, around: int, partition: list[str]
 
 def block_end(df: DataFrame, opens: Column, indent: Column, closes: Column, partition: list[str], order: str) -> DataFrame:
     """Opening rows with the first closing row after them at the same indent."""
-    w = Window.partitionBy(*partition, "_indent").orderBy(order).rowsBetween(1, Window.unboundedFollowing)
+    w = Window.partitionBy(*partition, "_indent").orderBy(order).rangeBetween(1, Window.unboundedFollowing)
     marked = df.withColumn("_indent", indent)
     ended = marked.withColumn("block_end", F.min(F.when(closes, F.col(order))).over(w))
     return ended.where(opens).drop("_indent")
@@ -55,7 +55,7 @@ def first_wins(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:
 def headings(df: DataFrame, value: str, partition: list[str], order: list[str]) -> DataFrame:
     """Rows at which a value begins anew."""
     before = F.lag(value).over(Window.partitionBy(*partition).orderBy(*order))
-    return df.where("true").withColumn("_before", before).where(~F.col(value).eqNullSafe(F.col("_before"))).drop("_before")
+    return df.withColumn("_before", before).where(~F.col(value).eqNullSafe(F.col("_before"))).drop("_before")
 
 
 def ranked(df: DataFrame, by: list[Column], n: int, partition: list[str] = ()) -> DataFrame:

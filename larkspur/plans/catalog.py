@@ -2,22 +2,20 @@
 
 from __future__ import annotations
 
-from larkspur.session import register_views
-
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
 
-REVENUE_SQL = """
-SELECT n_name, CAST(round(sum(l_extendedprice * (1 - l_discount)), 2) AS DOUBLE) AS revenue, count(*) AS n_items
-FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
-GROUP BY n_name
-"""
 
+def query(sql: str | None = None):
+    """Register a query (spark, data folder) under its function's name."""
+
+    def register(f):
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
 
-def guarded_sql_revenue(spark, sf_dir):
-    register_views(spark, sf_dir, ("lineitem", "orders", "customer", "nation"))
-    return spark.sql(REVENUE_SQL)
+    return register
 
 
-QUERIES["guarded_sql_revenue"] = guarded_sql_revenue
-ORACLE_SQL["guarded_sql_revenue"] = REVENUE_SQL
+from larkspur.plans import queries_audit, queries_sql, queries_text  # noqa: E402, F401  they register themselves

@@ -1,0 +1,253 @@
+"""Queries of the guarded SQL path, its caps, redaction, formats and policy."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from larkspur.functions import redact, text
+from larkspur.operators import aggregates, ordered, predicates
+from larkspur.plans import policy
+from larkspur.plans.catalog import query
+from larkspur.plans.policy import Policy
+from larkspur.plans.query import cells, guarded
+from larkspur.session import register_views, table
+from larkspur.sources import files
+
+REVENUE = """
+SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n_items
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+GROUP BY n_name
+"""
+
+
+@query(REVENUE)
+def guarded_sql_revenue(spark, sf_dir):
+    """A join and aggregation through the policy and the row cap."""
+    register_views(spark, sf_dir, ("lineitem", "orders", "customer", "nation"))
+    return guarded(spark, REVENUE, 1000)
+
+
+@query("SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 1000")
+def row_cap(spark, sf_dir):
+    """L1: the statement's own limit is above the cap, so the cap holds."""
+    register_views(spark, sf_dir, ("orders",))
+    return guarded(spark, "SELECT o_orderkey, o_custkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 5000", 100_000)
+
+
+@query("SELECT p_partkey, p_name FROM part ORDER BY p_name, p_partkey LIMIT 25 OFFSET 50")
+def paginate(spark, sf_dir):
+    """L2: the third page of 25."""
+    return ordered.page(table(spark, sf_dir, "part").select("p_partkey", "p_name"), ["p_name", "p_partkey"], 50, 25)
+
+
+@query("SELECT '[FILTERED]' AS c_custkey, c_name, '[FILTERED]' AS c_nationkey, c_mktsegment FROM customer")
+def redact_columns(spark, sf_dir):
+    """Columns that end in key are hidden."""
+    return redact.redact_columns(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_nationkey", "c_mktsegment"))
+
+
+@query("SELECT c_custkey, c_name, '[FILTERED]' AS c_acctbal FROM customer")
+def redact_exempt(spark, sf_dir):
+    """R1 with a configured column and an exempt one."""
+    return redact.redact_columns(table(spark, sf_dir, "customer").select("c_custkey", "c_name", "c_acctbal"), ["c_acctbal"], ["c_custkey"])
+
+
+def _redaction_sql(column: str) -> str:
+    sql = column
+    for pattern, put in redact.LOG_RULES:
+        flags = "gi" if pattern.startswith("(?i)") else "g"
+        pattern = pattern.removeprefix("(?i)").replace("'", "''")
+        put = put.replace("$1", "\\1").replace("$2", "\\2").replace("'", "''")
+        sql = f"regexp_replace({sql}, '{pattern}', '{put}', '{flags}')"
+    return sql
+
+
+@query(f"SELECT doc_id, md5(r) AS digest, r <> text AS changed FROM (SELECT doc_id, text, {_redaction_sql('text')} AS r FROM documents)")
+def redact_text(spark, sf_dir):
+    """The whole chain of log rules over every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", redact.redact_line(F.col("text")).alias("r"))
+    return docs.select("doc_id", F.md5("r").alias("digest"), (F.col("r") != F.col("text")).alias("changed"))
+
+
+_CASES = (
+    ("user: bob, password: hunter2", 'user: bob, password: [FILTERED]'), ("url postgres://u:p@h/db", "url postgres://[FILTERED]@h/db"), ("password_length: 12", "password_length: 12"),
+    ('api_key = "abc def"', 'api_key = "[FILTERED]"'), ("plain text", "plain text"), ("token: [1, 2]", "token: [1, 2]"),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _CASES) + ") AS t(source, redacted)")
+def redact_values(spark, sf_dir):
+    """Settings and sources; descriptors and collections stay."""
+    return spark.createDataFrame([(a,) for a, _ in _CASES], "source string").withColumn("redacted", redact.redact_then_shorten(F.col("source"), 200))
+
+
+@query("SELECT event_id, CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) > 50 THEN '[FILTERED]' ELSE json_extract_string(props, '$.k') END AS hidden FROM events")
+def redact_nested(spark, sf_dir):
+    """Leaves under a secret key on their path are hidden."""
+    k = F.get_json_object("props", "$.k")
+    rows = table(spark, sf_dir, "events").select("event_id", F.when(k.cast("int") > 50, F.array(F.lit("auth"), F.lit("api_token"))).otherwise(F.array(F.lit("auth"), F.lit("page"))).alias("path"), k.alias("value"))
+    return redact.redact_rows(rows).select("event_id", F.col("value").alias("hidden"))
+
+
+@query(
+    "SELECT doc_id, CASE WHEN text IS NULL THEN '_NULL_' WHEN length(text) > 100 THEN left(text, 100) || '...' ELSE replace(text, '|', '\\|') END AS text, "
+    "coalesce(lang, '_NULL_') AS lang FROM (SELECT CAST(doc_id AS VARCHAR) AS doc_id, text, lang FROM documents)"
+)
+def cell_format(spark, sf_dir):
+    """K1, K2, K3: cells as text."""
+    return cells(table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+@query("""
+SELECT p_partkey, CASE WHEN p_name ~ '[,"\\n\\r]' THEN '"' || replace(p_name, '"', '""') || '"' ELSE p_name END || ',' || p_brand AS line FROM part
+""")
+def csv_lines(spark, sf_dir):
+    """K2: quoting of comma-separated cells."""
+    name = F.when(F.col("p_name").rlike('[,"\n\r]'), F.concat(F.lit('"'), F.replace("p_name", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("p_name"))
+    return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(",", name, "p_brand").alias("line"))
+
+
+_POLICY = (
+    ("SELECT 1", True), ("INSERT INTO t VALUES (1)", False), ("SELECT * FROM a; SELECT 2", False), ("SELECT * FROM a FOR UPDATE", False), ("SELECT a INTO b FROM c", False),
+    ("SELECT 1 WHERE 1 = 0 OR 1=1", False), ("SELECT 1 UNION SELECT 2", False), ("SELECT 1 INTERSECT SELECT 2", True), ("SELECT pg_read_file(1)", False), ("SELECT password_digest FROM users", False),
+    ("SELECT /* x */ 1 -- DROP", True), ("SHOW TABLES", True), ("SHOW GRANTS", False), ("DESCRIBE a", True), ("VALUES (1)", False), ("SELECT java_method(1)", False), ("SELECT secretary FROM a", True), ("", False),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {str(b).lower()})" for a, b in _POLICY) + ") AS t(statement, accepted)")
+def policy_cases(spark, sf_dir):
+    """The strict text policy."""
+    strict = Policy(strict_text=True)
+    return spark.createDataFrame([(a, policy.check_text(a, strict) is None) for a, _ in _POLICY], "statement string, accepted boolean")
+
+
+_PLANS = (
+    ("SELECT 1", True), ("SELECT a, count(*) FROM t GROUP BY a", True), ("WITH x AS (SELECT 1 AS a) SELECT * FROM x JOIN t ON x.a = t.a", True), ("SELECT * FROM t WHERE a IN (SELECT b FROM u)", True),
+    ("CREATE TABLE t (a INT)", False), ("SET x = 1", False), ("DROP TABLE t", False), ("SELECT TRANSFORM(a) USING ''cat'' FROM t", False), ("CACHE TABLE t", False), ("SHOW TABLES", True), ("DESCRIBE t", True),
+)
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {str(b).lower()})" for a, b in _PLANS) + ") AS t(statement, accepted)")
+def plan_cases(spark, sf_dir):
+    """Allowed nodes of the parsed plan."""
+    plain = [(a.replace("''", "'"), b) for a, b in _PLANS]
+    return spark.createDataFrame([(a, policy.check_plan(spark, a) is None) for a, _ in plain], "statement string, accepted boolean")
+
+
+@query("SELECT * FROM (VALUES ('FileScan', 'filtered')) AS t(node, detail)")
+def explain_scan(spark, sf_dir):
+    """The scan of a filtered read, out of the physical plan."""
+    from larkspur.plans.query import plan_facts
+
+    df = table(spark, sf_dir, "orders").where("o_orderkey > 100").select("o_orderkey")
+    return spark.createDataFrame(sorted(set(plan_facts(df))), "node string, detail string")
+
+
+@query("SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment")
+def column_pruned(spark, sf_dir):
+    """A summary level of detail reads two columns only."""
+    chosen = predicates.columns_of_level("summary", ["c_mktsegment", "c_acctbal"], ["c_custkey", "c_mktsegment", "c_acctbal"], ["*"])
+    return table(spark, sf_dir, "customer").select(chosen).where("c_acctbal > 0").groupBy("c_mktsegment").agg(F.count("*").alias("n"), F.round(F.sum("c_acctbal"), 2).alias("total"))
+
+
+@query("""
+SELECT o_orderkey, sum(n) OVER (PARTITION BY o_orderstatus ORDER BY o_orderkey) AS json_chars FROM (
+  SELECT o_orderkey, o_orderstatus, length('{"o_orderkey":' || o_orderkey || ',"o_orderstatus":"' || o_orderstatus || '"}') + 1 AS n FROM orders
+) QUALIFY json_chars <= 2000
+""")
+def size_budget(spark, sf_dir):
+    """K4: leading rows of each status whose JSON fits into 2000 characters."""
+    rows = table(spark, sf_dir, "orders").select("o_orderkey", "o_orderstatus")
+    return ordered.within_budget(rows, 2000, ["o_orderstatus"], ["o_orderkey"]).select("o_orderkey", "json_chars")
+
+
+@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 197) || '...' ELSE text END AS short FROM documents")
+def text_cap(spark, sf_dir):
+    """K5: texts cut to 200 characters, the ellipsis included."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.truncate(F.col("text"), 200).alias("short"))
+
+
+@query("""
+SELECT doc_id, CASE WHEN b >= 1073741824 THEN printf('%.1f GB', round(b / 1073741824.0, 1)) WHEN b >= 1048576 THEN printf('%.1f MB', round(b / 1048576.0, 1))
+  WHEN b >= 1024 THEN printf('%.1f KB', round(b / 1024.0, 1)) ELSE b || ' B' END AS size FROM (SELECT doc_id, strlen(text) AS b FROM documents)
+""")
+def byte_sizes(spark, sf_dir):
+    """Bytes format: powers of 1024."""
+    return table(spark, sf_dir, "documents").select("doc_id", text.bytes_text(F.octet_length("text")).alias("size"))
+
+
+_WORDS = ("users", "categories", "boxes", "people", "status", "statuses", "analyses", "wolves", "knives", "news", "sheep", "buses", "quizzes", "matrices", "heroes", "order_items")
+_SINGULAR = ("user", "category", "box", "person", "status", "status", "analysis", "wolf", "knife", "news", "sheep", "bus", "quiz", "matrix", "heroe", "order_item")
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in zip(_WORDS, _SINGULAR, strict=True)) + ") AS t(word, one)")
+def inflect(spark, sf_dir):
+    """Inflection: singulars by rule."""
+    return spark.createDataFrame([(w,) for w in _WORDS], "word string").withColumn("one", text.singularize(F.col("word")))
+
+
+_NAMES = (("HTMLPage", "html_page"), ("UserProfile", "user_profile"), ("Admin::UserRole", "admin/user_role"), ("order-item", "order_item"), ("aB1C", "a_b1_c"))
+
+
+@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _NAMES) + ") AS t(name, low)")
+def text_case(spark, sf_dir):
+    """String case: class names to lower-case words."""
+    return spark.createDataFrame([(a,) for a, _ in _NAMES], "name string").withColumn("low", text.underscore(F.col("name")))
+
+
+@query("""
+SELECT event_id, CASE WHEN s < 60 THEN s || 's ago' WHEN s < 3600 THEN s // 60 || 'm ago' ELSE s // 3600 || 'h ago' END AS age
+FROM (SELECT event_id, date_diff('second', date_trunc('second', ts), TIMESTAMP '2024-02-01 00:00:00') AS s FROM events)
+""")
+def age_text(spark, sf_dir):
+    """Date and time: time since an event."""
+    now = F.to_timestamp(F.lit("2024-02-01 00:00:00"))
+    return table(spark, sf_dir, "events").select("event_id", text.ago(F.col("ts").cast("timestamp"), now).alias("age"))
+
+
+@query("SELECT event_type, count(*) AS n, CAST(sum(CAST(json_extract(props, '$.k') AS BIGINT)) AS BIGINT) AS k FROM events GROUP BY event_type")
+def json_level(spark, sf_dir):
+    """JSON: a field out of a document column."""
+    k = F.get_json_object("props", "$.k").cast("long")
+    return table(spark, sf_dir, "events").groupBy("event_type").agg(F.count("*").alias("n"), F.sum(k).alias("k"))
+
+
+@query("SELECT source, count(*) AS n_keys FROM (SELECT DISTINCT event_type AS source, 'a.k' AS key FROM events UNION SELECT DISTINCT event_type, 'b' FROM events) GROUP BY source")
+def json_flatten(spark, sf_dir):
+    """Dotted keys of nested documents."""
+    nested = table(spark, sf_dir, "events").select("event_type", F.concat(F.lit('{"a":'), "props", F.lit(',"b":1}')).alias("doc"))
+    keys = files.locale_keys(nested, "event_type", "doc").distinct()
+    return keys.groupBy(F.col("locale").alias("source")).agg(F.count("*").alias("n_keys"))
+
+
+@query("SELECT * FROM (VALUES ('customer', (SELECT count(*) FROM customer)), ('nation', (SELECT count(*) FROM nation)), ('orders', (SELECT count(*) FROM orders))) AS t(\"table\", n_rows)")
+def table_rows(spark, sf_dir):
+    """Rows of each table."""
+    return files.row_counts(spark, sf_dir, ("customer", "nation", "orders"))
+
+
+@query("SELECT * FROM (VALUES ('customer', true), ('nation', true), ('orders', true), ('region', true)) AS t(\"table\", has_bytes)")
+def table_bytes(spark, sf_dir):
+    """Bytes of each table's files."""
+    sizes = files.table_sizes(spark, sf_dir).where(F.col("table").isin("customer", "nation", "orders", "region"))
+    return sizes.select("table", (F.col("n_bytes") > 0).alias("has_bytes"))
+
+
+@query("SELECT doc_id, sha256(text) AS digest FROM documents")
+def content_hash(spark, sf_dir):
+    """T7, hash: content digests."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+
+
+@query("SELECT doc_id, md5(trim(regexp_replace(regexp_replace(s, '/\\*(.|\\n)*?\\*/', ' ', 'g'), '--[^\\n]*', ' ', 'g'))) AS digest FROM (SELECT doc_id, 'SELECT 1 /* ' || lang || ' */ -- ' || source AS s FROM documents)")
+def sql_comments(spark, sf_dir):
+    """Comment stripping."""
+    s = F.concat(F.lit("SELECT 1 /* "), "lang", F.lit(" */ -- "), "source")
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(text.sql_without_comments(s)).alias("digest"))
+
+
+@query("SELECT n_regionkey, round(100.0 * sum(CASE WHEN n_nationkey % 3 = 0 THEN 10 WHEN n_nationkey % 3 = 1 THEN 5 ELSE 0 END) / (count(*) * 10), 0) AS score FROM nation GROUP BY n_regionkey")
+def ratio_score(spark, sf_dir):
+    """Passes, warnings and failures as one percentage."""
+    status = F.when(F.col("n_nationkey") % 3 == 0, "pass").when(F.col("n_nationkey") % 3 == 1, "warn").otherwise("fail")
+    return table(spark, sf_dir, "nation").withColumn("status", status).groupBy("n_regionkey").agg(aggregates.score(F.col("status")).alias("score"))
