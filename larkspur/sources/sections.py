@@ -83,7 +83,7 @@ def fit_json(value, budget: int) -> tuple[object, list[str]]:
             head = size(k) + 2 if isinstance(v, dict) else 1
             where = f"{path}.{k}" if isinstance(v, dict) else f"{path}[{k}]"
             left = room - used - head
-            got = inner if size(inner) <= left else fit(inner, left, where) if isinstance(inner, dict | list) and left > 2 else None
+            got = inner if size(inner) <= left else fit(inner, left, where) if isinstance(v, dict) and isinstance(inner, dict | list) and left > 2 else None
             if got is None and inner is not None or size(got) > left:
                 cut.append(where)
                 if isinstance(v, list):
