@@ -69,8 +69,12 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 5, broadcast_win
     plain = F.exists(F.slice("_t", F.col("at") + 1, F.lit(width)), lambda t: ~F.ascii(t).isin(35, 64, 126))
     own = cut(windows(items, width).where(plain).select("item_id", F.col("at").alias("item_at"), F.col("hash").alias("item_hash"), slots().alias("item_slots")))
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    joined = windows(rows, width).join(small(own, broadcast_windows), F.col("hash") == F.col("item_hash"))
-    return joined.select("doc_id", "text_hash", "item_id", "item_at", slots().alias("doc_slots"), "item_slots")
+    spread, same = windows(rows, width), F.col("hash") == F.col("item_hash")
+    if own.count() <= broadcast_windows:
+        return spread.join(F.broadcast(own), same).select("doc_id", "text_hash", "item_id", "item_at", slots().alias("doc_slots"), "item_slots")
+    # A shuffled window carries its own tokens, never those of its whole text.
+    narrow = spread.select("doc_id", "text_hash", "hash", slots().alias("doc_slots"))
+    return narrow.join(own, same).select("doc_id", "text_hash", "item_id", "item_at", "doc_slots", "item_slots")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
