@@ -22,6 +22,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import once
+
 # The kinds in the order in which equal starts are listed.
 BASE_KINDS = ("email", "ip", "card", "phone")
 ADDED_KINDS = ("iban", "ssn")
@@ -102,21 +104,40 @@ def _checksum(kind: str, s: Column) -> Column:
     return F.lit(50 if kind == "card" else 40 if kind in BASE_KINDS else 0)
 
 
-def spans_of(kind: str, text: Column) -> Column:
-    """Confirmed spans of one kind in a text without nulls: structs of start, end (exclusive, code points), rank, kind and score."""
-    rank = (BASE_KINDS + ADDED_KINDS).index(kind)
-    pieces, found = F.split(text, PROPOSE[kind], -1), F.regexp_extract_all(text, F.lit(PROPOSE[kind]), F.lit(0))
-    start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,end:int,body:string,before:string>>").alias("out"))
+def _placed(pairs: Column) -> Column:
+    """Structs of start, end, body and before for pairs of a match and the piece before it.
+
+    Appending to an array copies it, so the pairs are taken in runs of about the square root of their number: each run
+    is placed from its own zero, and the runs' offsets are then added.
+    """
+    here = "array<struct<start:int,end:int,body:string,before:string>>"
+    run = F.greatest(F.ceil(F.sqrt(F.size(pairs))).cast("int"), F.lit(1))
+    runs = F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(F.size(pairs) / run).cast("int") - 1, F.lit(0))), lambda i: F.slice(pairs, i * run + 1, run))
 
     def step(state: Column, pair: Column) -> Column:
         begin = state["at"] + F.length(pair["piece"])
         end = begin + F.length(pair["body"])
         one = F.struct(begin.alias("start"), end.alias("end"), pair["body"].alias("body"), F.right(pair["piece"], F.lit(40)).alias("before"))
-        out = F.when(_confirmed(kind, pair["body"]), F.concat(state["out"], F.array(one))).otherwise(state["out"])
-        return F.struct(end.alias("at"), out.alias("out"))
+        return F.struct(end.alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+
+    inside = F.transform(runs, lambda r: F.aggregate(r, F.struct(F.lit(0).alias("at"), F.array().cast(here).alias("out")), step))
 
+    def shift(state: Column, r: Column) -> Column:
+        one = F.struct(state["at"].alias("offset"), r["out"].alias("out"))
+        return F.struct((state["at"] + r["at"]).alias("at"), F.concat(state["out"], F.array(one)).alias("out"))
+
+    start = F.struct(F.lit(0).alias("at"), F.array().cast(f"array<struct<offset:int,out:{here}>>").alias("out"))
+    moved = lambda x, by: F.struct((x["start"] + by).alias("start"), (x["end"] + by).alias("end"), x["body"].alias("body"), x["before"].alias("before"))
+    return F.flatten(F.transform(F.aggregate(inside, start, shift)["out"], lambda r: F.transform(r["out"], lambda x: moved(x, r["offset"]))))
+
+
+def spans_of(kind: str, text: Column) -> Column:
+    """Confirmed spans of one kind in a text without nulls: structs of start, end (exclusive, code points), rank, kind and score."""
+    rank = (BASE_KINDS + ADDED_KINDS).index(kind)
+    pieces, found = F.split(text, PROPOSE[kind], -1), F.regexp_extract_all(text, F.lit(PROPOSE[kind]), F.lit(0))
     pairs = F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("body"))
-    placed = F.aggregate(pairs, start, step)["out"]
+    bound = F.transform(F.array(pairs), _placed)[0]  # a lambda's variable is computed once, an expression inside a lambda each time
+    placed = F.filter(bound, lambda x: _confirmed(kind, x["body"]))
     scored = F.transform(
         placed,
         lambda x: F.struct(
@@ -135,7 +156,9 @@ def spans_of(kind: str, text: Column) -> Column:
 def find_pii(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows of doc_id and one array of spans for each kind, in the columns email, ip, card, phone, iban and ssn."""
     base = docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    return base.select("doc_id", *(spans_of(k, F.col("body")).alias(k) for k in BASE_KINDS + ADDED_KINDS))
+    kinds = BASE_KINDS + ADDED_KINDS
+    found = once(base, "_spans", F.struct(*(spans_of(k, F.col("body")).alias(k) for k in kinds)))
+    return found.select("doc_id", *(F.col("_spans")[k].alias(k) for k in kinds))
 
 
 def joined(spans: Column) -> Column:
