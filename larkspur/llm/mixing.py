@@ -78,12 +78,13 @@ def quotas(docs: DataFrame, entropy_share: float = 0.95, max_passes: float = 3.0
     """source, total, n_docs, alpha (thousandths) and quota, one row for each source."""
     totals = cut(source_totals(docs, text_col, source_col))
     milli = solve_alpha(totals, entropy_share, max_passes, budget)
-    alpha, total, whole = F.lit(milli / STEPS), F.col("total").cast("double"), Window.partitionBy()
+    alpha, total = F.lit(milli / STEPS), F.col("total").cast("double")
+    power = F.when(total > 0, F.pow(total, alpha)).otherwise(F.lit(0.0))
+    over_all = totals.agg(F.max(total).alias("most"), F.sum(power).alias("z")).first()
     if budget is None:
-        quota = F.floor(total * F.pow(F.max(total).over(whole) / F.greatest(total, F.lit(1.0)), 1 - alpha) + 0.5)
+        quota = F.floor(total * F.pow(F.lit(over_all["most"]) / F.greatest(total, F.lit(1.0)), 1 - alpha) + 0.5)
     else:
-        power = F.when(total > 0, F.pow(total, alpha)).otherwise(F.lit(0.0))
-        quota = F.floor(F.lit(float(budget)) * power / F.sum(power).over(whole))
+        quota = F.floor(F.lit(float(budget)) * power / F.lit(over_all["z"]))
     return cut(totals.select("source", "total", "n_docs", F.lit(milli).alias("alpha"), quota.cast("long").alias("quota")))
 
 
@@ -94,6 +95,7 @@ def mix(
     budget: int | None = None,
     seed: int = 7,
     block_docs: int = 2_048,
+    group_blocks: int = 2_048,
     id_col: str = "doc_id",
     text_col: str = "text",
     source_col: str = "source",
@@ -116,10 +118,16 @@ def mix(
         .withColumn("blocks", F.expr(f"(n_docs + {block_docs - 1}) div {block_docs}"))
         .withColumn("block", F.expr("(cast(conv(substring(key, 1, 8), 16, 10) as long) * blocks) div 4294967296"))
     )
-    by_pass = Window.partitionBy("source", "pass").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = dealt.groupBy("source", "pass", "block").agg(F.sum("n_tokens").alias("held"))
-    offsets = offsets.select(
-        F.col("source").alias("of"), F.col("pass").alias("in_pass"), F.col("block").alias("in_block"), F.coalesce(F.sum("held").over(by_pass), F.lit(0)).alias("block_offset")
+    # Prefix sums in two levels: inside groups of ``group_blocks`` blocks, then over the groups' totals.
+    of = ["source", "pass"]
+    earlier = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    held = dealt.groupBy(*of, "block").agg(F.sum("n_tokens").alias("held")).withColumn("upper", F.expr(f"block div {group_blocks}"))
+    inner = held.withColumn("inner_offset", F.coalesce(F.sum("held").over(earlier(*of, "upper", "block")), F.lit(0)))
+    outer = held.groupBy(*of, "upper").agg(F.sum("held").alias("held")).withColumn("outer_offset", F.coalesce(F.sum("held").over(earlier(*of, "upper")), F.lit(0)))
+    outer = outer.select(*(F.col(c).alias(f"_{c}") for c in [*of, "upper"]), "outer_offset")
+    grouped = inner.join(outer, [inner[c].eqNullSafe(F.col(f"_{c}")) for c in [*of, "upper"]])
+    offsets = grouped.select(
+        F.col("source").alias("of"), F.col("pass").alias("in_pass"), F.col("block").alias("in_block"), (F.col("inner_offset") + F.col("outer_offset")).alias("block_offset")
     )
     inside = Window.partitionBy("source", "pass", "block").orderBy("key", "doc_id", "n_tokens").rowsBetween(Window.unboundedPreceding, 0)
     here = F.col("source").eqNullSafe(F.col("of")) & (F.col("pass") == F.col("in_pass")) & (F.col("block") == F.col("in_block"))

@@ -41,7 +41,7 @@ def test_mix_plays_permutations(spark, sf, odd, budget):
     for r in docs.collect():
         size[r.source] += 1
     played = defaultdict(list)
-    for r in mixing.mix(docs, budget=budget, block_docs=16).collect():
+    for r in mixing.mix(docs, budget=budget, block_docs=16, group_blocks=3).collect():
         played[r.source].append(r)
     if budget is None:
         assert set(played) == set(size)
