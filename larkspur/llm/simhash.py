@@ -14,21 +14,27 @@ That way is linear in the bucket, and loses no link.
 
 Texts that are null or blank have fingerprint 0 and link like any other. Rows with the same id are separate rows;
 the class id is the smallest id of the class, ignoring null ids. An empty table gives an empty result.
+
+``keep_first``, the pipeline's stage, judges by Jaccard similarity of five-word shingles instead, which no radius of a
+fingerprint decides: pairs are found by prefixes of their shingle sets and compared in full, so none is missed.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import cut, small
 
 BITS, CHUNK = 64, 1 << 15
+BITMAP = ("b0", "b1", "b2", "b3")
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -232,10 +238,133 @@ def near_duplicates(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", te
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_first(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, one of each class: the one with the smallest id. Rows that share that id stay once for each different text."""
-    found = near_duplicates(docs, radius, id_col, text_col)
-    losers = cut(found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_lost")).distinct())
+def shingles(text: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
+    """The sorted distinct hashes of a UTF-8 text's word shingles; a text of fewer words is one shingle, a blank one has none."""
+    from xxhash import xxh64_intdigest
+
+    words = text.lower().split()
+    if not words:
+        return np.zeros(0, np.uint64)
+    joined = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
+    return np.unique(np.fromiter((xxh64_intdigest(s, seed) for s in joined), np.uint64))
+
+
+def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
+    """Rows of mark and held (the shingles) for rows of mark and text."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [shingles(t or b"", width).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
+            yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["mark", "held"])
+
+    return texts.select("mark", "text").mapInArrow(run, "mark long, held array<long>")
+
+
+def _common(texts: DataFrame, width: int, one_in: int = 16, least: int = 4, most: int = 200_000) -> np.ndarray:
+    """Shingles that a sample of the texts repeats, rarest first. They only order the prefixes: any order gives the same links."""
+    sample = texts.where(F.pmod("text_hash", F.lit(one_in)) == 0).select(F.col("text_hash").alias("mark"), "text")
+    seen = _shingle_sets(sample, width).select(F.explode("held").alias("key")).groupBy("key").count().where(F.col("count") >= least)
+    rows = seen.orderBy(F.desc("count"), "key").limit(most).collect()
+    return np.array([r["key"] for r in reversed(rows)], np.int64).view(np.uint64)
+
+
+def _prefixes(texts: DataFrame, width: int, share: Fraction) -> DataFrame:
+    """doc_id, text_hash, mark (of the words), size (of the shingle set), keys (its prefix) and b0 to b3 of each row.
+
+    b0 to b3 hold the parity of the shingles in each of 256 cells: two sets differ in at least as many shingles as bits.
+    """
+    common = _common(texts, width)
+    order = np.argsort(common)
+    known, rank = common[order], order
+
+    def row(text: bytes) -> tuple[int, int, np.ndarray, np.ndarray]:
+        from xxhash import xxh64_intdigest
+
+        held = shingles(text, width)
+        n = len(held)
+        if not n:
+            return 0, 0, held.view(np.int64), np.zeros(4, np.int64)
+        mark = np.uint64(xxh64_intdigest(b" ".join(text.lower().split()), 7)).view(np.int64)
+        odd = np.bincount((held >> np.uint64(56)).astype(np.int64), minlength=256) & 1
+        bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
+        if len(known):
+            at = np.minimum(np.searchsorted(known, held), len(known) - 1)
+            held = held[np.argsort(np.where(known[at] == held, rank[at] + 1, 0), kind="stable")]
+        return mark, n, held[: n - math.ceil(share * n) + 1].view(np.int64), bits
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows = [row(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
+            marks, sizes, keys = pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))
+            bits = [pa.array([r[3][k] for r in rows], pa.int64()) for k in range(4)]
+            yield pa.record_batch([batch.column(0), batch.column(1), marks, sizes, keys, *bits], names=["doc_id", "text_hash", "mark", "size", "keys", *BITMAP])
+
+    kind = texts.select("doc_id").dtypes[0][1]
+    return texts.select("doc_id", "text_hash", "text").mapInArrow(run, f"doc_id {kind}, text_hash long, mark long, size long, keys array<long>, b0 long, b1 long, b2 long, b3 long")
+
+
+def _alike(pairs: DataFrame, marked: DataFrame, texts: DataFrame, width: int, share: Fraction) -> DataFrame:
+    """The pairs (u, v) whose sets of shingles have a Jaccard similarity of at least the share, compared in full."""
+    needed = pairs.select(F.explode(F.array("u", "v")).alias("mark")).distinct()
+    named = cut(marked.join(needed, "mark", "left_semi").groupBy("mark").agg(F.min("text_hash").alias("_hash")))
+    asked = texts.join(small(named), F.col("text_hash") == F.col("_hash")).select("mark", "text")
+    # Equal texts give equal sets; one of them is compared.
+    sets = cut(_shingle_sets(asked, width).groupBy("mark").agg(F.first("held").alias("held")))
+    heavy = sets.agg(F.sum(F.size("held"))).first()[0] or 0
+    side = (lambda df: F.broadcast(df)) if heavy <= 2_000_000 else (lambda df: df)
+    left, right = sets.select(F.col("mark").alias("u"), F.col("held").alias("_a")), sets.select(F.col("mark").alias("v"), F.col("held").alias("_b"))
+    both = F.size(F.array_intersect("_a", "_b"))
+    return pairs.join(side(left), "u").join(side(right), "v").where(both * (share.numerator + share.denominator) >= share.numerator * (F.size("_a") + F.size("_b"))).select("u", "v")
+
+
+def similar(texts: DataFrame, similarity: float = 0.8, width: int = 5) -> tuple[DataFrame, DataFrame]:
+    """doc_id, text_hash and mark of each row of texts (doc_id, text_hash, text), and node and root of every mark that has a similar one.
+
+    Two sets with a Jaccard similarity of t share one of the first n - ceil(t n) + 1 shingles in any common order, so pairs
+    that share none are never alike, and all others are compared in full. Each bucket is first compared with one of its own,
+    twice; the pairs left are those between classes that are still apart, so that a large class costs no square.
+    """
+    share = Fraction(str(similarity))
+    marked = cut(_prefixes(texts, width, share))
+    index = marked.select("mark", "size", *BITMAP, F.explode("keys").alias("key"))
+    shared = cut(index.groupBy("key").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a != b").select("key"))
+    index = cut(index.join(small(shared), "key").distinct())
+    n, d = share.numerator, share.denominator
+
+    def close(other: str) -> Column:
+        """What sizes and bits allow: a set is a share of the other at least, and few shingles lie in one of them only."""
+        size, apart = F.col(f"{other}.size"), sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{other}.{b}"))) for b in BITMAP), F.lit(0))
+        return (F.least("size", size) * d >= F.greatest("size", size) * n) & (apart * (d + n) <= (F.col("size") + size) * (d - n))
+
+    edges, roots = None, None
+    for step in range(3):
+        placed = index.withColumn("root", F.col("mark")) if roots is None else index.join(roots, F.col("mark") == F.col("node"), "left").select("key", "mark", "size", *BITMAP, F.coalesce("root", "mark").alias("root"))
+        one = F.struct("mark", "size", "root", *BITMAP)
+        open_keys = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min_by(one, F.xxhash64("mark", F.lit(step))).alias("o")).where("a != b").select("key", "o")
+        others = open_keys if step < 2 else placed.join(open_keys.select("key"), "key").select("key", one.alias("o"))
+        apart = F.col("root") != F.col("o.root") if step < 2 else F.col("root") < F.col("o.root")
+        met = placed.join(others, "key").where(apart & close("o")).select(F.col("mark").alias("u"), F.col("o.mark").alias("v"))
+        pairs = cut(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
+        if not pairs.limit(1).count():
+            continue
+        found = _alike(pairs, marked, texts, width, share)
+        edges = cut(found if edges is None else edges.unionByName(found))
+        roots = cut(components(edges))
+    empty = marked.select(F.col("mark").alias("node"), F.col("mark").alias("root")).limit(0)
+    return marked.select("doc_id", "text_hash", "mark"), empty if roots is None else roots
+
+
+def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The documents, one of each class of similar texts: the one with the smallest id. Rows that share that id stay once for each different text.
+
+    A class is what pairs with a Jaccard similarity of at least ``similarity`` over shingles of ``width`` words connect.
+    """
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
+    marked, roots = similar(texts, similarity, width)
+    placed = marked.join(roots, F.col("mark") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("root", "mark").alias("root"))
+    first = placed.groupBy("root").agg(F.min("doc_id").alias("first")).withColumnRenamed("root", "of")
+    lost = placed.join(first, F.col("root") == F.col("of")).where(~F.col("doc_id").eqNullSafe(F.col("first")))
+    losers = cut(lost.select(F.col("doc_id").alias("_lost")).distinct())
     kept = docs.join(small(losers), docs[id_col].eqNullSafe(losers["_lost"]), "left_anti")
     twice = docs.groupBy(F.col(id_col).alias("_id")).count().where("count > 1").select("_id")
     if not twice.limit(1).count():

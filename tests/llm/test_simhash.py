@@ -93,3 +93,50 @@ def test_odd_rows(spark):
     kept = simhash.keep_first(frame)
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 6] and kept.columns == frame.columns
     assert simhash.near_duplicates(frame.limit(0)).count() == 0
+
+
+def brute_kept(rows, similarity=0.8):
+    """Indices of (id, text) rows that stay, by comparing all pairs of sets of five-word shingles."""
+    sets = []
+    for _, text in rows:
+        words = (text or "").lower().split()
+        sets.append({" ".join(words[i : i + 5]) for i in range(max(1, len(words) - 4))} if words else set())
+    parent = list(range(len(rows)))
+
+    def find(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if 5 * len(sets[i] & sets[j]) >= 4 * len(sets[i] | sets[j]):
+                parent[find(i)] = find(j)
+    first = {}
+    for i, (d, _) in enumerate(rows):
+        if find(i) not in first or d < rows[first[find(i)]][0]:
+            first[find(i)] = i
+    return set(first.values())
+
+
+def test_keep_first_finds_all_pairs_of_similarity(spark):
+    rng = random.Random(5)
+    texts = []
+    for n in (12, 30, 60, 200):
+        for _ in range(6):
+            base = [f"w{rng.randrange(5_000)}" for _ in range(n)]
+            texts.append(" ".join(base))
+            for _ in range(4):
+                for _ in range(rng.randrange(1, 2 + n // 40)):
+                    base = list(base)
+                    base[rng.randrange(n)] = f"w{rng.randrange(5_000)}"
+                texts.append(" ".join(base))
+    line = "the same long line stands at the end of very many texts here"
+    texts += [" ".join(f"x{rng.randrange(5_000)}" for _ in range(12)) + " " + line for _ in range(60)]
+    hub = [f"h{i}" for i in range(60)]
+    texts += [" ".join(hub[:i] + [f"new{i}"] + hub[i + 1 :]) for i in range(60)]
+    rng.shuffle(texts)
+    rows = list(enumerate(texts))
+    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert kept == brute_kept(rows)
+    assert len(kept) < len(rows) - 60
