@@ -355,19 +355,22 @@ def similar(texts: DataFrame, similarity: float = 0.8, width: int = 5) -> tuple[
 
 
 def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, one of each class of similar texts: the one with the smallest id. Rows that share that id stay once for each different text.
+    """The documents, one of each class of similar texts: the one with the smallest id (null ids last), then text hash.
 
     A class is what pairs with a Jaccard similarity of at least ``similarity`` over shingles of ``width`` words connect.
+    Rows are known by id and text, never by the id alone: null and repeated ids lose or stay each for its own text.
     """
     texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     marked, roots = similar(texts, similarity, width)
     placed = marked.join(roots, F.col("mark") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("root", "mark").alias("root"))
-    first = placed.groupBy("root").agg(F.min("doc_id").alias("first")).withColumnRenamed("root", "of")
-    lost = placed.join(first, F.col("root") == F.col("of")).where(~F.col("doc_id").eqNullSafe(F.col("first")))
-    losers = cut(lost.select(F.col("doc_id").alias("_lost")).distinct())
-    kept = docs.join(small(losers), docs[id_col].eqNullSafe(losers["_lost"]), "left_anti")
-    twice = docs.groupBy(F.col(id_col).alias("_id")).count().where("count > 1").select("_id")
+    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
+    first = placed.groupBy("root").agg(F.min(rank).alias("first")).withColumnRenamed("root", "of")
+    lost = placed.join(first, F.col("root") == F.col("of")).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))))
+    losers = cut(lost.select(F.col("doc_id").alias("_lost"), F.col("text_hash").alias("_hash")).distinct())
+    mine = F.xxhash64(docs[text_col].cast("string"))
+    kept = docs.join(small(losers), (mine == losers["_hash"]) & docs[id_col].eqNullSafe(losers["_lost"]), "left_anti")
+    twice = docs.groupBy(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_text")).count().where("count > 1").select("_id", "_text")
     if not twice.limit(1).count():
         return kept
-    same = kept[id_col].eqNullSafe(twice["_id"])
+    same = kept[id_col].eqNullSafe(twice["_id"]) & (F.xxhash64(kept[text_col].cast("string")) == twice["_text"])
     return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))

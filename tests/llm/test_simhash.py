@@ -140,3 +140,15 @@ def test_keep_first_finds_all_pairs_of_similarity(spark):
     kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == brute_kept(rows)
     assert len(kept) < len(rows) - 60
+
+
+def test_null_and_repeated_ids_lose_only_their_own_text(spark):
+    near = " ".join(f"w{i}" for i in range(80))
+    twin = near.replace("w40 ", "other ")
+    clean, far = (" ".join(f"{c}{i}" for i in range(30)) for c in "cf")
+    later = far.replace("f29", "last")
+    rows = [(1, near), (None, twin), (None, clean), (2, far), (3, near), (3, later), (2, clean + " more words that differ"), (None, later + " x")]
+    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert sorted(((r.doc_id or 0, r.text) for r in kept.collect())) == sorted([(1, near), (2, far), (2, clean + " more words that differ")])
+    lone = spark.createDataFrame([(None, near), (None, twin), (None, clean), (5, far), (4, near + " z"), (5, near)], "doc_id long, text string")
+    assert sorted((r.doc_id or 0, r.text) for r in simhash.keep_first(lone).collect()) == sorted([(0, clean), (4, near + " z"), (5, far)])
