@@ -2,10 +2,20 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
+def cut(df: DataFrame) -> DataFrame:
+    """Compute df once and keep it in the checkpoint folder, so that plans do not grow with the number of rounds."""
+    spark = df.sparkSession
+    if spark.sparkContext.getCheckpointDir() is None:
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="checkpoints-"))
+    return df.checkpoint()
+
+
 def association_edges(associations: DataFrame) -> DataFrame:
     """Edges of associations (model, name, type, class_name): the class named, else the name as a class."""
     from larkspur.functions.text import classify
@@ -25,17 +35,27 @@ def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     return seen
 
 
-def cycles(edges: DataFrame, longest: int = 4) -> DataFrame:
-    """All simple cycles of up to ``longest`` nodes, each once, as its path from the smallest node."""
-    plain = edges.select("src", "dst").distinct()
+def _in_cycles(plain: DataFrame) -> DataFrame:
+    """The edges left once nodes without an edge in or without an edge out are gone, again and again; every cycle stays."""
+    left, n = cut(plain), None
+    while n != (n := left.count()) and n:
+        left = cut(left.join(left.select(F.col("dst").alias("src")).distinct(), "src", "left_semi").join(left.select(F.col("src").alias("dst")).distinct(), "dst", "left_semi").select("src", "dst"))
+    return left
+
+
+def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
+    """All simple cycles, each once, as its path from the smallest node; of up to ``longest`` nodes where that is given."""
+    plain = _in_cycles(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
     step = plain.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     paths = plain.select(F.array("src").alias("path"), F.col("dst").alias("at"))
-    out = None
-    for _ in range(longest):
+    out, n = None, 0
+    while longest is None or n < longest:
         closed = paths.where(F.col("at") == F.get("path", F.lit(0))).select("path")
-        out = closed if out is None else out.unionByName(closed)
+        out, n = closed if out is None else out.unionByName(closed), n + 1
         on = paths.where((F.col("at") > F.get("path", F.lit(0))) & ~F.array_contains("path", F.col("at")))
-        paths = on.join(step, F.col("at") == F.col("a")).select(F.concat("path", F.array("at")).alias("path"), F.col("b").alias("at"))
+        paths = cut(on.join(step, F.col("at") == F.col("a")).select(F.concat("path", F.array("at")).alias("path"), F.col("b").alias("at")))
+        if paths.isEmpty():
+            break
     return out
 
 
@@ -49,16 +69,22 @@ def closure(edges: DataFrame, start: DataFrame, depth: int = 10) -> DataFrame:
     return seen
 
 
-def nearest_with_rows(parents: DataFrame, rows: DataFrame, depth: int = 5) -> DataFrame:
-    """For each node (node, parent): the nearest of itself and its ancestors that rows (node) holds, and how far it is."""
+def nearest_with_rows(parents: DataFrame, rows: DataFrame) -> DataFrame:
+    """For each node (node, parent): the nearest of itself and its ancestors that rows (node) holds, and how far it is.
+
+    The walk ends where there is no parent, or where it comes back to the node it started from or to one that it passed.
+    """
     have = rows.select(F.col("node").alias("_has")).distinct()
-    at = parents.select("node", F.col("node").alias("ancestor"))
-    out = None
-    for d in range(depth + 1):
+    above = parents.where("parent is not null").select(F.col("node").alias("_n"), "parent")
+    at = parents.select("node", F.col("node").alias("ancestor"), F.array("node").alias("_passed"))
+    out, d = None, 0
+    while True:
         hit = at.join(have, F.col("ancestor") == F.col("_has")).select("node", "ancestor", F.lit(d).alias("distance"))
-        out = hit if out is None else out.unionByName(hit)
-        at = at.join(have, F.col("ancestor") == F.col("_has"), "left_anti").join(parents.select(F.col("node").alias("_n"), "parent"), F.col("ancestor") == F.col("_n")).where("parent is not null").select("node", F.col("parent").alias("ancestor"))
-    return out
+        out, d = hit if out is None else out.unionByName(hit), d + 1
+        rest = at.join(have, F.col("ancestor") == F.col("_has"), "left_anti").join(above, F.col("ancestor") == F.col("_n"))
+        at = cut(rest.where(~F.array_contains("_passed", F.col("parent"))).select("node", F.col("parent").alias("ancestor"), F.concat("_passed", F.array("parent")).alias("_passed")))
+        if at.isEmpty():
+            return out
 
 
 def through_hops(edges: DataFrame) -> DataFrame:

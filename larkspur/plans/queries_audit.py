@@ -322,7 +322,7 @@ def khop(spark, sf_dir):
 @query("SELECT * FROM (VALUES ('Tag'), ('Comment|Post'), ('Comment|User'), ('Post|User'), ('Comment|Post|User'), ('Comment|User|Post')) AS t(cycle)")
 def cycles(spark, sf_dir):
     """All simple cycles, each once."""
-    return graph.cycles(_edges(spark).where("src <> 'Lone'"), 4).select(F.array_join("path", "|").alias("cycle"))
+    return graph.cycles(_edges(spark).where("src <> 'Lone'")).select(F.array_join("path", "|").alias("cycle"))
 
 
 @query("SELECT * FROM (VALUES ('Post', 'User'), ('Comment', 'Post'), ('Author', 'Person')) AS t(src, dst)")

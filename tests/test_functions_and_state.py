@@ -82,6 +82,15 @@ def test_graph_depth_and_loops(spark):
     assert [r.path for r in graph.cycles(chain, 4).collect()] == [[9]]
 
 
+def test_cycles_and_ancestors_of_any_length(spark):
+    ring = [(i, (i + 1) % 7) for i in range(7)] + [(3, 1), (6, 50), (50, 51), (9, 9)]
+    paths = sorted(r.path for r in graph.cycles(spark.createDataFrame(ring, "src int, dst int")).collect())
+    assert paths == [[0, 1, 2, 3, 4, 5, 6], [1, 2, 3], [9]]
+    parents = spark.createDataFrame([(i, i - 1 if i else None) for i in range(10)] + [(20, 21), (21, 20)], "node int, parent int")
+    found = graph.nearest_with_rows(parents, spark.createDataFrame([(0,), (8,)], "node int")).collect()
+    assert {r.node: (r.ancestor, r.distance) for r in found} == {**{i: (0, i) for i in range(8)}, 8: (8, 0), 9: (8, 1)}
+
+
 def test_replay_of_renames(spark):
     events = [("d", "1", 1, "create_table", "a", None, None, None), ("d", "1", 2, "add_column", "a", "x", "text", None), ("d", "2", 1, "rename_table", "a", None, None, "b"), ("d", "3", 1, "create_table", "a", None, None, None), ("d", "4", 1, "add_column", "a", "y", "int", None), ("d", "5", 1, "remove_reference", "b", "x", None, None), ("e", "1", 1, "add_column", "missing", "z", "int", None)]
     frame = spark.createDataFrame(events, "db string, file string, location int, action string, table string, column string, type string, new_name string")
