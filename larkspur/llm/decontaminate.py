@@ -6,21 +6,23 @@ letter, a digit, a comma or a semicolon, and a space). All other words are lower
 Every window of ``width`` tokens of the benchmark is hashed; a document's windows are hash-joined with them.
 
 For each pair of document and item, the share of the item's windows found is its coverage. Slots of the matched
-windows are then compared: values of item and document must map one to one for each placeholder type. A pair is
-reported with a coverage of at least ``coverage``: ``exact`` if all slots agree, ``reparameterised`` if they map one
+windows are then compared, over the whole text and for each occurrence in it (one alignment of text and item, or a run
+of matches without a gap of the item's length): values of item and document must map one to one for each placeholder
+type. A pair is reported with a coverage of at least ``coverage``: ``exact`` if all slots agree, ``reparameterised`` if they map one
 to one; with slots that contradict each other, only windows whose slots agree count towards the coverage.
 
 The documents' windows are never shuffled while the benchmark's are few: the benchmark windows are counted, and
 broadcast up to ``broadcast_windows`` of them; beyond it, both sides are shuffled by hash. Only matches are grouped.
 
-Null texts have no tokens. Items with fewer than ``width`` tokens have no window and are never reported. Repeated
+Null texts have no tokens. Windows of slots alone are not compared and not counted. Items with fewer than ``width``
+tokens are one window of their own width. Items without any window that holds a word are never reported. Repeated
 documents (equal id and text) are one document here and share the verdict; repeated items count as separate items
 only with separate ids. Empty tables give empty results. Other columns are ignored.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from larkspur.llm.common import cut, once, small
@@ -63,7 +65,7 @@ def windows(rows: DataFrame, width: int) -> DataFrame:
 
 
 def matches(docs: DataFrame, benchmark: DataFrame, width: int = 5, broadcast_windows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of doc_id, text_hash, item_id, item_at, doc_slots, item_slots: windows of equal template, with their tokens where they hold slots."""
+    """Rows of doc_id, text_hash, at, item_id, item_at, doc_slots, item_slots: windows of equal template, with their tokens where they hold slots."""
     items = benchmark.select("item_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
     slots = lambda: F.slice("_raw", F.col("at") + 1, F.lit(width))
     plain = F.exists(F.slice("_t", F.col("at") + 1, F.lit(width)), lambda t: ~F.ascii(t).isin(35, 64, 126))
@@ -71,36 +73,68 @@ def matches(docs: DataFrame, benchmark: DataFrame, width: int = 5, broadcast_win
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
     spread, same = windows(rows, width), F.col("hash") == F.col("item_hash")
     if own.count() <= broadcast_windows:
-        return spread.join(F.broadcast(own), same).select("doc_id", "text_hash", "item_id", "item_at", slots().alias("doc_slots"), "item_slots")
+        return spread.join(F.broadcast(own), same).select("doc_id", "text_hash", "at", "item_id", "item_at", slots().alias("doc_slots"), "item_slots")
     # A shuffled window carries its own tokens, never those of its whole text.
-    narrow = spread.select("doc_id", "text_hash", "hash", slots().alias("doc_slots"))
-    return narrow.join(own, same).select("doc_id", "text_hash", "item_id", "item_at", "doc_slots", "item_slots")
+    narrow = spread.select("doc_id", "text_hash", "at", "hash", slots().alias("doc_slots"))
+    return narrow.join(own, same).select("doc_id", "text_hash", "at", "item_id", "item_at", "doc_slots", "item_slots")
+
+
+def _judged(places: DataFrame, by: list[str], coverage: float) -> DataFrame:
+    """places (with n_windows, item_at, b and same) grouped by ``by``: n_windows, n_found and a verdict, null for none."""
+    counts = places.groupBy(*by, "n_windows").agg(F.countDistinct("item_at").alias("n_found"), F.countDistinct(F.when(F.col("same"), F.col("item_at"))).alias("n_same"))
+    slots = places.select(*by, F.explode("b").alias("b")).select(*by, F.col("b.i").alias("i"), F.col("b.d").alias("d"))
+    mapped = slots.groupBy(*by).agg(F.countDistinct("i", "d").alias("n_pairs"), F.countDistinct("i").alias("n_i"), F.countDistinct("d").alias("n_d"))
+    mapped = mapped.select(*(F.col(c).alias(f"_{c}") for c in by), (F.expr("n_pairs = n_i and n_pairs = n_d")).alias("one_to_one"))
+    on = [counts[c].eqNullSafe(F.col(f"_{c}")) for c in by]
+    likely = counts.where(F.col("n_found") >= coverage * F.col("n_windows"))
+    return likely.join(mapped, on, "left").withColumn(
+        "verdict",
+        F.when(F.col("n_same") == F.col("n_found"), "exact")
+        .when(F.col("one_to_one"), "reparameterised")
+        .when(F.col("n_same") >= coverage * F.col("n_windows"), "exact"),
+    ).where("verdict is not null")
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
     """Pairs reported: doc_id, text_hash, item_id, n_windows of the item, n_found, verdict."""
-    items = benchmark.select("item_id", F.size(tokens(F.col("text"))).alias("n"))
-    totals = items.groupBy(F.col("item_id").alias("of")).agg((F.max("n") - width + 1).cast("long").alias("n_windows")).where("n_windows > 0")
-    found = matches(docs, benchmark, width, id_col=id_col, text_col=text_col, **settings)
+    sized = once(benchmark.select("item_id", "text"), "_t", template(tokens(F.col("text"))))
+    is_slot = lambda t: F.ascii(t).isin(35, 64, 126)
+    last = F.size("_t") - width
+    parts = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.exists(F.slice("_t", i + 1, F.lit(width)), lambda t: ~is_slot(t)).cast("int"))
+    items = cut(sized.select("item_id", "text", F.size("_t").alias("n"), F.when(last >= 0, F.aggregate(parts, F.lit(0), lambda s, x: s + x)).otherwise(0).cast("long").alias("n_windows"), F.exists("_t", lambda t: ~is_slot(t)).alias("plain")))
+    out = _pairs(docs, items.where("n_windows > 0"), width, coverage, id_col, text_col, **settings)
+    # Shorter items are one window of their own width. Inside a sentence their first word, if capitalised, reads as a name.
+    inner = items.withColumn("text", F.concat(F.lit(", "), "text"))
+    opens = ~F.get("item_slots", F.lit(0)).startswith("@") | (F.get("item_slots", F.lit(0)) == F.get("doc_slots", F.lit(0)))
+    for r in items.where(f"n between 1 and {width - 1} and plain").select("n").distinct().orderBy("n").collect():  # at most width - 1 rows
+        short = items.unionByName(inner).where(F.col("n") == r["n"]).where("plain").withColumn("n_windows", F.lit(1).cast("long"))
+        out = out.unionByName(_pairs(docs, short, r["n"], coverage, id_col, text_col, opens, **settings))
+    return out
+
+
+def _pairs(docs: DataFrame, items: DataFrame, width: int, coverage: float, id_col: str, text_col: str, when: Column | None = None, **settings) -> DataFrame:
+    totals = items.groupBy(F.col("item_id").alias("of")).agg(F.max("n_windows").alias("n_windows"), F.max("n").alias("n"))
+    found = matches(docs, items, width, id_col=id_col, text_col=text_col, **settings)
+    found = found if when is None else found.where(when)
     is_slot = lambda t: F.ascii(t).isin(35, 64, 126)
     pair = ["doc_id", "text_hash", "item_id"]
     bindings = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d")), lambda x: is_slot(x["i"]))
-    bound = cut(found.select(*pair, "item_at", bindings.alias("b"), F.forall(bindings, lambda x: x["i"] == x["d"]).alias("same")).distinct())
-    counts = bound.groupBy(*pair).agg(F.countDistinct("item_at").alias("n_found"), F.countDistinct(F.when(F.col("same"), F.col("item_at"))).alias("n_same"))
+    bound = cut(found.select(*pair, "at", "item_at", bindings.alias("b"), F.forall(bindings, lambda x: x["i"] == x["d"]).alias("same")).distinct())
+    counts = bound.groupBy(*pair).agg(F.countDistinct("item_at").alias("n_found"))
     # Far fewer pairs are left once coverage is asked for; only their slots are compared.
-    item = counts["item_id"].eqNullSafe(F.col("of"))
-    likely = counts.join(totals, item).where(F.col("n_found") >= coverage * F.col("n_windows")).drop("of")
-    slots = bound.select(*pair, F.explode("b").alias("b")).select(*pair, F.col("b.i").alias("i"), F.col("b.d").alias("d"))
-    mapped = slots.groupBy(*pair).agg(F.countDistinct("i", "d").alias("n_pairs"), F.countDistinct("i").alias("n_i"), F.countDistinct("d").alias("n_d"))
-    mapped = mapped.select(*(F.col(c).alias(f"_{c}") for c in pair), (F.expr("n_pairs = n_i and n_pairs = n_d")).alias("one_to_one"))
-    on = [likely[c].eqNullSafe(F.col(f"_{c}")) for c in pair]
-    judged = likely.join(mapped, on, "left").withColumn(
-        "verdict",
-        F.when(F.col("n_same") == F.col("n_found"), "exact")
-        .when(F.col("one_to_one"), "reparameterised")
-        .when(F.col("n_same") >= coverage * F.col("n_windows"), "exact"),
-    )
-    return judged.where("verdict is not null").select(*pair, "n_windows", "n_found", "verdict")
+    likely = counts.join(totals, counts["item_id"].eqNullSafe(F.col("of"))).where(F.col("n_found") >= coverage * F.col("n_windows"))
+    likely = likely.select(*(F.col(c).alias(f"_{c}") for c in pair), "n_windows", "n")
+    places = bound.join(likely, [bound[c].eqNullSafe(F.col(f"_{c}")) for c in pair]).select(*bound.columns, "n_windows", "n")
+    # An occurrence is an alignment, or, where words were added or left out, a run of matches without a gap of the item's length.
+    order = Window.partitionBy(*pair).orderBy("at")
+    placed = places.withColumn("_gap", (F.col("at") - F.lag("at").over(order) > F.col("n")).cast("int"))
+    placed = placed.withColumn("run", F.coalesce(F.sum("_gap").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)))
+    ways = [("whole", F.lit(0)), ("run", F.col("run")), ("line", F.col("at") - F.col("item_at"))]
+    spread = cut(placed.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("way"), v.cast("long").alias("place")) for k, (_, v) in enumerate(ways)))).alias("w")).select(*bound.columns, "n_windows", "w.way", "w.place"))
+    judged = _judged(spread, [*pair, "way", "place"], coverage)
+    # The verdict over the whole text stands where there is one; else that of the occurrence with most windows.
+    best = F.min_by(F.struct("n_windows", "n_found", "verdict"), F.struct(F.col("way") != 0, -F.col("n_found"), "verdict", "way", "place"))
+    return judged.groupBy(*pair).agg(best.alias("r")).select(*pair, "r.n_windows", "r.n_found", "r.verdict")
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:

@@ -26,3 +26,13 @@ def test_contradicting_slots_are_no_match(spark):
     bench = spark.createDataFrame([(1, "add 1 and 2 then take 1 from 2 but keep 2 over 1")], "item_id long, text string")
     docs = spark.createDataFrame([(1, "add 3 and 4 then take 5 from 6 but keep 7 over 8"), (2, "add 4 and 7 then take 4 from 7 but keep 7 over 4")], "doc_id long, text string")
     assert [(r.doc_id, r.verdict) for r in decontaminate.contaminated(docs, bench).collect()] == [(2, "reparameterised")]
+
+
+def test_each_occurrence_is_judged_by_itself(spark):
+    bench = spark.createDataFrame([(1, ITEM), (2, "Define osmosis 7 briefly"), (3, "sum 1 2 3 4 5 6 7 8 9 10 11 12 13 14")], "item_id long, text string")
+    far = " ".join(f"p{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(60))
+    again = ITEM.replace("120", "77").replace("3 hours", "9 weeks").replace("Bertold", "Dorian")
+    stray = "Somebody travels 999 km in 8 seconds before lunch."
+    rows = [(1, f"{TWIN} {far} {stray}"), (2, f"{TWIN} {again}"), (3, f"{TWIN} {far} {again}"), (4, f"{far} Define osmosis 7 briefly {far}"), (5, "they define osmosis 9 briefly"), (6, f"{far} osmosis"), (7, f"{far} sum 1 2 3 4 5 6 7 8 9 10 11 12 13 14"), (8, stray)]
+    got = {(r.doc_id, r.item_id): r.verdict for r in decontaminate.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), bench).collect()}
+    assert got == {(1, 1): "reparameterised", (2, 1): "reparameterised", (3, 1): "reparameterised", (4, 2): "exact", (5, 2): "reparameterised", (7, 3): "exact"}
