@@ -11,7 +11,10 @@ TABLES = (
 
 
 def build_session(cpus: int | str = 8, app: str = "larkspur", **conf: str) -> SparkSession:
-    """A local session with the settings the engine relies on; on a cluster, pass your own session instead."""
+    """A local session with the settings the engine relies on; on a cluster, pass your own session instead.
+
+    Such a session must name a folder that all executors share in spark.checkpoint.dir.
+    """
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
         .appName(app)

@@ -1,3 +1,6 @@
+import os
+import tempfile
+
 import pytest
 
 from larkspur.session import build_session
@@ -5,7 +8,8 @@ from larkspur.session import build_session
 
 @pytest.fixture(scope="session")
 def spark():
-    session = build_session(4, "tests", spark__sql__shuffle__partitions="4", spark__driver__memory="4g")
+    checkpoints = os.environ.get("TEST_CHECKPOINTS") or tempfile.mkdtemp(prefix="spark-")
+    session = build_session(4, "tests", spark__sql__shuffle__partitions="4", spark__driver__memory="4g", spark__checkpoint__dir=f"file://{checkpoints}")
     session.sparkContext.setLogLevel("ERROR")
     return session
 
