@@ -1,5 +1,8 @@
 import html
 import re
+from collections import Counter
+
+import pytest
 
 from larkspur.llm import html_text
 
@@ -37,3 +40,47 @@ def test_noise_inside_and_around(spark):
     assert texts[2] == texts[3] == "" and texts[6] == "no tags at all" and texts[None].count("word") == 200_000
     assert all(r.n_chars == len(r.text) for r in got)
     assert html_text.extract(frame.limit(0)).count() == 0
+
+
+BODY = "".join(f"<p>Paragraph {i} has <a href='x'>some linked words</a> of text here.</p>" for i in range(4))
+WANT = "\n".join(f"Paragraph {i} has some linked words of text here." for i in range(4))
+SHAPES = {
+    "comments as nested articles": (f"<main><article><h1>T</h1>{BODY}</article><section class='comments'><article class='comment'><p>I am a reader comment of many words</p></article></section></main>", f"T\n{WANT}"),
+    "nested inside the article": (f"<article>{BODY}<div class='comment-list'><article><p>nested one</p></article></div></article>", WANT),
+    "blocks without main elements": (f"<div class='site-header'>Logo Login</div><div class='page has-sidebar'><div id='content' class='with-search'><h1>T</h1>{BODY}</div><div class='sidebar'>Side</div></div><div class='footer'>Foot</div>", f"T\n{WANT}"),
+    "main without article": (f"<div class=cookie-banner>We use cookies</div><div>Other words outside</div><main>{BODY}<div id='comments'><p>hi there</p></div></main><footer>x</footer>", WANT),
+    "form around the page": (f"<form id='aspnetForm'><div class='menu'>Home About</div><div>{BODY}</div></form>", WANT),
+    "menu never closed": (f"<nav><ul><li>Home<li>About<article>{BODY}</article>", WANT),
+    "missing quote": (f'<article><p title="broken>Eight nine ten.</p>{BODY}<p class="x">end</p></article>', f"Eight nine ten.\n{WANT}\nend"),
+    "marks that only look like noise": ("<article><div class='post-header'><h1>T</h1></div><p class='share-price'>Five</p><div class='search-tips'>Six</div><div class='image-form'>Seven</div><ul><li>a</li><li>b</li></ul></article>", "T\nFive\nSix\nSeven\na\nb"),
+    "quotes with signs": ('<article><p data-x="<b>no</b>" title=\'a > b\'>yes &eacute; &lt;i&gt; 1 < 2</p></article>', "yes é <i> 1 < 2"),
+    "noise of every kind": (f"<article>{BODY}<aside>a</aside><div role='complementary'>b</div><button>c</button><div class='newsletter-form'>d</div><div class='relatedPosts'>e</div><style>f</style><textarea>g</textarea><div class='ad-slot'>h</div></article>", WANT),
+}
+
+
+@pytest.mark.parametrize("name", SHAPES)
+@pytest.mark.parametrize("weights", [html_text.Weights({}), html_text.Weights({"place:a": 9.0, "place:o": -8.0, "text:p": 9.0, "tag:/ul": -9.0, "tag:ul": -9.0})])
+def test_shapes(name, weights):
+    page, want = SHAPES[name]
+    assert html_text.main_text(f"<html><head><title>t</title></head><body>{page}</body></html>", weights) == want
+
+
+def test_classes_outside_the_main_text_are_learned(spark):
+    page = f"<body><div class='zeta'>{'plug words ' * 10}</div><article><h1>T</h1>{BODY}<div class='eta'>kept</div></article></body>"
+    pages = spark.createDataFrame([(i, "u", page) for i in range(30)], "page_id long, url string, html string")
+    weights = html_text.learn(pages)
+    assert weights.outside == {"zeta"} and weights.odds["place:a"] > 0
+    assert html_text.main_text(f"<div><p>before</p><div class='zeta'>plug</div>{BODY}</div>", weights) == f"before\n{WANT}"
+
+
+def test_words_against_the_table(spark, sf):
+    """Precision and recall over words, on pages whose main element was renamed, so that nothing in them names it."""
+    pages = spark.read.parquet(f"{sf}/pages.parquet")
+    weights = html_text.learn(pages)
+    found = right = wanted = 0
+    for r in pages.collect():
+        want = expected(r.html).split()
+        got = html_text.main_text(r.html.replace("<article>", "<div>").replace("</article>", "</div>"), weights).split()
+        found, wanted = found + len(got), wanted + len(want)
+        right += sum((Counter(got) & Counter(want)).values())
+    assert right / found > 0.97 and right / wanted > 0.99
