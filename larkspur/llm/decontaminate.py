@@ -11,17 +11,23 @@ of matches without a gap of the item's length): values of item and document must
 type. A pair is reported with a coverage of at least ``coverage``: ``exact`` if all slots agree, ``reparameterised`` if they map one
 to one; with slots that contradict each other, only windows whose slots agree count towards the coverage.
 
-The documents' windows are never shuffled while the benchmark's are few: the benchmark windows are counted, and
-broadcast up to ``broadcast_windows`` of them; beyond it, both sides are shuffled by hash. Only matches are grouped.
-
-Null texts have no tokens. Windows of slots alone are not compared and not counted. Items with fewer than ``width``
-tokens are one window of their own width. Items without any window that holds a word are never reported. Repeated
-documents (equal id and text) are one document here and share the verdict; repeated items count as separate items
-only with separate ids. Empty tables give empty results. Other columns are ignored.
+A document's windows are first reduced to those of the benchmark, each once, however many items share them: the different
+hashes are counted, and broadcast up to ``broadcast_windows`` of them; beyond it, both sides are shuffled by hash. A pair with the
+coverage asked for holds one of the item's n - ceil(coverage n) + 1 windows that the fewest items share, so pairs are proposed by
+these alone, and only proposed pairs meet all windows of their item: a window that many items and many documents share makes no pairs.
+
+Null texts have no tokens. Windows of slots alone are not compared and not counted, but for items of slots alone with at least
+``width`` tokens, whose windows must be equal in their values. Items with fewer than ``width`` tokens are one window of their own
+width; such items of slots alone are never reported. Repeated documents (equal id and text) are one document here and share the
+verdict; repeated items count as separate items only with separate ids. Very long texts are read in whole, by windows. Empty
+tables give empty results. Other columns, whatever their names, are ignored, and kept by :func:`drop_contaminated`.
 """
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -56,27 +62,64 @@ def template(found: Column) -> Column:
     return F.transform(found, lambda t: F.when(F.ascii(t).isin(35, 64, 126), F.left(t, F.lit(1))).otherwise(t))
 
 
-def windows(rows: DataFrame, width: int) -> DataFrame:
-    """Adds at (the window's first token), hash and slots-bearing raw tokens ``raw`` to rows that have a column text; the text is dropped."""
-    raw = once(rows, "_raw", tokens(F.col("text"))).drop("text")
-    both = once(raw, "_t", template(F.col("_raw"))).where(F.size("_raw") >= width)
-    placed = both.withColumn("at", F.explode(F.sequence(F.lit(0), F.size("_t") - width)))
-    return placed.withColumn("hash", F.xxhash64(*(F.get("_t", F.col("at") + k) for k in range(width))))
+def _is_slot(t: Column) -> Column:
+    return F.ascii(t).isin(35, 64, 126)
+
+
+def _bare(w: int) -> Column:
+    """Whether the w tokens from ``at`` on are slots. No lambda: after an explode, one would copy all tokens for each window."""
+    return reduce(and_, (_is_slot(F.get("_t", F.col("at") + k)) for k in range(w)))
+
+
+def _read(rows: DataFrame) -> DataFrame:
+    """rows with their tokens _raw and templates _t instead of the text."""
+    return once(once(rows, "_raw", tokens(F.col("text"))).drop("text"), "_t", template(F.col("_raw")))
+
+
+def windows(rows: DataFrame, widths: list[int], slots_alone: bool) -> DataFrame:
+    """Rows of _read by window: at (its first token), hash and slots (its tokens), for windows that hold a word, of each width.
 
+    With slots_alone also those of the first width that hold none, hashed with their values.
+    """
+    hashed = lambda name, w, tag: F.xxhash64(F.lit(tag), *(F.get(name, F.col("at") + k) for k in range(w)))
+    raw = lambda w: F.slice("_raw", F.col("at") + 1, F.lit(w))
+    placed = rows.where(F.size("_t") >= min(widths)).withColumn("at", F.explode(F.sequence(F.lit(0), F.size("_t") - min(widths))))
+    if widths == widths[:1] and not slots_alone:
+        return placed.withColumn("hash", hashed("_t", widths[0], widths[0])).withColumn("slots", raw(widths[0]))
+    forms = [F.when(F.col("at") + w <= F.size("_t"), F.struct(F.when(~_bare(w), hashed("_t", w, w)).alias("hash"), raw(w).alias("slots"))) for w in widths]
+    if slots_alone:
+        w = widths[0]
+        forms.append(F.when((F.col("at") + w <= F.size("_t")) & _bare(w), F.struct(hashed("_raw", w, -w).alias("hash"), raw(w).alias("slots"))))
+    spread = placed.withColumn("_w", F.explode(F.array(*forms))).where("_w.hash is not null")
+    return spread.withColumns({"hash": F.col("_w.hash"), "slots": F.col("_w.slots")}).drop("_w")
 
-def matches(docs: DataFrame, benchmark: DataFrame, width: int = 5, broadcast_windows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows of doc_id, text_hash, at, item_id, item_at, doc_slots, item_slots: windows of equal template, with their tokens where they hold slots."""
-    items = benchmark.select("item_id", F.coalesce(F.col("text"), F.lit("")).alias("text"))
-    slots = lambda: F.slice("_raw", F.col("at") + 1, F.lit(width))
-    plain = F.exists(F.slice("_t", F.col("at") + 1, F.lit(width)), lambda t: ~F.ascii(t).isin(35, 64, 126))
-    own = cut(windows(items, width).where(plain).select("item_id", F.col("at").alias("item_at"), F.col("hash").alias("item_hash"), slots().alias("item_slots")))
+
+def _item_windows(benchmark: DataFrame, width: int) -> tuple[DataFrame, list[int], bool]:
+    """item_id, n (tokens), short, item_at, hash and item_slots of the windows that are compared; their widths; whether items of slots alone are among them."""
+    items = _read(benchmark.select("item_id", F.coalesce("text", F.lit("")).alias("text")).select("*", F.col("text").alias("_text")))
+    items = cut(items.select("*", F.size("_t").alias("n"), F.exists("_t", lambda t: ~_is_slot(t)).alias("plain")))
+    keep = ["item_id", "n", "short", F.col("at").alias("item_at"), "hash", F.col("slots").alias("item_slots")]
+    long = items.where(f"n >= {width}").withColumn("short", F.lit(False))
+    own = windows(long.where("plain"), [width], False).where(~_bare(width)).select(keep)
+    alone = not long.where("not plain").isEmpty()
+    if alone:
+        own = own.unionByName(windows(long.where("not plain"), [width], True).select(keep))
+    widths = [r["n"] for r in items.where(f"n between 1 and {width - 1} and plain").select("n").distinct().orderBy("n").collect()]  # at most width - 1 rows
+    if widths:  # inside a sentence their first word, if capitalised, reads as a name
+        few = items.where(f"n between 1 and {width - 1} and plain").select("item_id", "n", F.explode(F.array("_text", F.concat(F.lit(", "), "_text"))).alias("text"), F.lit(True).alias("short"))
+        for w in widths:
+            own = own.unionByName(windows(_read(few.where(F.col("n") == w)), [w], False).where("at = 0").select(keep))
+    return cut(own), [width, *widths], alone
+
+
+def matches(docs: DataFrame, own: DataFrame, widths: list[int], slots_alone: bool, broadcast_windows: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_hash, at, hash and doc_slots of the documents' windows that some item has, each once."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.col(text_col).alias("text"))
-    spread, same = windows(rows, width), F.col("hash") == F.col("item_hash")
-    if own.count() <= broadcast_windows:
-        return spread.join(F.broadcast(own), same).select("doc_id", "text_hash", "at", "item_id", "item_at", slots().alias("doc_slots"), "item_slots")
     # A shuffled window carries its own tokens, never those of its whole text.
-    narrow = spread.select("doc_id", "text_hash", "at", "hash", slots().alias("doc_slots"))
-    return narrow.join(own, same).select("doc_id", "text_hash", "at", "item_id", "item_at", "doc_slots", "item_slots")
+    spread = windows(_read(rows), widths, slots_alone).select("doc_id", "text_hash", "at", "hash", F.col("slots").alias("doc_slots"))
+    wanted = own.select(F.col("hash").alias("_hash")).distinct()
+    wanted = F.broadcast(wanted) if own.count() <= broadcast_windows else wanted
+    return spread.join(wanted, F.col("hash") == F.col("_hash"), "left_semi").distinct()
 
 
 def _judged(places: DataFrame, by: list[str], coverage: float) -> DataFrame:
@@ -95,43 +138,34 @@ def _judged(places: DataFrame, by: list[str], coverage: float) -> DataFrame:
     ).where("verdict is not null")
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", **settings) -> DataFrame:
+def contaminated(
+    docs: DataFrame, benchmark: DataFrame, width: int = 5, coverage: float = 0.5, id_col: str = "doc_id", text_col: str = "text", broadcast_windows: int = 500_000
+) -> DataFrame:
     """Pairs reported: doc_id, text_hash, item_id, n_windows of the item, n_found, verdict."""
-    sized = once(benchmark.select("item_id", "text"), "_t", template(tokens(F.col("text"))))
-    is_slot = lambda t: F.ascii(t).isin(35, 64, 126)
-    last = F.size("_t") - width
-    parts = F.transform(F.sequence(F.lit(0), F.greatest(last, F.lit(0))), lambda i: F.exists(F.slice("_t", i + 1, F.lit(width)), lambda t: ~is_slot(t)).cast("int"))
-    items = cut(sized.select("item_id", "text", F.size("_t").alias("n"), F.when(last >= 0, F.aggregate(parts, F.lit(0), lambda s, x: s + x)).otherwise(0).cast("long").alias("n_windows"), F.exists("_t", lambda t: ~is_slot(t)).alias("plain")))
-    out = _pairs(docs, items.where("n_windows > 0"), width, coverage, id_col, text_col, **settings)
-    # Shorter items are one window of their own width. Inside a sentence their first word, if capitalised, reads as a name.
-    inner = items.withColumn("text", F.concat(F.lit(", "), "text"))
-    opens = ~F.get("item_slots", F.lit(0)).startswith("@") | (F.get("item_slots", F.lit(0)) == F.get("doc_slots", F.lit(0)))
-    for r in items.where(f"n between 1 and {width - 1} and plain").select("n").distinct().orderBy("n").collect():  # at most width - 1 rows
-        short = items.unionByName(inner).where(F.col("n") == r["n"]).where("plain").withColumn("n_windows", F.lit(1).cast("long"))
-        out = out.unionByName(_pairs(docs, short, r["n"], coverage, id_col, text_col, opens, **settings))
-    return out
-
-
-def _pairs(docs: DataFrame, items: DataFrame, width: int, coverage: float, id_col: str, text_col: str, when: Column | None = None, **settings) -> DataFrame:
-    totals = items.groupBy(F.col("item_id").alias("of")).agg(F.max("n_windows").alias("n_windows"), F.max("n").alias("n"))
-    found = matches(docs, items, width, id_col=id_col, text_col=text_col, **settings)
-    found = found if when is None else found.where(when)
-    is_slot = lambda t: F.ascii(t).isin(35, 64, 126)
+    own, widths, alone = _item_windows(benchmark, width)
+    found = cut(matches(docs, own, widths, alone, broadcast_windows, id_col, text_col))
+    totals = own.groupBy("item_id").agg(F.countDistinct("item_at").alias("n_windows"), F.max("n").alias("n"))
+    spread_over = own.groupBy(F.col("hash").alias("_hash")).agg(F.countDistinct("item_id").alias("_items"))
+    placed = own.join(spread_over, F.col("hash") == F.col("_hash")).drop("_hash").join(totals.withColumnRenamed("item_id", "_of").drop("n"), F.col("item_id").eqNullSafe(F.col("_of"))).drop("_of")
+    rank = F.dense_rank().over(Window.partitionBy("item_id").orderBy("_items", "item_at"))
+    rare = placed.withColumn("_rank", rank).where(F.col("_rank") <= F.col("n_windows") - F.ceil(coverage * F.col("n_windows")) + 1)
     pair = ["doc_id", "text_hash", "item_id"]
-    bindings = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d")), lambda x: is_slot(x["i"]))
-    bound = cut(found.select(*pair, "at", "item_at", bindings.alias("b"), F.forall(bindings, lambda x: x["i"] == x["d"]).alias("same")).distinct())
-    counts = bound.groupBy(*pair).agg(F.countDistinct("item_at").alias("n_found"))
-    # Far fewer pairs are left once coverage is asked for; only their slots are compared.
-    likely = counts.join(totals, counts["item_id"].eqNullSafe(F.col("of"))).where(F.col("n_found") >= coverage * F.col("n_windows"))
-    likely = likely.select(*(F.col(c).alias(f"_{c}") for c in pair), "n_windows", "n")
-    places = bound.join(likely, [bound[c].eqNullSafe(F.col(f"_{c}")) for c in pair]).select(*bound.columns, "n_windows", "n")
+    likely = found.join(rare.select("item_id", "hash").distinct(), "hash").select(*pair).distinct()
+    whole = cut(placed.select(F.col("item_id").alias("_item"), "n", "n_windows", "short", "item_at", "hash", "item_slots"))
+    asked = likely.join(small(whole), F.col("item_id").eqNullSafe(F.col("_item"))).drop("_item")
+    here = found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_text"), "at", F.col("hash").alias("_hash"), "doc_slots")
+    met = asked.join(here, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("text_hash") == F.col("_text")) & (F.col("hash") == F.col("_hash")))
+    opens = ~F.get("item_slots", F.lit(0)).startswith("@") | (F.get("item_slots", F.lit(0)) == F.get("doc_slots", F.lit(0)))
+    bindings = F.filter(F.arrays_zip(F.col("item_slots").alias("i"), F.col("doc_slots").alias("d")), lambda x: _is_slot(x["i"]))
+    bound = met.where(~F.col("short") | opens).select(*pair, "n", "n_windows", "at", "item_at", bindings.alias("b"), F.forall(bindings, lambda x: x["i"] == x["d"]).alias("same"))
+    places = cut(bound.distinct())
     # An occurrence is an alignment, or, where words were added or left out, a run of matches without a gap of the item's length.
     order = Window.partitionBy(*pair).orderBy("at")
-    placed = places.withColumn("_gap", (F.col("at") - F.lag("at").over(order) > F.col("n")).cast("int"))
-    placed = placed.withColumn("run", F.coalesce(F.sum("_gap").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)))
+    gaps = places.withColumn("_gap", (F.col("at") - F.lag("at").over(order) > F.col("n")).cast("int"))
+    gaps = gaps.withColumn("run", F.coalesce(F.sum("_gap").over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow)), F.lit(0)))
     ways = [("whole", F.lit(0)), ("run", F.col("run")), ("line", F.col("at") - F.col("item_at"))]
-    spread = cut(placed.select("*", F.explode(F.array(*(F.struct(F.lit(k).alias("way"), v.cast("long").alias("place")) for k, (_, v) in enumerate(ways)))).alias("w")).select(*bound.columns, "n_windows", "w.way", "w.place"))
-    judged = _judged(spread, [*pair, "way", "place"], coverage)
+    each = F.explode(F.array(*(F.struct(F.lit(k).alias("way"), v.cast("long").alias("place")) for k, (_, v) in enumerate(ways)))).alias("w")
+    judged = _judged(gaps.select("*", each).select(*places.columns, "w.way", "w.place"), [*pair, "way", "place"], coverage)
     # The verdict over the whole text stands where there is one; else that of the occurrence with most windows.
     best = F.min_by(F.struct("n_windows", "n_found", "verdict"), F.struct(F.col("way") != 0, -F.col("n_found"), "verdict", "way", "place"))
     return judged.groupBy(*pair).agg(best.alias("r")).select(*pair, "r.n_windows", "r.n_found", "r.verdict")
@@ -141,5 +175,6 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_
     """The documents that no item of the benchmark is reported for."""
     found = contaminated(docs, benchmark, id_col=id_col, text_col=text_col, **settings)
     bad = cut(found.select(F.col("doc_id").alias("_id"), F.col("text_hash").alias("_hash")).distinct())
-    same = docs[id_col].eqNullSafe(bad["_id"]) & (F.xxhash64(docs[text_col]) == bad["_hash"])
-    return docs.join(small(bad), same, "left_anti")
+    whole = docs.select(F.struct(*docs.columns).alias("_row"))
+    same = F.col("_row")[id_col].eqNullSafe(F.col("_id")) & (F.xxhash64(F.col("_row")[text_col]) == F.col("_hash"))
+    return whole.join(small(bad), same, "left_anti").select("_row.*")
