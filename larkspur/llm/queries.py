@@ -17,6 +17,36 @@ def _query(f):
     return f
 
 
+#: Every exponent is tried and every pass sorted; words are runs without ASCII white space.
+ORACLE_SQL["op3_temperature_mix"] = r"""
+WITH units AS (
+  SELECT doc_id, source, md5(coalesce(text, '')) AS mark, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS n_tokens, count(*) AS copies
+  FROM documents GROUP BY ALL
+), totals AS (
+  SELECT source, CAST(sum(n_tokens * copies) AS BIGINT) AS total FROM units GROUP BY source
+), points AS (
+  SELECT p, sum(pow(total, p / 1000)) AS z, sum(pow(total, p / 1000) * ln(total)) AS s, count(*) AS k, CAST(max(total) AS DOUBLE) AS most, CAST(min(total) AS DOUBLE) AS least
+  FROM totals, (SELECT CAST(unnest(range(1001)) AS DOUBLE) AS p) WHERE total > 0 GROUP BY p
+), chosen AS (
+  SELECT least(1000, greatest(coalesce(max(p) FILTER (k = 1 OR (ln(z) - p / 1000 * s / z) / ln(k) >= 0.95), 0), coalesce(max(p) FILTER (pow(most / least, 1 - p / 1000) > 3.0), -1) + 1)) AS a, max(most) AS most
+  FROM points
+), plan AS (
+  SELECT source, total, a, CASE WHEN total = 0 THEN 0 ELSE CAST(floor(total * pow(most / total, 1 - a / 1000) + 0.5) AS BIGINT) END AS quota FROM totals, chosen
+), passes AS (
+  SELECT *, unnest(range(CASE WHEN total = 0 THEN 1 ELSE (quota + total - 1) // total END)) AS pass FROM plan
+), dealt AS (
+  SELECT u.doc_id, u.source, p.pass, u.n_tokens, u.copies, p.quota, p.total, p.a, p.pass * p.total + coalesce(sum(u.n_tokens * u.copies) OVER (
+    PARTITION BY u.source, p.pass ORDER BY md5('7:' || p.pass || ':' || coalesce(CAST(u.doc_id AS VARCHAR), '') || ':' || u.mark) ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begins
+  FROM units u JOIN passes p ON u.source IS NOT DISTINCT FROM p.source
+), played AS (
+  SELECT *, unnest(range(copies)) AS nth FROM dealt WHERE begins < quota OR pass < quota // greatest(total, 1) OR total = 0
+)
+SELECT doc_id, source, CAST(pass AS INTEGER) AS pass, CAST(n_tokens AS BIGINT) AS n_tokens, CAST(begins + nth * n_tokens AS BIGINT) AS token_offset, CAST(quota AS BIGINT) AS quota, CAST(a AS INTEGER) AS alpha,
+  CAST(floor(CAST(begins + nth * n_tokens AS DOUBLE) * 1e9 / greatest(quota, 1)) AS BIGINT) AS mix_pos
+FROM played
+"""
+
+
 @_query
 def op3_temperature_mix(spark, sf_dir):
     return mixing.mix(table(spark, sf_dir, "documents"))

@@ -1,7 +1,10 @@
 """Mixing, sharding, token shards and edited counts against brute force."""
 
+import hashlib
+import math
+import re
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -34,37 +37,82 @@ def test_shards_match_brute_force(spark, sf, odd):
     assert sharding.assign_shards(odd.limit(0), 4).count() == 0
 
 
-@pytest.mark.parametrize("budget", [None, 50_000])
-def test_mix_plays_permutations(spark, sf, odd, budget):
+def brute_mix(rows, share, most, budget, block):
+    """(id, source, pass, tokens, offset, quota, alpha, mix_pos) by trying every exponent and sorting every pass."""
+    units = Counter((d, s, hashlib.md5((t or "").encode()).hexdigest(), len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for d, t, s in rows)
+    total = Counter()
+    for (_, s, _, n), c in units.items():
+        total[s] += n * c
+    some = [x for x in total.values() if x]
+
+    def measured(p):
+        if not some:
+            return 1.0, 1.0
+        power = [x ** (p / 1000) for x in some]
+        z = sum(power)
+        entropy = -sum(x / z * math.log(x / z) for x in power)
+        passes = (max(some) / min(some)) ** (1 - p / 1000) if budget is None else budget * min(some) ** (p / 1000 - 1) / z
+        return entropy / math.log(len(some)) if len(some) > 1 else 1.0, passes
+
+    even = [p for p in range(1001) if measured(p)[0] >= share]
+    often = [p for p in range(1001) if measured(p)[1] > most]
+    alpha = min(1000, max(max(even, default=0), max(often, default=-1) + 1))
+    out = []
+    for source, held in total.items():
+        if not held:
+            quota = 0
+        elif budget is None:
+            quota = math.floor(held * (max(some) / held) ** (1 - alpha / 1000) + 0.5)
+        else:
+            quota = math.floor(budget * held ** (alpha / 1000) / sum(x ** (alpha / 1000) for x in some))
+        mine = [u for u in units if u[1] == source]
+        for turn in range(1 if not held else -(-quota // held)):
+            offset = turn * held
+            key = lambda u: hashlib.md5(f"7:{turn}:{'' if u[0] is None else u[0]}:{u[2]}".encode()).hexdigest()  # noqa: B023, E731
+            for u in sorted(mine, key=key):
+                if offset < quota or turn < quota // max(held, 1) or not held:
+                    for i in range(units[u]):
+                        at = offset + i * u[3]
+                        out.append((u[0], source, turn, u[3], at, quota, alpha, math.floor(at * 1e9 / max(quota, 1))))
+                offset += u[3] * units[u]
+    return Counter(out)
+
+
+@pytest.mark.parametrize(("share", "most", "budget", "block"), [(0.95, 3.0, None, 2_048), (0.95, 3.0, 50_000, 16), (0.99, 1.5, None, 5), (0.5, 10.0, 200_000, 64)])
+def test_mix_matches_brute_force(spark, sf, odd, share, most, budget, block):
     docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text", "source").unionByName(odd.select("doc_id", "text", "source"))
-    size = defaultdict(int)
-    for r in docs.collect():
-        size[r.source] += 1
-    played = defaultdict(list)
-    for r in mixing.mix(docs, budget=budget, block_docs=16, group_blocks=3).collect():
-        played[r.source].append(r)
-    if budget is None:
-        assert set(played) == set(size)
-    for source, rows in played.items():
-        rows.sort(key=lambda r: (r["pass"], r.token_offset, r.n_tokens > 0))
-        offset = 0
-        for r in rows:
-            assert r.token_offset == offset
-            offset += r.n_tokens
-        assert offset >= rows[0].quota > rows[-1].token_offset or offset == 0
-        by_pass = defaultdict(int)
-        for r in rows:
-            by_pass[r["pass"]] += 1
-        assert all(n == size[source] for p, n in by_pass.items() if p < max(by_pass))
-    assert mixing.mix(docs.limit(0)).count() == 0
-
-
-def test_replay_plays_what_mix_plays(odd):
+    docs = docs.unionByName(spark.createDataFrame([(9, f"same id {i}", "b") for i in range(20)] + [(10, "same row", "b")] * 20, "doc_id long, text string, source string"))
+    rows = [tuple(r) for r in docs.collect()]
+    want = brute_mix(rows, share, most, budget, block)
+    settings = {"entropy_share": share, "max_passes": most, "budget": budget, "block_docs": block, "group_blocks": 3}
+    got = Counter(tuple(r) for r in mixing.mix(docs, **settings).select("doc_id", "source", "pass", "n_tokens", "token_offset", "quota", "alpha", "mix_pos").collect())
+    assert got == want
+    played = Counter(tuple(r) for r in mixing.replay(docs, **settings).collect())
+    texts = {(d, s, hashlib.md5((t or "").encode()).hexdigest()) for d, t, s in rows}
+    assert sum(played.values()) == sum(want.values()) and set(played) <= set(rows) and len(texts) > 30
+    ids = Counter()
+    for (d, _, s), n in played.items():
+        ids[d, s] += n
+    asked = Counter()
+    for x, n in want.items():
+        asked[x[0], x[1]] += n
+    assert ids == asked
+
+
+def test_mix_of_nothing_and_clashing_columns(odd):
+    assert mixing.mix(odd.limit(0)).count() == 0 and mixing.replay(odd.limit(0)).count() == 0
     played = sorted(str(r.doc_id) for r in mixing.mix(odd).collect())
     out = mixing.replay(odd)
     assert out.columns == odd.columns and sorted(str(r.doc_id) for r in out.collect()) == played
 
 
+def test_equal_ids_at_the_cut(spark):
+    docs = spark.createDataFrame([(1, f"{'word ' * 20}{i}", "a") for i in range(6)] + [(2, "other words here", "b")], "doc_id long, text string, source string")
+    settings = {"budget": 60, "entropy_share": 0.0, "max_passes": 50.0}
+    listed = mixing.mix(docs, **settings).count()
+    assert mixing.replay(docs, **settings).count() == listed
+
+
 @pytest.mark.parametrize("n", [1, 2, 3, 17, 64, 1000])
 def test_permutation_is_one_to_one(n):
     assert sorted(token_order.permute(np.arange(n), n, 5)) == list(range(n))
