@@ -7,8 +7,9 @@ by more than its two border rows. Only as many totals as there are partitions, a
 ever broadcast.
 
 Null texts count as no bytes and as checksum 0. Rows with equal ids are ordered by checksum and size, so that
-repeated rows stay together and equal rows are interchangeable. An empty table gives an empty result. Other
-columns, whatever their names, are ignored unless asked for in ``carry``.
+repeated rows stay together; equal rows are interchangeable, and a number of their own lets ranges cut between them. Very
+long texts are never split. An empty table gives an empty result. Other columns, whatever their names, are ignored unless
+asked for in ``carry``.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut
+from larkspur.llm.common import cut, fresh
 
 
 def assign_shards(
@@ -37,8 +38,9 @@ def assign_shards(
         F.crc32(text.cast("binary")).alias("text_crc32"),
         *([F.struct(*carry).alias("carried")] if carry else []),
     )
-    order = ["doc_id", "text_crc32", "size"]
-    ranged = cut(narrow.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
+    order = ["doc_id", "text_crc32", "size", "row"]
+    numbered = cut(narrow.withColumn("row", F.monotonically_increasing_id()))  # sampling the ranges then reads no text
+    ranged = cut(numbered.repartitionByRange(*order).withColumn("part", F.spark_partition_id()))
     totals = ranged.groupBy("part").agg(F.sum("size").alias("part_size"), F.count("*").alias("part_rows"))
     before, everywhere = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1), Window.partitionBy()
     offsets = totals.select(
@@ -62,9 +64,14 @@ def assign_shards(
     )
 
 
-def write_shards(docs: DataFrame, path: str, n_shards: int, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Write the documents as one folder for each shard, rows in slot order."""
+def write_shards(docs: DataFrame, path: str, n_shards: int, id_col: str = "doc_id", text_col: str = "text") -> str:
+    """Write the documents as one folder for each shard and give the name of the folders' column, which docs has not.
+
+    A shard is written by as many tasks as its size asks for; its files, by name, and the rows in them lie in slot order.
+    """
     placed = assign_shards(docs, n_shards, id_col, text_col, carry=tuple(docs.columns))
-    columns = [F.col("carried")[c].alias(c) for c in docs.columns if c != "shard"]
-    ordered = placed.repartitionByRange(n_shards, "shard").sortWithinPartitions("shard", "slot")
-    ordered.select("shard", *columns).write.partitionBy("shard").parquet(path)
+    name = fresh(docs, "shard")
+    tasks = max(n_shards, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    ordered = placed.select(F.col("shard").alias(name), F.col("slot").alias(fresh(docs, "slot")), "carried").repartitionByRange(tasks, name, fresh(docs, "slot"))
+    ordered.sortWithinPartitions(name, fresh(docs, "slot")).select(name, "carried.*").write.partitionBy(name).parquet(path)
+    return name

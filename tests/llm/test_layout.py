@@ -7,6 +7,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
@@ -37,6 +38,22 @@ def test_shards_match_brute_force(spark, sf, odd):
     assert sharding.assign_shards(odd.limit(0), 4).count() == 0
 
 
+def test_written_shards_keep_all_columns_and_the_order(spark, odd, tmp_path):
+    docs = odd.unionByName(spark.createDataFrame([(7, "same", "z")] * 30, "doc_id long, text string, source string").selectExpr("*", "'clash' as shard", "1 as slot", "2 as pass", "3 as total", "4 as n_tokens"))
+    name = sharding.write_shards(docs, str(tmp_path / "out"), 5)
+    assert name == "_shard"
+    back = spark.read.parquet(str(tmp_path / "out"))
+    assert sorted(map(str, back.select(docs.columns).collect())) == sorted(map(str, docs.collect()))
+    sizes = {r[name]: r.n for r in back.groupBy(name).agg(F.sum(F.octet_length(F.coalesce("text", F.lit(""))) + 16).alias("n")).collect()}
+    placed = {r.shard: r.n for r in sharding.assign_shards(docs, 5).groupBy("shard").agg(F.sum("size").alias("n")).collect()}
+    assert sizes == placed
+    for shard in sizes:
+        ids = []
+        for file in sorted((tmp_path / f"out/{name}={shard}").glob("part-*")):
+            ids += pq.read_table(file, columns=["doc_id"]).column(0).to_pylist()
+        assert ids == sorted(ids, key=lambda d: -1 if d is None else d)
+
+
 def brute_mix(rows, share, most, budget, block):
     """(id, source, pass, tokens, offset, quota, alpha, mix_pos) by trying every exponent and sorting every pass."""
     units = Counter((d, s, hashlib.md5((t or "").encode()).hexdigest(), len(re.findall(r"[^\x20\x09-\x0D]+", t or ""))) for d, t, s in rows)
