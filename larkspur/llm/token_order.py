@@ -6,14 +6,17 @@ maps the indexes one to one onto the slots 0 to N - 1; nothing is sorted to shuf
 s * docs_per_shard on. Rows go straight to the partition of their shard and are sorted by slot; the task encodes
 them once, in order, ends each with an end id, and packs the ids into records of ``record_tokens`` ids, little-endian.
 All records have the same size, so record r of a shard starts at byte r * stride, and a reader resumes by seeking.
-Only the last record of a shard is filled up, with end ids.
+Only the last record of a shard is filled up, with end ids. Sequences are whole documents of any length, so the place of a
+slot takes two steps: its index row names the shard and the first token in it, and the record that holds that token is found by the
+stride (:func:`read_from`).
 
-A shard is written under a name of its own attempt and then moved to its final name, so that a task that runs again after a
-loss writes the same bytes in the same place. The table must be a stored one (or have been cut), as its rows are numbered in
-the order in which they lie; the counts are checked against the number of slots when a manifest is made.
+A shard is written under a name of its own attempt and then moved to its final name. A task that runs again after a loss writes the
+same bytes, so where the final name is taken already, its own file is dropped. The table must be a stored one (or have been cut), as its
+rows are numbered in the order in which they lie; :func:`manifest` checks that every shard holds the sequences that its slots ask for, and
+:func:`sweep` removes what lost attempts left.
 
-Null and empty texts are sequences of the end id alone. Repeated rows are sequences of their own. An empty table gives no shard and an
-empty result.
+Null and empty texts are sequences of the end id alone. Repeated rows are sequences of their own. Very long texts are one sequence,
+encoded in the task that reads them. An empty table gives no shard and an empty result. Other columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -29,6 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from larkspur.llm.common import cut
 from larkspur.llm.tokens import encoder, end_id, vocabulary
 
 ROUNDS = 6
@@ -113,7 +117,11 @@ def materialise(
             if written % record_tokens:
                 file.write(array(code, [end] * (record_tokens - written % record_tokens)).tobytes())
             file.close()
-            store.move(name, f"{folder}/shard-{shard:07d}.bin")
+            final = f"{folder}/shard-{shard:07d}.bin"
+            if store.get_file_info(final).type == fs.FileType.NotFound:
+                store.move(name, final)
+            else:
+                store.delete_file(name)
 
         for batch in batches:
             firsts, counts, sums = [], [], []
@@ -143,10 +151,27 @@ def materialise(
     return ordered.select("doc_id", "slot", "text").mapInArrow(run, f"doc_id {kind}, " + ", ".join(f"{c} long" for c in names[1:]))
 
 
-def manifest(index: DataFrame, record_tokens: int = 2_048) -> DataFrame:
-    """One row for each shard of a materialised index: shard, first_slot, n_docs, n_tokens, n_records."""
-    shards = index.groupBy("shard").agg(F.min("slot").alias("first_slot"), F.count("*").alias("n_docs"), F.sum("n_tokens").alias("n_tokens"))
-    return shards.withColumn("n_records", F.expr(f"(n_tokens + {record_tokens - 1}) div {record_tokens}"))
+def manifest(index: DataFrame, docs_per_shard: int = 8_192, record_tokens: int = 2_048) -> DataFrame:
+    """One row for each shard of a materialised index: shard, first_slot, n_docs, n_tokens, n_records. ValueError where slots are missing or double."""
+    shards = index.groupBy("shard").agg(F.min("slot").alias("first_slot"), F.max("slot").alias("_last"), F.count("*").alias("n_docs"), F.countDistinct("slot").alias("_slots"), F.sum("n_tokens").alias("n_tokens"))
+    shards = cut(shards)
+    end = shards.agg(F.max("shard")).first()[0]
+    wanted = F.when(F.col("shard") == end, F.col("_last") + 1 - F.col("first_slot")).otherwise(docs_per_shard)
+    whole = (F.col("n_docs") == wanted) & (F.col("_slots") == wanted) & (F.col("first_slot") == F.col("shard") * docs_per_shard)
+    if shards.where(~whole).count() or end is not None and shards.count() != end + 1:
+        raise ValueError("slots are missing or double")
+    return shards.drop("_last", "_slots").withColumn("n_records", F.expr(f"(n_tokens + {record_tokens - 1}) div {record_tokens}"))
+
+
+def sweep(path: str) -> int:
+    """Remove the files that lost attempts left; the number removed. Only for use when no task writes."""
+    from pyarrow import fs
+
+    store, folder = fs.FileSystem.from_uri(path)
+    left = [f.path for f in store.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if f.base_name.startswith(".part-")]
+    for name in left:
+        store.delete_file(name)
+    return len(left)
 
 
 def read_records(path: str, shard: int, first: int = 0, record_tokens: int = 2_048, id_bytes: int = 2) -> Iterator[np.ndarray]:
@@ -159,3 +184,11 @@ def read_records(path: str, shard: int, first: int = 0, record_tokens: int = 2_0
         file.seek(first * stride)
         while block := file.read(stride):
             yield np.frombuffer(block, f"<u{id_bytes}")
+
+
+def read_from(path: str, shard: int, first_token: int, record_tokens: int = 2_048, id_bytes: int = 2) -> Iterator[np.ndarray]:
+    """The tokens of a shard from the sequence on whose index row has shard and first_token, a record at a time."""
+    skip = first_token % record_tokens
+    for record in read_records(path, shard, first_token // record_tokens, record_tokens, id_bytes):
+        yield record[skip:]
+        skip = 0
