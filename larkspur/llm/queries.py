@@ -102,5 +102,10 @@ def op5_feistel_token_shards(spark, sf_dir):
 
 @_query
 def op6_edit_aware_counts(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    return token_counts.count_edited(docs, token_counts.sample_edits(F.col("text")))
+    """Trees are built and stored; three edits of every document are then counted on the stored trees."""
+    kept = shared_path(spark, "count-trees")
+    token_counts.build_trees(table(spark, sf_dir, "documents")).write.parquet(kept)
+    edited = token_counts.recount(spark.read.parquet(kept), token_counts.edits_for(F.col("n_chars")))
+    return edited.select(
+        "doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), F.col("n_chars").alias("n_chars_edited"), F.size("leaves").cast("long").alias("n_leaves"), "n_leaves_encoded", "n_chars_encoded"
+    )

@@ -169,19 +169,54 @@ def test_token_shards_read_back(spark, sf, odd, tmp_path):
     assert none.count() == 0 and token_order.manifest(none).count() == 0
 
 
-def test_edited_counts_match_whole_encoding(spark, sf, odd):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").limit(60).unionByName(odd.select("doc_id", "text"))
+def edited(text, edits):
+    for e in edits or ():
+        if e is None or e["start"] is None or e["end"] is None:
+            continue
+        start = min(max(e["start"], 0), len(text))
+        text = text[:start] + (e["text"] or "") + text[max(start, min(e["end"], len(text))) :]
+    return text
+
+
+def test_edited_counts_match_whole_encoding(spark, sf, odd, tmp_path):
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").unionByName(odd.select("doc_id", "text"))
     encode = encoder(vocabulary()).encode_ordinary
-    edits = token_counts.sample_edits(F.col("text"))
-    want = []
-    for r in docs.select("doc_id", "text", edits.alias("e")).collect():
+    token_counts.build_trees(docs, leaf_chars=64).write.parquet(str(tmp_path / "v0"))
+    stored = spark.read.parquet(str(tmp_path / "v0"))
+    want, texts = [], defaultdict(list)
+    for r in docs.select("doc_id", "text", token_counts.sample_edits(F.col("text")).alias("e")).collect():
         text = r.text or ""
-        before = len(encode(text))
-        for e in r.e:
-            end = max(e["start"], min(e["end"], len(text)))
-            text = text[: e["start"]] + e["text"] + text[end:]
-        want.append((str(r.doc_id), before, len(encode(text)), len(text)))
-    got = token_counts.count_edited(docs, edits, leaf_chars=64).collect()
-    assert sorted((str(r.doc_id), r.n_tokens, r.n_tokens_edited, r.n_chars_edited) for r in got) == sorted(want)
-    assert token_counts.count_edited(docs.limit(0), edits).count() == 0
-    assert token_counts.count_edited(odd, F.lit(None).cast("array<struct<start:int,end:int,text:string>>")).count() == len(ODD)
+        after = edited(text, r.e)
+        texts[str(r.doc_id)].append(after)
+        want.append((str(r.doc_id), len(encode(text)), len(encode(after)), len(after)))
+    once = token_counts.recount(stored, token_counts.edits_for(F.col("n_chars")), leaf_chars=64)
+    once.write.parquet(str(tmp_path / "v1"))
+    once = spark.read.parquet(str(tmp_path / "v1"))
+    rows = once.collect()
+    assert sorted((str(r.doc_id), r.n_tokens_before, r.n_tokens, r.n_chars) for r in rows) == sorted(want)
+    assert all("".join(r.leaves) in texts[str(r.doc_id)] and r.version == 1 and [len(encode(x)) for x in r.leaves] == r.tokens for r in rows)
+    # Only the regions of the three edits are encoded: their leaves, one more on each side, and what was put in.
+    for r in rows:
+        longest = max(map(len, r.leaves)) + 64
+        assert r.n_chars_encoded <= 3 * (5 * longest + 25) and r.n_leaves_encoded <= 3 * 6
+    assert sum(r.n_chars_encoded for r in rows if r.n_chars > 6_000) * 3 < sum(r.n_chars for r in rows if r.n_chars > 6_000)
+
+
+def test_edits_of_a_table_and_odd_edits(spark, odd, tmp_path):
+    encode = encoder(vocabulary()).encode_ordinary
+    token_counts.build_trees(odd, leaf_chars=8).write.parquet(str(tmp_path / "v0"))
+    trees = spark.read.parquet(str(tmp_path / "v0"))
+    changes = [(4, 2, 5, 9, "abc"), (4, 1, 0, 0, "zz "), (3, 1, 2, 1, "in"), (5, 1, None, 3, "x"), (6, 1, 0, None, "x"), (1, 1, -5, 99, None), (None, 1, 0, 3, "y"), (77, 1, 0, 3, "y"), (4, 3, 10**6, 10**7, "end")]
+    edits = spark.createDataFrame(changes, "doc_id long, nth int, start int, end int, text string").withColumn("leaves", F.lit("clash"))
+    got = sorted((str(r.doc_id), "".join(r.leaves), r.n_tokens, r.n_chars_encoded > 0) for r in token_counts.recount_table(trees, edits, leaf_chars=8).collect())
+    want = []
+    for d, t, _ in ODD:
+        mine = [dict(start=c[2], end=c[3], text=c[4]) for c in sorted(changes, key=lambda c: c[1]) if c[0] == d and d is not None]
+        text = edited(t or "", mine)
+        want.append((str(d), text, len(encode(text)), d in (3, 4)))
+    assert got == sorted(want)
+    none = F.expr("cast(null as array<struct<start:int,end:int,text:string>>)")
+    holes = F.expr("array(null, named_struct('start', cast(null as int), 'end', 1, 'text', 'q'))")
+    for e in (none, holes):
+        assert all(r.n_tokens == r.n_tokens_before and not r.n_leaves_encoded for r in token_counts.recount(trees, e).collect())
+    assert token_counts.recount(token_counts.build_trees(odd.limit(0)), none).count() == 0
