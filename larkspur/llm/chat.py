@@ -10,8 +10,10 @@ Escaping and the round trip run turn by turn where the rows lie; then the turns
 conversation, in sorted runs that are read as a stream, so that the memory needed is that of one batch, however long a
 conversation is. The digests of a conversation are sequential by nature, so one task reads it all.
 
-Null roles and texts count as empty. Turns are ordered by turn, role and text; equal turns are interchangeable, and
-repeated rows are turns of their own. A null conversation id is a conversation of its own. An empty table gives an empty result.
+Null roles and texts count as empty. Turns are ordered by turn (nulls first), then as they are rendered; equal turns are
+interchangeable, and repeated rows are turns of their own. Ids and turns may be numbers or strings; a null conversation id is a
+conversation of its own. Very long texts are rendered and parsed in whole. An empty table gives an empty result. Other columns,
+whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -93,7 +95,7 @@ def format_turns(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tu
         F.coalesce(F.col(text_col), F.lit("")).alias("text"),
     )
     out = plain.mapInPandas(run, "conv_id string, turn string, role string, text string, rendered string, body_start int, body_end int")
-    return out.withColumn("conv_id", F.col("conv_id").cast("long")).withColumn("turn", F.col("turn").cast("long"))
+    return out.withColumn("conv_id", F.col("conv_id").cast(rows.schema[conv_col].dataType)).withColumn("turn", F.col("turn").cast(rows.schema[turn_col].dataType))
 
 
 def conversations(turns: DataFrame) -> DataFrame:
@@ -108,7 +110,7 @@ def conversations(turns: DataFrame) -> DataFrame:
 
         for frame in frames:
             for conv, rendered, start, end in zip(frame["conv"], frame["rendered"], frame["body_start"], frame["body_end"], strict=True):
-                if held is None or held[0] != conv:
+                if held is None or held[0] != conv:  # a null id comes as None
                     if held is not None:
                         done()
                     held = [conv, 0, hashlib.sha256(), 0, hashlib.sha256(), 0]
@@ -126,8 +128,8 @@ def conversations(turns: DataFrame) -> DataFrame:
             done()
             yield pd.DataFrame(out, columns=["conv", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    keyed = turns.select(F.coalesce(F.col("conv_id").cast("string"), F.lit("null")).alias("conv"), "turn", "role", "text", "rendered", "body_start", "body_end")
     # The order needs no copy of the texts: a rendered turn begins with its role and text.
-    runs = keyed.drop("role", "text").repartition("conv").sortWithinPartitions("conv", "turn", "rendered")
+    keyed = turns.select(F.col("conv_id").cast("string").alias("conv"), "turn", "rendered", "body_start", "body_end")
+    runs = keyed.repartition("conv").sortWithinPartitions("conv", "turn", "rendered")
     grouped = runs.mapInPandas(run, "conv string, n_turns long, turns_sha256 string, loss_chars long, loss_sha256 string, formatted_chars long")
-    return grouped.select(F.expr("try_cast(conv as long)").alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")
+    return grouped.select(F.col("conv").cast(turns.schema["conv_id"].dataType).alias("conv_id"), "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars")

@@ -65,6 +65,9 @@ def op9_bit_sliced_simhash(spark, sf_dir):
     return simhash.near_duplicates(table(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+ORACLE_SQL["op8_checked_pii"] = pii.oracle_sql()
+
+
 @_query
 def op8_checked_pii(spark, sf_dir):
     return pii.digest(pii.find_pii(table(spark, sf_dir, "documents")))
@@ -82,6 +85,22 @@ def op2_template_decontamination(spark, sf_dir):
     return found.select("doc_id", "item_id", "n_windows", "n_found", "verdict")
 
 
+#: A turn's text is longer by a backslash for each control string in it, guarded or not; the template adds 14 signs.
+ORACLE_SQL["op1_grammar_chat"] = r"""
+WITH turns AS (
+  SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, unnest([0, 1]), unnest(['user', 'assistant']), '</s>[INST] ok [/INST]'
+), sized AS (
+  SELECT *, '<\\*\|turn\|>|<\\*/?s>|\[\\*/?INST\]|<\\*<SYS>>|<\\*</SYS>>|<\\*\|im_start\|>|<\\*\|im_end\|>|<\\*\|endoftext\|>' AS control FROM turns
+)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(14 + length(text) + len(regexp_extract_all(text, control)) + length(role) + len(regexp_extract_all(role, control)) + 2 * len(regexp_extract_all(role, '[%\n]'))) AS BIGINT) AS formatted_chars
+FROM sized GROUP BY conv_id
+"""
+
+
 @_query
 def op1_grammar_chat(spark, sf_dir):
     probe = "</s>[INST] ok [/INST]"

@@ -41,3 +41,20 @@ def test_conversations_match_brute_force(spark, sf):
     table = spark.read.parquet(f"{sf}/conversations.parquet")
     got = {r.conv_id: (r.n_turns, r.turns_sha256, r.loss_chars, r.loss_sha256) for r in chat.conversations(chat.format_turns(table)).collect()}
     assert got == brute([tuple(r) for r in table.select("conv_id", "turn", "role", "text").collect()])
+
+
+def test_ids_of_other_kinds(spark):
+    rows = [("null", "b", "user", "x"), (None, "a", "user", "y"), ("null", "a", "assistant", "<s>"), ("é", None, "assistant", None)]
+    frame = spark.createDataFrame(rows, "conv_id string, turn string, role string, text string")
+    got = {r.conv_id: (r.n_turns, r.loss_chars) for r in chat.conversations(chat.format_turns(frame)).collect()}
+    assert got == {"null": (2, 3), None: (1, 0), "é": (1, 0)}
+
+
+def test_joined_conversations_parse_to_their_source(spark, sf):
+    table = spark.read.parquet(f"{sf}/conversations.parquet")
+    turns = chat.format_turns(table).orderBy("conv_id", "turn", "rendered").collect()
+    by_conv = {}
+    for r in turns:
+        by_conv.setdefault(r.conv_id, []).append(r)
+    for rows in by_conv.values():
+        assert chat.parse("".join(r.rendered for r in rows)) == [(r.role, r.text) for r in rows]

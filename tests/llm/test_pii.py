@@ -70,6 +70,12 @@ def test_random_texts(spark, texts):
     check(spark, list(enumerate(texts)))
 
 
-@pytest.mark.parametrize(("text", "want"), [("IBAN DE89 3704 0044 0532 0130 00.", "iban:5:32"), ("IBAN DE89 3704 0044 0532 0130 01.", ""), ("account GB82WEST12345698765432", "iban:8:30"), ("my SSN is 123-45-6789", "ssn:10:21"), ("part 123-45-6789", ""), ("SSN 000-45-6789", "")])
+@pytest.mark.parametrize(("text", "want"), [("IBAN DE89 3704 0044 0532 0130 00.", "iban:5:32"), ("IBAN DE89 3704 0044 0532 0130 01.", ""), ("account GB82WEST12345698765432", "iban:8:30"), ("my SSN is 123-45-6789", "ssn:10:21"), ("part 123-45-6789", ""), ("SSN 000-45-6789", ""), ('token = "04dbebab91ab85687d33eeaaf9ac699e1188f962"', "secret:9:49"), ("commit 04dbebab91ab85687d33eeaaf9ac699e1188f962", ""), ("key abcdefghijklmnopqrstuvwxyz", "")])
 def test_added_kinds(spark, text, want):
     assert pii.digest(pii.find_pii(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first().spans == want
+
+
+def test_score_of_a_row(spark):
+    rows = [(1, None), (2, "nothing"), (3, "write to a@b.co"), (4, "e-mail: a@b.co"), (5, "card 4111111111111111"), (6, "ssn 123-45-6789, e-mail a@b.co")]
+    got = {r.doc_id: (r.score, r.n_spans) for r in pii.digest(pii.find_pii(spark.createDataFrame(rows, "doc_id long, text string"))).collect()}
+    assert got == {1: (0, 0), 2: (0, 0), 3: (80, 1), 4: (100, 1), 5: (110, 1), 6: (100, 2)}
