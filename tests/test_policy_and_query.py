@@ -26,14 +26,17 @@ def test_text_policy(sql):
 
 
 def test_order_of_rules_and_exemptions():
-    assert "multiple statements" in policy.check_text("SELECT 1; INSERT INTO t VALUES (1)", Policy(strict_text=True))
+    assert "more than one statement" in policy.check_text("SELECT 1; INSERT INTO t VALUES (1)", Policy(strict_text=True))
     assert policy.check_text("SELECT secret FROM t", Policy(allowed=("secret",))) is None
     assert policy.check_text("SELECT salary FROM t", Policy(redacted=("salary",)))
     assert policy.check_text("SELECT 1 UNION SELECT 2") is None
     assert policy.check_text("SELECT 1 UNION ALL SELECT 2", Policy(strict_text=True))
 
 
-@pytest.mark.parametrize("sql", ["CACHE TABLE orders", "ADD JAR 'x'", "SELECT TRANSFORM(o_orderkey) USING 'cat' FROM orders", "INSERT INTO orders VALUES (1)", "SET spark.x = 1", "BEGIN SELECT 1; END"])
+@pytest.mark.parametrize("sql", ["CACHE TABLE orders", "ADD JAR 'x'", "SELECT TRANSFORM(o_orderkey) USING 'cat' FROM orders", "INSERT INTO orders VALUES (1)", "SET spark.x = 1", "BEGIN SELECT 1; END",
+    "SELECT `java_method`('java.lang.System', 'getProperty', 'user.name')", "SELECT 1 WHERE `reflect`('a', 'b') = 'c'", "SELECT * FROM orders WHERE o_orderkey IN (SELECT try_reflect('a', 'b'))", "SELECT system.builtin.java_method('a', 'b')",
+    "SELECT * FROM text.`/etc/hostname`", "SELECT * FROM orders JOIN parquet.`/x` USING (o_orderkey)", "SELECT * FROM `csv`.`/x`", "SELECT * FROM a.b.c", "SELECT my_udf(1)", "SELECT IDENTIFIER('java_method')('a', 'b')", "SELECT * FROM IDENTIFIER('text.`/etc/hostname`')",
+    "SELECT sum(java_method('a', 'b')) OVER (ORDER BY 1) FROM orders", "SELECT transform(array(1), x -> reflect('a', 'b'))", "WITH t AS (SELECT input_file_name() AS f FROM orders) SELECT * FROM t", "SELECT * FROM read_files('/x')"])
 def test_plan_policy_refuses(spark, sql):
     assert policy.check_plan(spark, sql)
 
@@ -52,6 +55,28 @@ def test_plan_policy_accepts_reading(spark, sql):
     assert guarded(spark, sql, 5).count() >= 0
 
 
+def test_files_stay_closed_whatever_the_session_says(spark):
+    spark.conf.set("spark.sql.runSQLOnFiles", "true")
+    try:
+        for sql in ("SELECT * FROM text.`/etc/hostname`", "SELECT (SELECT max(value) FROM text.`/etc/hostname`)", "SELECT EXISTS (SELECT 1 FROM text.`/etc/hostname`)"):
+            assert answer(spark, sql).state == "refused"
+    finally:
+        spark.conf.set("spark.sql.runSQLOnFiles", "false")
+
+
+def test_named_functions_and_databases(spark):
+    spark.udf.register("double_it", lambda x: x * 2, "int")
+    assert policy.check_plan(spark, "SELECT double_it(1)") and policy.check_plan(spark, "SELECT double_it(1)", Policy(functions=("double_it",))) is None
+    assert policy.check_plan(spark, "SELECT * FROM default.t") is None and policy.check_plan(spark, "SELECT builtin.upper('a')") is None
+
+
+def test_redaction_is_the_default(spark):
+    assert "[FILTERED]" in answer(spark, "SELECT o_custkey FROM orders", 1).text
+    assert guarded(spark, "SELECT o_totalprice FROM orders", 1, Policy(encrypted=("o_custkey",))).first()[0] != "[FILTERED]"
+    assert answer(spark, "SELECT o_totalprice FROM orders", 1, policy=Policy(encrypted=("o_totalprice",))).state == "refused"
+    assert set(guarded(spark, "SELECT * FROM orders", 5, Policy(encrypted=("o_totalprice",))).select("o_totalprice").distinct().collect()) == {("[FILTERED]",)}
+
+
 def test_cap_cannot_be_avoided(spark):
     sql = "SELECT o_orderkey FROM (SELECT * FROM orders LIMIT 900) -- tail"
     assert guarded(spark, sql, 7).count() == 7
@@ -61,9 +86,9 @@ def test_cap_cannot_be_avoided(spark):
 
 
 def test_answers(spark):
-    assert answer(spark, "SELECT 1 AS a, 'x|y' AS b, NULL AS c").text == "| a | b    | c      |\n| - | ---- | ------ |\n| 1 | x\\|y | _NULL_ |\n\n_1 row returned._"
+    assert answer(spark, "SELECT 1 AS a, 'x|y' AS b, NULL AS c").text == "| a | b    | c      |\n| - | ---- | ------ |\n| 1 | x\\|y | _NULL_ |\n\n_1 row._"
     assert answer(spark, "SELECT 'a,b' AS x, 'q\"' AS y", form="csv").text == 'x,y\n"a,b","q"""'
-    assert answer(spark, "SELECT 1 WHERE false").text == "_Query returned 0 rows._"
+    assert answer(spark, "SELECT 1 WHERE false").text == "_No rows._"
     assert answer(spark, "SELECT * FROM nowhere").state == "missing"
     assert answer(spark, "SELECT nothing FROM orders").state == "error"
     assert answer(spark, "DROP TABLE orders").state == "refused"
