@@ -10,13 +10,13 @@ UNCOUNTABLE = ("equipment", "information", "rice", "money", "species", "series",
 IRREGULAR = (("person", "people"), ("man", "men"), ("child", "children"), ("move", "moves"), ("zombie", "zombies"))
 SINGULAR_RULES = (
     ("(database)s$", "$1"), ("(quiz)zes$", "$1"), ("(matr)ices$", "$1ix"), ("(vert|ind)ices$", "$1ex"), ("(alias|status)(es)?$", "$1"),
-    ("(octop|vir)(us|i)$", "$1us"), ("(ax|test)es$", "$1is"), ("(cris|diagnos|analys|bas|hypothes|parenthes)es$", "$1is"), ("(shoe)s$", "$1"), ("(bus)(es)?$", "$1"), ("([ml])ice$", "$1ouse"),
+    ("(octop|vir)(us|i)$", "$1us"), ("(ax|test)es$", "$1is"), ("(cris|diagnos|analys|bas|hypothes|parenthes)es$", "$1is"), ("(shoe)s$", "$1"), ("(o)es$", "$1"), ("(bus)(es)?$", "$1"), ("^(ox)en$", "$1"), ("(hive)s$", "$1"), ("(tive)s$", "$1"), ("([ti])a$", "$1um"), ("([ml])ice$", "$1ouse"),
     ("(x|ch|ss|sh)es$", "$1"), ("(m)ovies$", "$1ovie"), ("([^aeiouy]|qu)ies$", "$1y"), ("([lr])ves$", "$1f"), ("([^f])ves$", "$1fe"),
     ("(n)ews$", "$1ews"), ("(ss)$", "$1"), ("s$", ""),
 )
 PLURAL_RULES = (
     ("(quiz)$", "$1zes"), ("(matr|vert|ind)(?:ix|ex)$", "$1ices"), ("(x|ch|ss|sh)$", "$1es"), ("([^aeiouy]|qu)y$", "$1ies"), ("(?:([^f])fe|([lr])f)$", "$1$2ves"),
-    ("sis$", "ses"), ("(bus|alias|status)$", "$1es"), ("(octop|vir)us$", "$1i"), ("(ax|test)is$", "$1es"), ("s$", "s"), ("$", "s"),
+    ("sis$", "ses"), ("([ti])um$", "$1a"), ("(buffal|her|potat|tomat)o$", "$1oes"), ("^(ox)$", "$1en"), ("(bus|alias|status)$", "$1es"), ("(octop|vir)us$", "$1i"), ("(ax|test)is$", "$1es"), ("s$", "s"), ("$", "s"),
 )
 
 
@@ -60,6 +60,25 @@ def truncate(text: Column, n: int, omission: str = "...") -> Column:
     return F.when(F.length(text) > n, F.concat(F.left(text, F.lit(n - len(omission))), F.lit(omission))).otherwise(text)
 
 
+def truncate_at_word(text: Column, n: int, omission: str = "...") -> Column:
+    """At most n characters, back to the last whole word where there is one, and the omission behind; shorter texts as they are."""
+    cut = F.left(text, F.lit(n))
+    return F.when(F.length(text) > n, F.concat(F.coalesce(F.nullif(F.regexp_extract(cut, r"(?s)^(.*) [^ ]*$", 1), F.lit("")), F.when(cut.startswith(" ") & (F.instr(F.substring(cut, 2, n), " ") == 0), "").otherwise(cut)), F.lit(omission))).otherwise(text)
+
+
+def counted(n: Column, noun: str, many: str | None = None) -> Column:
+    """A number with its noun, in the plural unless it is one."""
+    return F.concat_ws(" ", n.cast("string"), F.when(n == 1, noun).otherwise(F.lit(many) if many else pluralize(F.lit(noun))))
+
+
+def portable_path(path: Column, root: str, installs: tuple[str, ...] = ()) -> Column:
+    """A path below root without it, one below an install folder without that; the longest folder wins, others stay."""
+    out = F.when(path.startswith(f"{root.rstrip('/')}/") if root else F.lit(False), F.substring(path, len(root.rstrip("/")) + 2, 1 << 20))
+    for folder in sorted(installs, key=len, reverse=True):
+        out = out.when(path.startswith(f"{folder.rstrip('/')}/"), F.substring(path, len(folder.rstrip("/")) + 2, 1 << 20))
+    return out.otherwise(path)
+
+
 def bytes_text(size: Column, base: int = 1024) -> Column:
     """A byte count with its unit and at most one decimal, in powers of 1024 or 1000."""
     out = None
@@ -117,5 +136,7 @@ def words_in_run(text: Column, phrase: list[str]) -> Column:
 
 
 def sql_without_comments(sql: Column) -> Column:
-    """SQL text without block, line and hash comments."""
-    return F.trim(F.regexp_replace(F.regexp_replace(F.regexp_replace(sql, r"(?s)/\*.*?\*/", " "), r"--[^\n]*", " "), r"(?m)^\s*#[^\n]*", " "))
+    """SQL text without block, line and hash comments; what an executable comment holds stays."""
+    for pattern, put in ((r"(?s)/\*!\d*(.*?)\*/", " $1 "), (r"(?s)/\*.*?\*/", " "), (r"--[^\n]*", " "), (r"(?m)^\s*#[^\n]*", " ")):
+        sql = F.regexp_replace(sql, pattern, put)
+    return F.trim(sql)

@@ -4,15 +4,17 @@ from __future__ import annotations
 
 import re
 import tempfile
+import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and keep it in the session's checkpoint folder, so that plans do not grow with the number of rounds.
+    """Compute df once and keep it as a table in the session's checkpoint folder, so that plans do not grow with the number of rounds.
 
-    Where no folder is set, a session that runs in this process alone gets a temporary one; any other one is refused.
+    A checkpoint would hand on what the optimizer knows about its rows, which doubles from round to round; a table does not. Where no folder is set, a session that runs in this process alone gets a temporary one; any other one is refused.
     """
     spark = df.sparkSession
     context = spark.sparkContext
@@ -21,7 +23,9 @@ def cut(df: DataFrame) -> DataFrame:
         if not named and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    return df.checkpoint()
+    kept = f"{context.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
+    df.write.parquet(kept)
+    return spark.read.schema(df.schema).parquet(kept)
 
 
 def association_edges(associations: DataFrame) -> DataFrame:
@@ -34,13 +38,7 @@ def association_edges(associations: DataFrame) -> DataFrame:
 def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """Nodes within ``depth`` steps in either direction of the start (node), with their distance. Depth is at most 3."""
     both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
-    seen = start.select("node").distinct().withColumn("distance", F.lit(0))
-    front = seen.select("node")
-    for step in range(1, min(max(depth, 1), 3) + 1):
-        reached = both.join(front.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
-        front = reached.join(seen.select("node"), "node", "left_anti")
-        seen = seen.unionByName(front.withColumn("distance", F.lit(step)))
-    return seen
+    return closure(both, start, min(max(depth, 1), 3)).withColumnRenamed("depth", "distance")
 
 
 def _in_cycles(plain: DataFrame) -> DataFrame:
@@ -67,14 +65,28 @@ def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
     return out
 
 
-def closure(edges: DataFrame, start: DataFrame, depth: int = 10) -> DataFrame:
-    """Nodes reached from the start along the edges, with the least depth; cycles end where a node was seen."""
-    seen = start.select("node").distinct().withColumn("depth", F.lit(0))
-    front = seen.select("node")
-    for d in range(1, depth + 1):
-        front = edges.join(front.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct().join(seen.select("node"), "node", "left_anti")
-        seen = seen.unionByName(front.withColumn("depth", F.lit(d)))
-    return seen
+def closure(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
+    """Nodes reached from the start along the edges, with the least depth, until nothing new is met or to a given depth; cycles end where a node was seen.
+
+    Each front is kept, so the plan grows by one scan a level.
+    """
+    fronts = [cut(start.select("node").distinct())]
+    while depth is None or len(fronts) <= depth:
+        met = edges.join(fronts[-1].withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
+        front = cut(met.join(reduce(DataFrame.unionByName, fronts), "node", "left_anti"))
+        if front.isEmpty():
+            break
+        fronts.append(front)
+    return reduce(DataFrame.unionByName, (f.withColumn("depth", F.lit(d)) for d, f in enumerate(fronts)))
+
+
+def hierarchies(models: DataFrame) -> DataFrame:
+    """Bases of models that share a table (model, parent, table): base, table and its sorted children. A base is a model whose parent is none of the models."""
+    parents = models.select(F.col("model").alias("parent")).distinct()
+    child = models.join(parents, "parent", "left_semi")
+    base = models.join(parents.withColumnRenamed("parent", "_p"), F.col("parent") == F.col("_p"), "left_anti")
+    grouped = child.groupBy("table").agg(F.sort_array(F.collect_set("model")).alias("children"))
+    return base.select(F.col("model").alias("base"), "table").join(grouped, "table")
 
 
 def nearest_with_rows(parents: DataFrame, rows: DataFrame) -> DataFrame:
@@ -104,6 +116,25 @@ def through_hops(edges: DataFrame) -> DataFrame:
     return edges.select(F.explode(hops).alias("e")).select("e.src", "e.dst").distinct()
 
 
+def drawn_edges(edges: DataFrame, implementers: DataFrame) -> DataFrame:
+    """src, arrow, label and dst of a drawing, each once: edges through a node as two, polymorphic ones to an interface that others (name, model) implement, all others as they are."""
+    arrow = lambda src, kind, label, dst: F.struct(src.alias("src"), F.lit(kind).alias("arrow"), label.alias("label"), dst.alias("dst"))
+    src, dst, via = F.col("src"), F.col("dst"), F.col("through")
+    hops = F.array(arrow(src, "==>", F.lit("through"), via), arrow(via, "==>", F.lit("through"), dst))
+    plain = F.when(via.isNotNull(), hops).when(F.col("polymorphic"), F.array(arrow(src, "-.->", F.lit("polymorphic"), dst))).otherwise(F.array(arrow(src, "-->", F.col("type"), dst)))
+    drawn = edges.select(F.explode(plain).alias("e")).select("e.*")
+    open_ends = edges.where("polymorphic and through is null").join(implementers, F.col("dst") == F.col("name"))
+    backs = open_ends.select(F.col("model").alias("src"), F.lit("-.->").alias("arrow"), F.lit("implements").alias("label"), F.col("src").alias("dst"))
+    return drawn.unionByName(backs).distinct()
+
+
+def drawn_text(drawn: DataFrame) -> DataFrame:
+    """The lines of a flow chart for each source of :func:`drawn_edges`; names lose what is no letter, digit or underscore."""
+    plain = lambda c: F.regexp_replace(F.col(c).cast("string"), "[^A-Za-z0-9_]", "_")
+    line = F.concat(plain("src"), F.lit(" "), "arrow", F.lit("|"), "label", F.lit("| "), plain("dst"))
+    return drawn.select("src", line.alias("line")).groupBy("src").agg(F.array_join(F.sort_array(F.collect_set("line")), "\n").alias("lines"))
+
+
 def related(edges: DataFrame, chosen: DataFrame) -> DataFrame:
     """Nodes one step away from the chosen ones (node) and not among them."""
     out = edges.join(chosen.withColumnRenamed("node", "src"), "src", "left_semi").select(F.col("dst").alias("node"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -48,10 +50,60 @@ def counter_gaps(columns: DataFrame, declared: DataFrame) -> DataFrame:
     return counters.join(held, (F.col("table") == F.col("_t")) & (F.col("of") == F.col("_n")), "left_anti")
 
 
-def mentions(texts: DataFrame, text: str, names: DataFrame, name: str, token: str = r"\.([A-Za-z_]\w*)") -> DataFrame:
-    """Texts joined to the names they mention as a token. Tokens are taken out of the text and joined by equality, which holds at any size."""
-    found = texts.withColumn("_token", F.explode(F.array_distinct(F.regexp_extract_all(text, F.lit(token), F.lit(1)))))
-    return found.join(names, found["_token"] == names[name]).drop("_token").dropDuplicates()
+def mentions(texts: DataFrame, key: str, text: str, names: DataFrame, name: str, token: str = r"\.([A-Za-z_][A-Za-z0-9_]*)", fold: bool = False) -> DataFrame:
+    """Keys of texts joined to the names they mention as a token, each once; fold: tokens are lower-cased.
+
+    Tokens are taken out of the text and joined by equality, which holds at any size; the text itself goes nowhere.
+    """
+    found = F.regexp_extract_all(text, F.lit(token), F.lit(1))
+    spread = texts.select(key, F.explode(F.array_distinct(F.transform(found, F.lower) if fold else found)).alias("_token"))
+    return spread.join(names, spread["_token"] == names[name]).drop("_token").dropDuplicates()
+
+
+def repeated_loads(chains: DataFrame, associations: DataFrame, views: DataFrame) -> DataFrame:
+    """Controller chains (controller, action, model) that load a model whose association (model, name) their view (controller, action, mention) mentions.
+
+    One row for each controller, action, model and association. Mentions are joined by equality, so no pair of chain and view is
+    tried that shares neither.
+    """
+    loaded = chains.join(associations, "model")
+    seen = views.select("controller", "action", F.col("mention").alias("name"))
+    return loaded.join(seen, ["controller", "action", "name"], "left_semi").select("controller", "action", "model", "name").distinct()
+
+
+def unknown_members(named: DataFrame, known: list[DataFrame], keys: list[str], exempt: DataFrame | None = None, within: DataFrame | None = None) -> DataFrame:
+    """Different rows of named, by keys, that no relation of known has; the first key is the owner.
+
+    exempt: owners about which nothing follows. within: owners that are known at all. Null keys are never unknown.
+    """
+    every = reduce(DataFrame.unionByName, (k.select(keys) for k in known)).distinct()
+    left = named.select(keys).dropna().distinct()
+    left = left if within is None else left.join(within.select(keys[0]).distinct(), keys[0], "left_semi")
+    left = left if exempt is None else left.join(exempt.select(keys[0]).distinct(), keys[0], "left_anti")
+    return left.join(every, keys, "left_anti")
+
+
+def declared_unindexed(foreign_keys: DataFrame, belongs_to: DataFrame, indexes: DataFrame) -> DataFrame:
+    """Declared keys (table, name), from foreign keys and from associations, that lead no index (table, columns)."""
+    leading = indexes.select("table", F.get("columns", F.lit(0)).alias("name"))
+    return foreign_keys.select("table", "name").unionByName(belongs_to.select("table", "name")).dropna().distinct().join(leading, ["table", "name"], "left_anti")
+
+
+def changed_without_test(changed: DataFrame, path: str = "path") -> DataFrame:
+    """Changed controllers without a changed test under any of its names: a controller or a request test of either framework."""
+    base = F.regexp_extract(path, r"^app/controllers/(.*)_controller\.rb$", 1)
+    controllers = changed.select(path, base.alias("_base")).where("_base != ''")
+    forms = ("spec/controllers/{}_controller_spec.rb", "spec/requests/{}_spec.rb", "test/controllers/{}_controller_test.rb", "test/integration/{}_test.rb")
+    wanted = F.array(*(F.concat(F.lit(f.split("{}")[0]), F.col("_base"), F.lit(f.split("{}")[1])) for f in forms))
+    tried = controllers.select(path, F.explode(wanted).alias("_test")).join(changed.select(F.col(path).alias("_test")).distinct(), "_test", "left_semi")
+    return controllers.select(path).distinct().join(tried.select(path).distinct(), path, "left_anti")
+
+
+def pending_versions(files: DataFrame, applied: DataFrame, version: str = "version") -> DataFrame:
+    """Versions of files that were not applied, compared as numbers: leading zeros and blanks make no difference; what is no number is left out."""
+    number = F.expr(f"try_cast(trim({version}) as decimal(38, 0))")
+    have = applied.select(number.alias("_v")).where("_v is not null").distinct()
+    return files.withColumn("_v", number).where("_v is not null").join(have, "_v", "left_anti").drop("_v")
 
 
 def head(stream: Column) -> Column:
@@ -59,6 +111,11 @@ def head(stream: Column) -> Column:
     return F.substring_index(F.regexp_replace(stream, "^@", ""), "{", 1)
 
 
+def unmatched_both(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """Streams of either side without a partner on the other, with the side they are on."""
+    return unmatched(left, right, key).select(key, F.lit("left").alias("side")).unionByName(unmatched(right, left, key).select(key, F.lit("right").alias("side")))
+
+
 def unmatched(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     """Streams of left with no stream of right that is equal or begins alike up to its placeholder."""
     heads = right.select(head(F.col(key)).alias("_head")).distinct()

@@ -67,6 +67,13 @@ def ranked(df: DataFrame, by: list[Column], n: int, partition: list[str] = ()) -
     return df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= n)
 
 
+def page_info(total: int, offset: int = 0, limit: int = 50) -> dict:
+    """How a page of :func:`page` lies in all rows: total, from and to (from 1; 0 for an empty page), and the offset of the next page or None."""
+    first, size = max(0, offset), max(1, limit)
+    shown = max(0, min(size, total - first))
+    return {"total": total, "from": first + 1 if shown else 0, "to": first + shown if shown else 0, "next_offset": first + size if first + size < total else None}
+
+
 def page(df: DataFrame, order: list[str], offset: int = 0, limit: int = 50) -> DataFrame:
     """A page of a total order; a negative offset counts as 0, a limit below 1 as 1."""
     return df.orderBy(*order).offset(max(0, offset)).limit(max(1, limit))
@@ -85,6 +92,8 @@ def listed_order(value: Column, order: list[str], otherwise: int = 99) -> Column
 
 def within_budget(df: DataFrame, budget: int, partition: list[str], order: list[str]) -> DataFrame:
     """The leading rows of each partition whose JSON fits into a budget of characters, separators included."""
-    w = Window.partitionBy(*partition).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
-    sized = df.withColumn("_size", F.length(F.to_json(F.struct(*df.columns))) + 1)
-    return sized.withColumn("json_chars", F.sum("_size").over(w)).where(F.col("json_chars") <= budget).drop("_size")
+    w = Window.partitionBy(*partition).orderBy(*order)
+    # A row takes three characters at least, so only so many can fit; that rank is cut in each task before the shuffle.
+    few = df.withColumn("_nth", F.row_number().over(w)).where(F.col("_nth") <= max(1, budget // 3))
+    sized = few.withColumn("_size", F.length(F.to_json(F.struct(*df.columns))) + 1)
+    return sized.withColumn("json_chars", F.sum("_size").over(w.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("json_chars") <= budget).drop("_size", "_nth")

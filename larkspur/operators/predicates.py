@@ -43,7 +43,7 @@ def applies(only: Column, skipped: Column, action: Column) -> Column:
 
 def line_pattern(pattern: str, mode: str = "any", exact: bool = False) -> str:
     """The line pattern of a search mode: any, definition, class or call."""
-    core = rf"\b(?:{pattern})\b" if exact else f"(?:{pattern})"
+    core = rf"(?<![A-Za-z0-9_])(?:{pattern})(?![A-Za-z0-9_])" if exact else f"(?:{pattern})"
     return {
         "any": core,
         "definition": rf"^\s*def\s+(?:self\.)?{core}",
@@ -57,6 +57,22 @@ def line_matches(line: Column, pattern: str, mode: str = "any", exact: bool = Fa
     return hit & ~line.rlike(r"^\s*def\s") if mode == "call" else hit
 
 
+# Kinds of changed files in a review, of environment variables and of error messages, first match first.
+REVIEW_KINDS = (
+    (r"^app/models/", "model"), (r"^app/controllers/", "controller"), (r"^db/migrate/", "migration"), (r"^app/views/", "view"), (r"^config/routes", "routes"), (r"^(?:spec|test)/", "test"),
+    (r"^app/services/", "service"), (r"^app/jobs/", "job"), (r"^app/javascript/", "javascript"), (r"^config/", "config"),
+)
+VARIABLE_KINDS = (
+    (r"(?i)API_KEY|SECRET|TOKEN", "API Keys & Secrets"), (r"(?i)MAIL|IMAP|SMTP", "Mail"), (r"(?i)DATABASE|DB_|REDIS", "Database"), (r"(?i)OTEL|SENTRY|DATADOG|NEWRELIC|APPSIGNAL", "Monitoring"),
+    (r"(?i)PUSH|VAPID|FCM", "Push Notifications"), (r"(?i)PORT|CONCURRENCY|THREADS|WORKERS|TIMEOUT|QUEUE|PIDFILE", "Infrastructure"),
+)
+ERROR_KINDS = (
+    (r"undefined local variable or method(?![A-Za-z0-9_])", "NameError"), (r"uninitialized constant(?![A-Za-z0-9_])", "NameError"), (r"undefined method(?![A-Za-z0-9_])", "NoMethodError"),
+    (r"wrong number of arguments|missing keywords?:|unknown keywords?:", "ArgumentError"), (r"(?i)couldn't find .+ with", "ActiveRecord::RecordNotFound"), (r"(?i)param is missing or the value is empty", "ActionController::ParameterMissing"),
+    (r"(?i)no route matches", "ActionController::RoutingError"), (r'(?i)no such column|no such table|relation ".+" does not exist|column .+ does not exist', "ActiveRecord::StatementInvalid"),
+)
+
+
 def first_case(value: Column, rules: Iterable[tuple[str, str]], otherwise: str | None = None) -> Column:
     """The label of the first pattern that matches."""
     out = None
@@ -91,9 +107,12 @@ def fuzzy_key(df: DataFrame, column: str, wanted: str) -> DataFrame:
 
 
 def closest(df: DataFrame, column: str, wanted: str) -> DataFrame:
-    """The nearest name: equal but for case, then the shortest that holds it or is held, then one with the same first three letters."""
+    """The nearest name: equal but for case and word form, then the shortest that holds it or is held, then one with the same first three letters. A blank name has none."""
     c, w = F.lower(F.col(column)), wanted.lower()
-    rank = F.when(c == w, 1).when(c.contains(w) | F.lit(w).contains(c), 2).when((F.length(c) >= 3) & (F.left(c, F.lit(3)) == w[:3]), 3)
+    if not wanted.strip():
+        return df.withColumn("match_rank", F.lit(None).cast("int")).limit(0)
+    low, under = F.lower(underscore(F.col(column))), F.lower(underscore(F.lit(wanted)))
+    rank = F.when((c == w) | (low == under) | (c == under) | (low == w), 1).when(c.contains(w) | F.lit(w).contains(c), 2).when((F.length(c) >= 3) & (F.left(c, F.lit(3)) == w[:3]), 3)
     return df.withColumn("match_rank", rank).where("match_rank is not null").orderBy("match_rank", F.length(c), column).limit(1)
 
 

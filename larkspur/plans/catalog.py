@@ -18,4 +18,4 @@ def query(sql: str | None = None):
     return register
 
 
-from larkspur.plans import queries_audit, queries_sql, queries_text  # noqa: E402, F401  they register themselves
+from larkspur.plans import queries_audit, queries_rules, queries_sql, queries_text  # noqa: E402, F401  they register themselves

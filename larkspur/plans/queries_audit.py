@@ -10,10 +10,10 @@ from larkspur.plans.catalog import query
 from larkspur.session import table
 
 
-@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("SELECT c_custkey, c_name FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_orderstatus = 'P' AND o_orderpriority = '1-URGENT')")
 def orphan_anti(spark, sf_dir):
-    """Rows without a partner."""
-    return joins.missing(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders"), [(F.col("c_custkey"), F.col("o_custkey"))]).select("c_custkey", "c_name")
+    """Rows without a partner."""
+    return joins.missing(table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderstatus = 'P' and o_orderpriority = '1-URGENT'"), [(F.col("c_custkey"), F.col("o_custkey"))]).select("c_custkey", "c_name")
 
 
 @query("SELECT s_suppkey FROM supplier WHERE NOT EXISTS (SELECT 1 FROM customer WHERE replace(lower(c_name), 'customer#', '') = replace(lower(s_name), 'supplier#', '') AND c_nationkey = s_nationkey)")
@@ -37,14 +37,14 @@ def fuzzy_anti(spark, sf_dir):
 
 @query("""
 SELECT n_nationkey, CASE WHEN c.k IS NULL THEN 'suppliers only' WHEN s.k IS NULL THEN 'customers only' ELSE 'both' END AS found_in, c.customers, s.suppliers FROM
-(SELECT c_nationkey AS k, string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_mktsegment) AS customers FROM customer WHERE c_acctbal > 9000 GROUP BY 1) c
-FULL OUTER JOIN (SELECT s_nationkey AS k, string_agg(DISTINCT CAST(floor(s_acctbal / 5000) AS VARCHAR), '|' ORDER BY CAST(floor(s_acctbal / 5000) AS VARCHAR)) AS suppliers FROM supplier WHERE s_acctbal > 5000 GROUP BY 1) s ON c.k = s.k
+(SELECT c_nationkey AS k, string_agg(DISTINCT c_mktsegment, '|' ORDER BY c_mktsegment) AS customers FROM customer WHERE c_nationkey > 3 GROUP BY 1) c
+FULL OUTER JOIN (SELECT s_nationkey AS k, string_agg(DISTINCT CAST(floor(s_acctbal / 5000) AS VARCHAR), '|' ORDER BY CAST(floor(s_acctbal / 5000) AS VARCHAR)) AS suppliers FROM supplier WHERE s_nationkey < 20 GROUP BY 1) s ON c.k = s.k
 JOIN nation ON n_nationkey = coalesce(c.k, s.k)
 """.replace("CAST(floor(s_acctbal / 5000) AS VARCHAR)", "CAST(CAST(floor(s_acctbal / 5000) AS BIGINT) AS VARCHAR)"))
 def full_outer_label(spark, sf_dir):
     """Both sides of a key, and where it occurs."""
-    left = table(spark, sf_dir, "customer").where("c_acctbal > 9000").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("v"))
-    right = table(spark, sf_dir, "supplier").where("s_acctbal > 5000").select(F.col("s_nationkey").alias("n_nationkey"), F.floor(F.col("s_acctbal") / 5000).cast("string").alias("v"))
+    left = table(spark, sf_dir, "customer").where("c_nationkey > 3").select(F.col("c_nationkey").alias("n_nationkey"), F.col("c_mktsegment").alias("v"))
+    right = table(spark, sf_dir, "supplier").where("s_nationkey < 20").select(F.col("s_nationkey").alias("n_nationkey"), F.floor(F.col("s_acctbal") / 5000).cast("string").alias("v"))
     both = joins.side_by_side(left, right, "n_nationkey", "v", ("customers", "suppliers"))
     return both.select("n_nationkey", "found_in", F.array_join("customers", "|").alias("customers"), F.array_join("suppliers", "|").alias("suppliers"))
 
@@ -94,8 +94,7 @@ def counter_gaps(spark, sf_dir):
 def mention_join(spark, sf_dir):
     """Texts joined to the names they mention, by token instead of by pattern."""
     names = table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")).unionByName(spark.createDataFrame([("the",), ("und",), ("que",)], "word string")).distinct()
-    docs = table(spark, sf_dir, "documents").select("doc_id", F.lower(F.translate("text", "ÀÉÈ", "   ")).alias("low"))
-    return joins.mentions(docs, "low", names, "word", "([a-z]+)").select("doc_id", "word").distinct()
+    return joins.mentions(table(spark, sf_dir, "documents"), "doc_id", "text", names, "word", "([A-Za-z]+)", fold=True).select("doc_id", "word")
 
 
 @query("""
@@ -307,14 +306,14 @@ def _edges(spark):
 
 
 @query("""
-WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem WHERE l_linenumber = 1), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
+WITH RECURSIVE e AS (SELECT DISTINCT 'p' || l_partkey AS a, 's' || l_suppkey AS b FROM lineitem), both_ways AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 h0 AS (SELECT 'p1' AS node), h1 AS (SELECT DISTINCT b AS node FROM both_ways WHERE a IN (SELECT node FROM h0) AND b NOT IN (SELECT node FROM h0)),
 h2 AS (SELECT DISTINCT b AS node FROM both_ways WHERE a IN (SELECT node FROM h1) AND b NOT IN (SELECT node FROM h0) AND b NOT IN (SELECT node FROM h1))
 SELECT node, 0 AS distance FROM h0 UNION ALL SELECT node, 1 FROM h1 UNION ALL SELECT node, 2 FROM h2
 """)
 def khop(spark, sf_dir):
     """Two steps around a part."""
-    items = table(spark, sf_dir, "lineitem").where("l_linenumber = 1")
+    items = table(spark, sf_dir, "lineitem")
     edges = items.select(F.concat(F.lit("p"), "l_partkey").alias("src"), F.concat(F.lit("s"), "l_suppkey").alias("dst")).distinct()
     return graph.neighbourhood(edges, spark.createDataFrame([("p1",)], "node string"), 2)
 
@@ -345,22 +344,22 @@ def related_nodes(spark, sf_dir):
 
 
 @query("""
-WITH RECURSIVE up(node, here, distance) AS (SELECT c_custkey, c_custkey, 0 FROM customer UNION ALL SELECT node, here // 10, distance + 1 FROM up WHERE here > 0 AND distance < 5)
+WITH RECURSIVE up(node, here, distance) AS (SELECT c_custkey, c_custkey, 0 FROM customer UNION ALL SELECT node, here // 10, distance + 1 FROM up WHERE here > 0)
 SELECT node, arg_min(here, distance) AS ancestor, CAST(min(distance) AS INTEGER) AS distance FROM up WHERE here IN (SELECT o_custkey FROM orders) GROUP BY node
 """)
 def nearest_ancestor(spark, sf_dir):
-    """The nearest ancestor that has rows."""
+    """The nearest ancestor that has rows."""
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("node"))
     parents = customers.select("node", F.when(F.col("node") > 0, F.floor(F.col("node") / 10)).alias("parent"))
     return graph.nearest_with_rows(parents, table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("node")).distinct())
 
 
-@query("WITH RECURSIVE r(node, depth) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT p_partkey, depth + 1 FROM part JOIN r ON p_partkey = node * 2 OR p_partkey = node * 3 WHERE depth < 8) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node")
+@query("WITH RECURSIVE r(node, depth) AS (SELECT 1::BIGINT, 0 UNION ALL SELECT p_partkey, depth + 1 FROM part JOIN r ON p_partkey = node * 2 OR p_partkey = node * 3) SELECT node, CAST(min(depth) AS INTEGER) AS depth FROM r GROUP BY node")
 def inclusion_closure(spark, sf_dir):
-    """Files that draw other files, to a bounded depth."""
+    """Files that draw other files, until nothing new is met."""
     parts = table(spark, sf_dir, "part").select(F.col("p_partkey").alias("dst"))
     by = lambda k: parts.where(f"dst % {k} = 0").select((F.col("dst") / k).cast("long").alias("src"), "dst")
-    return graph.closure(by(2).unionByName(by(3)), spark.createDataFrame([(1,)], "node long"), 8)
+    return graph.closure(by(2).unionByName(by(3)), spark.createDataFrame([(1,)], "node long"))
 
 
 @query("SELECT o_custkey AS src, string_agg(DISTINCT o_custkey || ' --> ' || o_orderstatus, chr(10) ORDER BY o_custkey || ' --> ' || o_orderstatus) AS lines FROM orders GROUP BY o_custkey")

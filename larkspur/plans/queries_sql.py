@@ -192,8 +192,8 @@ def byte_sizes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.bytes_text(F.octet_length("text")).alias("size"))
 
 
-_WORDS = ("users", "categories", "boxes", "people", "status", "statuses", "analyses", "wolves", "knives", "news", "sheep", "buses", "quizzes", "matrices", "heroes", "order_items")
-_SINGULAR = ("user", "category", "box", "person", "status", "status", "analysis", "wolf", "knife", "news", "sheep", "bus", "quiz", "matrix", "heroe", "order_item")
+_WORDS = ("users", "categories", "boxes", "people", "status", "statuses", "analyses", "wolves", "knives", "news", "sheep", "buses", "quizzes", "matrices", "heroes", "order_items", "archives", "natives", "potatoes", "shoes", "data", "oxen", "hives")
+_SINGULAR = ("user", "category", "box", "person", "status", "status", "analysis", "wolf", "knife", "news", "sheep", "bus", "quiz", "matrix", "hero", "order_item", "archive", "native", "potato", "shoe", "datum", "ox", "hive")
 
 
 @query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in zip(_WORDS, _SINGULAR, strict=True)) + ") AS t(word, one)")

@@ -143,10 +143,10 @@ def classify_case(spark, sf_dir):
     return table(spark, sf_dir, "pages").select("page_id", predicates.first_case(F.col("url"), rules, "other").alias("kind"))
 
 
-@query("SELECT doc_id, line_number FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM documents) WHERE regexp_matches(content, '(^|[^0-9A-Za-z_])The($|[^0-9A-Za-z_])') AND NOT regexp_matches(content, '[^\\x00-\\x7F]')")
+@query("SELECT doc_id, line_number FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS content, generate_subscripts(string_split(text, chr(10)), 1) AS line_number FROM documents) WHERE regexp_matches(content, '(^|[^0-9A-Za-z_])The($|[^0-9A-Za-z_])')")
 def line_search(spark, sf_dir):
     """Lines that call a name, whole words only."""
-    numbered = files.lines(table(spark, sf_dir, "documents"), "text", "doc_id").where(~F.col("content").rlike(r"[^\x00-\x7F]"))
+    numbered = files.lines(table(spark, sf_dir, "documents"), "text", "doc_id")
     return numbered.where(predicates.line_matches(F.col("content"), "The", "call", True)).select("doc_id", F.col("line_number").cast("long"))
 
 

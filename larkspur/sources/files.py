@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators.graph import cut
 from larkspur.operators.predicates import SENSITIVE_GLOBS, is_sensitive_path
 
 TOPIC_SCHEMA = "id string, title string, source string, summary string, keywords array<string>, category string, path string"
@@ -36,19 +37,21 @@ def locked_versions(numbered: DataFrame, partition: str, line: str, order: str)
     return marked.where(name != "").select(partition, "section", name.alias("name"), F.substring_index(version, "-", 1).alias("version"))
 
 
-def locale_keys(rows: DataFrame, locale: str, document: str, depth: int = 4) -> DataFrame:
-    """Dotted keys of nested JSON documents, down to ``depth`` levels of maps."""
-    level = rows.select(F.col(locale).alias("locale"), F.lit("").alias("key"), F.parse_json(document).alias("v"))
+def locale_keys(rows: DataFrame, locale: str, document: str) -> DataFrame:
+    """Dotted keys of nested JSON documents, however deep; an empty map has no keys. Each level is kept, so the plan does not grow with the depth."""
+    level = rows.select(F.col(locale).alias("locale"), F.lit("").alias("key"), F.col(document).alias("doc"))
     out = None
-    for _ in range(depth):
+    while True:
         level.createOrReplaceTempView("_locale_level")
         inner = level.sparkSession.sql(
-            "SELECT l.locale, concat(if(l.key = '', '', concat(l.key, '.')), e.key) AS key, e.value AS v FROM _locale_level l, LATERAL variant_explode_outer(l.v) AS e WHERE e.key IS NOT NULL"
+            "SELECT l.locale, concat(if(l.key = '', '', concat(l.key, '.')), e.key) AS key, e.value AS v FROM _locale_level l, LATERAL variant_explode_outer(parse_json(l.doc)) AS e WHERE e.key IS NOT NULL"
         )
-        leaf = ~F.schema_of_variant("v").startswith("OBJECT")
-        out = inner.where(leaf).select("locale", "key") if out is None else out.unionByName(inner.where(leaf).select("locale", "key"))
-        level = inner.where(~leaf)
-    return out
+        inner = cut(inner.select("locale", "key", F.schema_of_variant("v").startswith("OBJECT").alias("deeper"), F.to_json("v").alias("doc")))
+        leaves = inner.where("not deeper").select("locale", "key")
+        out = leaves if out is None else out.unionByName(leaves)
+        level = inner.where("deeper").select("locale", "key", "doc")
+        if level.isEmpty():
+            return out
 
 
 # SQL type names of dumps by the name they are given, first match first.
@@ -117,9 +120,10 @@ def row_counts(spark: SparkSession, sf_dir: str, names: tuple[str, ...]) -> Data
 
 
 def fingerprint(found: DataFrame) -> DataFrame:
-    """One digest of paths, times and lengths: a renamed, changed or resized file changes it."""
-    each = F.sha2(F.concat_ws(":", "path", F.col("modified").cast("string"), F.col("length").cast("string")), 256)
-    return found.select(each.alias("h")).agg(F.sha2(F.array_join(F.sort_array(F.collect_list("h")), ","), 256).alias("fingerprint"))
+    """One digest of paths, times and lengths: a renamed, changed or resized file changes it. Sums of hashes need no order and no list of files."""
+    parts = [F.xxhash64(F.lit(seed), "path", "modified", "length") for seed in range(4)]
+    sums = found.select(*(p.alias(f"h{i}") for i, p in enumerate(parts))).agg(F.count("*").alias("n"), *(F.sum(F.col(f"h{i}").cast("decimal(20, 0)")).alias(f"s{i}") for i in range(4)))
+    return sums.select(F.sha2(F.concat_ws(",", *(F.col(c).cast("string") for c in sums.columns)), 256).alias("fingerprint"))
 
 
 def catalog_columns(spark: SparkSession) -> DataFrame:
