@@ -3,38 +3,37 @@
 Fingerprints are made where the texts lie. Equal fingerprints are one class from then on, so copies cost nothing.
 Two fingerprints within radius r agree on at least b - r of b equal bit ranges: every choice of b - r ranges is a
 table of buckets, and any pair within the radius meets in one of them. Inside a bucket the fingerprints are stored
-as 64 vertical bit planes; one fingerprint is compared with all of them at once by XOR and a carry-save counter of
-two bits with a sticky overflow, and the comparison ends as soon as every lane exceeds the radius. A bucket returns
-the edges of a spanning forest, never its pairs. Components are found by alternating large-star and small-star
+as 64 vertical bit planes; a fingerprint is compared with those after it in blocks of 64 lanes, by XOR and carry-save
+counters, and a block is abandoned as soon as every lane exceeds the radius (:mod:`larkspur.llm.bitslice`). A bucket
+returns the edges of a spanning forest, never its pairs. Components are found by alternating large-star and small-star
 steps over the edges, with the edges kept in the shared folder between rounds.
 
-A bucket above ``bucket_limit`` different fingerprints is not compared there: its members get, besides their own,
-the keys with one bit flipped (for radius 2), and two of them share a key exactly if they are within the radius.
-That way is linear in the bucket, and loses no link.
+For radius 2, a bucket above ``bucket_limit`` different fingerprints is not compared there: its members get, besides
+their own, the keys with one bit flipped, and two of them share a key exactly if they are within the radius. That way is
+linear in the bucket. For other radii such a bucket is dealt into parts that meet two by two. No link is lost either way.
 
-Texts that are null or blank have fingerprint 0 and link like any other. Rows with the same id are separate rows;
-the class id is the smallest id of the class, ignoring null ids. An empty table gives an empty result.
+Texts that are null or blank have fingerprint 0 and link like any other. Very long texts are read in whole, a chunk of
+shingles at a time. Rows with the same id are separate rows; the class id is the smallest id of the class, ignoring null
+ids. An empty table gives an empty result. Other columns, whatever their names, are ignored.
 
-``keep_first``, the pipeline's stage, judges by Jaccard similarity of five-word shingles instead, which no radius of a
-fingerprint decides: pairs are found by prefixes of their shingle sets and compared in full, so none is missed.
+A radius of two bits of 64 connects texts that hardly differ. The pipeline's stage asks for a Jaccard similarity of
+0.8 instead (:func:`larkspur.llm.near_text.keep_first`), compared by the same bit slices with exact radii.
 """
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
-from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut, small
+from larkspur.llm.bitslice import Work, forest, hits, later, planes_of
+from larkspur.llm.common import cut
 
 BITS, CHUNK = 64, 1 << 15
-BITMAP = ("b0", "b1", "b2", "b3")
 
 
 def fingerprint(text: bytes, width: int = 3, seed: int = 42) -> int:
@@ -66,93 +65,35 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, fp long")
 
 
-def _planes(marks: np.ndarray, lanes: int) -> np.ndarray:
-    """(buckets, n) fingerprints as (64, buckets, words of lanes) bit planes; n is filled up to the lanes with zeros."""
-    k, n = marks.shape
-    full = np.zeros((k, -(-n // lanes) * lanes), np.uint64)
-    full[:, :n] = marks
-    bits = np.unpackbits(full.view(np.uint8).reshape(k, -1, 8), axis=2, bitorder="little")
-    packed = np.packbits(bits.transpose(2, 0, 1), axis=2, bitorder="little")
-    return np.ascontiguousarray(packed).view(f"u{lanes // 8}")
+def bucket_edges(marks: np.ndarray, bounds: np.ndarray, radius: int, work: Work | None = None, rows: int = 1 << 16) -> tuple[np.ndarray, np.ndarray]:
+    """Edges of a spanning forest of the pairs within the radius in each bucket; bucket i is marks[bounds[i]:bounds[i + 1]], of different fingerprints.
 
-
-def within(planes: np.ndarray, query_bits: np.ndarray, radius: int) -> np.ndarray:
-    """Lanes within the radius of each query: planes (64, k, w), query_bits (64, q) of 0 or all ones with q = k, or k = 1.
-
-    ones and twos count differing bits up to 3; more sets the sticky lane. Radius 0 to 3.
+    Fingerprints meet only those after them, in blocks of 64 lanes. About ``rows`` blocks are compared at once.
     """
-    shape = np.broadcast_shapes(planes.shape[1:], (query_bits.shape[1], 1))
-    ones, twos, over = (np.zeros(shape, planes.dtype) for _ in range(3))
-    full = np.array(-1).astype(planes.dtype)
-    for at in range(0, BITS, 8):
-        for b in range(at, at + 8):
-            carry = planes[b] ^ query_bits[b][:, None]
-            fresh_carry = ones & carry
-            ones ^= carry
-            over |= twos & fresh_carry
-            twos ^= fresh_carry
-        beyond = over | (twos & ones if radius == 2 else twos if radius == 1 else twos | ones if radius == 0 else np.zeros_like(over))
-        if (beyond == full).all():
-            break
-    return ~beyond
-
-
-def _small(marks: list[np.ndarray], radius: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Forest edges of many buckets of at most 64 fingerprints, compared together; a bucket is a row, a fingerprint a lane."""
-    for lanes in (8, 16, 32, 64):
-        fit = [m for m in marks if lanes // 2 < len(m) <= lanes or lanes == 8 >= len(m)]
-        for at in range(0, len(fit), 2048):
-            part = fit[at : at + 2048]
-            sizes = np.array([len(m) for m in part])
-            most = int(sizes.max())
-            grid = np.zeros((len(part), most), np.uint64)
-            for i, m in enumerate(part):
-                grid[i, : len(m)] = m
-            planes = _planes(grid, lanes)
-            kind, word = planes.dtype, planes.dtype.type
-            valid = np.array([(1 << int(s)) - 1 for s in sizes], dtype=kind)
-            full = np.array(-1).astype(kind)
-            near = []
-            for s in range(most):
-                ones = ((grid[:, s][None, :] >> np.arange(BITS, dtype=np.uint64)[:, None]) & np.uint64(1)).astype(bool)
-                hit = within(planes, np.where(ones, full, word(0)), radius)[:, 0]
-                near.append(np.where(s < sizes, hit & valid, word(0)))
-            for k in range(most):  # closure, so that a lane's lowest bit is its root
-                for s in range(most):
-                    near[s] |= np.where((near[s] >> word(k)) & word(1) != 0, near[k], word(0))
-            for s in range(1, most):
-                low = near[s] & (~near[s] + word(1))
-                root = np.round(np.log2(np.maximum(low, word(1)).astype(np.float64))).astype(np.int64)
-                rows = np.nonzero((s < sizes) & (root < s))[0]
-                if len(rows):
-                    yield grid[rows, s], grid[rows, root[rows]]
-
-
-def _large(marks: np.ndarray, radius: int, rows: int = 64) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Forest edges of one bucket: ``rows`` fingerprints at a time are compared with all lanes, and joined to their components."""
     n = len(marks)
-    planes = _planes(marks[None, :], 64)
-    bit = np.arange(BITS, dtype=np.uint64)[:, None]
-    full, label = np.uint64(0xFFFFFFFFFFFFFFFF), np.arange(n)
-    for at in range(0, n, rows):
-        ones = ((marks[at : at + rows][None, :] >> bit) & np.uint64(1)).astype(bool)
-        hits = within(planes, np.where(ones, full, np.uint64(0)), radius)
-        lanes = np.unpackbits(hits.view(np.uint8), axis=1, bitorder="little")[:, :n].astype(bool)
-        for i in np.nonzero(lanes.sum(axis=1) > 1)[0]:
-            met = np.unique(label[lanes[i]])
-            if len(met) > 1:
-                label[np.isin(label, met[1:])] = met[0]
-                yield marks[met[1:]], np.full(len(met) - 1, marks[met[0]])
+    planes, label = planes_of(marks[:, None]), np.arange(n)
+    last = np.repeat(bounds[1:], np.diff(bounds))
+    lane = np.arange(n)
+    count = np.where(lane + 1 < last, (last - 1) // 64 - (lane + 1) // 64 + 1, 0)
+    ends = np.cumsum(count)
+    at = 0
+    while at < n:
+        upto = max(at + 1, int(np.searchsorted(ends, (ends[at - 1] if at else 0) + rows, "right")))
+        of = np.repeat(lane[at:upto], count[at:upto])
+        nth = np.arange(len(of)) - np.repeat(np.cumsum(count[at:upto]) - count[at:upto], count[at:upto])
+        word = (of + 1) // 64 + nth
+        block, bit = hits(planes, marks[of][:, None], word, later(word, of, last[of]), np.full(len(of), radius), work=work)
+        label = forest(label, of[block], word[block] * 64 + bit)
+        at = upto
+    child = np.nonzero(label != lane)[0]
+    return marks[child], marks[label[child]]
 
 
 def _bucket_edges(radius: int):
     def flush(held: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
-        parts = list(_small([m for m in held if len(m) <= 64], radius))
-        for m in held:
-            if len(m) > 64:
-                parts += _large(m, radius)
-        for a, b in parts:
-            yield pa.record_batch([pa.array(a.astype(np.uint64).view(np.int64)), pa.array(b.astype(np.uint64).view(np.int64))], names=["u", "v"])
+        if held:
+            a, b = bucket_edges(np.concatenate(held), np.cumsum([0, *map(len, held)]), radius)
+            yield pa.record_batch([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["u", "v"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         open_key, open_marks, held, n = None, [], [], 0
@@ -179,23 +120,35 @@ def _bucket_edges(radius: int):
     return run
 
 
-def links(marks: DataFrame, radius: int = 2, ranges: int = 4, bucket_limit: int = 16_384) -> DataFrame:
+def split_crowded(rows: DataFrame, limit: int, by: str) -> DataFrame:
+    """rows with a key and the bucket's size n: those of larger buckets are dealt into parts of about half the limit, and each two parts meet under a key of their own.
+
+    Any two rows of a bucket still meet, and no bucket is much larger than the limit.
+    """
+    parts = F.ceil(F.col("n") * 2 / limit).cast("int")
+    mine = F.pmod(F.xxhash64(by), F.col("_parts")).cast("int")
+    crowded = rows.where(F.col("n") > limit).withColumn("_parts", parts).withColumn("_other", F.explode(F.expr("sequence(0, _parts - 1)")))
+    met = crowded.withColumn("key", F.xxhash64("key", F.least(mine, F.col("_other")), F.greatest(mine, F.col("_other")))).drop("_parts", "_other", "n")
+    return rows.where(F.col("n") <= limit).drop("n").unionByName(met)
+
+
+def links(marks: DataFrame, radius: int = 2, ranges: int | None = None, bucket_limit: int = 16_384) -> DataFrame:
     """Edges (u, v) between different fingerprints whose components are those of all pairs within the radius. marks: distinct fp."""
+    ranges = radius + 2 if ranges is None else ranges
     width, keys = BITS // ranges, []
     for t, chosen in enumerate(combinations(range(ranges), ranges - radius)):
-        parts = [F.shiftrightunsigned("fp", r * width).bitwiseAND(F.lit((1 << width) - 1)) for r in chosen]
-        key = F.lit(t).cast("long")
-        for p in parts:
-            key = F.shiftleft(key, width).bitwiseOR(p)
-        keys.append(key)
+        kept = [F.shiftrightunsigned("fp", r * width).bitwiseAND(F.lit((1 << width) - 1)) for r in chosen]
+        keys.append(F.xxhash64(F.lit(t), *kept))
     rows = marks.select("fp", F.explode(F.array(*keys)).alias("key"))
     sizes = rows.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
     shared = rows.join(sizes, "key")
-    sliced = shared.where(F.col("n") <= bucket_limit).select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
+    if radius == 2:
+        near = shared.where(F.col("n") <= bucket_limit).drop("n")
+    else:
+        near = split_crowded(shared, bucket_limit, "fp")
+    sliced = near.select("key", "fp").repartition("key").sortWithinPartitions("key", "fp")
     edges = sliced.mapInArrow(_bucket_edges(radius), "u long, v long")
     if radius != 2:
-        if shared.where(F.col("n") > bucket_limit).limit(1).count():
-            raise ValueError("buckets above the limit are handled for radius 2 only")
         return edges
     crowded = shared.where(F.col("n") > bucket_limit).select("fp").distinct()
     flips = F.concat(F.array(F.col("fp")), F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.col("fp").bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), i))))
@@ -236,141 +189,3 @@ def near_duplicates(docs: DataFrame, radius: int = 2, id_col: str = "doc_id", te
     by_mark = rooted.join(named, "root").select(F.col("fp").alias("of"), "component_id")
     out = marked.join(by_mark, F.col("fp") == F.col("of"))
     return out.select("doc_id", "fp", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def shingles(text: bytes, width: int = 5, seed: int = 42) -> np.ndarray:
-    """The sorted distinct hashes of a UTF-8 text's word shingles; a text of fewer words is one shingle, a blank one has none."""
-    from xxhash import xxh64_intdigest
-
-    words = text.lower().split()
-    if not words:
-        return np.zeros(0, np.uint64)
-    joined = map(b" ".join, zip(*(words[i:] for i in range(width)), strict=False)) if len(words) >= width else [b" ".join(words)]
-    return np.unique(np.fromiter((xxh64_intdigest(s, seed) for s in joined), np.uint64))
-
-
-def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
-    """Rows of mark and held (the shingles) for rows of mark and text."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            sets = [shingles(t or b"", width).view(np.int64) for t in batch.column(1).cast(pa.binary()).to_pylist()]
-            yield pa.record_batch([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["mark", "held"])
-
-    return texts.select("mark", "text").mapInArrow(run, "mark long, held array<long>")
-
-
-def _common(texts: DataFrame, width: int, one_in: int = 16, least: int = 4, most: int = 200_000) -> np.ndarray:
-    """Shingles that a sample of the texts repeats, rarest first. They only order the prefixes: any order gives the same links."""
-    sample = texts.where(F.pmod("text_hash", F.lit(one_in)) == 0).select(F.col("text_hash").alias("mark"), "text")
-    seen = _shingle_sets(sample, width).select(F.explode("held").alias("key")).groupBy("key").count().where(F.col("count") >= least)
-    rows = seen.orderBy(F.desc("count"), "key").limit(most).collect()
-    return np.array([r["key"] for r in reversed(rows)], np.int64).view(np.uint64)
-
-
-def _prefixes(texts: DataFrame, width: int, share: Fraction) -> DataFrame:
-    """doc_id, text_hash, mark (of the words), size (of the shingle set), keys (its prefix) and b0 to b3 of each row.
-
-    b0 to b3 hold the parity of the shingles in each of 256 cells: two sets differ in at least as many shingles as bits.
-    """
-    common = _common(texts, width)
-    order = np.argsort(common)
-    known, rank = common[order], order
-
-    def row(text: bytes) -> tuple[int, int, np.ndarray, np.ndarray]:
-        from xxhash import xxh64_intdigest
-
-        held = shingles(text, width)
-        n = len(held)
-        if not n:
-            return 0, 0, held.view(np.int64), np.zeros(4, np.int64)
-        mark = np.uint64(xxh64_intdigest(b" ".join(text.lower().split()), 7)).view(np.int64)
-        odd = np.bincount((held >> np.uint64(56)).astype(np.int64), minlength=256) & 1
-        bits = np.packbits(odd.astype(np.uint8)).view(np.int64)
-        if len(known):
-            at = np.minimum(np.searchsorted(known, held), len(known) - 1)
-            held = held[np.argsort(np.where(known[at] == held, rank[at] + 1, 0), kind="stable")]
-        return mark, n, held[: n - math.ceil(share * n) + 1].view(np.int64), bits
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = [row(t or b"") for t in batch.column(2).cast(pa.binary()).to_pylist()]
-            marks, sizes, keys = pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.int64()), pa.array([r[2] for r in rows], pa.list_(pa.int64()))
-            bits = [pa.array([r[3][k] for r in rows], pa.int64()) for k in range(4)]
-            yield pa.record_batch([batch.column(0), batch.column(1), marks, sizes, keys, *bits], names=["doc_id", "text_hash", "mark", "size", "keys", *BITMAP])
-
-    kind = texts.select("doc_id").dtypes[0][1]
-    return texts.select("doc_id", "text_hash", "text").mapInArrow(run, f"doc_id {kind}, text_hash long, mark long, size long, keys array<long>, b0 long, b1 long, b2 long, b3 long")
-
-
-def _alike(pairs: DataFrame, marked: DataFrame, texts: DataFrame, width: int, share: Fraction) -> DataFrame:
-    """The pairs (u, v) whose sets of shingles have a Jaccard similarity of at least the share, compared in full."""
-    needed = pairs.select(F.explode(F.array("u", "v")).alias("mark")).distinct()
-    named = cut(marked.join(needed, "mark", "left_semi").groupBy("mark").agg(F.min("text_hash").alias("_hash")))
-    asked = texts.join(small(named), F.col("text_hash") == F.col("_hash")).select("mark", "text")
-    # Equal texts give equal sets; one of them is compared.
-    sets = cut(_shingle_sets(asked, width).groupBy("mark").agg(F.first("held").alias("held")))
-    heavy = sets.agg(F.sum(F.size("held"))).first()[0] or 0
-    side = (lambda df: F.broadcast(df)) if heavy <= 2_000_000 else (lambda df: df)
-    left, right = sets.select(F.col("mark").alias("u"), F.col("held").alias("_a")), sets.select(F.col("mark").alias("v"), F.col("held").alias("_b"))
-    both = F.size(F.array_intersect("_a", "_b"))
-    return pairs.join(side(left), "u").join(side(right), "v").where(both * (share.numerator + share.denominator) >= share.numerator * (F.size("_a") + F.size("_b"))).select("u", "v")
-
-
-def similar(texts: DataFrame, similarity: float = 0.8, width: int = 5) -> tuple[DataFrame, DataFrame]:
-    """doc_id, text_hash and mark of each row of texts (doc_id, text_hash, text), and node and root of every mark that has a similar one.
-
-    Two sets with a Jaccard similarity of t share one of the first n - ceil(t n) + 1 shingles in any common order, so pairs
-    that share none are never alike, and all others are compared in full. Each bucket is first compared with one of its own,
-    twice; the pairs left are those between classes that are still apart, so that a large class costs no square.
-    """
-    share = Fraction(str(similarity))
-    marked = cut(_prefixes(texts, width, share))
-    index = marked.select("mark", "size", *BITMAP, F.explode("keys").alias("key"))
-    shared = cut(index.groupBy("key").agg(F.min("mark").alias("a"), F.max("mark").alias("b")).where("a != b").select("key"))
-    index = cut(index.join(small(shared), "key").distinct())
-    n, d = share.numerator, share.denominator
-
-    def close(other: str) -> Column:
-        """What sizes and bits allow: a set is a share of the other at least, and few shingles lie in one of them only."""
-        size, apart = F.col(f"{other}.size"), sum((F.bit_count(F.col(b).bitwiseXOR(F.col(f"{other}.{b}"))) for b in BITMAP), F.lit(0))
-        return (F.least("size", size) * d >= F.greatest("size", size) * n) & (apart * (d + n) <= (F.col("size") + size) * (d - n))
-
-    edges, roots = None, None
-    for step in range(3):
-        placed = index.withColumn("root", F.col("mark")) if roots is None else index.join(roots, F.col("mark") == F.col("node"), "left").select("key", "mark", "size", *BITMAP, F.coalesce("root", "mark").alias("root"))
-        one = F.struct("mark", "size", "root", *BITMAP)
-        open_keys = placed.groupBy("key").agg(F.min("root").alias("a"), F.max("root").alias("b"), F.min_by(one, F.xxhash64("mark", F.lit(step))).alias("o")).where("a != b").select("key", "o")
-        others = open_keys if step < 2 else placed.join(open_keys.select("key"), "key").select("key", one.alias("o"))
-        apart = F.col("root") != F.col("o.root") if step < 2 else F.col("root") < F.col("o.root")
-        met = placed.join(others, "key").where(apart & close("o")).select(F.col("mark").alias("u"), F.col("o.mark").alias("v"))
-        pairs = cut(met.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct())
-        if not pairs.limit(1).count():
-            continue
-        found = _alike(pairs, marked, texts, width, share)
-        edges = cut(found if edges is None else edges.unionByName(found))
-        roots = cut(components(edges))
-    empty = marked.select(F.col("mark").alias("node"), F.col("mark").alias("root")).limit(0)
-    return marked.select("doc_id", "text_hash", "mark"), empty if roots is None else roots
-
-
-def keep_first(docs: DataFrame, similarity: float = 0.8, width: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents, one of each class of similar texts: the one with the smallest id (null ids last), then text hash.
-
-    A class is what pairs with a Jaccard similarity of at least ``similarity`` over shingles of ``width`` words connect.
-    Rows are known by id and text, never by the id alone: null and repeated ids lose or stay each for its own text.
-    """
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(text_col).cast("string")).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
-    marked, roots = similar(texts, similarity, width)
-    placed = marked.join(roots, F.col("mark") == F.col("node"), "left").select("doc_id", "text_hash", F.coalesce("root", "mark").alias("root"))
-    rank = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")
-    first = placed.groupBy("root").agg(F.min(rank).alias("first")).withColumnRenamed("root", "of")
-    lost = placed.join(first, F.col("root") == F.col("of")).where(~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("text_hash") == F.col("first.text_hash"))))
-    losers = cut(lost.select(F.col("doc_id").alias("_lost"), F.col("text_hash").alias("_hash")).distinct())
-    mine = F.xxhash64(docs[text_col].cast("string"))
-    kept = docs.join(small(losers), (mine == losers["_hash"]) & docs[id_col].eqNullSafe(losers["_lost"]), "left_anti")
-    twice = docs.groupBy(F.col(id_col).alias("_id"), F.xxhash64(F.col(text_col).cast("string")).alias("_text")).count().where("count > 1").select("_id", "_text")
-    if not twice.limit(1).count():
-        return kept
-    same = kept[id_col].eqNullSafe(twice["_id"]) & (F.xxhash64(kept[text_col].cast("string")) == twice["_text"])
-    return kept.join(twice, same, "left_anti").unionByName(kept.join(twice, same, "left_semi").dropDuplicates([id_col, text_col]))

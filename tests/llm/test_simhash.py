@@ -5,7 +5,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from larkspur.llm import simhash
+from larkspur.llm import bitslice, near_text, simhash
 
 
 def brute_mark(text):
@@ -65,22 +65,38 @@ def test_links_reach_what_pairs_reach(spark, limit):
     assert [roots.get(m, m) for m in signed] == want
 
 
-@pytest.mark.parametrize("n", [70, 200])
-def test_large_bucket_forest(n):
-    marks = np.array(clusters(random.Random(n), [n // 2, n // 4, 3, 1]), np.uint64)
-    edges = [(int(a), int(b)) for u, v in simhash._large(marks, 2) for a, b in zip(u, v, strict=True)]
-    assert len(edges) < len(marks)
-    parent = {int(m): int(m) for m in marks}
+@pytest.mark.parametrize("radius", [0, 1, 2, 3, 6])
+def test_bucket_forests_and_abandoned_blocks(radius):
+    rng = random.Random(radius)
+    held = [clusters(rng, [40, 20, 3, 1] + [1] * 150), clusters(rng, [5, 1]), clusters(rng, [2]), clusters(rng, [70, 30] + [1] * 300)]
+    bounds, work = np.cumsum([0, *map(len, held)]), bitslice.Work()
+    u, v = simhash.bucket_edges(np.array(sum(held, []), np.uint64), bounds, radius, work, rows=64)
+    assert len(u) < sum(map(len, held))
+    for marks in held:
+        parent = {m: m for m in marks}
+
+        def find(x, parent=parent):
+            while parent[x] != x:
+                x = parent[x]
+            return x
+
+        for a, b in zip(map(int, u), map(int, v), strict=True):
+            if a in parent and b in parent:
+                a, b = find(a), find(b)
+                parent[max(a, b)] = min(a, b)
+        assert [find(m) for m in marks] == brute_classes(marks, marks, radius)
+    if radius:
+        assert work.abandoned > work.begun * 0.8 and work.planes < work.begun * 40
 
-    def find(x):
-        while parent[x] != x:
-            x = parent[x]
-        return x
 
-    for a, b in edges:
-        a, b = find(a), find(b)
-        parent[max(a, b)] = min(a, b)
-    assert [find(int(m)) for m in marks] == brute_classes([int(m) for m in marks], [int(m) for m in marks])
+@pytest.mark.parametrize("radius", [1, 3])
+@pytest.mark.parametrize("limit", [16_384, 6])
+def test_other_radii(spark, radius, limit):
+    marks = clusters(random.Random(8), [1] * 20 + [3, 9, 40, 80])
+    signed = [int(np.array([m], np.uint64).view(np.int64)[0]) for m in marks]
+    frame = spark.createDataFrame([(m,) for m in signed], "fp long")
+    roots = {r.node: r.root for r in simhash.components(simhash.links(frame, radius, bucket_limit=limit)).collect()}
+    assert [roots.get(m, m) for m in signed] == brute_classes(marks, signed, radius)
 
 
 def test_odd_rows(spark):
@@ -90,7 +106,7 @@ def test_odd_rows(spark):
     assert len(out) == len(rows)
     assert [x[2] for x in out if x[1] == "0" * 16] == [1, 1, 1]
     assert {x[2] for x in out if x[0] in (0, 4, 5)} == {4}
-    kept = simhash.keep_first(frame)
+    kept = near_text.keep_first(frame)
     assert sorted(r.doc_id for r in kept.collect()) == [1, 4, 6] and kept.columns == frame.columns
     assert simhash.near_duplicates(frame.limit(0)).count() == 0
 
@@ -137,7 +153,7 @@ def test_keep_first_finds_all_pairs_of_similarity(spark):
     texts += [" ".join(hub[:i] + [f"new{i}"] + hub[i + 1 :]) for i in range(60)]
     rng.shuffle(texts)
     rows = list(enumerate(texts))
-    kept = {r.doc_id for r in simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    kept = {r.doc_id for r in near_text.keep_first(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert kept == brute_kept(rows)
     assert len(kept) < len(rows) - 60
 
@@ -148,7 +164,7 @@ def test_null_and_repeated_ids_lose_only_their_own_text(spark):
     clean, far = (" ".join(f"{c}{i}" for i in range(30)) for c in "cf")
     later = far.replace("f29", "last")
     rows = [(1, near), (None, twin), (None, clean), (2, far), (3, near), (3, later), (2, clean + " more words that differ"), (None, later + " x")]
-    kept = simhash.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
+    kept = near_text.keep_first(spark.createDataFrame(rows, "doc_id long, text string"))
     assert sorted(((r.doc_id or 0, r.text) for r in kept.collect())) == sorted([(1, near), (2, far), (2, clean + " more words that differ")])
     lone = spark.createDataFrame([(None, near), (None, twin), (None, clean), (5, far), (4, near + " z"), (5, near)], "doc_id long, text string")
-    assert sorted((r.doc_id or 0, r.text) for r in simhash.keep_first(lone).collect()) == sorted([(0, clean), (4, near + " z"), (5, far)])
+    assert sorted((r.doc_id or 0, r.text) for r in near_text.keep_first(lone).collect()) == sorted([(0, clean), (4, near + " z"), (5, far)])
