@@ -1,50 +1,110 @@
 """Schema state from ordered change events.
 
-Events have db, file, location, action, table, column, type and new_name. Renames need the order of all events of a
-database, so each database is one group (a database's migrations are few); databases run in parallel.
+Events have db, file, location, action, table, column, type and new_name, and may have columns (of an index), to_table and options (a
+map of texts: null, default, unique, name, column, primary_key, to). Renames need the order of all events of a database, so each
+database is one group (a database's migrations are few); databases run in parallel. Events about unknown tables or columns change
+nothing; a column that is added again moves to the end.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass, field
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-STATE = "db string, table string, position int, column string, type string"
+STATE = (
+    "db string, kind string, table string, position int, name string, type string, nullable boolean, default string, columns array<string>, unique boolean, to_table string, primary_key string"
+)
+
+
+@dataclass
+class _Table:
+    columns: dict[str, dict] = field(default_factory=dict)
+    indexes: list[dict] = field(default_factory=list)
+    keys: list[dict] = field(default_factory=list)
+
+    def add(self, name: str, kind: str | None, options: dict) -> None:
+        self.columns.pop(name, None)
+        self.columns[name] = {"type": kind, "nullable": options.get("null") != "false", "default": options.get("default")}
+
+    def change(self, name: str, **facts) -> None:
+        if name in self.columns:
+            self.columns[name].update(facts)
+
+    def rename(self, name: str, new: str) -> None:
+        self.columns = {new if k == name else k: v for k, v in self.columns.items()}
+
+
+def _applied(t: _Table, e: dict) -> None:
+    """One event about a known table."""
+    action, name, options = e["action"], e["column"], e["options"]
+    if action == "add_column":
+        t.add(name, e["type"], options)
+    elif action in ("add_reference", "add_belongs_to"):
+        t.add(f"{name}_id", e["type"], options)
+    elif action == "add_timestamps":
+        for stamp in ("created_at", "updated_at"):
+            t.add(stamp, "datetime", options)
+    elif action == "change_column":
+        if e["type"] is not None:
+            t.change(name, type=e["type"])
+    elif action == "change_column_default":
+        if "to" in options:
+            t.change(name, default=options["to"])
+    elif action == "change_column_null":
+        if options.get("null") is not None:
+            t.change(name, nullable=options["null"] != "false")
+    elif action in ("remove_column", "remove_reference"):
+        t.columns.pop(name if action == "remove_column" else f"{name}_id", None)
+    elif action == "rename_column":
+        t.rename(name, e["new_name"])
+    elif action == "add_index":
+        if e["columns"] is not None and len(e["columns"]):
+            t.indexes.append({"name": options.get("name"), "columns": list(e["columns"]), "unique": options.get("unique") == "true"})
+    elif action == "add_foreign_key":
+        target = e["to_table"]
+        column = options.get("column") or f"{target[:-1] if target.endswith('s') else target}_id"
+        t.keys.append({"name": column, "to_table": target, "primary_key": options.get("primary_key") or "id"})
 
 
 def _fold(events: pd.DataFrame) -> pd.DataFrame:
-    tables: dict[str, dict[str, str]] = {}
-    for e in events.sort_values(["file", "location"], kind="stable").itertuples():
-        columns = tables.get(e.table)
-        if e.action == "create_table":
-            tables[e.table] = {}
-        elif e.action == "drop_table":
-            tables.pop(e.table, None)
-        elif columns is None:
+    tables: dict[str, _Table] = {}
+    for e in events.sort_values(["file", "location"], kind="stable").to_dict("records"):
+        options = e.get("options")
+        e["options"] = dict(options) if options is not None else {}
+        if e["action"] == "create_table":
+            tables[e["table"]] = _Table()
+        elif e["table"] not in tables:
             continue
-        elif e.action == "rename_table":
-            tables[e.new_name] = tables.pop(e.table)
-        elif e.action in ("add_column", "change_column"):
-            columns[e.column] = e.type
-        elif e.action == "add_reference":
-            columns[f"{e.column}_id"] = e.type
-        elif e.action == "add_timestamps":
-            columns.update(created_at="datetime", updated_at="datetime")
-        elif e.action == "remove_column":
-            columns.pop(e.column, None)
-        elif e.action == "remove_reference":
-            columns.pop(f"{e.column}_id", None)
-        elif e.action == "rename_column":
-            tables[e.table] = {e.new_name if k == e.column else k: v for k, v in columns.items()}
-    db = events["db"].iloc[0]
-    rows = [(db, t, i, c, k) for t, columns in tables.items() for i, (c, k) in enumerate(columns.items())]
-    return pd.DataFrame(rows, columns=["db", "table", "position", "column", "type"])
+        elif e["action"] == "drop_table":
+            del tables[e["table"]]
+        elif e["action"] == "rename_table":
+            tables[e["new_name"]] = tables.pop(e["table"])
+        else:
+            _applied(tables[e["table"]], e)
+    rows = []
+    for name, t in tables.items():
+        rows += [{"kind": "column", "table": name, "position": i, "name": c, **facts} for i, (c, facts) in enumerate(t.columns.items())]
+        rows += [{"kind": "index", "table": name, "position": i, **x} for i, x in enumerate(t.indexes)]
+        rows += [{"kind": "foreign_key", "table": name, "position": i, **x} for i, x in enumerate(t.keys)]
+    names = [c.split()[0] for c in STATE.split(", ")]
+    out = pd.DataFrame([{c: r.get(c) for c in names} for r in rows], columns=names, dtype=object)
+    out["db"] = events["db"].iloc[0]
+    return out
+
+
+def replay_schema(events: DataFrame) -> DataFrame:
+    """What remains after all events: a row for each column, index and foreign key (kind), with nulls where a field does not apply."""
+    wanted = {"columns": "array<string>", "to_table": "string", "options": "map<string,string>"}
+    whole = events.select("*", *(F.lit(None).cast(kind).alias(c) for c, kind in wanted.items() if c not in events.columns))
+    return whole.groupBy("db").applyInPandas(_fold, STATE)
 
 
 def replay(events: DataFrame) -> DataFrame:
-    """The columns that remain after all events."""
-    return events.groupBy("db").applyInPandas(_fold, STATE)
+    """The columns that remain after all events: db, table, position, column and type."""
+    return replay_schema(events).where("kind = 'column'").select("db", "table", "position", F.col("name").alias("column"), "type")
 
 
 def last_state(events: DataFrame, key: list[str], order: list[str], alive: Column) -> DataFrame:

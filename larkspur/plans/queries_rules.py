@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from larkspur.functions import redact, text
-from larkspur.operators import graph, joins, ordered, predicates
+from larkspur.operators import graph, joins, ordered, predicates, replay
 from larkspur.plans.catalog import query
 from larkspur.session import table
 from larkspur.sources import files
@@ -267,3 +267,25 @@ def deep_keys(spark, sf_dir):
     doc = F.concat(F.lit('{"a":{"b":{"c":{"d":{"e":{"f":'), F.col("o_orderkey"), F.lit('}}}},"g":[1,2]},"h":{}}'))
     keys = files.locale_keys(table(spark, sf_dir, "orders").select("o_orderpriority", doc.alias("doc")), "o_orderpriority", "doc")
     return keys.groupBy("locale", "key").agg(F.count("*").alias("n"))
+
+
+_STEPS = (
+    ("create_table", "users", None, None, None, None, None, None), ("add_column", "users", "name", "string", None, None, None, {"null": "false"}), ("add_column", "users", "age", "integer", None, None, None, {"default": "7"}),
+    ("add_column", "users", "name", "text", None, None, None, None), ("change_column_default", "users", "age", None, None, None, None, {"to": "8"}), ("change_column_null", "users", "age", None, None, None, None, {"null": "false"}),
+    ("change_column", "users", "age", "bigint", None, None, None, None), ("add_reference", "users", "team", "bigint", None, None, None, {"null": "false"}), ("add_index", "users", None, None, None, ["team_id", "age"], None, {"unique": "true", "name": "by_team"}),
+    ("add_foreign_key", "users", None, None, None, None, "teams", None), ("rename_table", "users", None, None, "people", None, None, None), ("add_column", "gone", "x", "text", None, None, None, None),
+)
+
+
+@query("""
+SELECT n_name AS db, t.* FROM nation, (VALUES ('column', 'people', 0, 'age', 'bigint', false, '8', NULL, NULL, NULL), ('column', 'people', 1, 'name', 'text', true, NULL, NULL, NULL, NULL), ('column', 'people', 2, 'team_id', 'bigint', false, NULL, NULL, NULL, NULL),
+  ('index', 'people', 0, 'by_team', NULL, NULL, NULL, 'team_id,age', true, NULL), ('foreign_key', 'people', 0, 'team_id', NULL, NULL, NULL, NULL, NULL, 'teams')) AS t(kind, "table", position, name, type, nullable, "default", columns, "unique", to_table)
+""")
+def replayed_schema(spark, sf_dir):
+    """Columns with their flags and defaults, indexes and foreign keys after all events, one database a nation."""
+    rows = [(i, *s) for i, s in enumerate(_STEPS)]
+    steps = spark.createDataFrame(rows, "location int, action string, table string, column string, type string, new_name string, columns array<string>, to_table string, options map<string,string>")
+    named = table(spark, sf_dir, "nation").select(F.col("n_name").alias("db"), F.lit("1").alias("file"))
+    events = named.join(F.broadcast(steps.withColumn("file", F.lit("1"))), "file")  # a dozen literal steps for each nation
+    state = replay.replay_schema(events)
+    return state.select("db", "kind", "table", "position", "name", "type", "nullable", "default", F.array_join("columns", ",").alias("columns"), "unique", "to_table")

@@ -10,6 +10,7 @@ from larkspur.plans import policy
 from larkspur.plans.catalog import query
 from larkspur.plans.policy import Policy
 from larkspur.plans.query import cells, guarded
+from larkspur.plans.query import csv_lines as csv_text_lines
 from larkspur.session import register_views, table
 from larkspur.sources import files
 
@@ -113,12 +114,13 @@ def cell_format(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey, CASE WHEN p_name ~ '[,"\\n\\r]' THEN '"' || replace(p_name, '"', '""') || '"' ELSE p_name END || ',' || p_brand AS line FROM part
+SELECT p_partkey || ',' || CASE WHEN p_name LIKE '%red%' THEN '"' || p_name || ', ""x"""' ELSE p_name END || ',' || p_brand || ',_NULL_' AS line FROM part
 """)
 def csv_lines(spark, sf_dir):
-    """K2: quoting of comma-separated cells."""
-    name = F.when(F.col("p_name").rlike('[,"\n\r]'), F.concat(F.lit('"'), F.replace("p_name", F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(F.col("p_name"))
-    return table(spark, sf_dir, "part").select("p_partkey", F.concat_ws(",", name, "p_brand").alias("line"))
+    """K2: rows as comma-separated lines, with quoted cells and nulls."""
+    name = F.when(F.col("p_name").contains("red"), F.concat("p_name", F.lit(', "x"'))).otherwise(F.col("p_name"))
+    rows = cells(table(spark, sf_dir, "part").select("p_partkey", name.alias("name"), "p_brand", F.lit(None).cast("string").alias("nothing")))
+    return rows.select(csv_text_lines(rows).alias("line"))
 
 
 _POLICY = (
