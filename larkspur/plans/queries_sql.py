@@ -114,7 +114,7 @@ def cell_format(spark, sf_dir):
 
 
 @query("""
-SELECT p_partkey || ',' || CASE WHEN p_name LIKE '%red%' THEN '"' || p_name || ', ""x"""' ELSE p_name END || ',' || p_brand || ',_NULL_' AS line FROM part
+SELECT p_partkey || ',' || CASE WHEN contains(p_name, 'red') THEN chr(34) || p_name || ', ' || repeat(chr(34), 2) || 'x' || repeat(chr(34), 3) ELSE p_name END || ',' || p_brand || ',_NULL_' AS line FROM part
 """)
 def csv_lines(spark, sf_dir):
     """K2: rows as comma-separated lines, with quoted cells and nulls."""
