@@ -191,3 +191,27 @@ def test_sections_and_budgets(spark):
         kept, cut = sections.fit_json(value, budget)
         assert len(json.dumps(kept, separators=(",", ":"))) <= budget and kept["name"] == "n" and bool(cut) == (kept != value)
         assert kept.get("rows", []) == value["rows"][: len(kept.get("rows", []))]
+
+
+def test_whole_words_counts_and_paths(spark):
+    assert one(spark, text.truncate_at_word(F.col("t"), 8), t="ab cd efghij") == "ab cd..."
+    assert one(spark, text.truncate_at_word(F.col("t"), 4), t="abcdefghij") == "abcd..."
+    assert one(spark, text.truncate_at_word(F.col("t"), 40), t="ab cd") == "ab cd"
+    assert one(spark, text.counted(F.col("n"), "box"), n=1) == "1 box" and one(spark, text.counted(F.col("n"), "box"), n=3) == "3 boxes"
+    assert one(spark, text.portable_path(F.col("p"), "/a/b"), p="/a/b/c") == "c" and one(spark, text.portable_path(F.col("p"), "/a/b"), p="/a/bc") == "/a/bc"
+    assert one(spark, text.sql_without_comments(F.col("s")), s="SELECT /*!50000 x */ 1 -- y").split() == ["SELECT", "x", "1"]
+
+
+def test_values_of_secrets(spark):
+    cases = {
+        "config: password=abc": "config: password=[FILTERED]", "secret_key => 'a b', x: 1": 'secret_key => "[FILTERED]", x: 1', "passwordless_login: yes": "passwordless_login: yes", "token_expiry = 60": "token_expiry = 60",
+        "token: :from_env": "token: :from_env", "a://u:p@h x://v:q@i": "a://[FILTERED]@h x://[FILTERED]@i", "password: hunter2 token=abc": "password: [FILTERED] token=[FILTERED]", "nothing": "nothing", "": "",
+    }
+    got = spark.createDataFrame([(k,) for k in cases], "t string").select("t", redact.redact_value(F.col("t")).alias("x")).collect()
+    assert {r.t: r.x for r in got} == cases
+
+
+def test_nearest_names(spark):
+    names = spark.createDataFrame([("UserProfile",), ("users",), ("post_comments",), ("posts",)], "name string")
+    first = lambda wanted: [r.name for r in predicates.closest(names, "name", wanted).collect()]
+    assert first("user_profile") == ["UserProfile"] and first("post") == ["posts"] and first("  ") == [] and first("USERS") == ["users"]
