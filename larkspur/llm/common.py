@@ -66,3 +66,9 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """df, which has been cut, marked for broadcast if it has at most that many rows; larger ones are joined by shuffle."""
     return F.broadcast(df) if df.count() <= rows else df
+
+
+def discard(spark: SparkSession, path: str) -> None:
+    """Delete an intermediate folder that no later step reads."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)

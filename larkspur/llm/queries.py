@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.llm import chat, decontaminate, html_text, mixing, pii, quality, sharding, simhash, token_counts, token_order
+from larkspur.llm import centroids, chat, decontaminate, html_text, lexical, mixing, pii, quality, sharding, simhash, token_counts, token_order
 from larkspur.llm.common import shared_path
 from larkspur.session import table
 
@@ -128,3 +128,19 @@ def op6_edit_aware_counts(spark, sf_dir):
     return edited.select(
         "doc_id", F.col("n_tokens_before").alias("n_tokens"), F.col("n_tokens").alias("n_tokens_edited"), F.col("n_chars").alias("n_chars_edited"), F.size("leaves").cast("long").alias("n_leaves"), "n_leaves_encoded", "n_chars_encoded"
     )
+
+
+ORACLE_SQL["op12_sort_means"] = centroids.oracle_sql()
+
+
+@_query
+def op12_sort_means(spark, sf_dir):
+    return centroids.cluster(table(spark, sf_dir, "embeddings"))
+
+
+ORACLE_SQL["op13_two_level_search"] = lexical.ORACLE_SQL
+
+
+@_query
+def op13_two_level_search(spark, sf_dir):
+    return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 10)
