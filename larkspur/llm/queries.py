@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from larkspur.llm import centroids, chat, decontaminate, html_text, lexical, mixing, pii, quality, sharding, simhash, token_counts, token_order
+from larkspur.llm import additive, centroids, chat, decontaminate, html_text, lexical, mixing, pii, quality, sharding, simhash, token_counts, token_order
 from larkspur.llm.common import shared_path
 from larkspur.session import table
 
@@ -144,3 +144,8 @@ ORACLE_SQL["op13_two_level_search"] = lexical.ORACLE_SQL
 @_query
 def op13_two_level_search(spark, sf_dir):
     return lexical.search(lexical.build(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"), 10)
+
+
+@_query
+def op11_additive_quality(spark, sf_dir):
+    return additive.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
