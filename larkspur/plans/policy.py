@@ -11,7 +11,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 from py4j.java_gateway import is_instance_of
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 # Words of the text policy.
 FILE_FUNCTIONS = frozenset(
@@ -33,12 +34,14 @@ TABLE_FUNCTIONS = frozenset("range explode explode_outer inline inline_outer jso
 READ_NODES = frozenset(
     "Project Filter Aggregate Join Sort GlobalLimit LocalLimit Offset Distinct Union Intersect Except SubqueryAlias UnresolvedSubqueryColumnAliases UnresolvedRelation UnresolvedInlineTable OneRowRelation UnresolvedWith CTERelationDef"
     " WithCTE UnresolvedHaving Window WithWindowDefinition Generate Expand Pivot UnresolvedPivot Unpivot Tail Sample LateralJoin Range LocalRelation UnresolvedTableValuedFunction ResolvedHint UnresolvedHint View"
-    " UnresolvedTVFAliases RepartitionByExpression Repartition UnionLoop UnionLoopRef UnresolvedOrdinal".split()
+    " UnresolvedTVFAliases RepartitionByExpression Repartition UnionLoop UnionLoopRef UnresolvedOrdinal PipeOperator".split()
 )
 META_NODES = frozenset(
     "ShowTables ShowTablesCommand ShowColumns ShowColumnsCommand ShowNamespaces ShowNamespacesCommand ShowFunctions ShowCreateTable ShowViews ShowPartitions ShowTableProperties DescribeRelation DescribeColumn DescribeQueryCommand DescribeFunction"
     " ExplainCommand DescribeNamespace UnresolvedNamespace CurrentNamespace UnresolvedTableOrView UnresolvedTable UnresolvedFunctionName UnresolvedView".split()
 )
+#: Commands that hold a statement of their own, which is checked like any other.
+_BODIES = {"ExplainCommand": "logicalPlan", "DescribeQueryCommand": "plan"}
 _TOKEN = re.compile(r"'(?:[^'\\]|\\.|'')*'|\"(?:[^\"\\]|\\.)*\"|`(?:[^`]|``)*`|[0-9]+(?:\.[0-9]+)?|\w+|[^\w\s]")
 
 
@@ -126,11 +129,17 @@ def check_text(sql: str | None, policy: Policy = Policy()) -> str | None:
         return f"Refused: {findings[0]}."
     if not words or words[0] not in OPENING:
         return "Refused: a statement must begin with SELECT, WITH, SHOW, EXPLAIN or DESCRIBE."
-    if name := sensitive_name(clean, policy):
+    if name := sensitive_name(" ".join(t for t in tokens if t[0] != "'"), policy):  # a text in quotes names no column
         return f"Refused: the column {name} is sensitive."
     return None
 
 
+def refusals(statements: DataFrame, policy: Policy = Policy(), column: str = "statement") -> DataFrame:
+    """statements with refused, why the words of each are refused, or null: the audit of a log, done where its rows lie."""
+    judge = F.pandas_udf(lambda texts: texts.map(lambda sql: check_text(sql, policy)), "string")
+    return statements.withColumn("refused", judge(F.col(column)))
+
+
 def is_metadata(sql: str) -> bool:
     """Whether a statement describes metadata."""
     first = re.match(r"\w+", without_comments(sql))
@@ -177,8 +186,10 @@ def parsed(spark: SparkSession, sql: str) -> Parsed:
         kind = node.getClass().getSimpleName()
         if a(node, "plans.QueryPlan"):
             out.nodes.add(node.nodeName().strip().strip("'$"))
-            if kind == "UnresolvedRelation":
+            if kind in ("UnresolvedRelation", "UnresolvedTableOrView", "UnresolvedTable", "UnresolvedView"):
                 out.relations.add(tuple(_texts(node.multipartIdentifier())))
+            if kind in _BODIES:  # the statement inside is no child
+                waiting.append(getattr(node, _BODIES[kind])())
             if kind == "UnresolvedTableValuedFunction":
                 out.table_functions.add(tuple(_texts(node.name())))
             for group in (node.children(), node.innerChildren(), node.expressions()):

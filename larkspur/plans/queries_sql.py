@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from larkspur.functions import redact, text
 from larkspur.operators import aggregates, ordered, predicates
-from larkspur.plans import policy
+from larkspur.plans import physical, policy
 from larkspur.plans.catalog import query
 from larkspur.plans.policy import Policy
 from larkspur.plans.query import cells, guarded
@@ -124,41 +124,94 @@ def csv_lines(spark, sf_dir):
 
 
 _POLICY = (
-    ("SELECT 1", True), ("INSERT INTO t VALUES (1)", False), ("SELECT * FROM a; SELECT 2", False), ("SELECT * FROM a FOR UPDATE", False), ("SELECT a INTO b FROM c", False),
-    ("SELECT 1 WHERE 1 = 0 OR 1=1", False), ("SELECT 1 UNION SELECT 2", False), ("SELECT 1 INTERSECT SELECT 2", True), ("SELECT pg_read_file(1)", False), ("SELECT password_digest FROM users", False),
-    ("SELECT /* x */ 1 -- DROP", True), ("SHOW TABLES", True), ("SHOW GRANTS", False), ("DESCRIBE a", True), ("VALUES (1)", False), ("SELECT java_method(1)", False), ("SELECT secretary FROM a", True), ("", False),
+    ("SELECT 1", True), ("INSERT INTO % VALUES (1)", False), ("SELECT * FROM %; SELECT 2", False), ("SELECT * FROM % FOR UPDATE", False), ("SELECT a INTO % FROM c", False),
+    ("SELECT 1 WHERE 1 = 0 OR 1=1", False), ("SELECT 1 UNION SELECT %", False), ("SELECT 1 INTERSECT SELECT %", True), ("SELECT pg_read_file(%)", False), ("SELECT password_digest FROM %", False),
+    ("SELECT /* % */ 1 -- DROP", True), ("SHOW TABLES", True), ("SHOW GRANTS", False), ("DESCRIBE %", True), ("VALUES (1)", False), ("SELECT java_method(%)", False), ("SELECT secretary FROM %", True), ("", False),
+    ("SELECT % FROM t WHERE kind = 'password_digest'", True), ("SELECT API_KEY AS % FROM t", False), ("SELECT \"api_key\" FROM %", False), ("SELECT 1 WHERE a = '%' OR 'x' = 'x'", False), ("LOAD DATA INPATH '%' INTO TABLE t", False),
 )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {str(b).lower()})" for a, b in _POLICY) + ") AS t(statement, accepted)")
+def _statements(cases) -> str:
+    """SQL of a log of statements: every case once for each nation, whose name takes the place of a table's or column's name."""
+    listed = ", ".join("('" + a.replace("'", "''") + f"', {str(b).lower()})" for a, b in cases)
+    return f"SELECT n_nationkey, replace(statement, '%', lower(n_name)) AS statement, accepted FROM nation, (VALUES {listed}) AS t(statement, accepted)"
+
+
+@query(_statements(_POLICY))
 def policy_cases(spark, sf_dir):
-    """The strict text policy."""
-    strict = Policy(strict_text=True)
-    return spark.createDataFrame([(a, policy.check_text(a, strict) is None) for a, _ in _POLICY], "statement string, accepted boolean")
+    """The strict text policy over a log of statements, where the rows lie."""
+    log = _log(spark, sf_dir, _POLICY)
+    return policy.refusals(log, Policy(strict_text=True)).select("n_nationkey", "statement", F.col("refused").isNull().alias("accepted"))
 
 
 _PLANS = (
-    ("SELECT 1", True), ("SELECT a, count(*) FROM t GROUP BY a", True), ("WITH x AS (SELECT 1 AS a) SELECT * FROM x JOIN t ON x.a = t.a", True), ("SELECT * FROM t WHERE a IN (SELECT b FROM u)", True),
-    ("CREATE TABLE t (a INT)", False), ("SET x = 1", False), ("DROP TABLE t", False), ("SELECT TRANSFORM(a) USING ''cat'' FROM t", False), ("CACHE TABLE t", False), ("SHOW TABLES", True), ("DESCRIBE t", True),
-    ("SELECT `java_method`(''java.lang.System'', ''getProperty'', ''user.name'')", False), ("SELECT * FROM text.`/etc/hostname`", False), ("SELECT a FROM t WHERE EXISTS (SELECT reflect(''a'', ''b''))", False),
-    ("SELECT builtin.upper(a) FROM default.t", True), ("SELECT * FROM t JOIN parquet.`/x` USING (a)", False),
+    ("SELECT 1", True), ("SELECT %, count(*) FROM t GROUP BY %", True), ("WITH x AS (SELECT 1 AS a) SELECT * FROM x JOIN % ON x.a = %.a", True), ("SELECT * FROM % WHERE a IN (SELECT b FROM u)", True),
+    ("CREATE TABLE % (a INT)", False), ("SET x = 1", False), ("DROP TABLE %", False), ("SELECT TRANSFORM(a) USING 'cat' FROM %", False), ("CACHE TABLE %", False), ("SHOW TABLES", True), ("DESCRIBE %", True),
+    ("SELECT `java_method`('java.lang.System', 'getProperty', 'user.name')", False), ("SELECT * FROM text.`/etc/hostname`", False), ("SELECT a FROM % WHERE EXISTS (SELECT reflect('a', 'b'))", False),
+    ("SELECT builtin.upper(a) FROM default.%", True), ("SELECT * FROM t JOIN parquet.`/x` USING (%)", False), ("FROM % |> SELECT a |> WHERE a > 1", True),
+    ("EXPLAIN SELECT % FROM t", True), ("EXPLAIN SELECT reflect('a', 'b') FROM %", False), ("EXPLAIN SELECT * FROM text.`/x`", False), ("EXPLAIN EXTENDED INSERT INTO % SELECT 1", False),
+    ("DESCRIBE QUERY SELECT % FROM t", True), ("DESCRIBE QUERY SELECT reflect('a', '%')", False), ("DESCRIBE QUERY SELECT * FROM csv.`/x`", False), ("SHOW COLUMNS IN %", True), ("SHOW COLUMNS IN text.`/x`", False), ("DESCRIBE text.`/x`", False),
 )
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', {str(b).lower()})" for a, b in _PLANS) + ") AS t(statement, accepted)")
+def _log(spark, sf_dir, cases):
+    nations = table(spark, sf_dir, "nation").select("n_nationkey", F.lower("n_name").alias("name"), F.explode(F.array(*(F.lit(a) for a, _ in cases))).alias("case"))
+    return nations.select("n_nationkey", F.replace("case", F.lit("%"), F.col("name")).alias("statement"))
+
+
+@query(_statements(_PLANS))
 def plan_cases(spark, sf_dir):
-    """Allowed nodes of the parsed plan."""
-    plain = [(a.replace("''", "'"), b) for a, b in _PLANS]
-    return spark.createDataFrame([(a, policy.check_plan(spark, a) is None) for a, _ in plain], "statement string, accepted boolean")
+    """Allowed nodes, functions and relations of the parsed plans of a log of statements, bodies of EXPLAIN and DESCRIBE QUERY too. Spark parses on the driver, so the different statements go there one by one."""
+    log = _log(spark, sf_dir, _PLANS).select("statement").distinct()
+    judged = spark.createDataFrame([(r["statement"], policy.check_plan(spark, r["statement"]) is None) for r in log.toLocalIterator()], "statement string, accepted boolean")
+    return _log(spark, sf_dir, _PLANS).join(judged, "statement").select("n_nationkey", "statement", "accepted")
+
+
+_EXPLAINED = (
+    "SELECT o_orderkey FROM orders",
+    "SELECT c_name FROM customer WHERE c_acctbal > 5000",
+    "SELECT l_returnflag, count(*) AS n FROM lineitem WHERE l_quantity < 10 AND l_discount > 0.02 GROUP BY l_returnflag",
+    "SELECT o_orderkey, c_name FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000 AND c_mktsegment = 'BUILDING'",
+    "SELECT p_name FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)",
+)
 
 
-@query("SELECT * FROM (VALUES ('FileScan', 'filtered')) AS t(node, detail)")
-def explain_scan(spark, sf_dir):
-    """The scan of a filtered read, out of the physical plan."""
-    from larkspur.plans.query import plan_facts
+@query("""
+SELECT * FROM (VALUES
+  (0, 'Scan', 'orders', (SELECT count(*) FROM orders)), (1, 'Scan', 'customer', (SELECT count(*) FROM customer)), (1, 'Filter', '', (SELECT count(*) FROM customer WHERE c_acctbal > 5000)),
+  (2, 'Scan', 'lineitem', (SELECT count(*) FROM lineitem)), (2, 'Filter', '', (SELECT count(*) FROM lineitem WHERE l_quantity < 10 AND l_discount > 0.02)),
+  (3, 'Scan', 'orders', (SELECT count(*) FROM orders)), (3, 'Scan', 'customer', (SELECT count(*) FROM customer)), (3, 'Filter', '', (SELECT count(*) FROM orders WHERE o_totalprice > 100000)),
+  (3, 'Filter', '', (SELECT count(*) FROM customer WHERE c_mktsegment = 'BUILDING')), (3, 'Join', '', (SELECT count(*) FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 100000 AND c_mktsegment = 'BUILDING')),
+  (4, 'Scan', 'part', (SELECT count(*) FROM part)), (4, 'Filter', '', (SELECT count(*) FROM part WHERE p_retailprice > (SELECT avg(p_retailprice) FROM part)))
+) AS t(statement, step, "table", n_rows)
+""")
+def plan_rows(spark, sf_dir):
+    """Scans, filters and joins of five plans that have run, each with the rows it gave."""
+    register_views(spark, sf_dir, ("orders", "customer", "lineitem", "part"))
+    found = set()
+    for i, sql in enumerate(_EXPLAINED):
+        df = spark.sql(sql)
+        physical.run(df)
+        for n in physical.nodes(df):
+            step = "Join" if n.kind.endswith("Join") else n.kind.removeprefix("FileSource")
+            if step in ("Scan", "Filter", "Join"):
+                found.add((i, step, n.table or "", n.rows))
+    return spark.createDataFrame(sorted(found), 'statement int, step string, table string, n_rows long')
+
 
-    df = table(spark, sf_dir, "orders").where("o_orderkey > 100").select("o_orderkey")
-    return spark.createDataFrame(sorted(set(plan_facts(df))), "node string, detail string")
+@query("""
+SELECT c_name AS who, '[FILTERED]' AS id, '[FILTERED]' AS whole, '{"c_mktsegment":"' || c_mktsegment || '"}' AS part, '[FILTERED]' AS top, '[FILTERED]' AS doubled, CAST(1 AS BIGINT) AS n, upper(c_mktsegment) AS big FROM customer
+UNION ALL SELECT o_orderstatus, '[FILTERED]', '[FILTERED]', '', '[FILTERED]', '[FILTERED]', count(*), max(o_orderpriority) FROM orders GROUP BY o_orderstatus
+""")
+def redact_lineage(spark, sf_dir):
+    """Sensitive columns stay hidden behind aliases, structs, JSON, subqueries, views and unions; encrypted ones come from a relation of columns."""
+    register_views(spark, sf_dir, ("customer", "orders"))
+    spark.sql("SELECT c_custkey AS number, c_name AS who, c_mktsegment, c_acctbal FROM customer").createOrReplaceTempView("people")
+    encrypted = files.catalog_columns(spark).where("table = 'customer' AND type = 'double'").select("table", F.col("name").alias("column"))
+    sql = """
+    SELECT who, number AS id, (SELECT to_json(struct(c.*)) FROM (SELECT people.*) AS c) AS whole, to_json(struct(c_mktsegment)) AS part, (SELECT max(o_custkey) FROM orders) AS top, c_acctbal * 2 AS doubled, 1L AS n, upper(c_mktsegment) AS big FROM people
+    UNION ALL SELECT o_orderstatus, max(o_orderkey), 'x', '', 0, 0, count(o_orderkey), max(o_orderpriority) FROM orders GROUP BY o_orderstatus"""
+    return guarded(spark, sql, 10**9, Policy(most_rows=10**9), encrypted)
 
 
 @query("SELECT c_mktsegment, count(*) AS n, round(sum(c_acctbal), 2) AS total FROM customer WHERE c_acctbal > 0 GROUP BY c_mktsegment")

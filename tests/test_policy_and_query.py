@@ -109,3 +109,80 @@ def test_explain(spark):
     assert answer(spark, "SHOW TABLES", explain=True).state == "refused"
     with pytest.raises(Refused):
         query.explained(spark, "SHOW TABLES")
+
+
+def test_explain_with_counts(spark):
+    shown = query.explained(spark, "SELECT o_orderkey FROM orders WHERE o_totalprice > 0", analyze=True)
+    assert shown.warnings == []
+    shown = query.explained(spark, "SELECT l_orderkey FROM lineitem", analyze=True)
+    assert shown.warnings == [f"FileSourceScan lineitem: full scan ({spark.table('lineitem').count()} rows)"]
+
+
+def test_plan_nodes_form_a_tree(spark):
+    from larkspur.plans import physical
+
+    df = spark.sql("SELECT c_mktsegment, count(*) AS n FROM customer JOIN orders ON c_custkey = o_custkey WHERE c_acctbal > (SELECT avg(c_acctbal) FROM customer) GROUP BY c_mktsegment")
+    assert all(n.rows is None for n in physical.nodes(df, ran=False))
+    physical.run(df)
+    found = {n.id: n for n in physical.nodes(df)}
+    assert sum(n.parent is None for n in found.values()) == 1 and all(n.parent is None or found[n.parent].depth == n.depth - 1 for n in found.values())
+    assert {"orders", "customer"} <= {n.table for n in found.values()} and any(n.kind == "Subquery" for n in found.values())
+    assert physical.node_table(df).count() == len(found)
+
+
+LINEAGE = [
+    ("SELECT c_custkey AS u, c_name FROM customer", [{"c_custkey"}, {"c_name"}]),
+    ("SELECT struct(*) AS s, to_json(struct(c_name, c_nationkey)) AS j FROM customer", [{"c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"}, {"c_name", "c_nationkey"}]),
+    ("SELECT c_name AS x FROM customer UNION ALL SELECT cast(c_custkey AS string) FROM customer", [{"c_name", "c_custkey"}]),
+    ("SELECT c_name FROM customer EXCEPT SELECT c_mktsegment FROM customer", [{"c_name", "c_mktsegment"}]),
+    ("SELECT (SELECT max(c_custkey) FROM customer) AS m, 1 AS one", [{"c_custkey"}, set()]),
+    ("WITH t AS (SELECT c_custkey AS a, c_name AS b FROM customer) SELECT x.b, y.a + 1 AS z FROM t x JOIN t y ON x.b = y.b", [{"c_name"}, {"c_custkey"}]),
+    ("SELECT count(c_custkey) AS n, max(c_name) AS m, c_mktsegment FROM customer GROUP BY ROLLUP (c_mktsegment)", [set(), {"c_name"}, {"c_mktsegment"}]),
+    ("SELECT e.v, c_acctbal FROM (SELECT array(c_name, c_mktsegment) AS m, c_acctbal FROM customer) LATERAL VIEW explode(m) e AS v", [{"c_name", "c_mktsegment"}, {"c_acctbal"}]),
+    ("SELECT * FROM (SELECT c_name, c_custkey, c_nationkey FROM customer) UNPIVOT (val FOR col IN (c_custkey, c_nationkey))", [{"c_name"}, set(), {"c_custkey", "c_nationkey"}]),
+    ("WITH RECURSIVE r(n, d) AS (SELECT c_custkey, 0 FROM customer WHERE c_custkey = 1 UNION ALL SELECT n + 1, d + 1 FROM r WHERE d < 3) SELECT * FROM r", [{"c_custkey"}, set()]),
+    ("WITH RECURSIVE r(a, b, d) AS (SELECT c_custkey, 'x', 0 FROM customer UNION ALL SELECT 1L, string(a), d + 1 FROM r WHERE d < 3) SELECT b FROM r", [{"c_custkey"}]),
+    ("SELECT o_totalprice, l.t FROM orders o, LATERAL (SELECT max(c_name) AS t FROM customer WHERE c_custkey = o.o_custkey) l", [{"o_totalprice"}, {"c_name"}]),
+    ("SELECT transform(array(1), x -> x + c_custkey) AS a, sum(c_acctbal) OVER (PARTITION BY c_mktsegment) AS b FROM customer", [{"c_custkey"}, {"c_acctbal", "c_mktsegment"}]),
+    ("SELECT c_custkey IS NULL AS gone, coalesce(c_name, c_mktsegment) AS s FROM customer", [set(), {"c_name", "c_mktsegment"}]),
+    ("FROM customer |> SELECT c_name AS q, c_custkey AS w |> WHERE w > 1", [{"c_name"}, {"c_custkey"}]),
+    ("SELECT any_value(struct(o_custkey, o_orderkey)).o_custkey AS z FROM orders", [{"o_custkey", "o_orderkey"}]),
+]
+
+
+@pytest.mark.parametrize(("sql", "want"), LINEAGE)
+def test_lineage(spark, sql, want):
+    from larkspur.plans.lineage import sources
+
+    base = {f.name for t in ("customer", "orders") for f in spark.table(t).schema}
+    got = [{c for t, c in s if t in ("customer", "orders")} & base for s in sources(spark.sql(sql))]
+    assert got == want
+
+
+def test_redaction_follows_values(spark):
+    spark.sql("SELECT c_custkey AS number, c_name AS who, c_acctbal FROM customer").createOrReplaceTempView("people")
+    hidden = {("[FILTERED]",)}
+    for sql in ("SELECT number FROM people", "SELECT struct(*) AS s FROM people", "SELECT to_json(struct(*)) AS s FROM people", "SELECT s.number AS s FROM (SELECT struct(*) AS s FROM people)", "SELECT 1L AS s UNION SELECT number FROM people"):
+        assert set(guarded(spark, sql).distinct().collect()) == hidden, sql
+    assert guarded(spark, "SELECT who, who FROM people", 1).columns == ["who", "who"]
+    assert guarded(spark, "SELECT number FROM people", policy=Policy(allowed=("c_custkey",))).first()[0] != "[FILTERED]"
+    encrypted = spark.createDataFrame([("Customer", "C_ACCTBAL"), ("orders", "who"), (None, None)], "table string, column string")
+    row = guarded(spark, "SELECT c_acctbal / 2 AS half, who FROM people", 1, encrypted=encrypted).first()
+    assert row.half == "[FILTERED]" and row.who != "[FILTERED]"  # who is encrypted in another table only
+
+
+def test_bodies_of_commands_are_checked(spark):
+    spark.conf.set("spark.sql.runSQLOnFiles", "true")
+    try:
+        for sql in ("EXPLAIN SELECT reflect('a', 'b')", "DESCRIBE QUERY SELECT * FROM text.`/etc/hostname`", "EXPLAIN SELECT * FROM text.`/etc/hostname`", "EXPLAIN INSERT INTO orders SELECT 1", "DESCRIBE text.`/etc/hostname`"):
+            assert answer(spark, sql).state == "refused", sql
+    finally:
+        spark.conf.set("spark.sql.runSQLOnFiles", "false")
+    assert answer(spark, "DESCRIBE QUERY SELECT o_orderkey FROM orders").state == "ok"
+    assert answer(spark, "SELECT c_name FROM customer WHERE c_name = 'password_digest'").state == "ok"
+    assert answer(spark, 'SELECT "password_digest" AS x').state == "refused"
+
+
+def test_audit_of_a_log(spark):
+    log = spark.createDataFrame([(1, "SELECT 1"), (2, "DROP TABLE t"), (3, None), (4, "")], "id int, statement string")
+    assert {r.id: r.refused is None for r in policy.refusals(log).collect()} == {1: True, 2: False, 3: False, 4: False}
