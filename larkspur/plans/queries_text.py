@@ -8,7 +8,7 @@ from larkspur.functions import text
 from larkspur.operators import ordered, predicates, replay
 from larkspur.plans.catalog import query
 from larkspur.session import table
-from larkspur.sources import files
+from larkspur.sources import dumps, files
 from larkspur.streaming import changes
 
 _LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' WHEN 'signup' THEN 'INFO' END"
@@ -196,33 +196,98 @@ def replay_migrations(spark, sf_dir):
     return replay.replay(events).select("db", "table", "column", "type")
 
 
-_DUMP = """CREATE TABLE public.users (
-  id bigint NOT NULL,
-  "name" character varying(20) DEFAULT 'a,b'::text,
-  price numeric(10,2),
-  PRIMARY KEY (id)
+def _dumps(spark, sf_dir):
+    """A dump for each part, in one of three dialects, with its values as names, sizes and defaults."""
+    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("k"), F.lower("p_type").alias("t"), F.col("p_size").cast("string").alias("z"), F.substring_index("p_name", " ", 1).alias("w"))
+    postgres = """-- dump of (one, 'table
+SET search_path = public;
+CREATE TABLE public.t{k} (
+    id bigint NOT NULL,
+    {t} character varying({z}) DEFAULT '{w},(x'::character varying,
+    "{w}" numeric(10,2) DEFAULT round((1.5)::numeric, 1) NOT NULL, /* ; not ( an end */
+    CONSTRAINT c{k} CHECK ((({t})::text <> ','::text))
 );
-CREATE TABLE `posts` (
+ALTER TABLE ONLY public.t{k}
+    ADD CONSTRAINT t{k}_pkey PRIMARY KEY (id);
+ALTER TABLE ONLY public.t{k} ADD CONSTRAINT f{k} FOREIGN KEY ({t}) REFERENCES public.kinds(name) ON DELETE CASCADE;
+ALTER TABLE ONLY public.gone ADD CONSTRAINT g FOREIGN KEY (a) REFERENCES public.kinds(name);
+CREATE UNIQUE INDEX i{k} ON public.t{k} USING btree (lower(({t})::text), "{w}" DESC NULLS LAST) WHERE ({w} > (0)::numeric);
+"""
+    mysql = """CREATE TABLE `t{k}` (
   `id` int NOT NULL AUTO_INCREMENT,
-  `done` tinyint(1) DEFAULT 0,
-  KEY `k` (`id`)
+  `{t}` tinyint(1) DEFAULT '{z}' COMMENT 'it''s ({w}), NOT NULL or so;',
+  `{w}` varchar({z}) COLLATE utf8_bin NOT NULL,
+  PRIMARY KEY (`id`,`{w}`),
+  UNIQUE KEY `i{k}` (`{w}`({z}),`{t}`),
+  CONSTRAINT `f{k}` FOREIGN KEY (`{t}`) REFERENCES `kinds` (`name`)
 ) ENGINE=InnoDB;
-CREATE UNIQUE INDEX idx_users_name ON public.users USING btree (name, price DESC);
+CREATE TABLE `schema_migrations` (`version` varchar(255) NOT NULL);
 """
+    sqlite = (
+        'CREATE TABLE IF NOT EXISTS "schema_migrations" ("version" varchar NOT NULL PRIMARY KEY);CREATE TABLE "t{k}" ("id" integer PRIMARY KEY AUTOINCREMENT NOT NULL, '
+        '''"{t}" decimal(5,2) DEFAULT {z}.5, "{w}" text DEFAULT 'a,b' NOT NULL, key text);CREATE INDEX "i{k}" ON "t{k}" ("{t}");'''
+    )
+
+    def filled(template):
+        out = F.lit(template)
+        for name in "ktzw":
+            out = F.replace(out, F.lit("{" + name + "}"), F.col(name))
+        return out
+
+    text_ = F.when(F.col("p_partkey") % 3 == 0, filled(postgres)).when(F.col("p_partkey") % 3 == 1, filled(mysql)).otherwise(filled(sqlite))
+    return part.select(F.concat(F.lit("db/"), "k", F.lit(".sql")).alias("path"), text_.alias("content"))
+
+
+#: What :func:`_dumps` writes, straight from its values.
+_DUMPED = "SELECT *, p_partkey % 3 AS d, 't' || p_partkey AS name_, lower(p_type) AS t, CAST(p_size AS VARCHAR) AS z, split_part(p_name, ' ', 1) AS w FROM part"
 
 
-@query("SELECT * FROM (VALUES ('users', 'id', 'bigint', false), ('users', 'name', 'string', true), ('users', 'price', 'decimal', true), ('posts', 'id', 'integer', false), ('posts', 'done', 'boolean', true)) AS t(\"table\", name, type, nullable)")
+@query(f"""
+WITH p AS ({_DUMPED})
+SELECT name_ AS "table", 0 AS position, 'id' AS name, CASE d WHEN 0 THEN 'bigint' ELSE 'integer' END AS type, false AS nullable, NULL AS "default" FROM p
+UNION ALL SELECT name_, 1, t, CASE d WHEN 0 THEN 'string' WHEN 1 THEN 'boolean' ELSE 'decimal' END, true, CASE d WHEN 0 THEN chr(39) || w || ',(x' || chr(39) WHEN 1 THEN chr(39) || z || chr(39) ELSE z || '.5' END FROM p
+UNION ALL SELECT name_, 2, w, CASE d WHEN 0 THEN 'decimal' WHEN 1 THEN 'string' ELSE 'text' END, false, CASE d WHEN 0 THEN 'round((1.5)::numeric, 1)' WHEN 2 THEN chr(39) || 'a,b' || chr(39) END FROM p
+UNION ALL SELECT name_, 3, 'key', 'text', true, NULL FROM p WHERE d = 2
+""")
 def dump_columns(spark, sf_dir):
-    """Columns of dumps in two dialects."""
-    dumps = spark.createDataFrame([("a.sql", _DUMP)], "path string, content string")
-    return files.dump_columns(files.dump_tables(dumps)).select("table", "name", "type", "nullable")
+    """Columns of a dump for each part, in three dialects, with nested brackets, quoted commas, comments and statements on one line."""
+    found = dumps.dump_columns(dumps.dump_tables(dumps.statements(_dumps(spark, sf_dir))))
+    return found.select("table", "position", "name", "type", "nullable", "default")
 
 
-@query("SELECT * FROM (VALUES ('users', 'idx_users_name', 'name|price', true)) AS t(\"table\", name, columns, \"unique\")")
+@query(f"""
+WITH p AS ({_DUMPED})
+SELECT name_ AS "table", 'i' || p_partkey AS name, CASE d WHEN 0 THEN 'lower((' || t || ')::text)|' || w WHEN 1 THEN w || '|' || t ELSE t END AS columns, d < 2 AS "unique" FROM p
+""")
 def dump_indexes(spark, sf_dir):
-    """Indexes of dumps."""
-    dumps = spark.createDataFrame([("a.sql", _DUMP)], "path string, content string")
-    return files.dump_indexes(dumps).select("table", "name", F.array_join("columns", "|").alias("columns"), "unique")
+    """Indexes of these dumps, inside a table and outside, over expressions too."""
+    return dumps.dump_indexes(dumps.statements(_dumps(spark, sf_dir))).select("table", "name", F.array_join("columns", "|").alias("columns"), "unique")
+
+
+@query(f"""
+WITH p AS ({_DUMPED})
+SELECT 'db/' || p_partkey || '.sql' AS path, name_ AS "table", 'primary' AS kind, CASE d WHEN 1 THEN 'id|' || w ELSE 'id' END AS columns, NULL AS to_table, NULL AS to_columns, CASE d WHEN 0 THEN 'postgresql' WHEN 1 THEN 'mysql' ELSE 'sqlite' END AS dialect FROM p
+UNION ALL SELECT 'db/' || p_partkey || '.sql', name_, 'foreign', t, 'kinds', 'name', CASE d WHEN 0 THEN 'postgresql' ELSE 'mysql' END FROM p WHERE d < 2
+""")
+def dump_keys(spark, sf_dir):
+    """Primary and foreign keys of these dumps, and the dialect of each."""
+    found = _dumps(spark, sf_dir)
+    keys = dumps.dump_keys(dumps.statements(found)).join(found.select("path", dumps.dialect(F.col("content")).alias("dialect")), "path")
+    return keys.select("path", "table", "kind", F.array_join("columns", "|").alias("columns"), "to_table", F.array_join("to_columns", "|").alias("to_columns"), "dialect")
+
+
+@query("""
+SELECT 'app' || s_nationkey || '/db/' || s_suppkey || CASE WHEN n THEN '_schema.rb' ELSE '_structure.sql' END AS path, CAST(s_suppkey AS VARCHAR) AS database
+FROM (SELECT *, s_suppkey % 2 = 0 AND s_acctbal > 0 AS n FROM supplier) WHERE n OR s_suppkey % 3 <> 0
+""")
+def secondary_dumps(spark, sf_dir):
+    """Of the two dumps of a secondary database the first kind counts, unless it has no tables; main dumps are not among them."""
+    s = table(spark, sf_dir, "supplier")
+    folder = F.concat(F.lit("app"), "s_nationkey", F.lit("/db/"))
+    kinds = (("_schema.rb", F.when((F.col("s_suppkey") % 2 == 0) & (F.col("s_acctbal") > 0), 2).otherwise(0)), ("_structure.sql", F.when(F.col("s_suppkey") % 3 == 0, 0).otherwise(3)))
+    listed = [F.struct(F.concat(folder, F.col("s_suppkey").cast("string"), F.lit(end)).alias("path"), n.alias("n_tables")) for end, n in kinds]
+    main = F.struct(F.concat(folder, F.lit("schema.rb")).alias("path"), F.lit(9).alias("n_tables"))
+    return dumps.chosen_dumps(s.select(F.explode(F.array(*listed, main)).alias("x")).select("x.*")).select("path", "database")
 
 
 _LOCK = ["GEM", "  remote: x", "  specs:", "    rake (13.0.6)", "    nokogiri (1.15.0-x86_64)", "      racc (~> 1.4)", "PLATFORMS", "  ruby"]
