@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import cut, shared_path, small
+from larkspur.llm.common import cut, once, shared_path, small
 
 #: What separates terms: ASCII without letters and digits.
 TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
@@ -80,8 +80,8 @@ def build(docs: DataFrame, path: str | None = None, block_docs: int = 1_024, blo
     """Index every row of docs under path."""
     spark = docs.sparkSession
     path = path or shared_path(spark, "lexical-index")
-    size = n_terms(F.col(text_col)).cast("long")
-    n_docs, n_total = docs.agg(F.coalesce(F.sum(F.when(size > 0, 1).otherwise(0)), F.lit(0)), F.coalesce(F.sum(size), F.lit(0))).first()
+    sizes = once(docs.select(text_col), "_n", n_terms(F.col(text_col)).cast("long")).select("_n")
+    n_docs, n_total = sizes.agg(F.count(F.when(F.col("_n") > 0, 1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
     ids, longs = docs.schema[id_col].dataType, T.ArrayType(T.LongType())
     schema = T.StructType(
         [
