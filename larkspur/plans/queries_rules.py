@@ -278,7 +278,7 @@ _STEPS = (
 
 
 @query("""
-SELECT n_name AS db, t.* FROM nation, (VALUES ('column', 'people', 0, 'age', 'bigint', false, '8', NULL, NULL, NULL), ('column', 'people', 1, 'name', 'text', true, NULL, NULL, NULL, NULL), ('column', 'people', 2, 'team_id', 'bigint', false, NULL, NULL, NULL, NULL),
+SELECT n_name AS db, t.* FROM nation, (VALUES ('column', 'people', 0, 'id', 'bigint', false, NULL, NULL, NULL, NULL), ('column', 'people', 1, 'age', 'bigint', false, '8', NULL, NULL, NULL), ('column', 'people', 2, 'name', 'text', true, NULL, NULL, NULL, NULL), ('column', 'people', 3, 'team_id', 'bigint', false, NULL, NULL, NULL, NULL),
   ('index', 'people', 0, 'by_team', NULL, NULL, NULL, 'team_id,age', true, NULL), ('foreign_key', 'people', 0, 'team_id', NULL, NULL, NULL, NULL, NULL, 'teams')) AS t(kind, "table", position, name, type, nullable, "default", columns, "unique", to_table)
 """)
 def replayed_schema(spark, sf_dir):

@@ -182,18 +182,41 @@ def replay_state(spark, sf_dir):
     return replay.last_state(table(spark, sf_dir, "events"), ["user_id"], ["ts", "event_id"], F.col("event_type") != "error").select("user_id", "event_id", "event_type")
 
 
-_EVENTS = (
-    ("m", "1", 1, "create_table", "users", None, None, None), ("m", "1", 2, "add_column", "users", "name", "string", None), ("m", "1", 3, "add_timestamps", "users", None, None, None),
-    ("m", "2", 1, "rename_column", "users", "name", None, "full_name"), ("m", "2", 2, "add_reference", "users", "team", "bigint", None), ("m", "3", 1, "create_table", "old", None, None, None),
-    ("m", "3", 2, "add_column", "old", "x", "text", None), ("m", "4", 1, "rename_table", "old", None, None, "fresh"), ("m", "5", 1, "remove_column", "users", "created_at", None, None), ("m", "6", 1, "drop_table", "gone", None, None, None),
-)
-
-
-@query("SELECT * FROM (VALUES ('m', 'users', 'full_name', 'string'), ('m', 'users', 'updated_at', 'datetime'), ('m', 'users', 'team_id', 'bigint'), ('m', 'fresh', 'x', 'text')) AS t(db, \"table\", \"column\", type)")
+@query("""
+WITH p AS (SELECT *, CASE WHEN p_size % 2 = 0 THEN 'r' ELSE 't' END || p_partkey AS name_ FROM part WHERE p_size % 7 <> 0)
+SELECT p_brand AS db, name_ AS "table", 'id' AS "column", CASE WHEN p_size % 4 = 0 THEN 'uuid' ELSE 'bigint' END AS type, 0 AS position FROM p WHERE p_size % 9 <> 0
+UNION ALL SELECT p_brand, name_, CASE WHEN p_size % 3 = 0 THEN CASE WHEN p_size % 2 = 0 THEN 'third' ELSE 'second' END ELSE 'first' END, CASE WHEN p_size % 5 = 0 THEN 'text' ELSE lower(p_type) END, CASE WHEN p_size % 9 = 0 THEN 0 ELSE 1 END FROM p
+UNION ALL SELECT p_brand, name_, 'team_id', 'bigint', CASE WHEN p_size % 9 = 0 THEN 1 ELSE 2 END FROM p WHERE p_size % 8 <> 0
+""")
 def replay_migrations(spark, sf_dir):
-    """Renames and drops in order."""
-    events = spark.createDataFrame(_EVENTS, "db string, file string, location int, action string, table string, column string, type string, new_name string")
-    return replay.replay(events).select("db", "table", "column", "type")
+    """A history for each part, of renamed tables and columns, keys of their own, parts that only run downwards and dropped tables; a database for each brand."""
+    p = table(spark, sf_dir, "part")
+    t, size = F.concat(F.lit("t"), "p_partkey"), F.col("p_size")
+    r = F.when(size % 2 == 0, F.concat(F.lit("r"), "p_partkey")).otherwise(t)
+    at = F.when(size % 3 == 0, F.when(size % 2 == 0, "third").otherwise("second")).otherwise("first")
+    none = F.lit(None).cast("string")
+
+    def step(i, action, tab, when=None, column=none, kind=none, new=none, part=none, **options):
+        given = [x for k, v in options.items() for x in (F.lit(k), F.lit(v) if isinstance(v, str) else v)]
+        fields = {"location": F.lit(i), "action": F.lit(action), "table": tab, "column": column, "type": kind, "new_name": new, "part": part, "options": F.create_map(*given) if given else F.lit(None).cast("map<string,string>")}
+        one = F.struct(*(c.alias(n) for n, c in fields.items()))
+        return one if when is None else F.when(when, one)
+
+    steps = [
+        step(0, "create_table", t, id=F.when(size % 9 == 0, "false").when(size % 4 == 0, "uuid").otherwise("true")),
+        step(1, "add_column", t, column=F.lit("first"), kind=F.lower("p_type")),
+        step(2, "drop_table", t, part=F.lit("down")),
+        step(3, "rename_column", t, size % 3 == 0, column=F.lit("first"), new=F.lit("second")),
+        step(4, "rename_table", t, size % 2 == 0, new=r),
+        step(5, "rename_column", r, size % 6 == 0, column=F.lit("second"), new=F.lit("third")),
+        step(6, "change_column", r, size % 5 == 0, column=at, kind=F.lit("text")),
+        step(7, "add_reference", r, column=F.lit("team")),
+        step(8, "remove_reference", r, size % 8 == 0, column=F.lit("team")),
+        step(9, "drop_table", r, size % 7 == 0),
+        step(10, "rename_table", t, size % 7 == 0, new=F.lit("lost")),
+    ]
+    events = p.select(F.col("p_brand").alias("db"), F.lpad(F.col("p_partkey").cast("string"), 12, "0").alias("file"), F.explode(F.array(*steps)).alias("e")).where("e IS NOT NULL").select("db", "file", "e.*")
+    return replay.replay(events).select("db", "table", "column", "type", "position")
 
 
 def _dumps(spark, sf_dir):

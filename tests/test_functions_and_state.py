@@ -94,7 +94,7 @@ def test_cycles_and_ancestors_of_any_length(spark):
 def test_replay_of_renames(spark):
     events = [("d", "1", 1, "create_table", "a", None, None, None), ("d", "1", 2, "add_column", "a", "x", "text", None), ("d", "2", 1, "rename_table", "a", None, None, "b"), ("d", "3", 1, "create_table", "a", None, None, None), ("d", "4", 1, "add_column", "a", "y", "int", None), ("d", "5", 1, "remove_reference", "b", "x", None, None), ("e", "1", 1, "add_column", "missing", "z", "int", None)]
     frame = spark.createDataFrame(events, "db string, file string, location int, action string, table string, column string, type string, new_name string")
-    assert sorted((r.db, r.table, r.column) for r in replay.replay(frame).collect()) == [("d", "a", "y"), ("d", "b", "x")]
+    assert sorted((r.db, r.table, r.column) for r in replay.replay(frame).collect()) == [("d", "a", "id"), ("d", "a", "y"), ("d", "b", "id"), ("d", "b", "x")]
 
 
 def test_files_and_refresh(spark, tmp_path):
