@@ -28,14 +28,13 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import cut, once, shared_path, small
+from larkspur.llm.common import cut, shared_path, small
 
-#: What separates terms: ASCII without letters and digits.
-TERM = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: Bytes of terms: A-Z become small letters, what separates terms becomes a blank.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
 #: A share is under ``WHOLE``; 255 steps cover it.
 WHOLE = 1_000_000
@@ -48,10 +47,6 @@ def terms(text: bytes) -> list[bytes]:
     return text.translate(_FOLD).split()
 
 
-def n_terms(text: Column) -> Column:
-    return F.regexp_count(F.coalesce(text, F.lit("")), F.lit(TERM))
-
-
 def norm(length: int, n_docs: int, n_total: int) -> int:
     """A document's m."""
     return 25 + 75 * length * n_docs // n_total
@@ -80,8 +75,15 @@ def build(docs: DataFrame, path: str | None = None, block_docs: int = 1_024, blo
     """Index every row of docs under path."""
     spark = docs.sparkSession
     path = path or shared_path(spark, "lexical-index")
-    sizes = once(docs.select(text_col), "_n", n_terms(F.col(text_col)).cast("long")).select("_n")
-    n_docs, n_total = sizes.agg(F.count(F.when(F.col("_n") > 0, 1)), F.coalesce(F.sum("_n"), F.lit(0))).first()
+    plain = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sizes = [len(terms(text.as_buffer().to_pybytes())) for text in batch.column(0)]
+            yield pa.RecordBatch.from_pydict({"n_docs": [sum(map(bool, sizes))], "n_total": [sum(sizes)]})
+
+    totals = plain.select("text").mapInArrow(count, "n_docs long, n_total long").agg(F.sum("n_docs"), F.sum("n_total")).first()
+    n_docs, n_total = totals[0] or 0, totals[1] or 0
     ids, longs = docs.schema[id_col].dataType, T.ArrayType(T.LongType())
     schema = T.StructType(
         [
@@ -138,7 +140,6 @@ def build(docs: DataFrame, path: str | None = None, block_docs: int = 1_024, blo
         if held:
             yield packed(held, kind)
 
-    plain = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
     plain.mapInArrow(run, schema).write.parquet(path)
     return Index(path, n_docs, n_total)
 
