@@ -7,25 +7,29 @@ import tempfile
 import uuid
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Compute df once and keep it as a table in the session's checkpoint folder, so that plans do not grow with the number of rounds.
-
-    A checkpoint would hand on what the optimizer knows about its rows, which doubles from round to round; a table does not. Where no folder is set, a session that runs in this process alone gets a temporary one; any other one is refused.
-    """
-    spark = df.sparkSession
+def _folder(spark: SparkSession) -> str:
+    """The session's checkpoint folder, set from spark.checkpoint.dir where it is not. Where no folder is named, a session that runs in this process alone gets a temporary one; any other one is refused."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
         named = spark.conf.get("spark.checkpoint.dir", None)
         if not named and not re.fullmatch(r"local(\[[^]]*\])?", context.master):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(named or tempfile.mkdtemp(prefix="spark-"))
-    kept = f"{context.getCheckpointDir()}/kept-{uuid.uuid4().hex}"
+    return context.getCheckpointDir()
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """Compute df once and keep it as a table in the session's checkpoint folder, so that plans do not grow with the number of rounds.
+
+    A checkpoint would hand on what the optimizer knows about its rows, which doubles from round to round; a table does not.
+    """
+    kept = f"{_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(kept)
-    return spark.read.schema(df.schema).parquet(kept)
+    return df.sparkSession.read.schema(df.schema).parquet(kept)
 
 
 def association_edges(associations: DataFrame) -> DataFrame:
@@ -37,7 +41,7 @@ def association_edges(associations: DataFrame) -> DataFrame:
 
 def neighbourhood(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """Nodes within ``depth`` steps in either direction of the start (node), with their distance. Depth is at most 3."""
-    both = edges.select("src", "dst").unionByName(edges.select(F.col("dst").alias("src"), F.col("src").alias("dst"))).distinct()
+    both = edges.select(F.explode(F.array(F.struct("src", "dst"), F.struct(F.col("dst").alias("src"), F.col("src").alias("dst")))).alias("e")).select("e.*")
     return closure(both, start, min(max(depth, 1), 3)).withColumnRenamed("depth", "distance")
 
 
@@ -49,9 +53,41 @@ def _in_cycles(plain: DataFrame) -> DataFrame:
     return left
 
 
-def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
-    """All simple cycles, each once, as its path from the smallest node; of up to ``longest`` nodes where that is given."""
-    plain = _in_cycles(edges.select("src", "dst").where("src is not null and dst is not null").distinct())
+def components(edges: DataFrame) -> DataFrame:
+    """node and component (its largest node) of every node on a cycle: strongly connected components by forward and backward colouring.
+
+    Every node takes the largest name that reaches it; a component has one colour, so edges between colours go. What reaches the node that
+    gave a colour, inside the colour, is its component. The rest is trimmed and coloured again, until no edge is left.
+    """
+    left, out = _in_cycles(edges.select("src", "dst").where("src is not null and dst is not null").distinct()), None
+    while not left.isEmpty():
+        colour, total = left.select(F.explode(F.array("src", "dst")).alias("node")).distinct().select("node", F.col("node").alias("c")), None
+        while True:
+            told = left.join(colour.withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node"), "c").unionByName(colour)
+            colour = cut(told.groupBy("node").agg(F.max("c").alias("c")))
+            if total == (total := colour.agg(F.sum(F.xxhash64("node", "c").cast("decimal(38,0)"))).first()[0]):
+                break
+        ends = left.join(colour.select(F.col("node").alias("src"), F.col("c").alias("a")), "src").join(colour.select(F.col("node").alias("dst"), F.col("c").alias("b")), "dst")
+        inside = cut(ends.where("a = b").select("src", "dst", F.col("a").alias("c")))
+        back = closure(inside.select(F.struct("c", F.col("dst").alias("v")).alias("src"), F.struct("c", F.col("src").alias("v")).alias("dst")), colour.where("node = c").select(F.struct("c", F.col("node").alias("v")).alias("node")))
+        found = cut(back.select(F.col("node.v").alias("node"), F.col("node.c").alias("component")))
+        on_cycle = inside.join(found.select(F.col("node").alias("src")), "src", "left_semi").join(found.select(F.col("node").alias("dst")), "dst", "left_semi")
+        kept = cut(found.join(on_cycle.select(F.col("src").alias("node")).distinct(), "node", "left_semi"))
+        out = kept if out is None else out.unionByName(kept)
+        done = found.select("node")
+        left = _in_cycles(inside.select("src", "dst").join(done.withColumnRenamed("node", "src"), "src", "left_anti").join(done.withColumnRenamed("node", "dst"), "dst", "left_anti"))
+    return out if out is not None else left.select(F.col("src").alias("node"), F.col("src").alias("component"))
+
+
+def cycles(edges: DataFrame, longest: int | None = None, most_paths: int = 10_000_000) -> DataFrame:
+    """All simple cycles, each once, as its path from the smallest node; of up to ``longest`` nodes where that is given.
+
+    Paths are followed inside strongly connected components alone. A dense component has more paths than any cluster holds: beyond most_paths
+    open ones this raises an error instead of leaving some out.
+    """
+    parts = components(edges)
+    ends = edges.select("src", "dst").distinct().join(parts.select(F.col("node").alias("src"), F.col("component").alias("a")), "src").join(parts.select(F.col("node").alias("dst"), F.col("component").alias("b")), "dst")
+    plain = cut(ends.where("a = b").select("src", "dst"))
     step = plain.select(F.col("src").alias("a"), F.col("dst").alias("b"))
     paths = plain.select(F.array("src").alias("path"), F.col("dst").alias("at"))
     out, n = None, 0
@@ -60,24 +96,48 @@ def cycles(edges: DataFrame, longest: int | None = None) -> DataFrame:
         out, n = closed if out is None else out.unionByName(closed), n + 1
         on = paths.where((F.col("at") > F.get("path", F.lit(0))) & ~F.array_contains("path", F.col("at")))
         paths = cut(on.join(step, F.col("at") == F.col("a")).select(F.concat("path", F.array("at")).alias("path"), F.col("b").alias("at")))
-        if paths.isEmpty():
+        if not (open_ := paths.count()):
             break
+        if open_ > most_paths:
+            raise ValueError(f"over {most_paths} open paths of {n + 1} nodes: give a bound for longest")
     return out
 
 
-def closure(edges: DataFrame, start: DataFrame, depth: int | None = None) -> DataFrame:
+def _dealt(df: DataFrame, key: str, n: int) -> DataFrame:
+    """df dealt over n partitions by key and kept so: joins on the key with another frame dealt alike move no row."""
+    spark = df.sparkSession
+    _folder(spark)
+    return df.repartition(n, key).checkpoint()
+
+
+def closure(edges: DataFrame, start: DataFrame, depth: int | None = None, hops: int = 3) -> DataFrame:
     """Nodes reached from the start along the edges, with the least depth, until nothing new is met or to a given depth; cycles end where a node was seen.
 
-    Each front is kept, so the plan grows by one scan a level.
+    Edges are dealt by their source once, fronts by their nodes: a level moves the nodes it meets, and nothing else. A round goes up to hops
+    levels further in one job. What was seen lies in a few runs dealt alike; beyond three, a run joins the one before it unless that is
+    more than twice as large, so a node is written again as often as a run doubles.
     """
-    fronts = [cut(start.select("node").distinct())]
-    while depth is None or len(fronts) <= depth:
-        met = edges.join(fronts[-1].withColumnRenamed("node", "src"), "src").select(F.col("dst").alias("node")).distinct()
-        front = cut(met.join(reduce(DataFrame.unionByName, fronts), "node", "left_anti"))
-        if front.isEmpty():
+    n = int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    out = _dealt(edges.select(F.col("src").alias("node"), "dst").dropna(), "node", n)
+    found = _dealt(start.select("node").dropna().distinct(), "node", n).withColumn("depth", F.lit(0))
+    level, runs = 0, []
+    while size := found.count():
+        runs.append((size, found))
+        while len(runs) > 3 and runs[-2][0] <= 2 * runs[-1][0]:
+            (a, older), (b, newer) = runs[-2:]
+            runs[-2:] = [(a + b, _dealt(older.unionByName(newer), "node", n))]
+        ahead = hops if depth is None else min(hops, depth - level)
+        if ahead <= 0:
             break
-        fronts.append(front)
-    return reduce(DataFrame.unionByName, (f.withColumn("depth", F.lit(d)) for d, f in enumerate(fronts)))
+        front, fronts = found.where(F.col("depth") == level).select("node"), []
+        for i in range(1, ahead + 1):
+            front = out.join(front, "node").select(F.col("dst").alias("node")).repartition(n, "node").distinct()
+            for _, run in runs:
+                front = front.join(run.select("node"), "node", "left_anti")
+            fronts.append(front.withColumn("depth", F.lit(level + i)))
+        found = reduce(DataFrame.unionByName, fronts).repartition(n, "node").groupBy("node").agg(F.min("depth").alias("depth")).checkpoint()
+        level += ahead
+    return reduce(DataFrame.unionByName, (run for _, run in runs)) if runs else found
 
 
 def hierarchies(models: DataFrame) -> DataFrame:

@@ -318,10 +318,16 @@ def khop(spark, sf_dir):
     return graph.neighbourhood(edges, spark.createDataFrame([("p1",)], "node string"), 2)
 
 
-@query("SELECT * FROM (VALUES ('Tag'), ('Comment|Post'), ('Comment|User'), ('Post|User'), ('Comment|Post|User'), ('Comment|User|Post')) AS t(cycle)")
+@query("""
+WITH RECURSIVE e AS (SELECT DISTINCT l_partkey AS src, l_suppkey AS dst FROM lineitem WHERE l_quantity >= 49 AND l_partkey IN (SELECT s_suppkey FROM supplier)),
+w(path, here) AS (SELECT [src], dst FROM e UNION ALL SELECT list_append(path, here), e.dst FROM w JOIN e ON e.src = here WHERE here > path[1] AND NOT list_contains(path, here) AND len(path) < 6)
+SELECT array_to_string(path, '|') AS cycle FROM w WHERE here = path[1]
+""")
 def cycles(spark, sf_dir):
-    """All simple cycles, each once."""
-    return graph.cycles(_edges(spark).where("src <> 'Lone'")).select(F.array_join("path", "|").alias("cycle"))
+    """All simple cycles of up to six nodes in the graph of the largest sales, each once."""
+    suppliers = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("l_partkey"))
+    edges = table(spark, sf_dir, "lineitem").where("l_quantity >= 49").join(suppliers, "l_partkey", "left_semi").select(F.col("l_partkey").alias("src"), F.col("l_suppkey").alias("dst"))
+    return graph.cycles(edges, 6).select(F.array_join("path", "|").alias("cycle"))
 
 
 @query("SELECT * FROM (VALUES ('Post', 'User'), ('Comment', 'Post'), ('Author', 'Person')) AS t(src, dst)")

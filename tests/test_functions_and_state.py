@@ -1,8 +1,10 @@
 import itertools
 import json
+import random
 import threading
 import warnings
 
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -215,3 +217,44 @@ def test_nearest_names(spark):
     names = spark.createDataFrame([("UserProfile",), ("users",), ("post_comments",), ("posts",)], "name string")
     first = lambda wanted: [r.name for r in predicates.closest(names, "name", wanted).collect()]
     assert first("user_profile") == ["UserProfile"] and first("post") == ["posts"] and first("  ") == [] and first("USERS") == ["users"]
+
+
+def test_components_and_cycles_match_brute_force(spark):
+    rng = random.Random(3)
+    for n, m in ((6, 9), (12, 18), (30, 36), (9, 40)):
+        edges = {(rng.randrange(n), rng.randrange(n)) for _ in range(m)}
+        reach = {a: {b for x, b in edges if x == a} for a in range(n)}
+        for _ in range(n):
+            reach = {a: r | {c for b in r for c in reach[b]} for a, r in reach.items()}
+        want = {a: max(b for b in range(n) if b in reach[a] and a in reach[b]) for a in range(n) if a in reach[a]}
+        frame = spark.createDataFrame(sorted(edges), "src int, dst int")
+        assert {r.node: r.component for r in graph.components(frame).collect()} == want
+        found, open_ = [], [[a] for a in range(n)]
+        while open_:
+            path = open_.pop()
+            for a, b in edges:
+                if a == path[-1] and b == path[0]:
+                    found.append(path)
+                elif a == path[-1] and b > path[0] and b not in path and len(path) < 5:
+                    open_.append([*path, b])
+        assert sorted(r.path for r in graph.cycles(frame, 5).collect()) == sorted(found)
+    assert graph.components(frame.limit(0)).count() == 0
+    dense = spark.createDataFrame([(a, b) for a in range(9) for b in range(9)], "src int, dst int")
+    with pytest.raises(ValueError, match="open paths"):
+        graph.cycles(dense, most_paths=2_000)
+
+
+def test_closure_matches_brute_force(spark):
+    rng = random.Random(8)
+    for n, m in ((40, 50), (200, 210), (30, 200)):
+        edges = [(rng.randrange(n), rng.randrange(n)) for _ in range(m)] + [(None, 1), (1, None)]
+        seen, level = {0: 0, 5: 0}, 0
+        while new := {b for a, b in edges if a in seen and b is not None and seen[a] == level and b not in seen}:
+            level += 1
+            seen |= dict.fromkeys(new, level)
+        frame, start = spark.createDataFrame(edges, "src int, dst int"), spark.createDataFrame([(0,), (5,), (0,), (None,)], "node int")
+        for depth in (None, 0, 1, 2, 4):
+            want = {a: d for a, d in seen.items() if depth is None or d <= depth}
+            rows = graph.closure(frame, start, depth).collect()
+            assert {r.node: r.depth for r in rows} == want and len(rows) == len(want)
+    assert graph.closure(frame, start.limit(0)).count() == 0
