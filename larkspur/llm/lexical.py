@@ -39,7 +39,7 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97
 #: A share is under ``WHOLE``; 255 steps cover it.
 WHOLE = 1_000_000
 STEP = -(-WHOLE // 255)
-ELEMENTS = 1 << 20
+ELEMENTS = 1 << 18
 
 
 def terms(text: bytes) -> list[bytes]:
@@ -71,7 +71,7 @@ class Index:
     n_total: int
 
 
-def build(docs: DataFrame, path: str | None = None, block_docs: int = 1_024, block_bytes: int = 4 << 20, id_col: str = "doc_id", text_col: str = "text") -> Index:
+def build(docs: DataFrame, path: str | None = None, block_docs: int = 512, block_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """Index every row of docs under path."""
     spark = docs.sparkSession
     path = path or shared_path(spark, "lexical-index")
