@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def _folder(spark: SparkSession) -> str:
+def folder(spark: SparkSession) -> str:
     """The session's checkpoint folder, set from spark.checkpoint.dir where it is not. Where no folder is named, a session that runs in this process alone gets a temporary one; any other one is refused."""
     context = spark.sparkContext
     if context.getCheckpointDir() is None:
@@ -27,7 +27,7 @@ def cut(df: DataFrame) -> DataFrame:
 
     A checkpoint would hand on what the optimizer knows about its rows, which doubles from round to round; a table does not.
     """
-    kept = f"{_folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
+    kept = f"{folder(df.sparkSession)}/kept-{uuid.uuid4().hex}"
     df.write.parquet(kept)
     return df.sparkSession.read.schema(df.schema).parquet(kept)
 
@@ -106,7 +106,7 @@ def cycles(edges: DataFrame, longest: int | None = None, most_paths: int = 10_00
 def _dealt(df: DataFrame, key: str, n: int) -> DataFrame:
     """df dealt over n partitions by key and kept so: joins on the key with another frame dealt alike move no row."""
     spark = df.sparkSession
-    _folder(spark)
+    folder(spark)
     return df.repartition(n, key).checkpoint()
 
 
@@ -206,3 +206,30 @@ def as_text(edges: DataFrame) -> DataFrame:
     """One line of a flow chart for each source node."""
     line = F.concat_ws(" ", F.col("src").cast("string"), F.lit("-->"), F.col("dst").cast("string"))
     return edges.select("src", line.alias("line")).groupBy("src").agg(F.array_join(F.sort_array(F.collect_set("line")), "\n").alias("lines"))
+
+
+def ancestors(parents: DataFrame) -> DataFrame:
+    """node, ancestor and distance of every node (node, parent) to itself and to all above it; a loop ends where it comes back."""
+    above = parents.where("parent IS NOT NULL").select(F.col("node").alias("ancestor"), F.col("parent").alias("_up"))
+    at = parents.select("node").distinct().select("node", F.col("node").alias("ancestor"), F.array("node").alias("_passed"))
+    out, distance = at.select("node", "ancestor", F.lit(0).alias("distance")), 0
+    while True:
+        distance += 1
+        at = at.join(above, "ancestor").where(~F.array_contains("_passed", F.col("_up")))
+        at = cut(at.select("node", F.col("_up").alias("ancestor"), F.concat("_passed", F.array("_up")).alias("_passed")))
+        if at.isEmpty():
+            return out.groupBy("node", "ancestor").agg(F.min("distance").alias("distance"))
+        out = out.unionByName(at.select("node", "ancestor", F.lit(distance).alias("distance")))
+
+
+def visible_members(parents: DataFrame, members: DataFrame) -> DataFrame:
+    """Members (owner, name) that every node has, its own and inherited ones: node, name, origin and distance. The nearest owner of a name wins; of several as near, the smaller."""
+    held = ancestors(parents).join(members.select(F.col("owner").alias("ancestor"), "name").distinct(), "ancestor")
+    return held.groupBy("node", "name").agg(F.min(F.struct("distance", "ancestor")).alias("x")).select("node", "name", F.col("x.ancestor").alias("origin"), F.col("x.distance").alias("distance"))
+
+
+def own_members(parents: DataFrame, members: DataFrame) -> DataFrame:
+    """Members (owner, name) that none of the owner's ancestors has: what it adds to what it inherits."""
+    above = ancestors(parents).where("distance > 0").select(F.col("node").alias("owner"), "ancestor")
+    inherited = above.join(members.select(F.col("owner").alias("ancestor"), "name"), "ancestor").select("owner", "name")
+    return members.select("owner", "name").distinct().join(inherited, ["owner", "name"], "left_anti")

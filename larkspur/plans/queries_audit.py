@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import text
@@ -168,8 +171,8 @@ FROM lineitem GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus))
 """)
 def warning_sets(spark, sf_dir):
     """Counts by two keys apart."""
-    table(spark, sf_dir, "lineitem").createOrReplaceTempView("_items")
-    return spark.sql("SELECT l_returnflag, l_linestatus, count(*) AS n FROM _items GROUP BY GROUPING SETS ((l_returnflag), (l_linestatus))")
+    flag, status = F.col("l_returnflag"), F.col("l_linestatus")
+    return table(spark, sf_dir, "lineitem").groupingSets([[flag], [status]], flag, status).agg(F.count("*").alias("n"))
 
 
 @query("""
@@ -262,11 +265,46 @@ def set_ops(spark, sf_dir):
     return side(a.intersect(b), "both").unionByName(side(a.subtract(b), "left")).unionByName(side(b.subtract(a), "right"))
 
 
-@query("SELECT n_regionkey, count(*) AS n FROM (SELECT n_regionkey, unnest(['index', 'show']) AS a FROM nation) GROUP BY 1")
+_MEMBERS = """
+WITH m AS (
+  SELECT DISTINCT 'c' || o_custkey AS owner, o_orderpriority AS name FROM orders
+  UNION SELECT 'n' || c_nationkey, o_orderpriority FROM orders JOIN customer ON o_custkey = c_custkey WHERE o_totalprice > 490000
+  UNION SELECT 'r' || n_regionkey, o_orderstatus FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey
+  UNION SELECT 'r' || r_regionkey, '5-LOW' FROM region
+), a AS (
+  SELECT 'c' || c_custkey AS node, unnest(['c' || c_custkey, 'n' || c_nationkey, 'r' || n_regionkey]) AS ancestor, unnest([0, 1, 2]) AS distance FROM customer JOIN nation ON c_nationkey = n_nationkey
+  UNION ALL SELECT 'n' || n_nationkey, unnest(['n' || n_nationkey, 'r' || n_regionkey]), unnest([0, 1]) FROM nation UNION ALL SELECT 'r' || r_regionkey, 'r' || r_regionkey, 0 FROM region
+)"""
+
+
+def _levels(spark, sf_dir):
+    """Parents of customers, nations and regions, and the names that each of them has."""
+    t = lambda name: table(spark, sf_dir, name)
+    node = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
+    parents = t("customer").select(node("c", "c_custkey").alias("node"), node("n", "c_nationkey").alias("parent"))
+    parents = parents.unionByName(t("nation").select(node("n", "n_nationkey").alias("node"), node("r", "n_regionkey").alias("parent")))
+    parents = parents.unionByName(t("region").select(node("r", "r_regionkey").alias("node"), F.lit(None).cast("string").alias("parent")))
+    orders = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    whole = orders.join(F.broadcast(t("nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    owned = [
+        t("orders").select(node("c", "o_custkey").alias("owner"), F.col("o_orderpriority").alias("name")),
+        orders.where("o_totalprice > 490000").select(node("n", "c_nationkey").alias("owner"), F.col("o_orderpriority").alias("name")),
+        whole.select(node("r", "n_regionkey").alias("owner"), F.col("o_orderstatus").alias("name")),
+        t("region").select(node("r", "r_regionkey").alias("owner"), F.lit("5-LOW").alias("name")),
+    ]
+    return parents, reduce(DataFrame.unionByName, owned).distinct()
+
+
+@query(f"{_MEMBERS} SELECT owner, name FROM m WHERE NOT EXISTS (SELECT 1 FROM a JOIN m AS i ON i.owner = a.ancestor WHERE a.node = m.owner AND a.distance > 0 AND i.name = m.name)")
 def inherited_methods(spark, sf_dir):
-    """Own members without the inherited ones, first name wins."""
-    own = F.array_except(F.array(*map(F.lit, ["index", "show", "helper"])), F.array(F.lit("helper")))
-    return table(spark, sf_dir, "nation").select("n_regionkey", F.explode(own)).groupBy("n_regionkey").agg(F.count("*").alias("n"))
+    """U4: members of three levels without those that are inherited."""
+    return graph.own_members(*_levels(spark, sf_dir))
+
+
+@query(f"{_MEMBERS} SELECT node, name, arg_min(ancestor, distance) AS origin, CAST(min(distance) AS INTEGER) AS distance FROM a JOIN m ON m.owner = a.ancestor GROUP BY node, name")
+def visible_members(spark, sf_dir):
+    """Members of three levels, inherited ones too; the nearest owner of a name wins."""
+    return graph.visible_members(*_levels(spark, sf_dir))
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderstatus = 'F' THEN o_orderpriority IN ('1-URGENT', '2-HIGH') WHEN o_orderstatus = 'O' THEN o_orderpriority <> '5-LOW' ELSE true END AS applies FROM orders")

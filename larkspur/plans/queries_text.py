@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from larkspur.functions import text
-from larkspur.operators import ordered, predicates, replay
+from larkspur.operators import graph, ordered, predicates, replay
 from larkspur.plans.catalog import query
 from larkspur.session import table
-from larkspur.sources import dumps, files
-from larkspur.streaming import changes
+from larkspur.sources import dumps, files, sections
+from larkspur.streaming import changes, stateful
 
 _LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' WHEN 'signup' THEN 'INFO' END"
 
@@ -367,3 +369,77 @@ def tail_bytes(spark, sf_dir):
     """The last lines of each file within a byte limit."""
     numbered = files.lines(table(spark, sf_dir, "documents"), "text", "doc_id")
     return ordered.tail_bytes(numbered, "content", 500, ["doc_id"], ["line_number"]).select("doc_id", F.col("line_number").cast("long").alias("n"))
+
+
+@query("""
+WITH e AS (SELECT CAST(user_id % 50 AS VARCHAR) AS session, event_type AS tool, ts FROM events), o AS (
+  SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY session ORDER BY ts) > INTERVAL '15 minutes' THEN 1 ELSE 0 END AS opens FROM e
+), n AS (SELECT *, sum(opens) OVER (PARTITION BY session ORDER BY ts) AS nth FROM o)
+SELECT session, min(ts) AS started, max(ts) AS last, count(*) AS n_calls, string_agg(DISTINCT tool, ',' ORDER BY tool) AS tools FROM n GROUP BY session, nth
+""")
+def streamed_sessions(spark, sf_dir):
+    """Events replayed as a stream in four parts, with a restart after two; each session's state lives until it is idle for 15 minutes."""
+    calls = table(spark, sf_dir, "events").select((F.col("user_id") % 50).cast("string").alias("session"), F.col("event_type").alias("tool"), F.col("ts").cast("timestamp").alias("ts"))
+    folder = f"{graph.folder(spark)}/sessions-{uuid.uuid4().hex}"
+    ends = calls.selectExpr("percentile_approx(ts, array(0.25, 0.5, 0.75), 1000) AS q").first()["q"]
+    for i, (least, most) in enumerate(zip([None, *ends], [*ends, None], strict=True)):
+        part = calls.where((F.lit(True) if least is None else F.col("ts") > F.lit(least)) & (F.lit(True) if most is None else F.col("ts") <= F.lit(most)))
+        part.write.parquet(f"{folder}/in/part-{i}")
+
+    def run(parts):
+        stream = spark.readStream.schema(calls.schema).parquet(f"{folder}/in/{parts}")
+        keep = lambda batch, nth: batch.write.mode("overwrite").parquet(f"{folder}/out/batch-{nth}")
+        query = stateful.tracked_sessions(stream, "15 minutes").writeStream.outputMode("update").foreachBatch(keep).option("checkpointLocation", f"{folder}/state").trigger(availableNow=True).start()
+        query.awaitTermination()
+
+    run("part-[01]")
+    run("part-[0-3]")
+    return stateful.latest(spark.read.parquet(f"{folder}/out/batch-*"))
+
+
+@query("""
+WITH e AS (SELECT CAST(user_id % 20 AS VARCHAR) AS root, CASE event_type WHEN 'click' THEN 'app/models/' WHEN 'error' THEN 'config/routes/' WHEN 'purchase' THEN 'db/migrate/' ELSE 'lib/' END || user_id AS path, ts FROM events), o AS (
+  SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY root ORDER BY ts) >= INTERVAL '10 minutes' THEN 1 ELSE 0 END AS opens FROM e
+), n AS (SELECT *, sum(opens) OVER (PARTITION BY root ORDER BY ts) AS nth FROM o)
+SELECT root, min(ts) AS started, max(ts) AS ended, count(*) AS n_changes, count(DISTINCT path) AS n_paths,
+  string_agg(DISTINCT CASE split_part(path, '/', 1) WHEN 'app' THEN 'models' WHEN 'config' THEN 'routes' WHEN 'db' THEN 'migrations' ELSE 'other' END, ',' ORDER BY CASE split_part(path, '/', 1) WHEN 'app' THEN 'models' WHEN 'config' THEN 'routes' WHEN 'db' THEN 'migrations' ELSE 'other' END) AS kinds
+FROM n GROUP BY root, nth
+""")
+def debounced_changes(spark, sf_dir):
+    """Changes in batches that end with ten quiet minutes, with the kinds of their paths."""
+    start = F.when(F.col("event_type") == "click", "app/models/").when(F.col("event_type") == "error", "config/routes/").when(F.col("event_type") == "purchase", "db/migrate/").otherwise("lib/")
+    seen = table(spark, sf_dir, "events").select((F.col("user_id") % 20).cast("string").alias("root"), F.concat(start, F.col("user_id").cast("string")).alias("path"), F.col("ts").cast("timestamp").alias("ts"))
+    return stateful.debounced(seen, "10 minutes")
+
+
+@query("""
+WITH d AS (
+  SELECT event_id, json_extract_string(props, '$.k') AS k, event_type AS z, CAST(event_id AS VARCHAR) AS e, CAST(user_id AS VARCHAR) AS u FROM events
+), c AS (SELECT *, 6 + length(u) AS c1, 6 + length(u) + 11 + length(k) AS c2, 6 + length(u) + 11 + length(k) + 7 + length(z) AS c3 FROM d),
+s AS (SELECT *, c3 + 7 + length(e) AS c4, c3 + 8 + length(e) + length(u) AS c5 FROM c)
+SELECT event_id, '{"u":' || u || CASE WHEN c2 <= 44 THEN ',"m":{"k":' || k || CASE WHEN c3 <= 44 THEN ',"z":"' || z || '"' ELSE '' END || '}' ELSE '' END
+  || CASE WHEN c4 <= 44 THEN ',"p":[' || e || CASE WHEN c5 <= 44 THEN ',' || u ELSE '' END || ']' ELSE '' END || '}' AS doc,
+  CASE WHEN c2 > 44 THEN '$.m.k|' ELSE '' END || CASE WHEN c3 > 44 THEN '$.m.z|' ELSE '' END || CASE WHEN c4 > 44 THEN '$.p[0]|' ELSE '' END || CASE WHEN c5 > 44 THEN '$.p[1]|' ELSE '' END AS cut
+FROM s
+""")
+def document_budget(spark, sf_dir):
+    """K4: nested documents cut to 44 characters, whole leaves only, single values first, with the paths that were cut."""
+    e = table(spark, sf_dir, "events")
+    doc = F.concat(F.lit('{"p":['), "event_id", F.lit(","), "user_id", F.lit('], "m":{"z":"'), "event_type", F.lit('", "k":'), F.get_json_object("props", "$.k"), F.lit('}, "u":'), "user_id", F.lit("}"))
+    out = sections.fit_documents(e.select("event_id", doc.alias("doc")), "event_id", "doc", 44)
+    return out.select("event_id", "doc", F.concat(F.array_join("cut", "|"), F.when(F.size("cut") > 0, "|").otherwise("")).alias("cut"))
+
+
+@query("""
+SELECT '/app/n' || c_nationkey || CASE WHEN c_custkey % 3 = 0 THEN '/x/../c' ELSE '/c' END || c_custkey || CASE WHEN c_custkey % 7 = 0 THEN '.pem' ELSE '.rb' END AS path, '/app/real/r' || n_regionkey || '/c' || c_custkey || '.rb' AS real
+FROM customer JOIN nation ON c_nationkey = n_nationkey WHERE c_nationkey % 5 = 2 AND c_custkey % 7 <> 0
+""")
+def link_containment(spark, sf_dir):
+    """Paths whose real place, once links are followed, is inside and not sensitive; links lead outside, to each other, in circles, and up."""
+    n = table(spark, sf_dir, "nation")
+    k = F.col("n_nationkey")
+    target = F.when(k % 5 == 0, "/etc/secrets").when(k % 5 == 1, F.concat(F.lit("n"), (k - 1).cast("string"))).when(k % 5 == 2, F.concat(F.lit("./real/../real/r"), F.col("n_regionkey").cast("string"))).when(k % 5 == 3, F.concat(F.lit("/app/n"), (k + 1).cast("string"))).otherwise(F.concat(F.lit("../app/n"), (k - 1).cast("string")))
+    links = n.select(F.concat(F.lit("/app/n"), k.cast("string")).alias("link"), target.alias("target"))
+    c = table(spark, sf_dir, "customer")
+    name = F.concat(F.lit("/app/n"), "c_nationkey", F.when(F.col("c_custkey") % 3 == 0, "/x/../c").otherwise("/c"), "c_custkey", F.when(F.col("c_custkey") % 7 == 0, ".pem").otherwise(".rb"))
+    return files.contained(c.select(name.alias("path")), links, "/app").select("path", "real")

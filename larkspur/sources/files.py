@@ -39,64 +39,57 @@ def locked_versions(numbered: DataFrame, partition: str, line: str, order: str)
 
 def locale_keys(rows: DataFrame, locale: str, document: str) -> DataFrame:
     """Dotted keys of nested JSON documents, however deep; an empty map has no keys. Each level is kept, so the plan does not grow with the depth."""
-    level = rows.select(F.col(locale).alias("locale"), F.lit("").alias("key"), F.col(document).alias("doc"))
+    level = rows.select(F.col(locale).alias("locale"), F.lit("").alias("key"), F.parse_json(document).alias("doc"))
     out = None
     while True:
-        level.createOrReplaceTempView("_locale_level")
-        inner = level.sparkSession.sql(
-            "SELECT l.locale, concat(if(l.key = '', '', concat(l.key, '.')), e.key) AS key, e.value AS v FROM _locale_level l, LATERAL variant_explode_outer(parse_json(l.doc)) AS e WHERE e.key IS NOT NULL"
-        )
-        inner = cut(inner.select("locale", "key", F.schema_of_variant("v").startswith("OBJECT").alias("deeper"), F.to_json("v").alias("doc")))
+        inner = level.lateralJoin(level.sparkSession.tvf.variant_explode(F.col("doc").outer()).select(F.col("key").alias("k"), "value")).where("k IS NOT NULL")
+        key = F.concat(F.when(F.col("key") == "", "").otherwise(F.concat("key", F.lit("."))), "k")
+        inner = cut(inner.select("locale", key.alias("key"), F.schema_of_variant("value").startswith("OBJECT").alias("deeper"), F.to_json("value").alias("doc")))
         leaves = inner.where("not deeper").select("locale", "key")
         out = leaves if out is None else out.unionByName(leaves)
-        level = inner.where("deeper").select("locale", "key", "doc")
+        level = inner.where("deeper").select("locale", "key", F.parse_json("doc").alias("doc"))
         if level.isEmpty():
             return out
 
 
-# SQL type names of dumps by the name they are given, first match first.
-TYPE_RULES = (
-    (r"^tinyint\(1\)", "boolean"), (r"^(int|integer|int4|tinyint|mediumint)\b", "integer"), (r"^(bigint|int8)\b", "bigint"), (r"^(smallint|int2)\b", "smallint"),
-    (r"^(character varying|varchar|nvarchar|char)", "string"), (r"^bool", "boolean"), (r"^timestamp|^datetime", "datetime"), (r"^date\b", "date"), (r"^time\b", "time"),
-    (r"^(numeric|decimal)", "decimal"), (r"^(real|float|double)", "float"), (r"^jsonb?", "json"), (r"^(bytea|blob|binary|varbinary)", "binary"), (r"^(text|mediumtext|longtext|clob)", "text"), (r"^uuid", "uuid"),
-)
-
+def resolved_paths(paths: DataFrame, links: DataFrame, most_links: int = 40) -> DataFrame:
+    """paths (path, absolute) with real, where it leads once the links (link, target) on its way are followed, or null if that comes back to where it was, or after most_links of them.
 
-def normal_type(raw: Column) -> Column:
-    """The plain name of a dump's column type; an unknown one stays, lower-cased."""
-    low = F.lower(F.trim(raw))
-    out = None
-    for pattern, name in TYPE_RULES:
-        out = F.when(low.rlike(pattern), name) if out is None else out.when(low.rlike(pattern), name)
-    return out.otherwise(low)
-
-
-def dump_tables(dumps: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
-    """key, table and body of every CREATE TABLE of SQL dumps; quotes of any dialect are dropped."""
-    pattern = r"(?is)CREATE TABLE (?:IF NOT EXISTS )?([^\s(]+)\s*\((.*?)\n\)[^;]*;"
-    found = dumps.select(key, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("whole"))
-    name = F.regexp_replace(F.substring_index(F.regexp_extract("whole", pattern, 1), ".", -1), '["`\\[\\]]', "")
-    return found.select(key, name.alias("table"), F.regexp_extract("whole", pattern, 2).alias("body"))
-
-
-def dump_columns(tables: DataFrame, key: str = "path") -> DataFrame:
-    """position, name, type, nullable and default of every column; the body is split at commas outside brackets and quotes."""
-    comma = r",(?=(?:[^']*'[^']*')*[^']*$)(?![^(]*\))"
-    parts = tables.select(key, "table", F.posexplode(F.split("body", comma, -1)).alias("position", "part")).withColumn("part", F.trim(F.regexp_replace("part", r"\s+", " ")))
-    kept = parts.where(~F.col("part").rlike(r"(?i)^(CONSTRAINT|PRIMARY KEY|FOREIGN KEY|UNIQUE|CHECK|EXCLUDE|(?:KEY|INDEX|FULLTEXT KEY) [\"`]?\w+[\"`]? \()") & (F.col("part") != ""))
-    name = F.regexp_extract("part", r'^["`\[]?(\w+)["`\]]?', 1)
-    kind = F.regexp_extract("part", r'^["`\[]?\w+["`\]]? (.+?)(?= NOT NULL| NULL| DEFAULT| PRIMARY| UNIQUE| REFERENCES| AUTO_INCREMENT| COLLATE| CHARACTER SET| COMMENT|$)', 1)
-    default = F.regexp_extract("part", r"(?i) DEFAULT ('(?:[^']|'')*'|[^ ]+)", 1)
-    return kept.select(key, "table", "position", name.alias("name"), normal_type(kind).alias("type"), (~F.col("part").rlike(r"(?i)NOT NULL|PRIMARY KEY")).alias("nullable"), F.nullif(default, F.lit("")).alias("default"))
-
-
-def dump_indexes(dumps: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
-    """table, name, columns and unique of every CREATE INDEX."""
-    pattern = r"(?i)CREATE (UNIQUE )?INDEX (?:IF NOT EXISTS )?[\"`]?(\w+)[\"`]? ON (?:ONLY )?(?:\w+\.)?[\"`]?(\w+)[\"`]? (?:USING \w+ )?\(([^;]*?)\)(?: WHERE [^;]*)?;"
-    found = dumps.select(key, F.explode(F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).alias("whole"))
-    part = lambda i: F.regexp_extract("whole", pattern, i)
-    columns = F.transform(F.split(part(4), ","), lambda c: F.regexp_replace(F.trim(c), '["`]| (?i:ASC|DESC)$', ""))
-    return found.select(key, part(3).alias("table"), part(2).alias("name"), columns.alias("columns"), (part(1) != "").alias("unique"))
+    Like a file system this goes from the left: a link is followed, and ``..`` goes up from where the part before it really is. Targets are
+    absolute or relative to the link's folder. A round follows one link of every path that still has one.
+    """
+    on_way = links.select(F.col("link").alias("_prefix"), F.col("target").alias("_target")).dropna().dropDuplicates(["_prefix"])
+    parts = lambda c: F.filter(F.split(c, "/"), lambda x: (x != "") & (x != "."))
+    at = paths.where("path IS NOT NULL").select("path").distinct().select("path", parts(F.col("path")).alias("_p"), F.array().cast("array<string>").alias("_seen"))
+    done = None
+    while True:
+        up = F.array_position("_p", "..")
+        head = F.when(up > 0, F.slice("_p", 1, (up - 1).cast("int"))).otherwise(F.col("_p"))
+        prefixes = F.transform(F.sequence(F.lit(1), F.greatest(F.size(head), F.lit(1))), lambda n: F.struct(n.alias("n"), F.concat(F.lit("/"), F.array_join(F.slice(head, 1, n), "/")).alias("prefix")))
+        met = at.select("path", F.explode(prefixes).alias("x")).join(on_way, F.col("x.prefix") == F.col("_prefix"))
+        first = met.groupBy("path").agg(F.min_by(F.struct("x.n", "_target"), "x.n").alias("_hit"))
+        rest = F.slice("_p", F.col("_hit.n") + 1, F.size("_p"))
+        folder = F.when(F.col("_hit._target").startswith("/"), F.array().cast("array<string>")).otherwise(F.slice("_p", F.lit(1), F.col("_hit.n") - 1))
+        above = F.concat(F.slice("_p", F.lit(1), F.greatest(up - 2, F.lit(0)).cast("int")), F.slice("_p", (up + 1).cast("int"), F.size("_p")))
+        moved = at.join(first, "path", "left").select(
+            "path",
+            F.when(F.col("_hit").isNotNull(), F.concat(folder, parts(F.col("_hit._target")), rest)).when(up > 0, above).otherwise(F.col("_p")).alias("_p"),
+            F.when(F.col("_hit").isNotNull(), F.concat("_seen", F.array(F.array_join("_p", "/")))).otherwise(F.col("_seen")).alias("_seen"),
+            (F.col("_hit").isNull() & (up == 0)).alias("_rests"),
+        )
+        moved = cut(moved.withColumn("_round", (F.size("_seen") > most_links) | F.array_contains("_seen", F.array_join("_p", "/"))))
+        ended = moved.where("_rests OR _round").select("path", F.when(F.col("_rests"), F.concat(F.lit("/"), F.array_join("_p", "/"))).alias("real"))
+        done = ended if done is None else done.unionByName(ended)
+        at = moved.where("NOT _rests AND NOT _round").select("path", "_p", "_seen")
+        if at.isEmpty():
+            return paths.join(done, "path", "left")
+
+
+def contained(paths: DataFrame, links: DataFrame, root: str, sensitive: tuple[str, ...] = SENSITIVE_GLOBS) -> DataFrame:
+    """The paths whose real place is below root, itself without links, and not sensitive there, with that place (real). Loops are dropped."""
+    root = "/" + root.strip("/")
+    inner = F.substring("real", len(root) + 2, 1_000_000)
+    return resolved_paths(paths, links).where((F.col("real") == root) | (F.col("real").startswith(f"{root}/") & ~is_sensitive_path(inner, sensitive)))
 
 
 def listing(spark: SparkSession, path: str) -> DataFrame:

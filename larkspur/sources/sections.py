@@ -6,9 +6,11 @@ import json
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from larkspur.operators.graph import cut
+
 STATUS = "section string, state string, reason string"
 
 
@@ -97,3 +99,57 @@ def fit_json(value, budget: int) -> tuple[object, list[str]]:
         return {k: out[k] for k in v if k in out} if isinstance(v, dict) else out
 
     return fit(value, budget, "$"), cut
+
+
+def fit_documents(rows: DataFrame, key: str, document: str, budget: int) -> DataFrame:
+    """key, document (compact JSON) and cut (paths of leaves that are left out, sorted) of nested JSON documents cut to a budget of characters, each key a document.
+
+    A document is taken apart into leaves, in the order of its keys (single values before nested ones) and of its lists. Running sums of what each
+    leaf adds to the text, with the brackets and names it opens, tell how many leaves fit; the rest is put together again from the inside. All documents go
+    through a level at once; one with a single value that does not fit keeps its outer brackets. Null and broken documents have none (null).
+    """
+    spark = rows.sparkSession
+    step = lambda nested, name, at: F.struct(nested.alias("nested"), name.alias("name"), at.alias("at"))
+    kind = lambda v: F.substring_index(F.schema_of_variant(v), "<", 1)
+    whole = rows.select(F.col(key).alias("key"), F.try_parse_json(document).alias("v"))
+    level = whole.where("v IS NOT NULL").select("key", F.array().cast("array<struct<nested:boolean,name:string,at:int>>").alias("path"), F.array().cast("array<string>").alias("kinds"), "v")
+    leaves = None
+    while True:
+        text, is_nested = F.to_json("v"), kind(F.col("v")).isin("OBJECT", "ARRAY") & ~F.to_json("v").isin("{}", "[]")
+        level = level.withColumns({"text": text, "kind": kind(F.col("v")), "inner": is_nested})
+        flat = cut(level.select("key", "path", "kinds", "text", "kind", "inner"))
+        ended = flat.where("NOT inner").select("key", "path", "kinds", "text")
+        leaves = ended if leaves is None else leaves.unionByName(ended)
+        deeper = flat.where("inner").select("key", "path", "kinds", "kind", F.parse_json("text").alias("v"))
+        if deeper.isEmpty():
+            break
+        below = deeper.lateralJoin(spark.tvf.variant_explode(F.col("v").outer()).select(F.col("pos").alias("p"), F.col("key").alias("k"), F.col("value").alias("w")))
+        in_object = F.col("kind") == "OBJECT"
+        placed = step(in_object & kind(F.col("w")).isin("OBJECT", "ARRAY"), F.when(in_object, F.col("k")), F.col("p"))
+        level = below.select("key", F.concat("path", F.array(placed)).alias("path"), F.concat("kinds", F.array("kind")).alias("kinds"), F.col("w").alias("v"))
+    # A name takes its JSON text and a colon, a nested value its brackets, and all but the first inside a bracket a comma.
+    named = lambda s: F.coalesce(F.length(F.to_json(s["name"].cast("variant"))) + 1, F.lit(0))
+    order = Window.partitionBy("key").orderBy("path")
+    before = F.lag("path").over(order)
+    shared = F.coalesce(F.aggregate(F.sequence(F.lit(1), F.greatest(F.size("path"), F.lit(1))), F.lit(0), lambda n, i: F.when((n == i - 1) & (F.get("path", i - 1) == F.get(before, i - 1)), i).otherwise(n)), F.lit(0))
+    opened = F.slice("path", shared + 1, F.size("path"))
+    adds = F.length("text") + F.aggregate(opened, F.lit(0), lambda n, s: n + named(s)) + 2 * (F.size(opened) - 1) + F.when(before.isNull(), 2).otherwise(1)
+    told = leaves.withColumn("adds", F.when(F.size("path") == 0, F.length("text")).otherwise(adds))
+    summed = cut(told.withColumn("upto", F.sum("adds").over(order.rowsBetween(Window.unboundedPreceding, 0))))
+    where = F.concat(F.lit("$"), F.array_join(F.transform("path", lambda s: F.coalesce(F.concat(F.lit("."), s["name"]), F.concat(F.lit("["), s["at"].cast("string"), F.lit("]")))), ""))
+    lost = summed.where(F.col("upto") > budget).groupBy("key").agg(F.sort_array(F.collect_list(where)).alias("cut"))
+    built = summed.where(F.col("upto") <= budget).select("key", "path", "kinds", "text")
+    depth = built.agg(F.max(F.size("path"))).first()[0] or 0
+    while depth > 0:
+        last = F.element_at("path", depth)
+        part = F.concat(F.coalesce(F.concat(F.to_json(last["name"].cast("variant")), F.lit(":")), F.lit("")), F.col("text"))
+        deep = built.where(F.size("path") == depth).select("key", F.slice("path", 1, depth - 1).alias("path"), F.col("kinds"), F.struct(last.alias("s"), part.alias("t")).alias("x"))
+        joined = F.array_join(F.transform(F.sort_array(F.collect_list("x")), lambda x: x["t"]), ",")
+        kinds = F.first("kinds")
+        is_object = F.element_at(kinds, depth) == "OBJECT"
+        closed = deep.groupBy("key", "path").agg(F.slice(kinds, 1, depth - 1).alias("kinds"), F.when(is_object, F.concat(F.lit("{"), joined, F.lit("}"))).otherwise(F.concat(F.lit("["), joined, F.lit("]"))).alias("text"))
+        built = cut(built.where(F.size("path") < depth).unionByName(closed))
+        depth -= 1
+    empty = F.when(kind(F.col("v")) == "ARRAY", "[]").otherwise("{}")
+    out = whole.join(built.select("key", "text"), "key", "left").join(lost, "key", "left")
+    return out.select(F.col("key").alias(key), F.when(F.col("v").isNotNull(), F.coalesce("text", empty)).alias(document), F.coalesce("cut", F.array().cast("array<string>")).alias("cut"))
