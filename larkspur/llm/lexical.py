@@ -72,8 +72,9 @@ class Index:
 
 
 def build(docs: DataFrame, path: str | None = None, block_docs: int = 512, block_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> Index:
-    """Index every row of docs under path."""
+    """Index every row of docs under path; a block has at most 32,767 documents."""
     spark = docs.sparkSession
+    block_docs = min(block_docs, (1 << 15) - 1)
     path = path or shared_path(spark, "lexical-index")
     plain = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
 
@@ -91,8 +92,8 @@ def build(docs: DataFrame, path: str | None = None, block_docs: int = 512, block
             T.StructField("lengths", longs),
             T.StructField("terms", T.ArrayType(T.BinaryType())),
             T.StructField("dfs", T.ArrayType(T.IntegerType())),
-            T.StructField("docs", T.ArrayType(T.IntegerType())),
-            T.StructField("tfs", longs),
+            T.StructField("docs", T.ArrayType(T.ShortType())),
+            T.StructField("tfs", T.ArrayType(T.IntegerType())),
             T.StructField("impacts", T.BinaryType()),
         ]
     )
@@ -107,7 +108,7 @@ def build(docs: DataFrame, path: str | None = None, block_docs: int = 512, block
             lengths.append(length)
             m.append(norm(length, n_docs, n_total) if n_total else 25)
         which, tf = np.array(numbers, np.int64), np.array(counts, np.int64)
-        doc = np.repeat(np.arange(len(held), dtype=np.int32), sizes)
+        doc = np.repeat(np.arange(len(held), dtype=np.int16), sizes)
         order = np.argsort(which, kind="stable")
         doc, tf = doc[order], tf[order]
         impact = (-(-share(tf, np.array(m, np.int64)[doc]) // STEP)).astype(np.uint8) if len(tf) else np.zeros(0, np.uint8)
@@ -119,7 +120,7 @@ def build(docs: DataFrame, path: str | None = None, block_docs: int = 512, block
                 row(pa.array(list(number), pa.binary())),
                 row(pa.array(np.bincount(which, minlength=len(number)).astype(np.int32))),
                 row(pa.array(doc)),
-                row(pa.array(tf)),
+                row(pa.array(tf.astype(np.int32))),
                 pa.array([impact.tobytes()], pa.binary()),
             ],
             names=schema.names,
@@ -245,7 +246,7 @@ def _rescored(blocks: DataFrame, query, floor: np.ndarray, k: int, index: Index)
             for cell, weight, at in _matches(block, mine, n):
                 some = reaches[cell]
                 cell, weight, at = cell[some], weight[some], at[some]
-                np.add.at(score, cell, weight * share(block["tfs"][at], m[block["docs"][at]]))
+                np.add.at(score, cell, weight * share(block["tfs"][at].astype(np.int64), m[block["docs"][at]]))
             found = np.flatnonzero(score >= np.repeat(floor, n))
             item, doc = np.divmod(found, n)
             place = np.empty(n, np.int64)
