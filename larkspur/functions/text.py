@@ -22,8 +22,9 @@ PLURAL_RULES = (
 
 def _inflected(word: Column, pairs: tuple, rules: tuple) -> Column:
     out = F.when(F.lower(word).isin(*UNCOUNTABLE), word)
-    for a, b in pairs:
-        out = out.when(word == a, F.lit(b)).when(word == b, F.lit(b))
+    for a, b in pairs:  # of the last word of a name
+        last = f"(^|[_/-]){a}$"
+        out = out.when(word.rlike(last), F.regexp_replace(word, last, f"$1{b}")).when(word.rlike(f"(^|[_/-]){b}$"), word)
     for pattern, put in rules:
         out = out.when(word.rlike(pattern), F.regexp_replace(word, pattern, put))
     return out.otherwise(word)

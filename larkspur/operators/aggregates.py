@@ -27,6 +27,14 @@ def same_signature(df: DataFrame, member: str, signature: Column, at_least: int
     return grouped.where(F.col("n") >= at_least)
 
 
+def signature_members(df: DataFrame, member: str, signature: Column, at_least: int = 3, block: int = 10_000) -> DataFrame:
+    """Signatures that at least so many members share: n, and the members in sorted blocks of bounded size (nth from 0), so that a signature of any size stays in many rows."""
+    marked = df.select(signature.alias("signature"), F.col(member).alias("_m"))
+    sized = marked.groupBy("signature").agg(F.count("*").alias("n")).where(F.col("n") >= at_least)
+    spread = marked.join(sized, "signature").withColumn("nth", F.pmod(F.xxhash64("_m"), F.ceil(F.col("n") / block)).cast("int"))
+    return spread.groupBy("signature", "n", "nth").agg(F.sort_array(F.collect_list("_m")).alias("members"))
+
+
 def joined_set(df: DataFrame, keys: list[str], value: str, separator: str = "|") -> DataFrame:
     """Different values of each group, sorted and joined."""
     return df.groupBy(*keys).agg(F.array_join(F.sort_array(F.collect_set(value)), separator).alias("joined"))

@@ -43,11 +43,14 @@ def unindexed(columns: DataFrame, indexes: DataFrame, leading_only: bool = False
     return marked.join(covered, (F.col("table") == F.col("_t")) & inside & both, "left_anti")
 
 
-def counter_gaps(columns: DataFrame, declared: DataFrame) -> DataFrame:
-    """Counter columns ``<name>_count`` (table, name) that no association declares a cache for (table, name)."""
+def counter_gaps(columns: DataFrame, declared: DataFrame, parents: DataFrame | None = None) -> DataFrame:
+    """Counter columns ``<name>_count`` (table, name) that neither side declares a cache for: not the table's association (table, name), and
+    none of the children that say they belong to it and are counted (child, the table of <name>, and parent)."""
     counters = columns.where(F.col("name").endswith("_count")).select("table", "name", F.regexp_replace("name", "_count$", "").alias("of"))
-    held = declared.select(F.col("table").alias("_t"), F.col("name").alias("_n"))
-    return counters.join(held, (F.col("table") == F.col("_t")) & (F.col("of") == F.col("_n")), "left_anti")
+    held = declared.select("table", F.col("name").alias("of"))
+    if parents is not None:
+        held = held.unionByName(parents.select(F.col("parent").alias("table"), F.col("child").alias("of")))
+    return counters.join(held.distinct(), ["table", "of"], "left_anti")
 
 
 def mentions(texts: DataFrame, key: str, text: str, names: DataFrame, name: str, token: str = r"\.([A-Za-z_][A-Za-z0-9_]*)", fold: bool = False) -> DataFrame:

@@ -66,31 +66,55 @@ def with_details(spark, sf_dir):
     return out.select("n_nationkey", "n_name", F.array_join("segments", "|").alias("segments"))
 
 
-_COLUMNS = [("posts", "id"), ("posts", "user_id"), ("posts", "owner_id"), ("posts", "owner_type"), ("posts", "comments_count"), ("posts", "tags_count"), ("comments", "post_id"), ("comments", "user_id")]
-_INDEXES = [("posts", ["created_at", "user_id"]), ("comments", ["post_id"]), ("posts", ["owner_id"])]
+#: Columns and indexes of a table for each brand, out of its parts.
+_SCHEMA = """WITH columns AS (
+  SELECT DISTINCT lower(p_brand) AS "table", lower(p_type) || CASE WHEN p_size % 5 = 0 THEN '_type' WHEN p_size % 3 = 0 THEN '_count' ELSE '_id' END AS name FROM part
+), indexes AS (
+  SELECT lower(p_brand) AS "table", CASE p_partkey % 3 WHEN 0 THEN [lower(p_type) || '_id'] WHEN 1 THEN ['created_at', lower(p_type) || '_id'] ELSE [lower(p_type) || '_id', lower(p_type) || '_type'] END AS columns FROM part WHERE p_size % 7 = 0
+), keys AS (
+  SELECT k."table", k.name, t.name AS kind FROM columns k LEFT JOIN columns t ON t."table" = k."table" AND t.name = replace(k.name, '_id', '_type') WHERE k.name LIKE '%\\_id' ESCAPE '\\'
+)"""
 
 
-def _relations(spark):
-    columns = spark.createDataFrame(_COLUMNS, "table string, name string")
-    return columns, spark.createDataFrame(_INDEXES, "table string, columns array<string>")
+def _relations(spark, sf_dir):
+    part, low = table(spark, sf_dir, "part"), F.lower("p_type")
+    end = F.when(F.col("p_size") % 5 == 0, "_type").when(F.col("p_size") % 3 == 0, "_count").otherwise("_id")
+    columns = part.select(F.lower("p_brand").alias("table"), F.concat(low, end).alias("name")).distinct()
+    key, kind, three = F.concat(low, F.lit("_id")), F.concat(low, F.lit("_type")), F.col("p_partkey") % 3
+    listed = F.when(three == 0, F.array(key)).when(three == 1, F.array(F.lit("created_at"), key)).otherwise(F.array(key, kind))
+    return columns, part.where("p_size % 7 = 0").select(F.lower("p_brand").alias("table"), listed.alias("columns"))
 
 
-@query("SELECT * FROM (VALUES ('posts', 'owner_id', true), ('comments', 'user_id', false)) AS t(\"table\", name, polymorphic)")
+@query(f"""
+{_SCHEMA}
+SELECT k."table", k.name, k.kind IS NOT NULL AS polymorphic FROM keys k
+WHERE NOT EXISTS (SELECT 1 FROM indexes i WHERE i."table" = k."table" AND list_contains(i.columns, k.name) AND (k.kind IS NULL OR list_contains(i.columns, k.kind)))
+""")
 def unindexed_keys(spark, sf_dir):
     """Key-shaped columns in no index; a polymorphic pair needs both in one."""
-    return joins.unindexed(*_relations(spark)).select("table", "name", "polymorphic")
+    return joins.unindexed(*_relations(spark, sf_dir)).select("table", "name", "polymorphic")
 
 
-@query("SELECT * FROM (VALUES ('posts', 'user_id'), ('posts', 'owner_id'), ('comments', 'user_id')) AS t(\"table\", name)")
+@query(f"""
+{_SCHEMA}
+SELECT k."table", k.name FROM keys k WHERE NOT EXISTS (SELECT 1 FROM indexes i WHERE i."table" = k."table" AND i.columns[1] = k.name AND (k.kind IS NULL OR list_contains(i.columns, k.kind)))
+""")
 def unindexed_leading(spark, sf_dir):
     """Key-shaped columns that lead no index."""
-    return joins.unindexed(*_relations(spark), leading_only=True).select("table", "name")
+    return joins.unindexed(*_relations(spark, sf_dir), leading_only=True).select("table", "name")
 
 
-@query("SELECT * FROM (VALUES ('posts', 'tags_count')) AS t(\"table\", name)")
+@query(f"""
+{_SCHEMA}, declared AS (SELECT DISTINCT lower(p_brand) AS "table", lower(p_type) AS name FROM part WHERE p_partkey % 31 = 0), parents AS (SELECT DISTINCT lower(p_type) AS child, lower(p_brand) AS parent FROM part WHERE p_partkey % 37 = 0)
+SELECT c."table", c.name FROM columns c WHERE c.name LIKE '%\\_count' ESCAPE '\\' AND NOT EXISTS (SELECT 1 FROM declared d WHERE d."table" = c."table" AND d.name || '_count' = c.name)
+  AND NOT EXISTS (SELECT 1 FROM parents p WHERE p.parent = c."table" AND p.child || '_count' = c.name)
+""")
 def counter_gaps(spark, sf_dir):
-    """Counter columns that nothing declares."""
-    return joins.counter_gaps(_relations(spark)[0], spark.createDataFrame([("posts", "comments")], "table string, name string")).select("table", "name")
+    """Counter columns that neither side of an association declares."""
+    part = table(spark, sf_dir, "part")
+    declared = part.where("p_partkey % 31 = 0").select(F.lower("p_brand").alias("table"), F.lower("p_type").alias("name"))
+    parents = part.where("p_partkey % 37 = 0").select(F.lower("p_type").alias("child"), F.lower("p_brand").alias("parent"))
+    return joins.counter_gaps(_relations(spark, sf_dir)[0], declared, parents).select("table", "name")
 
 
 @query("SELECT DISTINCT doc_id, word FROM (SELECT doc_id, lower(unnest(regexp_extract_all(text, '([A-Za-z]+)', 1))) AS word FROM documents) WHERE word IN (SELECT DISTINCT unnest(string_split(p_name, ' ')) FROM part) OR word IN ('the', 'und', 'que')")
@@ -217,11 +241,13 @@ def array_usage(spark, sf_dir):
     return aggregates.tally(table(spark, sf_dir, "part").select(F.explode(F.split("p_name", " ")).alias("word")), "word")
 
 
-@query("SELECT signature, count(*) AS n, min(l_orderkey) AS first_member FROM (SELECT l_orderkey, string_agg(l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS signature FROM lineitem GROUP BY l_orderkey) GROUP BY signature HAVING count(*) >= 3")
+@query("SELECT signature, count(*) AS n, min(l_orderkey) AS first_member, string_agg(l_orderkey, '|' ORDER BY l_orderkey) AS members FROM (SELECT l_orderkey, string_agg(l_returnflag || l_linestatus, ',' ORDER BY l_returnflag || l_linestatus) AS signature FROM lineitem GROUP BY l_orderkey) GROUP BY signature HAVING count(*) >= 3")
 def group_signature(spark, sf_dir):
-    """Orders of equal structure, three or more."""
+    """Orders of equal structure, three or more, with their members."""
     shape = table(spark, sf_dir, "lineitem").groupBy("l_orderkey").agg(F.array_join(F.sort_array(F.collect_list(F.concat("l_returnflag", "l_linestatus"))), ",").alias("s"))
-    return aggregates.same_signature(shape, "l_orderkey", F.col("s"))
+    rows = aggregates.signature_members(shape, "l_orderkey", F.col("s"))
+    members = F.array_join(F.transform(F.sort_array(F.flatten(F.collect_list("members"))), lambda m: m.cast("string")), "|")
+    return rows.groupBy("signature").agg(F.max("n").alias("n"), F.min(F.get("members", F.lit(0))).alias("first_member"), members.alias("members"))
 
 
 @query("SELECT l_orderkey, l_suppkey, string_agg(DISTINCT l_returnflag, '|' ORDER BY l_returnflag) AS joined FROM lineitem GROUP BY ALL")
@@ -230,10 +256,15 @@ def merge_pairs(spark, sf_dir):
     return aggregates.joined_set(table(spark, sf_dir, "lineitem"), ["l_orderkey", "l_suppkey"], "l_returnflag")
 
 
-@query("SELECT * FROM (VALUES ('/a', 'update', 'PATCH|PUT'), ('/a', 'show', 'GET'), ('/b', 'update', 'PUT')) AS t(path, action, verb)")
+@query("""
+WITH r AS (SELECT 'n' || c_nationkey AS path, CASE WHEN c_custkey % 4 < 3 THEN 'update' ELSE 'show' END AS action, CASE c_custkey % 4 WHEN 0 THEN 'PUT' WHEN 1 THEN CASE WHEN c_acctbal > 9000 THEN 'PATCH' ELSE 'PUT' END WHEN 2 THEN 'POST' ELSE 'GET' END AS verb FROM customer)
+SELECT path, action, string_agg(DISTINCT verb, '|' ORDER BY verb) AS verb FROM r GROUP BY path, action, verb IN ('PUT', 'PATCH'), CASE WHEN verb NOT IN ('PUT', 'PATCH') THEN verb END
+""")
 def merge_verbs(spark, sf_dir):
     """Two verbs of one action."""
-    return aggregates.merged_verbs(spark.createDataFrame([("/a", "update", "PUT"), ("/a", "update", "PATCH"), ("/a", "show", "GET"), ("/b", "update", "PUT")], "path string, action string, verb string"))
+    four = F.col("c_custkey") % 4
+    verb = F.when(four == 0, "PUT").when((four == 1) & (F.col("c_acctbal") > 9000), "PATCH").when(four == 1, "PUT").when(four == 2, "POST").otherwise("GET")
+    return aggregates.merged_verbs(table(spark, sf_dir, "customer").select(F.concat(F.lit("n"), "c_nationkey").alias("path"), F.when(four < 3, "update").otherwise("show").alias("action"), verb.alias("verb")))
 
 
 @query("SELECT max(CAST(regexp_extract(c_name, '([0-9]+)', 1) AS BIGINT)) AS newest, count(*) AS n FROM customer")
@@ -323,24 +354,26 @@ def pattern_sets(spark, sf_dir):
     return table(spark, sf_dir, "customer").groupBy("c_nationkey").agg(F.array_join(found, "|").alias("found")).where("found <> ''")
 
 
-@query("SELECT * FROM (VALUES ('User', 'users'), ('Users', 'people')) AS t(model, tbl)")
+@query("SELECT p_partkey, replace(initcap_, ' ', '') AS model, tbl FROM (SELECT p_partkey, upper(left(w, 1)) || substr(w, 2) || CASE WHEN p_size % 2 = 0 THEN 's' ELSE '' END AS initcap_, w || CASE WHEN p_size % 3 = 0 THEN '' ELSE 's' END AS tbl, w FROM (SELECT *, split_part(p_name, ' ', 2) AS w FROM part)) WHERE w = 'widget'")
 def model_filter(spark, sf_dir):
     """Models by their name or table, plural or singular."""
-    rows = spark.createDataFrame([("User", "users"), ("Post", "posts"), ("Users", "people")], "model string, tbl string")
-    return rows.where(predicates.model_matches(F.col("model"), F.col("tbl"), "users"))
+    w = F.substring_index("p_name", " ", -1)
+    model = F.concat(F.upper(F.left(w, F.lit(1))), F.substring(w, 2, 100), F.when(F.col("p_size") % 2 == 0, "s").otherwise(""))
+    rows = table(spark, sf_dir, "part").select("p_partkey", model.alias("model"), F.concat(w, F.when(F.col("p_size") % 3 == 0, "").otherwise("s")).alias("tbl"))
+    return rows.where(predicates.model_matches(F.col("model"), F.col("tbl"), "Widgets"))
 
 
-@query("SELECT * FROM (VALUES ('OrderItem')) AS t(name)")
+@query("SELECT name FROM (SELECT DISTINCT upper(left(a, 1)) || substr(a, 2) || upper(left(b, 1)) || substr(b, 2) AS name, a, b FROM (SELECT split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)) WHERE a = 'red' AND b = 'widget'")
 def fuzzy_key(spark, sf_dir):
     """P10: a name by its table's name."""
-    return predicates.fuzzy_key(spark.createDataFrame([("OrderItem",), ("Order",)], "name string"), "name", "order_items").select("name")
-
+    names = table(spark, sf_dir, "part").select(F.array_join(F.transform(F.split("p_name", " "), F.initcap), "").alias("name")).distinct()
+    return predicates.fuzzy_key(names, "name", "red_widgets").select("name")
 
-_EDGES = [("User", "Post", "has_many", None), ("Post", "User", "belongs_to", None), ("Post", "Comment", "has_many", None), ("Comment", "Post", "belongs_to", None), ("User", "Comment", "has_many", None), ("Comment", "User", "belongs_to", None), ("Tag", "Tag", "has_many", None), ("Lone", "Post", "has_many", "Tag")]
 
-
-def _edges(spark):
-    return spark.createDataFrame(_EDGES, "src string, dst string, type string, through string")
+def _edges(spark, sf_dir):
+    """Customers to the states of their orders, every other one through the order's priority."""
+    through = F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("p"), "o_orderpriority"))
+    return table(spark, sf_dir, "orders").select(F.concat(F.lit("c"), "o_custkey").alias("src"), F.concat(F.lit("s"), "o_orderstatus").alias("dst"), F.lit("has_many").alias("type"), through.alias("through"))
 
 
 @query("""
@@ -368,23 +401,36 @@ def cycles(spark, sf_dir):
     return graph.cycles(edges, 6).select(F.array_join("path", "|").alias("cycle"))
 
 
-@query("SELECT * FROM (VALUES ('Post', 'User'), ('Comment', 'Post'), ('Author', 'Person')) AS t(src, dst)")
+@query("""
+SELECT o_orderkey AS id, o_orderstatus AS src, CASE WHEN o_orderkey % 3 = 0 THEN 'Person' WHEN o_orderkey % 3 = 1 THEN 'Order' ELSE 'OrderItem' END || CASE WHEN o_orderkey % 3 > 0 THEN CASE o_orderstatus WHEN 'F' THEN 'Box' WHEN 'O' THEN 'Category' ELSE 'Status' END ELSE '' END AS dst FROM orders
+""")
 def association_edges(spark, sf_dir):
     """G1: the target is the class named, else the name as a class."""
-    rows = [("Post", "user", "belongs_to", None, None, None), ("Comment", "posts", "has_many", None, None, None), ("Author", "writers", "has_many", "Person", None, None)]
-    return graph.association_edges(spark.createDataFrame(rows, "model string, name string, type string, class_name string, through string, polymorphic boolean")).select("src", "dst")
+    k = F.col("o_orderkey") % 3
+    many = F.when(F.col("o_orderstatus") == "F", "boxes").when(F.col("o_orderstatus") == "O", "categories").otherwise("statuses")
+    rows = table(spark, sf_dir, "orders").select(
+        F.struct("o_orderkey", "o_orderstatus").alias("model"), F.concat(F.when(k == 1, "order_").otherwise("order_item_"), many).alias("name"), F.lit("has_many").alias("type"), F.when(k == 0, "Person").alias("class_name"), F.lit(None).cast("string").alias("through"), F.lit(False).alias("polymorphic")
+    )
+    return graph.association_edges(rows).select(F.col("src.o_orderkey").alias("id"), F.col("src.o_orderstatus").alias("src"), "dst")
 
 
-@query("SELECT * FROM (VALUES ('Lone', 'Tag'), ('Tag', 'Post'), ('Tag', 'Tag'), ('User', 'Post'), ('Post', 'User'), ('Post', 'Comment'), ('Comment', 'Post'), ('User', 'Comment'), ('Comment', 'User')) AS t(src, dst)")
+@query("""
+WITH e AS (SELECT 'c' || o_custkey AS src, 's' || o_orderstatus AS dst, CASE WHEN o_orderkey % 2 = 0 THEN 'p' || o_orderpriority END AS through FROM orders)
+SELECT src, coalesce(through, dst) AS dst FROM e UNION SELECT through, dst FROM e WHERE through IS NOT NULL
+""")
 def through_edges(spark, sf_dir):
     """An edge through a third node as two."""
-    return graph.through_hops(_edges(spark))
+    return graph.through_hops(_edges(spark, sf_dir))
 
 
-@query("SELECT * FROM (VALUES ('Post'), ('User')) AS t(node)")
+@query("""
+WITH e AS (SELECT 'c' || o_custkey AS src, 's' || o_orderstatus AS dst FROM orders), chosen AS (SELECT 'c' || c_custkey AS node FROM customer WHERE c_nationkey = 3 UNION SELECT 'sP')
+SELECT DISTINCT node FROM (SELECT dst AS node FROM e WHERE src IN (SELECT node FROM chosen) UNION ALL SELECT src FROM e WHERE dst IN (SELECT node FROM chosen)) WHERE node NOT IN (SELECT node FROM chosen)
+""")
 def related_nodes(spark, sf_dir):
     """One step outside the chosen nodes."""
-    return graph.related(_edges(spark), spark.createDataFrame([("Comment",)], "node string"))
+    chosen = table(spark, sf_dir, "customer").where("c_nationkey = 3").select(F.concat(F.lit("c"), "c_custkey").alias("node")).unionByName(spark.createDataFrame([("sP",)], "node string"))
+    return graph.related(_edges(spark, sf_dir), chosen)
 
 
 @query("""

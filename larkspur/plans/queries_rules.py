@@ -63,13 +63,13 @@ def unknown_params(spark, sf_dir):
 
 
 @query("""
-WITH callbacks AS (SELECT DISTINCT user_id AS model, event_type AS name FROM events WHERE value > 300), methods AS (SELECT DISTINCT user_id AS model, event_type AS name FROM events WHERE value < 40)
-SELECT model, name FROM callbacks c WHERE model NOT IN (SELECT user_id FROM events WHERE event_id % 97 = 0) AND NOT EXISTS (SELECT 1 FROM methods m WHERE m.model = c.model AND m.name = c.name)
+WITH callbacks AS (SELECT DISTINCT user_id AS model, event_type || '_' || event_id % 9 AS name FROM events WHERE value > 10), methods AS (SELECT DISTINCT user_id AS model, event_type || '_' || event_id % 9 AS name FROM events WHERE value < 12)
+SELECT model, name FROM callbacks c WHERE model NOT IN (SELECT user_id FROM events WHERE event_id % 997 = 0) AND NOT EXISTS (SELECT 1 FROM methods m WHERE m.model = c.model AND m.name = c.name)
 """)
 def unknown_callbacks(spark, sf_dir):
     """Callbacks that name no method of their model; models with concerns are exempt, as these may bring it."""
-    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("model"), F.col("event_type").alias("name"), "value", "event_id")
-    return joins.unknown_members(events.where("value > 300"), [events.where("value < 40")], ["model", "name"], exempt=events.where("event_id % 97 = 0"))
+    events = table(spark, sf_dir, "events").select(F.col("user_id").alias("model"), F.concat("event_type", F.lit("_"), F.col("event_id") % 9).alias("name"), "value", "event_id")
+    return joins.unknown_members(events.where("value > 10"), [events.where("value < 12")], ["model", "name"], exempt=events.where("event_id % 997 = 0"))
 
 
 @query("""

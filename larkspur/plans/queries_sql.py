@@ -84,16 +84,21 @@ def redact_text(spark, sf_dir):
     return out.select("doc_id", F.md5("r").alias("digest"), (F.col("r") != F.col("text")).alias("changed"))
 
 
-_CASES = (
-    ("user: bob, password: hunter2", 'user: bob, password: [FILTERED]'), ("url postgres://u:p@h/db", "url postgres://[FILTERED]@h/db"), ("password_length: 12", "password_length: 12"),
-    ('api_key = "abc def"', 'api_key = "[FILTERED]"'), ("plain text", "plain text"), ("token: [1, 2]", "token: [1, 2]"),
-)
-
-
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _CASES) + ") AS t(source, redacted)")
+@query("""
+SELECT p_partkey, CASE p_partkey % 6 WHEN 0 THEN 'user: ' || w || ', password: [FILTERED]' WHEN 1 THEN 'url postgres://[FILTERED]@' || w || '/db' WHEN 2 THEN 'password_length: ' || p_size WHEN 3 THEN 'api_key = "[FILTERED]"; name = ' || w
+  WHEN 4 THEN p_name || ' costs ' || p_size ELSE w || '_token: [' || p_size || ', 2]' END AS redacted FROM (SELECT *, split_part(p_name, ' ', 1) AS w FROM part)
+""")
 def redact_values(spark, sf_dir):
     """Settings and sources; descriptors and collections stay."""
-    return spark.createDataFrame([(a,) for a, _ in _CASES], "source string").withColumn("redacted", redact.redact_then_shorten(F.col("source"), 200))
+    six, w, size = F.col("p_partkey") % 6, F.substring_index("p_name", " ", 1), F.col("p_size").cast("string")
+    cases = (
+        F.concat(F.lit("user: "), w, F.lit(", password: "), w, size), F.concat(F.lit("url postgres://"), w, F.lit(":p"), size, F.lit("@"), w, F.lit("/db")), F.concat(F.lit("password_length: "), size),
+        F.concat(F.lit('api_key = "'), w, F.lit(" "), size, F.lit('"; name = '), w), F.concat("p_name", F.lit(" costs "), size), F.concat(w, F.lit("_token: ["), size, F.lit(", 2]")),
+    )
+    source = cases[-1]
+    for i, c in reversed(list(enumerate(cases[:-1]))):
+        source = F.when(six == i, c).otherwise(source)
+    return table(spark, sf_dir, "part").select("p_partkey", redact.redact_then_shorten(source, 200).alias("redacted"))
 
 
 @query("SELECT event_id, CASE WHEN CAST(json_extract(props, '$.k') AS INTEGER) > 50 THEN '[FILTERED]' ELSE json_extract_string(props, '$.k') END AS hidden FROM events")
@@ -247,23 +252,23 @@ def byte_sizes(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", text.bytes_text(F.octet_length("text")).alias("size"))
 
 
-_WORDS = ("users", "categories", "boxes", "people", "status", "statuses", "analyses", "wolves", "knives", "news", "sheep", "buses", "quizzes", "matrices", "heroes", "order_items", "archives", "natives", "potatoes", "shoes", "data", "oxen", "hives")
-_SINGULAR = ("user", "category", "box", "person", "status", "status", "analysis", "wolf", "knife", "news", "sheep", "bus", "quiz", "matrix", "hero", "order_item", "archive", "native", "potato", "shoe", "datum", "ox", "hive")
+_WORDS = ("users", "categories", "boxes", "people", "status", "statuses", "analyses", "wolves", "knives", "news", "sheep", "buses", "quizzes", "matrices", "heroes", "order_items", "archives", "natives", "potatoes", "shoes", "data", "hives")
+_SINGULAR = ("user", "category", "box", "person", "status", "status", "analysis", "wolf", "knife", "news", "sheep", "bus", "quiz", "matrix", "hero", "order_item", "archive", "native", "potato", "shoe", "datum", "hive")
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in zip(_WORDS, _SINGULAR, strict=True)) + ") AS t(word, one)")
+@query("SELECT p_partkey, lower(p_brand) || '_' || one AS one FROM (SELECT p_partkey, p_brand, CASE p_partkey % 22 " + " ".join(f"WHEN {i} THEN '{w}'" for i, w in enumerate(_SINGULAR)) + " END AS one FROM part)")
 def inflect(spark, sf_dir):
-    """Inflection: singulars by rule."""
-    return spark.createDataFrame([(w,) for w in _WORDS], "word string").withColumn("one", text.singularize(F.col("word")))
-
-
-_NAMES = (("HTMLPage", "html_page"), ("UserProfile", "user_profile"), ("Admin::UserRole", "admin/user_role"), ("order-item", "order_item"), ("aB1C", "a_b1_c"))
+    """Inflection: singulars by rule, of the last word of a name."""
+    word = F.get(F.array(*map(F.lit, _WORDS)), (F.col("p_partkey") % len(_WORDS)).cast("int"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.singularize(F.concat(F.lower("p_brand"), F.lit("_"), word)).alias("one"))
 
 
-@query("SELECT * FROM (VALUES " + ", ".join(f"('{a}', '{b}')" for a, b in _NAMES) + ") AS t(name, low)")
+@query("SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN a || '_' || b WHEN 1 THEN 'admin/' || a || '_html_' || b ELSE a || '_' || b || p_size || '_x' END AS low FROM (SELECT *, split_part(p_name, ' ', 1) AS a, split_part(p_name, ' ', 2) AS b FROM part)")
 def text_case(spark, sf_dir):
     """String case: class names to lower-case words."""
-    return spark.createDataFrame([(a,) for a, _ in _NAMES], "name string").withColumn("low", text.underscore(F.col("name")))
+    a, b, k = F.initcap(F.substring_index("p_name", " ", 1)), F.initcap(F.substring_index("p_name", " ", -1)), F.col("p_partkey") % 3
+    name = F.when(k == 0, F.concat(a, b)).when(k == 1, F.concat(F.lit("Admin::"), a, F.lit("HTML"), b)).otherwise(F.concat(a, F.lit("-"), b, F.col("p_size").cast("string"), F.lit("X")))
+    return table(spark, sf_dir, "part").select("p_partkey", text.underscore(name).alias("low"))
 
 
 @query("""

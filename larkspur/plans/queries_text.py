@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.functions import text
@@ -315,14 +317,20 @@ def secondary_dumps(spark, sf_dir):
     return dumps.chosen_dumps(s.select(F.explode(F.array(*listed, main)).alias("x")).select("x.*")).select("path", "database")
 
 
-_LOCK = ["GEM", "  remote: x", "  specs:", "    rake (13.0.6)", "    nokogiri (1.15.0-x86_64)", "      racc (~> 1.4)", "PLATFORMS", "  ruby"]
-
-
-@query("SELECT * FROM (VALUES ('GEM', 'rake', '13.0.6'), ('GEM', 'nokogiri', '1.15.0')) AS t(section, name, version)")
+@query("""
+SELECT p_brand AS path, section, name, version FROM (SELECT p_brand, 'GEM' AS section, replace(p_name, ' ', '-') || '_' || p_partkey AS name, p_size || '.' || p_partkey AS version FROM part
+UNION ALL SELECT DISTINCT p_brand, 'GIT', 'forked', '0.1' FROM part)
+""")
 def lock_file(spark, sf_dir):
-    """Entries of a lock file."""
-    rows = spark.createDataFrame([("l", i, x) for i, x in enumerate(_LOCK)], "path string, n int, line string")
-    return files.locked_versions(rows, "path", "line", "n").select("section", "name", "version")
+    """Entries of a lock file for each brand, in sections; what an entry needs, and platforms, are no entries."""
+    part = table(spark, sf_dir, "part")
+    k, name = F.col("p_partkey").cast("long"), F.concat(F.replace("p_name", F.lit(" "), F.lit("-")), F.lit("_"), "p_partkey")
+    line = lambda n, text_: F.struct(n.cast("long").alias("n"), text_.alias("line"))
+    entry = F.concat(F.lit("    "), name, F.lit(" ("), "p_size", F.lit("."), "p_partkey", F.when(k % 2 == 0, "-x86_64-linux").otherwise(""), F.lit(")"))
+    rows = part.select(F.col("p_brand").alias("path"), F.explode(F.array(line(2 * k + 10, entry), line(2 * k + 11, F.lit("      needed (~> 1.0)")))).alias("x")).select("path", "x.*")
+    fixed = ("GIT", "  remote: y", "  specs:", "    forked (0.1)", "", "GEM", "  remote: x", "  specs:")
+    heads = part.select(F.col("p_brand").alias("path")).distinct().select("path", F.explode(F.array(*(line(F.lit(i), F.lit(t)) for i, t in enumerate(fixed)), line(F.lit(2**40), F.lit("PLATFORMS")), line(F.lit(2**40 + 1), F.lit("  ruby")))).alias("x")).select("path", "x.*")
+    return files.locked_versions(rows.unionByName(heads), "path", "line", "n").select("path", "section", "name", "version")
 
 
 @query("SELECT CASE WHEN contains(url, '/fr/') THEN 'french' WHEN contains(url, '/de/') THEN 'german' ELSE 'other' END AS kind, count(*) AS n FROM pages GROUP BY kind")
@@ -339,10 +347,19 @@ def windowed_counts(spark, sf_dir):
     return w.select(F.col("w.start").cast("timestamp_ntz").alias("start"), "event_type", "n")
 
 
-@query("SELECT p_partkey, p_name FROM part WHERE lower(p_name) = 'red widget' ORDER BY p_name, p_partkey LIMIT 1")
+@query("""
+WITH n AS (SELECT DISTINCT p_name AS name FROM part UNION SELECT DISTINCT p_type FROM part), w(wanted) AS (VALUES ('Red Widget'), ('RED_WIDGET'), ('widget'), ('promotion'), ('standing'), ('zzz'), ('large red widget set')),
+r AS (SELECT wanted, name, CASE WHEN lower(name) = lower(wanted) OR replace(lower(name), ' ', '_') = lower(wanted) AND false THEN 1 WHEN contains(lower(name), lower(wanted)) OR contains(lower(wanted), lower(name)) THEN 2
+  WHEN left(lower(name), 3) = left(lower(wanted), 3) THEN 3 END AS rank FROM n, w)
+SELECT wanted, name, CAST(rank AS INTEGER) AS rank FROM r WHERE rank IS NOT NULL QUALIFY row_number() OVER (PARTITION BY wanted ORDER BY rank, length(name), name) = 1
+""")
 def closest_name(spark, sf_dir):
-    """The nearest name."""
-    return predicates.closest(table(spark, sf_dir, "part").groupBy("p_name").agg(F.min("p_partkey").alias("p_partkey")), "p_name", "Red Widget").select("p_partkey", "p_name")
+    """The nearest name to each of several wanted ones, of all three ranks, or none."""
+    part = table(spark, sf_dir, "part")
+    names = part.select(F.col("p_name").alias("name")).union(part.select("p_type")).distinct()
+    wanted = ("Red Widget", "RED_WIDGET", "widget", "promotion", "standing", "zzz", "large red widget set")
+    found = [predicates.closest(names, "name", w).select(F.lit(w).alias("wanted"), "name", F.col("match_rank").alias("rank")) for w in wanted]
+    return reduce(DataFrame.unionByName, found)
 
 
 @query("SELECT p_partkey, p_size, CAST(row_number() OVER (PARTITION BY p_brand ORDER BY p_size DESC, p_partkey) AS INTEGER) AS rank FROM part QUALIFY rank <= 3")
@@ -351,10 +368,13 @@ def top_per_group(spark, sf_dir):
     return ordered.ranked(table(spark, sf_dir, "part"), [F.desc("p_size"), F.col("p_partkey")], 3, ["p_brand"]).select("p_partkey", "p_size", "rank")
 
 
-@query("SELECT o_orderkey, CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 99 END AS place FROM orders")
+@query("""
+SELECT o_orderkey, row_number() OVER (PARTITION BY o_custkey ORDER BY CASE o_orderstatus WHEN 'F' THEN 1 WHEN 'O' THEN 2 ELSE 99 END, o_orderpriority DESC, o_orderdate, o_orderkey) AS place FROM orders
+""")
 def listed_order(spark, sf_dir):
-    """Places in a given order; others last."""
-    return table(spark, sf_dir, "orders").select("o_orderkey", ordered.listed_order(F.col("o_orderstatus"), ["F", "O"]).cast("int").alias("place"))
+    """A sort by a listed order, others last, then by a falling and a rising key, ties by key; places of each customer."""
+    keys = [ordered.listed_order(F.col("o_orderstatus"), ["F", "O"]), F.desc("o_orderpriority"), F.col("o_orderdate"), F.col("o_orderkey")]
+    return ordered.ranked(table(spark, sf_dir, "orders"), keys, 1_000_000_000, ["o_custkey"]).select("o_orderkey", F.col("rank").cast("long").alias("place"))
 
 
 @query("SELECT p_partkey FROM part WHERE p_brand = 'Brand#7' ORDER BY p_partkey LIMIT (SELECT CASE WHEN count(*) <= 10 THEN count(*) WHEN count(*) <= 100 THEN (count(*) + 1) // 2 ELSE 100 END FROM part WHERE p_brand = 'Brand#7')")
