@@ -33,8 +33,13 @@ LOG_RULES: tuple[tuple[str, str], ...] = (
     (_START + r"eyJ[A-Za-z0-9_-]{10,}\.[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", FILTERED),
     (r"-----BEGIN\s+(?:RSA|DSA|EC|OPENSSH)?\s*PRIVATE KEY-----", FILTERED),
 )
-#: Without any of these, no rule can match, and a text costs one pass.
-HINT = r"\x1b\[|(?i:\[dotenv|password|token|secret|api_key|session|cookie:|authorization:)|[A-Z0-9_]=|(?i:private|signing|encryption)|[A-Za-z0-9]@|AKIA|eyJ|[sr]k_|SG\.|xox|gh[pus]_|glpat|npm_"
+#: For each rule what a text holds wherever the rule matches: groups of texts, one of each group, looked for in the lower-cased text.
+_SECRETS = ("secret", "key", "token", "password", "api", "credential")
+HINTS: tuple[tuple[tuple[str, ...], ...], ...] = (
+    (("\x1b[",),), (("[dotenv]",),), (("=",), _SECRETS), (("@",),), (("password", "token", "secret", "api_key", "session", "cookie"),), (('"password"',),), (("authorization:",),),
+    (("=",), ("secret", "private", "signing", "encryption")), (("akia", "_live_", "_test_", "sg.", "xox", "ghp_", "ghu_", "ghs_", "glpat-", "npm_"),), (("eyj",),), (("-----begin",),),
+)
+
 
 # Parts of names that make a setting secret, and last parts that make it a mere description.
 SECRET_PARTS = (
@@ -68,12 +73,27 @@ def redact_columns(df: DataFrame, extra: Iterable[str] = (), allowed: Iterable[s
     return df.select([F.lit(FILTERED).alias(c) if sensitive(c, extra, allowed) else F.col(f"`{c}`") for c in df.columns])
 
 
+def _let(value: Column, use) -> Column:
+    """use(value), with value computed once however often it is used."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def redact_line(line: Column) -> Column:
-    """A log line without credentials and addresses. Lines without a hint of one are left as they are after one look."""
-    out = line
-    for pattern, put in LOG_RULES:
-        out = F.regexp_replace(out, pattern, put)
-    return F.when(line.rlike(HINT), out).otherwise(line)
+    """A log line without credentials and addresses. Each rule runs only where the text holds what it needs, which is looked for byte by byte.
+
+    Colours go first, as they may part what another rule looks for; what the later rules put in never makes or breaks a match of another.
+    """
+
+    def hinted(low: Column, groups: tuple) -> Column:
+        return reduce(lambda a, b: a & b, (reduce(or_, (F.contains(low, F.lit(h)) for h in one)) for one in groups))
+
+    def ruled(at: int, low: Column, text: Column) -> Column:
+        pattern, put = LOG_RULES[at]
+        done = F.when(hinted(low, HINTS[at]), F.regexp_replace(text, pattern, put)).otherwise(text)
+        return done if at + 1 == len(LOG_RULES) else _let(done, lambda t: ruled(at + 1, low, t))
+
+    plain = F.when(F.contains(line, F.lit(HINTS[0][0][0])), F.regexp_replace(line, *LOG_RULES[0])).otherwise(line)
+    return _let(plain, lambda text: _let(F.lower(text), lambda low: ruled(1, low, text)))
 
 
 def redact_value(text: Column) -> Column:

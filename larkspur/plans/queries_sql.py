@@ -12,7 +12,7 @@ from larkspur.plans.policy import Policy
 from larkspur.plans.query import cells, guarded
 from larkspur.plans.query import csv_lines as csv_text_lines
 from larkspur.session import register_views, table
-from larkspur.sources import files
+from larkspur.sources import files, sections
 
 REVENUE = """
 SELECT n_name, round(sum(l_extendedprice * (1 - l_discount)), 2) AS revenue, count(*) AS n_items
@@ -237,10 +237,13 @@ def size_budget(spark, sf_dir):
     return ordered.within_budget(rows, 2000, ["o_orderstatus"], ["o_orderkey"]).select("o_orderkey", "json_chars")
 
 
-@query("SELECT doc_id, CASE WHEN length(text) > 200 THEN left(text, 197) || '...' ELSE text END AS short FROM documents")
+@query(r"""
+SELECT doc_id, CASE WHEN length(text) + 4 <= 200 THEN text || ' end' ELSE left(text, greatest(0, 196 - length(note))) || note || ' end' END AS capped
+FROM (SELECT doc_id, text, chr(10) || chr(10) || '[Truncated: ' || length(text) || ' characters]' AS note FROM documents)
+""")
 def text_cap(spark, sf_dir):
-    """K5: texts cut to 200 characters, the ellipsis included."""
-    return table(spark, sf_dir, "documents").select("doc_id", text.truncate(F.col("text"), 200).alias("short"))
+    """K5: texts cut to 200 characters, with a note of the cut and an end that both survive it."""
+    return table(spark, sf_dir, "documents").select("doc_id", sections.capped(F.col("text"), 200, " end").alias("capped"))
 
 
 @query("""

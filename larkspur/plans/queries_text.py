@@ -463,3 +463,21 @@ def link_containment(spark, sf_dir):
     c = table(spark, sf_dir, "customer")
     name = F.concat(F.lit("/app/n"), "c_nationkey", F.when(F.col("c_custkey") % 3 == 0, "/x/../c").otherwise("/c"), "c_custkey", F.when(F.col("c_custkey") % 7 == 0, ".pem").otherwise(".rb"))
     return files.contained(c.select(name.alias("path")), links, "/app").select("path", "real")
+
+
+@query(r"""
+WITH w AS (SELECT p_partkey, split_part(p_name, ' ', 2) AS w FROM part), l AS (
+  SELECT p_partkey, unnest([1, 2, 3, 4, 5]) AS line_number, unnest(['def ' || w, '  def self.' || w || '_all', 'class Shop::' || upper(left(w, 1)) || substr(w, 2), '  x.' || w || '(1)', 'the ' || w || 's']) AS line FROM w
+), m AS (
+  SELECT *, regexp_matches(line, '^\s*def\s+(self\.)?[Ww]idget') AS definition, regexp_matches(line, '^\s*(class|module)\s+(\w+::)*[Ww]idget') AS class, regexp_matches(line, '[Ww]idget') AND NOT regexp_matches(line, '^\s*def\s') AS call, regexp_matches(line, '\b[Ww]idget\b') AS whole FROM l
+)
+SELECT p_partkey, line_number, definition, class, call, whole FROM m WHERE definition OR class OR call OR whole
+""")
+def line_modes(spark, sf_dir):
+    """Lines that define a name, open its class, or call it; whole words or parts."""
+    w = F.substring_index("p_name", " ", -1)
+    five = F.array(F.concat(F.lit("def "), w), F.concat(F.lit("  def self."), w, F.lit("_all")), F.concat(F.lit("class Shop::"), F.initcap(w)), F.concat(F.lit("  x."), w, F.lit("(1)")), F.concat(F.lit("the "), w, F.lit("s")))
+    lines = table(spark, sf_dir, "part").select("p_partkey", F.posexplode(five).alias("pos", "line"))
+    hit = lambda mode, exact=False: predicates.line_matches(F.col("line"), "[Ww]idget", mode, exact)
+    marked = lines.select("p_partkey", (F.col("pos") + 1).alias("line_number"), hit("definition").alias("definition"), hit("class").alias("class"), hit("call").alias("call"), hit("any", True).alias("whole"))
+    return marked.where("definition OR class OR call OR whole")

@@ -6,7 +6,7 @@ import json
 import re
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from larkspur.operators.graph import cut
@@ -71,6 +71,13 @@ def cap_text(text: str, most: int = 200_000, suffix: str = "") -> str:
     return text[: max(0, most - len(note) - len(suffix))] + note + suffix
 
 
+def capped(text: Column, most: int = 200_000, suffix: str = "") -> Column:
+    """:func:`cap_text` of a column."""
+    note = F.concat(F.lit("\n\n[Truncated: "), F.length(text).cast("string"), F.lit(" characters]"))
+    kept = F.left(text, F.greatest(F.lit(0), F.lit(most - len(suffix)) - F.length(note)))
+    return F.when(F.length(text) + len(suffix) <= most, F.concat(text, F.lit(suffix))).otherwise(F.concat(kept, note, F.lit(suffix)))
+
+
 def fit_json(value, budget: int) -> tuple[object, list[str]]:
     """value with only as many whole list elements and keys as fit into a budget of compact JSON, and the paths that were cut. Scalars come first."""
     size = lambda v: len(json.dumps(v, separators=(",", ":"), ensure_ascii=False))
