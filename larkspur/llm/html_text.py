@@ -30,6 +30,7 @@ from __future__ import annotations
 import html
 import math
 import re
+from bisect import bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -102,36 +103,44 @@ class Page:
 
 
 def read(page: str) -> Page:
+    """The pieces of a page, in time linear in it: what is open is also kept by name, and blocks and main elements apart."""
     out = Page()
     stack: list[tuple[str, int, str, tuple[str, ...], bool]] = []  # name, start, why, classes, is it a main element
+    places: dict[str, list[int]] = {}  # where each name is open on the stack
+    blocks: list[int] = []  # where blocks are
+    n_main = 0
 
     def close(at: int) -> None:
-        for _, start, why, classes, main in stack[at:]:
+        nonlocal n_main
+        for name, start, why, classes, main in stack[at:]:
             if why or classes:
                 out.marks.append((start, len(out.kind), why, classes))
             if main:
                 out.mains.append((start, len(out.kind)))
-        del stack[at:]
+                n_main -= 1
+        while len(stack) > at:
+            places[stack.pop()[0]].pop()
+        while blocks and blocks[-1] >= at:
+            blocks.pop()
 
     for m in _PIECE.finditer(page):
         if (text := m["text"]) is not None:
-            out.add("text", next((x[0] for x in reversed(stack) if x[0] in BLOCKS), "html"), text)
+            out.add("text", stack[blocks[-1]][0] if blocks else "html", text)
             continue
         if m["name"] is None:
             continue
         name = m["name"].lower()
         if m["end"]:
             # An end tag also closes what is open inside; one without a start closes nothing.
-            at = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] == name), None)
+            at = places[name][-1] if places.get(name) else None
             if name in BLOCKS:
                 out.add("cut", "")
             out.add("tag", f"/{name}")
-            if at is not None and (name in BLOCKS or all(x[0] not in BLOCKS for x in stack[at + 1 :])):
+            if at is not None and (name in BLOCKS or not blocks or blocks[-1] <= at):
                 close(at)
             continue
-        if name in BLOCKS and (held := [i for i in range(max(0, len(stack) - 8), len(stack)) if stack[i][0] == "p"]):
-            if all(x[0] not in BLOCKS for x in stack[held[-1] + 1 :]):  # a paragraph ends where the next block starts
-                close(held[-1])
+        if name in BLOCKS and places.get("p") and places["p"][-1] >= len(stack) - 8 and blocks[-1:] <= places["p"][-1:]:
+            close(places["p"][-1])  # a paragraph ends where the next block starts
         if name == "li" and stack and stack[-1][0] == "li":
             close(len(stack) - 1)
         attrs, why, classes, main = m["attrs"] or "", "", (), name in MAIN
@@ -145,19 +154,22 @@ def read(page: str) -> Page:
                 tokens = value.split()
                 classes += tuple(tokens) if key == "class" else ()
                 found = {noise_word(t) for t in tokens}
-                found -= {"head"} if any(x[4] for x in stack) else set()
+                found -= {"head"} if n_main else set()
                 why = "comments" if "comments" in found else why or ("layout" if found & {"noise", "head"} else "")
         if main or name in ("html", "body"):
             why = why if why == "comments" and main else ""
-        within = any(x[4] for x in stack)
-        if name in NEVER or name in LAYOUT and not (name == "header" and within):
+        if name in NEVER or name in LAYOUT and not (name == "header" and n_main):
             why = "never" if name in NEVER else why or "layout"
         if name in BLOCKS:
             out.add("cut", "")
         start = len(out.kind)
         out.add("tag", name)
         if name not in VOID and not attrs.rstrip().endswith("/"):
+            places.setdefault(name, []).append(len(stack))
+            if name in BLOCKS:
+                blocks.append(len(stack))
             stack.append((name, start, why, classes, main and why != "comments"))
+            n_main += stack[-1][4]
         elif why:
             out.marks.append((start, start + 1, why, classes))
     close(0)
@@ -167,8 +179,14 @@ def read(page: str) -> Page:
 def judge(page: Page, bad_classes: frozenset[str] = frozenset()) -> tuple[list[bool], list[str]]:
     """For each piece, whether it is noise, and where it lies: 'a' in a main element, 'o' outside of the page's, 'n' on a page without."""
     n = len(page.kind)
-    comments = [(a, b) for a, b, why, _ in page.marks if why in ("comments", "never")]
-    mains = [(a, b) for a, b in page.mains if not any(x <= a and b <= y for x, y in comments)]
+    upto = 0
+    furthest = {}  # where the comments that begin at or before a place reach
+    for a, b, _, _ in sorted((m for m in page.marks if m[2] in ("comments", "never")), key=lambda m: m[0]):
+        furthest[a] = upto = max(upto, b)
+    begins = list(furthest)
+    reach = lambda a: furthest[begins[i - 1]] if (i := bisect_right(begins, a)) else 0
+    mains = [(a, b) for a, b in page.mains if reach(a) < b]
+    first, last = min((a for a, _ in mains), default=0), max((b for _, b in mains), default=0)
     before = [0]
     for w in page.words:
         before.append(before[-1] + w)
@@ -178,7 +196,7 @@ def judge(page: Page, bad_classes: frozenset[str] = frozenset()) -> tuple[list[b
             continue
         if why not in ("comments", "never"):
             if mains:
-                if all(a <= x and y <= b for x, y in mains):
+                if a <= first and last <= b:
                     continue
             elif 2 * (before[b] - before[a]) > before[-1]:
                 continue

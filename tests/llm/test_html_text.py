@@ -2,6 +2,8 @@ import html
 import re
 from collections import Counter
 
+import time
+
 import pytest
 
 from larkspur.llm import html_text
@@ -84,3 +86,18 @@ def test_words_against_the_table(spark, sf):
         found, wanted = found + len(got), wanted + len(want)
         right += sum((Counter(got) & Counter(want)).values())
     assert right / found > 0.97 and right / wanted > 0.99
+
+
+@pytest.mark.parametrize("piece", ["<b>x", "<div>x", "<p>x<b>", "</b>", "<div class=comments><main>y"])
+def test_time_is_linear_in_unclosed_tags(piece):
+    began = time.perf_counter()
+    html_text.main_text(piece * 100_000, html_text.Weights({}))
+    assert time.perf_counter() - began < 10  # about one second; the square of this took minutes
+
+
+def test_mains_inside_comments_and_around_them():
+    page = "<main>a<div class=comments><article>b</article></div></main><div class=comments>c<main>d</main></div>"
+    stream = html_text.read(page)
+    noisy, place = html_text.judge(stream)
+    got = {t: (n, p) for k, t, n, p in zip(stream.kind, stream.text, noisy, place, strict=True) if k == "text"}
+    assert got == {"a": (False, "a"), "b": (True, "a"), "c": (True, "o"), "d": (True, "o")}
