@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import tempfile
+
 from pyspark.sql import DataFrame, SparkSession
 
 TABLES = (
@@ -13,7 +15,7 @@ TABLES = (
 def build_session(cpus: int | str = 8, app: str = "larkspur", **conf: str) -> SparkSession:
     """A local session with the settings the engine relies on; on a cluster, pass your own session instead.
 
-    Such a session must name a folder that all executors share in spark.checkpoint.dir.
+    Such a session must name a folder that all executors share in spark.checkpoint.dir; this one gets a temporary folder where conf names none.
     """
     builder = (
         SparkSession.builder.master(f"local[{cpus}]")
@@ -26,6 +28,8 @@ def build_session(cpus: int | str = 8, app: str = "larkspur", **conf: str) -> Sp
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
     )
+    if "spark__checkpoint__dir" not in conf:
+        builder = builder.config("spark.checkpoint.dir", f"file://{tempfile.mkdtemp(prefix='spark-')}")
     for key, value in conf.items():
         builder = builder.config(key.replace("__", "."), value)
     return builder.getOrCreate()
