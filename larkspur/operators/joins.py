@@ -164,3 +164,15 @@ def untested(names: DataFrame, name: str, tests: DataFrame, path: str, truncated
         raise ValueError("the list of tests is incomplete")
     parts = tests.select(F.explode(F.regexp_extract_all(F.lower(path), F.lit("[a-z0-9]+"), F.lit(0))).alias("_part")).distinct()
     return names.join(parts, F.lower(F.col(name)) == F.col("_part"), "left_anti")
+
+
+def listing(columns: DataFrame, models: DataFrame, encrypted: DataFrame, indexes: DataFrame) -> DataFrame:
+    """Columns (table, name) of a catalogue with what is known of each: the models (model, table) of its table, sorted, whether one of them keeps it
+    encrypted (model, name), and whether an index (table, columns, unique) holds it, leads with it, or makes it unique alone."""
+    named = models.groupBy("table").agg(F.sort_array(F.collect_set("model")).alias("models"))
+    hidden = encrypted.join(models, "model").select("table", "name").distinct().withColumn("_e", F.lit(True))
+    held = indexes.select("table", F.posexplode("columns").alias("_at", "name"), (F.col("unique") & (F.size("columns") == 1)).alias("_u"))
+    flags = held.groupBy("table", "name").agg(F.lit(True).alias("_i"), F.bool_or(F.col("_at") == 0).alias("_l"), F.bool_or("_u").alias("_u"))
+    whole = columns.join(named, "table", "left").join(hidden, ["table", "name"], "left").join(flags, ["table", "name"], "left")
+    flag = lambda c, name: F.coalesce(c, F.lit(False)).alias(name)
+    return whole.select("table", "name", F.coalesce("models", F.array().cast("array<string>")).alias("models"), flag(F.col("_e"), "encrypted"), flag(F.col("_i"), "indexed"), flag(F.col("_l"), "leading"), flag(F.col("_u"), "unique"))

@@ -462,3 +462,20 @@ def graph_text(spark, sf_dir):
 def camel_names(spark, sf_dir):
     """String case: words to class names."""
     return table(spark, sf_dir, "customer").select("c_custkey", text.camelize(F.lower("c_mktsegment")).alias("name"))
+
+
+@query(f"""
+{_SCHEMA}, models AS (SELECT DISTINCT p_name AS model, lower(p_brand) AS "table" FROM part WHERE p_partkey % 41 = 0), secret AS (SELECT DISTINCT p_name AS model, lower(p_type) || '_id' AS name FROM part WHERE p_partkey % 3 = 0)
+SELECT c."table", c.name, coalesce((SELECT string_agg(DISTINCT model, '|' ORDER BY model) FROM models m WHERE m."table" = c."table"), '') AS models,
+  EXISTS (SELECT 1 FROM models m JOIN secret s ON s.model = m.model WHERE m."table" = c."table" AND s.name = c.name) AS encrypted, EXISTS (SELECT 1 FROM indexes i WHERE i."table" = c."table" AND list_contains(i.columns, c.name)) AS indexed,
+  EXISTS (SELECT 1 FROM indexes i WHERE i."table" = c."table" AND i.columns[1] = c.name) AS leading, EXISTS (SELECT 1 FROM indexes i WHERE i."table" = c."table" AND i.columns = [c.name]) AS "unique"
+FROM columns c
+""")
+def table_listing(spark, sf_dir):
+    """Columns with their models, and whether they are encrypted, indexed, leading or unique."""
+    part = table(spark, sf_dir, "part")
+    columns, indexes = _relations(spark, sf_dir)
+    models = part.where("p_partkey % 41 = 0").select(F.col("p_name").alias("model"), F.lower("p_brand").alias("table")).distinct()
+    secret = part.where("p_partkey % 3 = 0").select(F.col("p_name").alias("model"), F.concat(F.lower("p_type"), F.lit("_id")).alias("name"))
+    out = joins.listing(columns, models, secret, indexes.withColumn("unique", F.size("columns") == 1))
+    return out.withColumn("models", F.array_join("models", "|"))

@@ -14,6 +14,7 @@ from larkspur.plans.catalog import query
 from larkspur.session import table
 from larkspur.sources import dumps, files, sections
 from larkspur.streaming import changes, stateful
+from larkspur.streaming.content_cache import ContentCache
 
 _LEVEL = "CASE event_type WHEN 'error' THEN 'ERROR' WHEN 'purchase' THEN 'WARN' WHEN 'signup' THEN 'INFO' END"
 
@@ -481,3 +482,22 @@ def line_modes(spark, sf_dir):
     hit = lambda mode, exact=False: predicates.line_matches(F.col("line"), "[Ww]idget", mode, exact)
     marked = lines.select("p_partkey", (F.col("pos") + 1).alias("line_number"), hit("definition").alias("definition"), hit("class").alias("class"), hit("call").alias("call"), hit("any", True).alias("whole"))
     return marked.where("definition OR class OR call OR whole")
+
+
+@query("""
+SELECT doc_id, CAST(length(text) - length(replace(lower(text), 'e', '')) AS BIGINT) AS n_e, sha256(text) IN (SELECT sha256(text) FROM documents WHERE source IN (SELECT max(source) FROM documents)) AS hit FROM documents
+""")
+def content_cache(spark, sf_dir):
+    """Values of texts by their digest: those of one source first, then all; what the first call computed is not computed again."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "source")
+    count = lambda lacking: lacking.select("digest", (F.length("text") - F.length(F.replace(F.lower("text"), F.lit("e"), F.lit("")))).cast("long").alias("value"))
+    cache = ContentCache(spark, f"{graph.folder(spark)}/content-{uuid.uuid4().hex}", count)
+    cache.get(docs.join(docs.agg(F.max("source").alias("source")), "source"), "text")
+    return cache.get(docs, "text").select("doc_id", F.col("value").alias("n_e"), "hit")
+
+
+@query("SELECT user_id, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS place FROM (SELECT * FROM events QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) <= 10)")
+def last_reversed(spark, sf_dir):
+    """The last ten rows of each user, oldest first."""
+    last = ordered.ranked(table(spark, sf_dir, "events").select("user_id", "event_id", "ts"), [F.desc("ts"), F.desc("event_id")], 10, ["user_id"]).drop("rank")
+    return ordered.ranked(last, [F.col("ts"), F.col("event_id")], 10, ["user_id"]).select("user_id", "event_id", F.col("rank").cast("long").alias("place"))

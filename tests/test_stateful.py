@@ -156,3 +156,23 @@ def test_members_of_three_levels(spark):
     seen = {(r.node, r.name): (r.origin, r.distance) for r in graph.visible_members(parents, members).collect()}
     assert seen == {("a", "index"): ("a", 0), ("a", "show"): ("a", 0), ("b", "index"): ("a", 1), ("b", "show"): ("b", 0), ("b", "new"): ("b", 0), ("c", "index"): ("a", 2), ("c", "show"): ("c", 0), ("c", "new"): ("c", 0), ("x", "z"): ("y", 1), ("y", "z"): ("y", 0)}
     assert {(r.owner, r.name) for r in graph.own_members(parents, members).collect()} == {("a", "index"), ("a", "show"), ("b", "new"), ("y", "z")}
+
+
+def test_contents_are_computed_once(spark, tmp_path):
+    from larkspur.streaming.content_cache import ContentCache
+
+    asked = []
+
+    def compute(lacking):
+        asked.append(sorted(r.text for r in lacking.collect()))
+        return lacking.select("digest", F.upper("text").alias("value"))
+
+    cache = ContentCache(spark, str(tmp_path / "cache"), compute, most=4)
+    frame = lambda *texts: spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "id int, text string")
+    rows = lambda df: sorted((r.id, r.value, r.hit) for r in df.collect())
+    assert rows(cache.get(frame("a", "b", "a", None), "text")) == [(0, "A", False), (1, "B", False), (2, "A", False), (3, None, None)]
+    assert rows(cache.get(frame("b", "c"), "text")) == [(0, "B", True), (1, "C", False)]
+    assert rows(cache.get(frame("d", "e", "b"), "text")) == [(0, "D", False), (1, "E", False), (2, "B", True)]  # five entries: the oldest, a, and one more go
+    assert cache.held.count() == 3 and cache.held.where("used < 3").count() == 0
+    assert rows(cache.get(frame("a", "b"), "text")) == [(0, "A", False), (1, "B", True)]
+    assert asked == [["a", "b"], ["c"], ["d", "e"], ["a"]]
