@@ -1,15 +1,17 @@
 """Benchmark decontamination by template canonicalisation.
 
 Numbers, names and units are replaced with typed placeholders: a number is a run of digits with inner separators, a
-unit is a listed word right after a number, a name is a capitalised word inside a sentence (after a lower-case
-letter, a digit, a comma or a semicolon, and a space). All other words are lower-cased and lose their punctuation.
+unit is a listed word right after a number, a name is a capitalised word of two letters or more, wherever it stands: what begins a
+sentence may be a name as well, and a template must not depend on what comes before it. All other words are lower-cased and lose
+their punctuation.
 Every window of ``width`` tokens of the benchmark is hashed; a document's windows are hash-joined with them.
 
 For each pair of document and item, the share of the item's windows found is its coverage. Slots of the matched
 windows are then compared, over the whole text and for each occurrence in it (one alignment of text and item, or a run
-of matches without a gap of the item's length): values of item and document must map one to one for each placeholder
-type. A pair is reported with a coverage of at least ``coverage``: ``exact`` if all slots agree, ``reparameterised`` if they map one
-to one; with slots that contradict each other, only windows whose slots agree count towards the coverage.
+of matches without a gap of the item's length): each value of the item must have one value in the document, for each placeholder
+type; two of its values may have the same one. A pair is reported with a coverage of at least ``coverage``: ``exact`` if all slots
+agree, ``reparameterised`` if they map so; with slots that contradict each other, only windows whose slots agree count towards the
+coverage.
 
 A document's windows are first reduced to those of the benchmark, each once, however many items share them: the different
 hashes are counted, and broadcast up to ``broadcast_windows`` of them; beyond it, both sides are shuffled by hash. A pair with the
@@ -43,7 +45,7 @@ UNITS = (
 )
 
 _WORD = r"[\p{L}\p{M}]"
-_NAME = rf"\p{{Lu}}(?<=[\p{{Ll}}0-9,;]\x20\p{{Lu}})[\p{{Ll}}\p{{M}}]+(?!{_WORD})"
+_NAME = rf"(?<!{_WORD})\p{{Lu}}[\p{{Ll}}\p{{M}}]++(?!{_WORD})"
 _NUMBER = r"[0-9]++(?:[.,:/][0-9]++)*+"
 _TOKEN = rf"[#@~]?{_WORD}++|#[0-9]++(?:[.,:/][0-9]++)*+"
 
@@ -105,8 +107,9 @@ def _item_windows(benchmark: DataFrame, width: int) -> tuple[DataFrame, list[int
     if alone:
         own = own.unionByName(windows(long.where("not plain"), [width], True).select(keep))
     widths = [r["n"] for r in items.where(f"n between 1 and {width - 1} and plain").select("n").distinct().orderBy("n").collect()]  # at most width - 1 rows
-    if widths:  # inside a sentence their first word, if capitalised, reads as a name
-        few = items.where(f"n between 1 and {width - 1} and plain").select("item_id", "n", F.explode(F.array("_text", F.concat(F.lit(", "), "_text"))).alias("text"), F.lit(True).alias("short"))
+    if widths:  # inside a sentence their first word may be a small one
+        small_first = F.concat(F.lower(F.left("_text", F.lit(1))), F.substring("_text", 2, 1_000_000_000))
+        few = items.where(f"n between 1 and {width - 1} and plain").select("item_id", "n", F.explode(F.array("_text", small_first)).alias("text"), F.lit(True).alias("short"))
         for w in widths:
             own = own.unionByName(windows(_read(few.where(F.col("n") == w)), [w], False).where("at = 0").select(keep))
     return cut(own), [width, *widths], alone
@@ -126,14 +129,14 @@ def _judged(places: DataFrame, by: list[str], coverage: float) -> DataFrame:
     """places (with n_windows, item_at, b and same) grouped by ``by``: n_windows, n_found and a verdict, null for none."""
     counts = places.groupBy(*by, "n_windows").agg(F.countDistinct("item_at").alias("n_found"), F.countDistinct(F.when(F.col("same"), F.col("item_at"))).alias("n_same"))
     slots = places.select(*by, F.explode("b").alias("b")).select(*by, F.col("b.i").alias("i"), F.col("b.d").alias("d"))
-    mapped = slots.groupBy(*by).agg(F.countDistinct("i", "d").alias("n_pairs"), F.countDistinct("i").alias("n_i"), F.countDistinct("d").alias("n_d"))
-    mapped = mapped.select(*(F.col(c).alias(f"_{c}") for c in by), (F.expr("n_pairs = n_i and n_pairs = n_d")).alias("one_to_one"))
+    mapped = slots.groupBy(*by).agg(F.countDistinct("i", "d").alias("n_pairs"), F.countDistinct("i").alias("n_i"))
+    mapped = mapped.select(*(F.col(c).alias(f"_{c}") for c in by), F.expr("n_pairs = n_i").alias("mapped"))
     on = [counts[c].eqNullSafe(F.col(f"_{c}")) for c in by]
     likely = counts.where(F.col("n_found") >= coverage * F.col("n_windows"))
     return likely.join(mapped, on, "left").withColumn(
         "verdict",
         F.when(F.col("n_same") == F.col("n_found"), "exact")
-        .when(F.col("one_to_one"), "reparameterised")
+        .when(F.col("mapped"), "reparameterised")
         .when(F.col("n_same") >= coverage * F.col("n_windows"), "exact"),
     ).where("verdict is not null")
 

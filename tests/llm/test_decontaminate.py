@@ -48,7 +48,7 @@ def brute_tokens(text):
     text = re.sub(r"[0-9]++(?:[.,:/][0-9]++)*+", lambda m: "#" + m[0], text)
     units = "|".join(sorted(decontaminate.UNITS, key=len, reverse=True))
     text = regex.sub(rf"(?<=#[0-9.,:/]{{1,24}}\x20?)(?:{units})(?![\p{{L}}\p{{M}}])", lambda m: "~" + m[0], text)
-    text = regex.sub(r"(?<=[\p{Ll}0-9,;]\x20)\p{Lu}[\p{Ll}\p{M}]+(?![\p{L}\p{M}])", lambda m: "@" + m[0], text)
+    text = regex.sub(r"(?<![\p{L}\p{M}])\p{Lu}[\p{Ll}\p{M}]++(?![\p{L}\p{M}])", lambda m: "@" + m[0], text)
     return regex.findall(r"[#@~]?[\p{L}\p{M}]++|#[0-9]++(?:[.,:/][0-9]++)*+", text.lower())
 
 
@@ -64,7 +64,7 @@ def brute(docs, items, width=5, coverage=0.5):
             wins = [(i, width, tuple(ts[i : i + width])) for i in range(len(ts) - width + 1) if bare or not all(map(slot, ts[i : i + width]))]
             own[item] = (len(ts), bare, False, wins)
         elif ts and not all(map(slot, ts)):
-            own[item] = (len(ts), False, True, [(0, len(ts), tuple(x)) for x in (ts, brute_tokens(f", {text}"))])
+            own[item] = (len(ts), False, True, [(0, len(ts), tuple(x)) for x in (ts, brute_tokens(text[:1].lower() + text[1:]))])
     out = {}
     for doc, text in docs:
         ts = brute_tokens(text)
@@ -92,7 +92,7 @@ def brute(docs, items, width=5, coverage=0.5):
                     hit = len({f[1] for f in fs})
                     same = len({f[1] for f in fs if all(a == b for a, b in f[2])})
                     pairs = {p for f in fs for p in f[2]}
-                    one = len(pairs) == len({a for a, _ in pairs}) == len({b for _, b in pairs})
+                    one = len(pairs) == len({a for a, _ in pairs})
                     if hit < coverage * total:
                         continue
                     verdict = "exact" if same == hit else "reparameterised" if one and pairs else "exact" if same >= coverage * total else None
@@ -130,3 +130,33 @@ def test_windows_that_many_items_share_make_no_pairs(spark):
     docs = spark.createDataFrame([(i, f"{shared} {own(i) if i < 5 else 'and nothing else that is known here'}") for i in range(80)], "doc_id long, text string")
     got = {(r.doc_id, r.item_id, r.verdict) for r in decontaminate.contaminated(docs, items).collect()}
     assert got == {(i, i, "exact") for i in range(5)}
+
+
+def reparameterised(text, rng):
+    """text with other numbers, names and units, each value by one other."""
+    new = {}
+
+    def other(m):
+        word = m[0]
+        if word[0].isdigit():
+            return new.setdefault(word, str(rng.randrange(1, 10_000)))
+        if word in decontaminate.UNITS:
+            return new.setdefault(word, rng.choice(decontaminate.UNITS))
+        return new.setdefault(word, "".join(rng.choice("aeiouklmnrst") for _ in range(rng.randint(3, 8))).capitalize())
+
+    return regex.sub(r"[0-9]++|(?<![\p{L}\p{M}])\p{Lu}[\p{Ll}\p{M}]++(?![\p{L}\p{M}])|(?<=[0-9] )(?:" + "|".join(decontaminate.UNITS) + r")\b", other, text)
+
+
+def test_recall_of_reparameterised_items(spark, sf):
+    rng = random.Random(9)
+    bench = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
+    bench += [(1_000 + i, f"{n} buys {12 + i} kg of salt in the old shop near the river. {n} sells {5 + i} kg of it to {m} before noon. How much salt is left?") for i, (n, m) in enumerate([("Anna", "Bertold"), ("Maria", "Jonas"), ("Cecile", "Dorian")])]
+    far = " ".join(f"p{chr(97 + i % 26)}{chr(97 + i // 26)}" for i in range(40))
+    docs = [(i, f"{far}. {reparameterised(t, rng)} {far}") for i, t in bench]
+    docs += [(2_000, f"{far}. Jonas buys 90 kg of salt in the old shop near the river. Jonas sells 90 kg of it to Rita before noon. How much salt is left?"), (2_001, f"{far}. {OTHER}")]
+    found = decontaminate.contaminated(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    got = {(r.doc_id, r.item_id) for r in found}
+    assert sum((i, i) in got for i, _ in bench) >= 0.95 * len(bench) and all((i, i) in got for i, _ in bench[-3:])
+    assert (2_000, 1_001) in got and not any(d == 2_001 for d, _ in got)  # two numbers that became one
+    alike = {1_000, 1_001, 1_002}  # items of one template are found in each other's texts too
+    assert got - {(i, i) for i, _ in bench} == {(d, i) for d in alike | {2_000} for i in alike if d != i}
