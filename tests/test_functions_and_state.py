@@ -4,7 +4,6 @@ import random
 import threading
 import warnings
 
-
 import pytest
 from pyspark.sql import functions as F
 
