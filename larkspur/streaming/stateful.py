@@ -20,42 +20,47 @@ _STATE = "started_us long, last_us long, n_calls long, tools array<string>"
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class _Sessions(StatefulProcessor):
-    """One session's state: since when it runs, its last call, its calls and its different tools. A timer evicts it once it is idle."""
-
-    def __init__(self, idle_us: int):
-        self.idle_us = idle_us
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.state = handle.getValueState("session", _STATE)
-
-    def _row(self, key, s, evicted: bool) -> dict:
-        return {"session": key[0], "started": pd.Timestamp(s[0], unit="us"), "last": pd.Timestamp(s[1], unit="us"), "n_calls": s[2], "tools": ",".join(sorted(s[3])), "evicted": evicted}
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        calls = pd.concat(list(rows))
-        held, out = self.state.get() if self.state.exists() else None, []
-        for us, tool in sorted(zip(calls["us"].tolist(), calls["tool"].tolist(), strict=True)):
-            if held is not None and us - held[1] > self.idle_us:
-                out.append(self._row(key, held, True))
-                held = None
-            held = (us, us, 1, [tool]) if held is None else (min(us, held[0]), max(us, held[1]), held[2] + 1, sorted({*held[3], tool}))
-        for timer in self.handle.listTimers():
-            self.handle.deleteTimer(timer)
-        self.state.update(held)
-        self.handle.registerTimer((held[1] + self.idle_us) // 1_000 + 1)
-        out.append(self._row(key, held, False))
-        yield pd.DataFrame(out)
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        if self.state.exists():
-            held = self.state.get()
-            self.state.clear()
-            yield pd.DataFrame([self._row(key, held, True)])
-
-    def close(self) -> None:
-        pass
+def _sessions(idle_us: int) -> StatefulProcessor:
+    """The processor of sessions. Its class is made here, so that it travels whole to workers that cannot import this module."""
+
+    class Sessions(StatefulProcessor):
+        """One session's state: since when it runs, its last call, its calls and its different tools. A timer evicts it once it is idle."""
+
+        def __init__(self, idle_us: int):
+            self.idle_us = idle_us
+
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.handle = handle
+            self.state = handle.getValueState("session", _STATE)
+
+        def _row(self, key, s, evicted: bool) -> dict:
+            return {"session": key[0], "started": pd.Timestamp(s[0], unit="us"), "last": pd.Timestamp(s[1], unit="us"), "n_calls": s[2], "tools": ",".join(sorted(s[3])), "evicted": evicted}
+
+        def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
+            calls = pd.concat(list(rows))
+            held, out = self.state.get() if self.state.exists() else None, []
+            for us, tool in sorted(zip(calls["us"].tolist(), calls["tool"].tolist(), strict=True)):
+                if held is not None and us - held[1] > self.idle_us:
+                    out.append(self._row(key, held, True))
+                    held = None
+                held = (us, us, 1, [tool]) if held is None else (min(us, held[0]), max(us, held[1]), held[2] + 1, sorted({*held[3], tool}))
+            for timer in self.handle.listTimers():
+                self.handle.deleteTimer(timer)
+            self.state.update(held)
+            self.handle.registerTimer((held[1] + self.idle_us) // 1_000 + 1)
+            out.append(self._row(key, held, False))
+            yield pd.DataFrame(out)
+
+        def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
+            if self.state.exists():
+                held = self.state.get()
+                self.state.clear()
+                yield pd.DataFrame([self._row(key, held, True)])
+
+        def close(self) -> None:
+            pass
+
+    return Sessions(idle_us)
 
 
 def use_rocksdb(spark: SparkSession) -> None:
@@ -72,7 +77,7 @@ def tracked_sessions(calls: DataFrame, idle: str = "30 minutes", late: str = "0
     use_rocksdb(calls.sparkSession)
     span = calls.sparkSession.range(1).select((F.unix_micros(F.to_timestamp(F.lit("1970-01-02")) + F.expr(f"interval {idle}")) - F.unix_micros(F.to_timestamp(F.lit("1970-01-02")))).alias("us")).first()["us"]
     named = calls.withWatermark("ts", late).where("session IS NOT NULL AND ts IS NOT NULL").select(F.left("session", F.lit(200)).alias("session"), F.coalesce("tool", F.lit("")).alias("tool"), "ts", F.unix_micros("ts").alias("us"))
-    return named.groupBy("session").transformWithStateInPandas(_Sessions(span), SESSION, "Update", "EventTime")
+    return named.groupBy("session").transformWithStateInPandas(_sessions(span), SESSION, "Update", "EventTime")
 
 
 def sessions_of(calls: DataFrame, idle: str = "30 minutes") -> DataFrame:
