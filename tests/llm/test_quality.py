@@ -87,3 +87,39 @@ def test_no_labels(spark):
     labels = spark.createDataFrame([(1, None, None), (None, 1, 0)], "doc_id long, quality int, toxic int")
     assert {r.doc_id: r.kept for r in quality.judge(docs, labels).collect()} == {1: True, 2: False, None: False}
     assert quality.judge(docs.limit(0), labels.limit(0)).count() == 0
+
+
+def brute_threshold(rows):
+    mean = [(good, score / n) for good, n, score in rows if n]
+    good, bad = (sorted(m for g, m in mean if g is x) for x in (True, False))
+    if not good or not bad:
+        return None
+    places = sorted({*good, *bad})
+    cuts = [(places[0] - 1, 0.0)] + [((a + b) / 2, b - a) for a, b in zip(places, places[1:], strict=False)]
+    wrong = [sum(m < c for m in good) * len(bad) - sum(m < c for m in bad) * len(good) for c, _ in cuts]
+    return min(zip(wrong, (-gap for _, gap in cuts), (c for c, _ in cuts), strict=True))[2]
+
+
+def test_threshold_matches_brute_force(spark):
+    rng = random.Random(7)
+    for n in (0, 1, 2, 3, 40, 400):
+        for least in (-30, 5):  # the classes lie apart, or good ones below bad ones
+            rows = [(good, k := rng.randrange(30), k * rng.randrange(-60, 30) + (least * k if good else 0)) for good in (rng.random() < 0.7 for _ in range(n))]
+            frame = spark.createDataFrame(rows, "good boolean, n_grams long, score long").repartition(7)
+            assert quality._threshold(frame) == brute_threshold(rows)
+
+
+def test_threshold_is_fitted_on_every_held_out_document(spark):
+    """Over 2,000 held-out good documents have the smallest hashes and a text of their own; good ones with others must count as well."""
+    held_out, late = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(4)) == 0, F.xxhash64("id", F.lit(12)) > 0
+    rare = F.when(held_out, late).otherwise(F.col("id") % 5 == 0)
+    kind = F.when(F.col("id") % 10 == 0, "bad").when(rare, "rare").otherwise("usual")
+    of = spark.range(24_000).select(F.col("id").alias("doc_id"), kind.alias("kind"), held_out.alias("held_out"))
+    docs = of.select("doc_id", F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda i: F.concat("kind", i.cast("string"))), " ").alias("text"))
+    docs = docs.unionByName(docs.where("doc_id % 40 = 1").withColumn("text", F.lit("an id with two texts")))
+    labels = of.select("doc_id", (F.col("kind") != "bad").cast("int").alias("quality"), F.lit(0).alias("toxic"))
+    assert of.where("held_out and kind = 'usual'").count() > 2_000 < of.where("held_out and kind = 'rare'").count()
+    judged = quality.judge(docs, labels).join(of, "doc_id").cache()
+    rows = judged.where("held_out").select(F.col("kind") != "bad", "n_grams", "score").collect()
+    assert quality.train(docs, labels).threshold == brute_threshold([tuple(r) for r in rows])
+    assert judged.where("n_words = 12 and kept != (kind != 'bad')").isEmpty()
