@@ -10,7 +10,8 @@ pairs first, never all pairs of a group of copies; these pairs are compared in f
 second round the texts with further pairs meet again, in buckets that still hold different classes, and all pairs
 across classes are compared. Before a pair is compared in full, parities with a cell for each shingle are.
 
-The order of the prefixes comes from a sample; any order gives the same links. Texts without words are alike.
+The order of the prefixes comes from counts of the shingles of all texts, in cells of their hashes; any order gives the same
+links. Texts without words are alike.
 """
 
 from __future__ import annotations
@@ -29,6 +30,8 @@ from larkspur.llm.common import cut, small
 from larkspur.llm.simhash import components, split_crowded
 
 CELLS = 512
+#: Cells in which shingles are counted, 8 MB of counts.
+LOADS = 1 << 21
 BITMAP = tuple(f"b{i}" for i in range(CELLS // 64))
 
 
@@ -65,19 +68,41 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("mark", "text").mapInArrow(run, "mark long, held array<long>")
 
 
-def _common(texts: DataFrame, width: int, one_in: int = 8, least: int = 2, most: int = 1_000_000) -> np.ndarray:
-    """Shingles that a sample of the texts repeats, rarest first, at most 8 MB of them. They only order the prefixes: any order gives the same links."""
-    sample = texts.where(F.pmod("text_hash", F.lit(one_in)) == 0).select(F.col("text_hash").alias("mark"), "text").dropDuplicates(["mark"])
-    seen = _shingle_sets(sample, width).select(F.explode("held").alias("key")).groupBy("key").count().where(F.col("count") >= least)
-    rows = seen.orderBy(F.desc("count"), "key").limit(most).select("key").toArrow()
-    return rows.column("key").to_numpy()[::-1].view(np.uint64)
+def _cell_counts(texts: DataFrame, width: int, cells: int = LOADS, piece: int = 1 << 13) -> np.ndarray:
+    """How many shingles of all the texts, copies included, fall into each cell of their low bits; sums are made piece by piece."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        load, held, n = np.zeros(cells, np.uint32), [], 0
+        for batch in batches:
+            for text in batch.column(0).cast(pa.binary()):
+                held.append(shingles(text.as_py() or b"", width))
+                n += len(held[-1])
+                if n >= cells:
+                    load += np.bincount((np.concatenate(held) & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
+                    held, n = [], 0
+        if n:
+            load += np.bincount((np.concatenate(held) & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
+        parts = [(i, x) for i, x in enumerate(load.reshape(-1, min(piece, cells))) if x.any()]
+        yield pa.record_batch([pa.array([i for i, _ in parts], pa.int32()), pa.array([x.tobytes() for _, x in parts], pa.binary())], names=["piece", "load"])
+
+    def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums: dict = {}
+        for batch in batches:
+            for i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                sums[i] = sums.get(i, 0) + np.frombuffer(x, np.uint32)
+        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["piece", "load"])
+
+    kind = "piece int, load binary"
+    found = texts.select("text").mapInArrow(run, kind).repartition("piece").mapInArrow(add, kind).toArrow()
+    load = np.zeros((cells // min(piece, cells), min(piece, cells)), np.uint32)
+    for i, x in zip(found.column(0).to_pylist(), found.column(1), strict=True):
+        load[i] = np.frombuffer(x.as_py(), np.uint32)
+    return load.ravel()
 
 
 def _marked(texts: DataFrame, width: int, share: Fraction) -> DataFrame:
     """doc_id, text_hash, mark (of the words), size (of the shingle set), b0 to b7 and parity, and keys (the prefix; none for a mark that the task has met)."""
-    common = _common(texts, width)
-    order = np.argsort(common)
-    known, rank = common[order], order
+    load = _cell_counts(texts, width)
 
     def row(text: bytes, seen: set) -> tuple:
         from xxhash import xxh64_intdigest
@@ -92,9 +117,7 @@ def _marked(texts: DataFrame, width: int, share: Fraction) -> DataFrame:
         else:
             seen.add(mark)
             n_keys = n - math.ceil(share * n) + 1 if n else 0
-            if len(known) and n:
-                at = np.minimum(np.searchsorted(known, held), len(known) - 1)
-                held = held[np.argsort(np.where(known[at] == held, rank[at] + 1, 0), kind="stable")]
+            held = held[np.argsort(load[(held & np.uint64(len(load) - 1)).astype(np.int64)], kind="stable")]
         return mark, n, *bits.view(np.int64), parity.tobytes(), held[:n_keys].view(np.int64)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

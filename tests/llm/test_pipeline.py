@@ -5,11 +5,11 @@ from collections import Counter
 import pytest
 from test_decontaminate import brute as brute_contaminated
 from test_layout import brute_mix
-from test_quality import brute_base
+from test_quality import brute_base, many_held_out
 from test_simhash import brute_kept
 
 import corpus_pipeline
-from larkspur.llm import quality
+from larkspur.llm import near_text, quality
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -86,3 +86,20 @@ def test_empty_tables(spark, sf, odd, tmp_path):
     for name, stage in corpus_pipeline.STAGES:
         out = stage(spark, none, sf)
         assert out.count() == 0 and (name == "token_shards" or out.columns == odd.columns)
+
+
+def test_quality_stage_uses_every_held_out_document(spark, tmp_path):
+    docs, labels, of = many_held_out(spark)
+    labels.write.parquet(str(tmp_path / "labels.parquet"))
+    kept = STAGES["quality_rules"](spark, docs, str(tmp_path)).where("text != 'an id with two texts'")
+    assert {r.doc_id for r in kept.collect()} == {r.doc_id for r in of.where("kind != 'bad'").collect()}
+
+
+def test_prefixes_are_ordered_by_counts_of_every_text(spark):
+    rows = [(None,), ("",), ("one two",)] + [(f"a b c d e f{i % 3} " + f"g{i} " * (i % 9),) for i in range(500)]
+    texts = spark.createDataFrame(rows, "text string").repartition(5)
+    for cells in (1 << 21, 1 << 6):
+        want = Counter(int(h) % cells for (t,) in rows for h in near_text.shingles((t or "").encode()))
+        got = near_text._cell_counts(texts, 5, cells)
+        assert len(got) == cells and {i: int(got[i]) for i in got.nonzero()[0]} == want
+    assert not near_text._cell_counts(texts.limit(0), 5).any()

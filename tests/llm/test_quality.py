@@ -109,8 +109,8 @@ def test_threshold_matches_brute_force(spark):
             assert quality._threshold(frame) == brute_threshold(rows)
 
 
-def test_threshold_is_fitted_on_every_held_out_document(spark):
-    """Over 2,000 held-out good documents have the smallest hashes and a text of their own; good ones with others must count as well."""
+def many_held_out(spark):
+    """Documents, labels and facts: over 2,000 held-out good documents have the smallest hashes and a text of their own."""
     held_out, late = F.pmod(F.xxhash64("id", F.lit(11)), F.lit(4)) == 0, F.xxhash64("id", F.lit(12)) > 0
     rare = F.when(held_out, late).otherwise(F.col("id") % 5 == 0)
     kind = F.when(F.col("id") % 10 == 0, "bad").when(rare, "rare").otherwise("usual")
@@ -119,6 +119,11 @@ def test_threshold_is_fitted_on_every_held_out_document(spark):
     docs = docs.unionByName(docs.where("doc_id % 40 = 1").withColumn("text", F.lit("an id with two texts")))
     labels = of.select("doc_id", (F.col("kind") != "bad").cast("int").alias("quality"), F.lit(0).alias("toxic"))
     assert of.where("held_out and kind = 'usual'").count() > 2_000 < of.where("held_out and kind = 'rare'").count()
+    return docs, labels, of
+
+
+def test_threshold_is_fitted_on_every_held_out_document(spark):
+    docs, labels, of = many_held_out(spark)
     judged = quality.judge(docs, labels).join(of, "doc_id").cache()
     rows = judged.where("held_out").select(F.col("kind") != "bad", "n_grams", "score").collect()
     assert quality.train(docs, labels).threshold == brute_threshold([tuple(r) for r in rows])
