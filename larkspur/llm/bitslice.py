@@ -13,6 +13,8 @@ from dataclasses import dataclass
 import numpy as np
 
 FULL = np.uint64(0xFFFFFFFFFFFFFFFF)
+#: Fingerprints that are turned into planes at a time, a multiple of 64.
+PIECE = 1 << 12
 
 
 @dataclass
@@ -27,10 +29,13 @@ class Work:
 def planes_of(marks: np.ndarray) -> np.ndarray:
     """(n, words) fingerprints of words * 64 bits as (bits, lanes / 64) planes; lanes are filled up with zeros."""
     n, width = marks.shape
-    full = np.zeros((-(-n // 64) * 64, width), "<u8")
-    full[:n] = marks
-    bits = np.unpackbits(full.view(np.uint8).reshape(len(full), width * 8), axis=1, bitorder="little")
-    return np.ascontiguousarray(np.packbits(bits.T, axis=1, bitorder="little")).view("<u8")
+    planes = np.zeros((width * 64, -(-n // 64) * 8), np.uint8)
+    for at in range(0, n, PIECE):  # as bits take eight times the bytes
+        rows = np.ascontiguousarray(marks[at : at + PIECE], "<u8")
+        bits = np.unpackbits(rows.view(np.uint8).reshape(len(rows), width * 8), axis=1, bitorder="little")
+        packed = np.packbits(bits.T, axis=1, bitorder="little")
+        planes[:, at // 8 : at // 8 + packed.shape[1]] = packed
+    return planes.view("<u8")
 
 
 def later(word: np.ndarray, lane: np.ndarray, last: np.ndarray) -> np.ndarray:

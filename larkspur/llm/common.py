@@ -13,6 +13,8 @@ from pyspark.sql import functions as F
 GAPS = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 BLANKS = " \t\n\x0b\x0c\r"
+#: Session setting that ends an Arrow batch by its bytes, and the bytes of a batch of texts.
+ARROW_BYTES, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -63,6 +65,18 @@ def once(df: DataFrame, name: str, value: Column) -> DataFrame:
     return df.select("*", F.explode(F.array(value)).alias(name))
 
 
+def limit_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Let an Arrow batch that goes to Python end after ``most`` bytes, where the session allows more; a smaller limit stays.
+
+    Batches end after 10,000 rows by default, some 34 MB of texts. The limit of the session is read when a plan is
+    made, so it stays lowered for frames that are computed later. It decides how rows travel, never which.
+    """
+    size = re.fullmatch(r"(\d+)([kmgtp]?)b?", spark.conf.get(ARROW_BYTES).strip().lower())
+    now = int(size[1]) * 1024 ** " kmgtp".index(size[2] or " ") if size else 0
+    if not 0 < now <= most:
+        spark.conf.set(ARROW_BYTES, str(most))
+
+
 def small(df: DataFrame, rows: int = 200_000) -> DataFrame:
     """df, which has been cut, marked for broadcast if it has at most that many rows; larger ones are joined by shuffle."""
     return F.broadcast(df) if df.count() <= rows else df

@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from larkspur.llm.bitslice import hits, later, lightest, planes_of
-from larkspur.llm.common import cut, small
+from larkspur.llm.common import cut, limit_batches, small
 from larkspur.llm.simhash import components, split_crowded
 
 CELLS = 512
@@ -68,22 +68,23 @@ def _shingle_sets(texts: DataFrame, width: int) -> DataFrame:
     return texts.select("mark", "text").mapInArrow(run, "mark long, held array<long>")
 
 
-def _cell_counts(texts: DataFrame, width: int, cells: int = LOADS, piece: int = 1 << 13) -> np.ndarray:
-    """How many shingles of all the texts, copies included, fall into each cell of their low bits; sums are made piece by piece."""
+def _loads(width: int, cells: int, piece: int):
+    """A function of batches of texts that gives (piece, load): the shingles in each cell, a row for each piece of the cells."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        load, held, n = np.zeros(cells, np.uint32), [], 0
+        load = np.zeros(cells, np.uint32)  # counted in place: nothing else of this size is held
         for batch in batches:
             for text in batch.column(0).cast(pa.binary()):
-                held.append(shingles(text.as_py() or b"", width))
-                n += len(held[-1])
-                if n >= cells:
-                    load += np.bincount((np.concatenate(held) & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
-                    held, n = [], 0
-        if n:
-            load += np.bincount((np.concatenate(held) & np.uint64(cells - 1)).astype(np.int64), minlength=cells).astype(np.uint32)
-        parts = [(i, x) for i, x in enumerate(load.reshape(-1, min(piece, cells))) if x.any()]
-        yield pa.record_batch([pa.array([i for i, _ in parts], pa.int32()), pa.array([x.tobytes() for _, x in parts], pa.binary())], names=["piece", "load"])
+                np.add.at(load, (shingles(text.as_py() or b"", width) & np.uint64(cells - 1)).astype(np.intp), np.uint32(1))
+        for i, x in enumerate(load.reshape(-1, min(piece, cells))):
+            if x.any():
+                yield pa.record_batch([pa.array([i], pa.int32()), pa.array([x.tobytes()], pa.binary())], names=["piece", "load"])
+
+    return run
+
+
+def _cell_counts(texts: DataFrame, width: int, cells: int = LOADS, piece: int = 1 << 13) -> np.ndarray:
+    """How many shingles of all the texts, copies included, fall into each cell of their low bits; sums are made piece by piece."""
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict = {}
@@ -93,7 +94,7 @@ def _cell_counts(texts: DataFrame, width: int, cells: int = LOADS, piece: int =
         yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["piece", "load"])
 
     kind = "piece int, load binary"
-    found = texts.select("text").mapInArrow(run, kind).repartition("piece").mapInArrow(add, kind).toArrow()
+    found = texts.select("text").mapInArrow(_loads(width, cells, piece), kind).repartition("piece").mapInArrow(add, kind).toArrow()
     load = np.zeros((cells // min(piece, cells), min(piece, cells)), np.uint32)
     for i, x in zip(found.column(0).to_pylist(), found.column(1), strict=True):
         load[i] = np.frombuffer(x.as_py(), np.uint32)
@@ -264,6 +265,7 @@ def _alike(pairs: DataFrame, marked: DataFrame, texts: DataFrame, width: int, sh
 def similar(texts: DataFrame, similarity: float = 0.8, width: int = 5, bucket_limit: int = 2_048) -> tuple[DataFrame, DataFrame]:
     """doc_id, text_hash and mark of each row of texts (doc_id, text_hash, text), and node and root of every mark that has a similar one."""
     share = Fraction(str(similarity))
+    limit_batches(texts.sparkSession)
     marked = cut(_marked(texts, width, share))
     keyed = marked.select(F.explode("keys").alias("key"), "mark").repartition("key").sortWithinPartitions("key", "mark")
     shared = cut(keyed.mapInArrow(_shared, "key long, mark long"))

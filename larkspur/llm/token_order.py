@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from larkspur.llm.common import cut
+from larkspur.llm.common import cut, limit_batches
 from larkspur.llm.tokens import encoder, end_id, vocabulary
 
 ROUNDS = 6
@@ -98,6 +98,7 @@ def materialise(
     The shards are written when the result is computed.
     """
     ranks = vocabulary(tokenizer)
+    limit_batches(docs.sparkSession)
     narrow = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     placed, n = with_slots(narrow, key, "slot")
     n_shards = max(1, -(-n // docs_per_shard))

@@ -1,7 +1,10 @@
 """Each stage of the pipeline against brute force on what the stage before kept, and on odd rows."""
 
+import tracemalloc
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 import pytest
 from test_decontaminate import brute as brute_contaminated
 from test_layout import brute_mix
@@ -10,6 +13,8 @@ from test_simhash import brute_kept
 
 import corpus_pipeline
 from larkspur.llm import near_text, quality
+from larkspur.llm.bitslice import planes_of
+from larkspur.llm.common import ARROW_BYTES, BATCH_BYTES, limit_batches
 
 STAGES = dict(corpus_pipeline.STAGES)
 
@@ -103,3 +108,47 @@ def test_prefixes_are_ordered_by_counts_of_every_text(spark):
         got = near_text._cell_counts(texts, 5, cells)
         assert len(got) == cells and {i: int(got[i]) for i in got.nonzero()[0]} == want
     assert not near_text._cell_counts(texts.limit(0), 5).any()
+
+
+def test_texts_go_to_python_in_batches_of_bounded_bytes(spark, sf, tmp_path):
+    texts = spark.range(0, 4_000, 1, 1).selectExpr("id as doc_id", "concat_ws(' ', sequence(id, id + 999)) as text", "'a' as source")
+    texts.write.parquet(str(tmp_path / "long"))
+    docs = spark.read.parquet(str(tmp_path / "long")).coalesce(1)
+
+    def sizes(batches):
+        for batch in batches:
+            yield pa.record_batch([pa.array([batch.nbytes])], names=["n"])
+
+    before = spark.conf.get(ARROW_BYTES)
+    try:
+        for name in ("simhash_near_duplicates", "token_shards"):
+            spark.conf.set(ARROW_BYTES, before)
+            STAGES[name](spark, docs.limit(40), sf).count()
+            assert max(r.n for r in docs.mapInArrow(sizes, "n long").collect()) <= BATCH_BYTES + (1 << 18)
+        for given, kept in (("64kb", "64kb"), ("2M", "2M"), ("8m", str(BATCH_BYTES)), ("1gb", str(BATCH_BYTES))):
+            spark.conf.set(ARROW_BYTES, given)
+            limit_batches(spark)
+            assert spark.conf.get(ARROW_BYTES) == kept
+    finally:
+        spark.conf.set(ARROW_BYTES, before)
+
+
+def peak(work):
+    """Bytes that a call takes besides what was held before, at most."""
+    tracemalloc.start()
+    try:
+        work()
+        return tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+
+
+def test_workers_hold_counts_and_planes_but_no_copies_of_them():
+    cells, batch = 1 << 21, pa.record_batch([pa.array([" ".join(str(i) for i in range(at, at + 2_000)) for at in range(0, 800_000, 2_000)])], names=["text"])
+    assert peak(lambda: [len(b) for b in near_text._loads(5, cells, 1 << 13)(iter([batch]))]) < 4 * cells + (4 << 20)
+    marks = np.random.default_rng(3).integers(0, 1 << 63, (50_001, 8), dtype=np.uint64)
+    assert peak(lambda: planes_of(marks)) < 3 * marks.nbytes
+    planes = planes_of(marks)
+    assert planes.shape == (512, 782)
+    for lane, bit in ((0, 0), (4_095, 64), (4_096, 511), (50_000, 130)):
+        assert planes[bit, lane // 64] >> np.uint64(lane % 64) & np.uint64(1) == marks[lane, bit // 64] >> np.uint64(bit % 64) & np.uint64(1)
