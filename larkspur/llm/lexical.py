@@ -11,6 +11,10 @@ its k-th largest lower bound. Then every document whose upper bound reaches that
 least its score. Items are taken in blocks of about ``block_items``, so the accumulators are bounded; postings are added up
 ``ELEMENTS`` at a time.
 
+Memory does not follow the size of the files: texts and blocks reach Python in batches of bounded bytes, and the stored index
+has row groups of about ``GROUP_BYTES``, since a reader may hold a row group at once. The documents, counts and bytes of a
+block's postings are three binary values, not arrays, whose elements take several times as much when read.
+
 Terms are the maximal runs of ASCII letters and digits and of characters beyond ASCII; only A-Z are lower-cased. Null and
 blank texts have none: such documents count nowhere and match nothing, such items have no rows. Items of one id are one
 item with the terms of all its rows; a null id is an id. Every document row is a document of its own, also if ids or texts
@@ -32,7 +36,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from larkspur.llm.common import cut, shared_path, small
+from larkspur.llm.common import cut, limit_batches, shared_path, small
 
 #: Bytes of terms: A-Z become small letters, what separates terms becomes a blank.
 _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -40,6 +44,9 @@ _FOLD = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97
 WHOLE = 1_000_000
 STEP = -(-WHOLE // 255)
 ELEMENTS = 1 << 18
+#: Bytes of a row group of the index, and the options with which its writer looks at them after every row.
+GROUP_BYTES = 4 << 20
+STORED = {"parquet.block.size": str(GROUP_BYTES), "parquet.page.size.row.check.min": "1", "parquet.page.size.row.check.max": "1"}
 
 
 def terms(text: bytes) -> list[bytes]:
@@ -62,6 +69,20 @@ def _spans(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.arange(int(ends[-1]) if len(ends) else 0) + np.repeat(starts - (ends - lengths), lengths)
 
 
+def packed(values: np.ndarray) -> bytes:
+    """Whole numbers from 0 as planes of bytes, the lowest bytes first, as many as the largest number needs."""
+    width = max(1, -(-int(values.max(initial=0)).bit_length() // 8))
+    return values.astype("<i8").view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
+
+
+def unpacked(planes: np.ndarray, n: int) -> np.ndarray:
+    """The n numbers of such planes."""
+    out = np.zeros(n, np.int64)
+    for i in range(0, len(planes), max(1, n)):
+        out |= planes[i : i + n].astype(np.int64) << 8 * (i // n)
+    return out
+
+
 @dataclass(frozen=True)
 class Index:
     """Where the blocks lie, and the counts of all documents that their bytes rest on."""
@@ -74,6 +95,7 @@ class Index:
 def build(docs: DataFrame, path: str | None = None, block_docs: int = 512, block_bytes: int = 1 << 20, id_col: str = "doc_id", text_col: str = "text") -> Index:
     """Index every row of docs under path; a block has at most 32,767 documents."""
     spark = docs.sparkSession
+    limit_batches(spark)
     block_docs = min(block_docs, (1 << 15) - 1)
     path = path or shared_path(spark, "lexical-index")
     plain = docs.select(F.col(id_col).alias("id"), F.encode(F.coalesce(F.col(text_col), F.lit("")), "UTF-8").alias("text"))
@@ -92,13 +114,13 @@ def build(docs: DataFrame, path: str | None = None, block_docs: int = 512, block
             T.StructField("lengths", longs),
             T.StructField("terms", T.ArrayType(T.BinaryType())),
             T.StructField("dfs", T.ArrayType(T.IntegerType())),
-            T.StructField("docs", T.ArrayType(T.ShortType())),
-            T.StructField("tfs", T.ArrayType(T.IntegerType())),
+            T.StructField("docs", T.BinaryType()),
+            T.StructField("tfs", T.BinaryType()),
             T.StructField("impacts", T.BinaryType()),
         ]
     )
 
-    def packed(held: list, kind: pa.DataType) -> pa.RecordBatch:
+    def block(held: list, kind: pa.DataType) -> pa.RecordBatch:
         number: dict[bytes, int] = {}
         numbers, counts, sizes, lengths, m = [], [], [], [], []
         for _, found, length in held:
@@ -119,9 +141,7 @@ def build(docs: DataFrame, path: str | None = None, block_docs: int = 512, block
                 row(pa.array(lengths, pa.int64())),
                 row(pa.array(list(number), pa.binary())),
                 row(pa.array(np.bincount(which, minlength=len(number)).astype(np.int32))),
-                row(pa.array(doc)),
-                row(pa.array(tf.astype(np.int32))),
-                pa.array([impact.tobytes()], pa.binary()),
+                *(pa.array([x], pa.binary()) for x in (packed(doc), packed(tf), impact.tobytes())),
             ],
             names=schema.names,
         )
@@ -136,12 +156,12 @@ def build(docs: DataFrame, path: str | None = None, block_docs: int = 512, block
                 held.append((doc_id, Counter(words), len(words)))
                 size += len(text.as_buffer())
                 if len(held) >= block_docs or size >= block_bytes:
-                    yield packed(held, kind)
+                    yield block(held, kind)
                     held, size = [], 0
         if held:
-            yield packed(held, kind)
+            yield block(held, kind)
 
-    plain.mapInArrow(run, schema).write.parquet(path)
+    plain.mapInArrow(run, schema).write.options(**STORED).parquet(path)
     return Index(path, n_docs, n_total)
 
 
@@ -194,11 +214,11 @@ def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[dict]:
             out = {}
             for name, column in zip(batch.schema.names, batch.columns, strict=True):
                 value = column[i]
-                if name == "impacts":
+                if name in ("docs", "tfs", "impacts"):
                     out[name] = np.frombuffer(value.as_buffer(), np.uint8)
                 else:
                     out[name] = value.values if name == "doc_ids" else value.values.to_pylist() if name == "terms" else value.values.to_numpy(zero_copy_only=False)
-            yield out
+            yield out | {name: unpacked(out[name], len(out["impacts"])) for name in ("docs", "tfs") if name in out}
 
 
 def _sums(block: dict, query: Asked, n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -246,7 +266,7 @@ def _rescored(blocks: DataFrame, query, floor: np.ndarray, k: int, index: Index)
             for cell, weight, at in _matches(block, mine, n):
                 some = reaches[cell]
                 cell, weight, at = cell[some], weight[some], at[some]
-                np.add.at(score, cell, weight * share(block["tfs"][at].astype(np.int64), m[block["docs"][at]]))
+                np.add.at(score, cell, weight * share(block["tfs"][at], m[block["docs"][at]]))
             found = np.flatnonzero(score >= np.repeat(floor, n))
             item, doc = np.divmod(found, n)
             place = np.empty(n, np.int64)
@@ -278,6 +298,7 @@ def item_terms(items: DataFrame, id_col: str = "item_id", text_col: str = "text"
 def search(index: Index, items: DataFrame, k: int = 10, block_items: int = 1_024, id_col: str = "item_id", text_col: str = "text") -> DataFrame:
     """Rows of item_id, rank, doc_id and score: the k best documents of every item."""
     spark = items.sparkSession
+    limit_batches(spark)
     blocks = spark.read.parquet(index.path)
     pairs = cut(item_terms(items, id_col, text_col))
     vocabulary = small(cut(pairs.select("term").distinct()))

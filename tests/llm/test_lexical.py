@@ -5,10 +5,13 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.parquet as pq
 import pytest
 from pyspark.sql import functions as F
 
 from larkspur.llm import lexical
+from larkspur.llm.common import ARROW_BYTES, BATCH_BYTES
 
 PATTERN = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
 LOWER = str.maketrans({c: c + 32 for c in range(65, 91)})
@@ -85,3 +88,30 @@ def test_empty_tables(spark, sf, tmp_path):
     assert lexical.search(lexical.build(docs.limit(0), str(tmp_path / "a")), items).count() == 0
     assert lexical.search(lexical.build(docs, str(tmp_path / "b")), items.limit(0)).count() == 0
     assert lexical.search(lexical.build(docs.withColumn("text", F.lit("--")), str(tmp_path / "c")), items).count() == 0
+
+
+def test_memory_is_bounded_whatever_a_file_holds(spark, tmp_path):
+    normal = spark.conf.get(ARROW_BYTES)
+    chance = np.random.default_rng(1)
+    texts = [(i, " ".join(f"{x:x}" for x in chance.integers(1 << 16, 1 << 28, 50_000).tolist())) for i in range(24)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").coalesce(1)
+    items = spark.createDataFrame([(1, " ".join(t.split()[0] for _, t in texts))], "item_id long, text string")
+    spark.conf.set(ARROW_BYTES, str(256 << 20))
+    try:
+        index = lexical.build(docs, str(tmp_path / "index"), block_bytes=1 << 18)
+        spark.conf.set(ARROW_BYTES, str(256 << 20))
+        assert lexical.search(index, items, 50).count() == 24
+        read = spark.read.parquet(index.path)
+        size = lambda batches: (pa.RecordBatch.from_pydict({"size": [b.nbytes]}) for b in batches)
+        assert read.count() == 24 and read.mapInArrow(size, "size long").agg(F.max("size")).first()[0] < 2 * BATCH_BYTES
+    finally:
+        spark.conf.set(ARROW_BYTES, normal)
+    for path in tmp_path.glob("index/*.parquet"):
+        held = pq.ParquetFile(path).metadata
+        assert all(held.row_group(i).total_byte_size < 2 * lexical.GROUP_BYTES for i in range(held.num_row_groups))
+
+
+@pytest.mark.parametrize("values", [[], [0], [0, 255], [256, 1, 0], [65_535, 65_536, 7], [2**31 - 1, 0, 5, 2**40]])
+def test_packed_numbers(values):
+    planes = lexical.packed(np.array(values, np.int64))
+    assert lexical.unpacked(np.frombuffer(planes, np.uint8), len(values)).tolist() == values
