@@ -226,7 +226,8 @@ def replay_migrations(spark, sf_dir):
 
 def _dumps(spark, sf_dir):
     """A dump for each part, in one of three dialects, with its values as names, sizes and defaults."""
-    part = table(spark, sf_dir, "part").select("p_partkey", F.col("p_partkey").cast("string").alias("k"), F.lower("p_type").alias("t"), F.col("p_size").cast("string").alias("z"), F.substring_index("p_name", " ", 1).alias("w"))
+    narrow = table(spark, sf_dir, "part").select("p_partkey", "p_name", "p_type", "p_size").repartition("p_partkey")  # a small file makes large texts
+    part = narrow.select("p_partkey", F.col("p_partkey").cast("string").alias("k"), F.lower("p_type").alias("t"), F.col("p_size").cast("string").alias("z"), F.substring_index("p_name", " ", 1).alias("w"))
     postgres = """-- dump of (one, 'table
 SET search_path = public;
 CREATE TABLE public.t{k} (

@@ -1,20 +1,30 @@
 """SQL dumps as relations: tables, columns, keys, indexes and dialects out of the text of dump files of three dialects.
 
-A dump is cut into tokens: comments, quoted texts and names, brackets, commas, semicolons and what lies between. Running sums
-over the tokens number the statements and give the depth of brackets, so commas inside brackets, quotes and comments separate
+A dump is cut into tokens: comments, quoted texts and names, brackets, commas, semicolons and what lies between. One pass over
+the tokens numbers the statements and gives the depth of brackets, so commas inside brackets, quotes and comments separate
 nothing, at a cost linear in the text; a statement on one line reads like any other. Quotes are doubled to stand for themselves.
-The sums run within one dump, which :func:`larkspur.sources.files.files` bounds in size; dumps run in parallel.
+A dump is read where its row lies, and :func:`larkspur.sources.files.files` bounds its size; no token is shuffled, and dumps run in parallel.
 
 Tables of the migration machinery are left out, so are keys and indexes of tables that the dump does not make. Null texts have none.
 """
 
 from __future__ import annotations
 
+import re
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-_TOKEN = r"""--[^\n]*+|(?s:/\*.*?\*/)|'[^']*+'|"[^"]*+"|`[^`]*+`|[(),;]|[^-/'"`(),;]++|[-/'"`]"""
+# Comments, quoted texts and names, brackets, commas, semicolons, and what lies between.
+_TOKEN = r"""--[^\n]*|(?s:/\*.*?\*/)|'[^']*'|"[^"]*"|`[^`]*`|[(),;]|[^-/'"`(),;]+|[-/'"`]"""
+_OPENS = r"(CREATE (TEMPORARY |UNLOGGED )?TABLE|CREATE (UNIQUE )?INDEX|ALTER TABLE)\b"
 _NAME = r"(?:[\"`]?\w+[\"`]?\.)*[\"`]?(\w+)[\"`]?"
+_TABLE = rf"(?i)^CREATE (?:TEMPORARY |UNLOGGED )?TABLE (?:IF NOT EXISTS )?{_NAME}$"
+_INDEX = rf"(?i)^CREATE (UNIQUE )?INDEX (?:CONCURRENTLY )?(?:IF NOT EXISTS )?[\"`]?(\w+)[\"`]? ON (?:ONLY )?{_NAME}(?: USING \w+)?$"
+
+#: Session setting that ends a batch of rows to plain Python functions, and the dumps of a batch: 8 MB of text, as files() bounds them, where Spark's 100 would be 100 MB.
+BATCH_ROWS, DUMPS = "spark.sql.execution.python.udf.maxRecordsPerBatch", 8
 
 # SQL type names of dumps by the name they are given, first match first; prefixes of tables that tell nothing about an application.
 TYPE_RULES = (
@@ -44,47 +54,82 @@ def dialect(text: Column) -> Column:
     )
 
 
+def _reader(pattern: str = _TOKEN, opening: str = _OPENS) -> Callable[[str | None], list]:
+    """The reader of one dump: statement, head (its part 0) and its parts by number. Made here, so that it travels whole to workers that cannot import this module."""
+    token, opens, gap = re.compile(pattern), re.compile(opening), re.compile(r"\s+", re.ASCII)
+
+    def plain(statement, parts):
+        texts = [(k, gap.sub(" ", "".join(toks)).strip(" ")) for k, toks in parts.items() if toks]
+        return statement, texts[0][1], texts
+
+    def read(text):
+        out, statement, parts = [], 0, None
+        for found in token.finditer(text or ""):
+            tok = found.group()
+            if tok.startswith(("--", "/*")):
+                continue
+            if tok == ";":
+                if parts:
+                    out.append(plain(statement, parts))
+                statement, parts = statement + 1, None
+            elif parts is None:
+                if tok.strip(" \t\r\n"):
+                    first = gap.sub(" ", tok).strip(" ").upper()
+                    parts = {0: [tok]} if opens.match(first) else {}
+                    alters, into, depth, bodies, last = first.startswith("ALTER"), parts.get(0), 0, 0, 1
+            elif parts and (alters or tok not in ("(", ")", ",")):
+                if into is not None:
+                    into.append(tok)
+            elif parts:
+                depth += (tok == "(") - (tok == ")")
+                if tok == "(" and depth == 1:
+                    bodies += 1
+                    into = parts.setdefault(1, []) if bodies == 1 else None
+                elif tok == "," and depth == bodies == 1:
+                    last += 1
+                    into = parts[last] = []
+                elif tok == ")" and depth == 0 and bodies:
+                    into = None
+                elif into is not None:
+                    into.append(tok)
+        if parts:
+            out.append(plain(statement, parts))
+        return out
+
+    return read
+
+
 def statements(dumps: DataFrame, key: str = "path", text: str = "content") -> DataFrame:
-    """key, statement (its number), part and text of every statement that makes tables, indexes or constraints.
+    """key, statement (its number), part, text and made of every statement that makes tables, indexes or constraints.
 
     Part 0 is what comes before the first bracket, parts from 1 what its commas separate; statements that alter a table have part 0 alone.
+    made is what part 0 says the statement makes: kind (table or index), table, and name and unique of an index; null for any other.
     """
-    tokens = dumps.select(F.col(key).alias("key"), F.posexplode(F.regexp_extract_all(text, F.lit(_TOKEN), F.lit(0))).alias("pos", "tok")).where(~F.col("tok").rlike(r"^(--|/\*)"))
-    upto = Window.partitionBy("key").orderBy("pos")
-    numbered = tokens.withColumn("statement", F.coalesce(F.sum(F.expr("int(tok = ';')")).over(upto.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-    inside = Window.partitionBy("key", "statement")
-    running = inside.orderBy("pos").rowsBetween(Window.unboundedPreceding, 0)
-    opens = F.first(F.when(F.trim("tok", F.lit(" \t\r\n")) != "", F.upper(F.regexp_replace("tok", r"\s+", " "))), ignorenulls=True).over(inside.orderBy("pos").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
-    depth = F.sum(F.expr("CASE tok WHEN '(' THEN 1 WHEN ')' THEN -1 ELSE 0 END")).over(running)
-    told = numbered.withColumn("opens", F.trim(opens)).where(F.col("opens").rlike(r"^(CREATE (TEMPORARY |UNLOGGED )?TABLE|CREATE (UNIQUE )?INDEX|ALTER TABLE)\b")).withColumn("depth", depth)
-    bodies = F.sum(F.expr("int(tok = '(' AND depth = 1)")).over(running)
-    commas = F.sum(F.expr("int(tok = ',' AND depth = 1)")).over(running)
-    placed = told.withColumns({"bodies": bodies, "commas": commas}).withColumn(
-        "part", F.expr("CASE WHEN opens LIKE 'ALTER%' OR bodies = 0 THEN 0 WHEN bodies = 1 AND depth >= 1 AND NOT (depth = 1 AND tok IN ('(', ',')) THEN 1 + commas END")
-    )
-    whole = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("pos", "tok"))), lambda x: x["tok"]), "")
-    parts = placed.where("part IS NOT NULL AND tok <> ';'").groupBy("key", "statement", "part").agg(whole.alias("text"))
-    return parts.select(F.col("key").alias(key), "statement", "part", F.trim(F.regexp_replace("text", r"\s+", " ")).alias("text"))
-
-
-def _heads(parts: DataFrame, key: str, pattern: str, names: dict[str, Column]) -> DataFrame:
-    """The statements whose part 0 matches pattern, with what names take from it."""
-    return parts.where((F.col("part") == 0) & F.col("text").rlike(pattern)).select(F.col(key).alias("_key"), F.col("statement").alias("_statement"), *(c.alias(n) for n, c in names.items()))
-
-
-def _items(parts: DataFrame, key: str, heads: DataFrame) -> DataFrame:
-    on = (F.col(key) == F.col("_key")) & (F.col("statement") == F.col("_statement"))
-    return parts.where("part > 0 AND text <> ''").join(heads, on).drop("_key", "_statement")
+    conf = dumps.sparkSession.conf
+    if int(conf.get(BATCH_ROWS, "100")) > DUMPS:
+        conf.set(BATCH_ROWS, str(DUMPS))
+    read = F.udf(_reader(), "array<struct<statement: bigint, head: string, parts: array<struct<part: bigint, text: string>>>>", useArrow=False)
+    found = dumps.select(F.col(key).alias("key"), F.explode(read(text)).alias("s")).select("key", "s.*")
+    none, head = F.lit(None), F.col("head")
+    fields = lambda kind, table, name, unique: F.struct(F.lit(kind).alias("kind"), table.alias("table"), name.cast("string").alias("name"), unique.cast("boolean").alias("unique"))
+    told = lambda i: F.regexp_extract(head, _INDEX, i)
+    made = F.when(head.rlike(_TABLE), fields("table", F.regexp_extract(head, _TABLE, 1), none, none)).when(head.rlike(_INDEX), fields("index", told(3), told(2), told(1) != ""))
+    parts = found.select("key", "statement", made.alias("made"), F.explode("parts").alias("p"))
+    return parts.select(F.col("key").alias(key), "statement", "p.part", "p.text", "made")
+
+
+def _items(parts: DataFrame, key: str) -> DataFrame:
+    """What lies in the brackets of the statements that make an index or a table that counts, with what they make."""
+    inside = parts.where(F.col("made").isNotNull() & F.col(key).isNotNull() & (F.col("part") > 0) & (F.col("text") != "")).select(key, "statement", "part", "text", "made.*")
+    skipped = F.lit(False)
+    for prefix in INTERNAL:
+        skipped = skipped | F.col("table").startswith(prefix)
+    return inside.where((F.col("kind") == "index") | ~skipped)
 
 
 def dump_tables(parts: DataFrame, key: str = "path") -> DataFrame:
     """key, table, part and text of every definition of every CREATE TABLE, from :func:`statements`."""
-    pattern = rf"(?i)^CREATE (?:TEMPORARY |UNLOGGED )?TABLE (?:IF NOT EXISTS )?{_NAME}$"
-    heads = _heads(parts, key, pattern, {"table": F.regexp_extract("text", pattern, 1)})
-    skipped = F.lit(False)
-    for prefix in INTERNAL:
-        skipped = skipped | F.col("table").startswith(prefix)
-    return _items(parts, key, heads.where(~skipped)).select(key, "table", "part", "text")
+    return _items(parts, key).where("kind = 'table'").select(key, "table", "part", "text")
 
 
 _CONSTRAINT = r"(?i)^(?:PRIMARY|CONSTRAINT|CHECK|UNIQUE|EXCLUDE|FOREIGN)\b|^(?:UNIQUE )?(?:KEY|INDEX) [`\"]"
@@ -112,7 +157,8 @@ def dump_keys(parts: DataFrame, key: str = "path") -> DataFrame:
     tables = dump_tables(parts, key)
     altered = rf"(?i)^ALTER TABLE (?:IF EXISTS )?(?:ONLY )?{_NAME} ADD (.*)$"
     later = parts.where((F.col("part") == 0) & F.col("text").rlike(altered)).select(key, F.regexp_extract("text", altered, 1).alias("table"), F.regexp_extract("text", altered, 2).alias("text"))
-    later = later.join(tables.select(key, "table").distinct(), [key, "table"], "left_semi")
+    # Both sides grow with the dumps, while Spark guesses their sizes from the files read: they are dealt by key, neither is sent whole.
+    later = later.join(tables.select(key, "table").distinct().hint("merge"), [key, "table"], "left_semi")
     named = r"^(?:CONSTRAINT [`\"]?\w+[`\"]? )?"
     primary, foreign = rf"(?i){named}PRIMARY KEY ?\(([^)]*)\)", rf"(?i){named}FOREIGN KEY ?\(([^)]*)\) ?REFERENCES {_NAME} ?\(([^)]*)\)"
     inline = rf"(?i)^[`\"]?(\w+)[`\"]? (?!KEY ).*\bPRIMARY KEY\b"
@@ -129,18 +175,22 @@ def dump_keys(parts: DataFrame, key: str = "path") -> DataFrame:
 
 
 def dump_indexes(parts: DataFrame, key: str = "path") -> DataFrame:
-    """table, name, columns and unique of every index, in a table's body or made later; a column may be an expression."""
-    tables = dump_tables(parts, key)
-    made = rf"(?i)^CREATE (UNIQUE )?INDEX (?:CONCURRENTLY )?(?:IF NOT EXISTS )?[\"`]?(\w+)[\"`]? ON (?:ONLY )?{_NAME}(?: USING \w+)?$"
-    heads = _heads(parts, key, made, {"table": F.regexp_extract("text", made, 3), "name": F.regexp_extract("text", made, 2), "unique": F.regexp_extract("text", made, 1) != ""})
-    column = F.regexp_replace(F.regexp_replace("text", r"(?i)(?: (?:ASC|DESC|NULLS (?:FIRST|LAST)|\w+_ops))+$", ""), '["`]', "")
-    listed = F.transform(F.sort_array(F.collect_list(F.struct("part", column.alias("c")))), lambda x: x["c"])
-    later = _items(parts, key, heads).groupBy(key, "statement", "table", "name", "unique").agg(listed.alias("columns")).drop("statement")
-    later = later.join(tables.select(key, "table").distinct(), [key, "table"], "left_semi")
+    """table, name, columns and unique of every index, in a table's body or made later; a column may be an expression.
+
+    The dumps are read once, and what tells of a table and its indexes is dealt by key and table: no join, so no side of one is sent whole.
+    """
     body = r"(?i)^(UNIQUE )?(?:KEY|INDEX) [`\"](\w+)[`\"] ?\((.*)\)"
-    part = lambda i: F.regexp_extract("text", body, i)
-    within = tables.where(F.col("text").rlike(body)).select(key, "table", part(2).alias("name"), (part(1) != "").alias("unique"), F.transform(_names(part(3)), lambda c: F.regexp_extract(c, r"^\w+", 0)).alias("columns"))
-    return later.unionByName(within).select(key, "table", "name", "columns", "unique")
+    told = F.when((F.col("kind") == "index") | F.col("text").rlike(body), F.struct("part", "text"))  # a table's other definitions only say that it is made
+    dealt = _items(parts, key).select(key, "table", "statement", "kind", "name", "unique", told.alias("told")).repartition(key, "table")
+    texts = F.transform(F.sort_array(F.collect_list("told")), lambda x: x["text"])
+    known = F.max(F.col("kind") == "table").over(Window.partitionBy(key, "table"))
+    made = dealt.groupBy(key, "table", "statement", "kind", "name", "unique").agg(texts.alias("texts")).withColumn("known", known).where("known")
+    column = lambda c: F.regexp_replace(F.regexp_replace(c, r"(?i)(?: (?:ASC|DESC|NULLS (?:FIRST|LAST)|\w+_ops))+$", ""), '["`]', "")
+    later = F.struct("name", F.transform("texts", column).alias("columns"), "unique")
+    part = lambda text, i: F.regexp_extract(text, body, i)
+    within = lambda text: F.struct(part(text, 2).alias("name"), F.transform(_names(part(text, 3)), lambda c: F.regexp_extract(c, r"^\w+", 0)).alias("columns"), (part(text, 1) != "").alias("unique"))
+    indexes = F.when(F.col("kind") == "index", F.array(later)).otherwise(F.transform("texts", within))
+    return made.select(key, "table", F.explode(indexes).alias("x")).select(key, "table", "x.name", "x.columns", "x.unique")
 
 
 def chosen_dumps(found: DataFrame, path: str = "path", n_tables: str = "n_tables") -> DataFrame:

@@ -88,6 +88,27 @@ CREATE INDEX i2 ON elsewhere (z);"""
     assert [(r.name, r.columns, r.unique) for r in dumps.dump_indexes(parts).collect()] == [("i1", ["key", "(x + 1)"], False)]
 
 
+def test_no_side_of_dumps_is_sent_whole(spark):
+    text = """CREATE TABLE a (x int, y int, KEY `k` (`x`(3),`y`), UNIQUE KEY `u` (`y`), UNIQUE INDEX "u" ("x"));
+CREATE TABLE b (x int PRIMARY KEY);
+CREATE TABLE schema_migrations (v int, KEY `none` (`v`));
+CREATE UNIQUE INDEX i ON s.b (lower(x), y DESC);
+CREATE INDEX i ON a (x);
+CREATE INDEX lost ON schema_migrations (v);
+CREATE INDEX lost ON other (v);
+ALTER TABLE a ADD CONSTRAINT p PRIMARY KEY (x, y);"""
+    few = spark.range(3).select(F.col("id").cast("string").alias("path"), F.concat(F.lit(text), F.when(F.col("id") == 2, "CREATE TABLE other (v int)").otherwise("")).alias("content"))
+    parts = dumps.statements(few)
+    indexes, keys = dumps.dump_indexes(parts), dumps.dump_keys(parts)
+    each = [("a", "i", "x", False), ("a", "k", "x|y", False), ("a", "u", "x", True), ("a", "u", "y", True), ("b", "i", "lower(x)|y", True)]
+    assert sorted((r.path, r.table, r.name, "|".join(r.columns), r.unique) for r in indexes.collect()) == sorted([(str(i), *x) for i in range(3) for x in each] + [("2", "other", "lost", "v", False)])
+    assert sorted((r.path, r.table, "|".join(r.columns)) for r in keys.collect()) == sorted((str(i), *x) for i in range(3) for x in (("a", "x|y"), ("b", "x")))
+    for frame in (indexes, keys):  # Spark takes the dumps for small: their texts and tokens are made as it reads
+        assert "Broadcast" not in frame._jdf.queryExecution().executedPlan().toString()
+    assert indexes._jdf.queryExecution().optimizedPlan().toString().count("BatchEvalPython") == 1
+    assert int(spark.conf.get(dumps.BATCH_ROWS)) <= dumps.DUMPS
+
+
 def test_time_is_linear_in_the_dump(spark):
     def seconds(n):
         text = "CREATE TABLE t (\n" + ",\n".join(f"c{i} numeric(10,2) DEFAULT 'a,(b' NOT NULL" for i in range(n)) + "\n);"
